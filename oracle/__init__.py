@@ -1,5 +1,5 @@
 """DuckDB statements the queries are checked against."""
 
-from oracle import customers, kpi
+from oracle import churn, customers, kpi, products
 
-STATEMENTS: dict[str, str] = {**kpi.SQL, **customers.SQL}
+STATEMENTS: dict[str, str] = {**kpi.SQL, **customers.SQL, **products.SQL, **churn.SQL}

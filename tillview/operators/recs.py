@@ -13,18 +13,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillview.functions.numeric import money_ratio, ratio
+from tillview.sources.scratch import materialize
 
 # rows of one group that meet the whole group in one task
 GROUP_SLICE = 2_000
 
 
 def purchase_counts(transactions: DataFrame) -> DataFrame:
-    """One row per user and product with the number of purchases."""
-    return (
+    """One row per user and product with the number of purchases.
+
+    Stored, because every recommender reads it several times over and the fact
+    behind it should be scanned once.
+    """
+    counts = (
         transactions.filter(F.col("user_id").isNotNull() & F.col("product_id").isNotNull())
         .groupBy("user_id", "product_id")
         .agg(F.count("*").alias("purchases"))
     )
+    return materialize(counts, "purchases")
 
 
 def overlapping_pairs(members: DataFrame, item: str, group: str, min_common: int) -> DataFrame:
@@ -59,6 +65,8 @@ def overlapping_pairs(members: DataFrame, item: str, group: str, min_common: int
     if left_out is None:
         return candidates.filter(F.col("common") >= min_common)
 
+    # counted once and read three times below
+    candidates = materialize(candidates, "pairs")
     pairs = candidates.select("item_a", "item_b")
     all_members = ranked.select("item", "grp")
     # a group left out for item_a counts if item_b has it at all,
@@ -81,8 +89,10 @@ def overlapping_pairs(members: DataFrame, item: str, group: str, min_common: int
 
 
 def _jaccard(common, size_a, size_b):
-    """Jaccard similarity as a decimal, so that sums do not depend on their order."""
-    return F.try_divide(common.cast("double"), size_a + size_b - common).cast("decimal(20,12)")
+    """Jaccard similarity to 12 decimals, so that sums do not depend on their order."""
+    either = size_a + size_b - common
+    exact = F.try_divide(common.cast("decimal(14,0)"), either.cast("decimal(14,0)"))
+    return F.round(exact, 12).cast("decimal(20,12)")
 
 
 def _recommendations(
@@ -99,7 +109,7 @@ def _recommendations(
         .groupBy("target_user", "product_id")
         .agg(
             # a neighbour's repeat purchases count again
-            F.sum(F.col("similarity") * F.col("purchases")).alias("score"),
+            F.sum(F.col("similarity") * F.col("purchases").cast("decimal(10,0)")).alias("score"),
             F.count("*").alias("recommended_by_n_similar_users"),
         )
         .withColumn("recommendation_score", F.round(F.col("score"), 6))

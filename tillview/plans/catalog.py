@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillview.operators import cohorts, customers, kpi, products, recs, staging, trends
+from tillview.functions.dates import TS, Anchor
+from tillview.operators import churn, cohorts, customers, experiments, kpi, products, quality, recs, staging, tables, trends
 from tillview.sources.shop import Shop
 
 # The day in the event stream that has both first-time and returning buyers.
@@ -124,9 +125,171 @@ CUSTOMERS = {
 }
 
 
+def _features(shop: Shop) -> DataFrame:
+    return churn.mart_churn_features(_staged(shop))
+
+
+def _at_risk(shop: Shop, page_size: int) -> DataFrame:
+    return churn.at_risk_customers(churn.churn_risk_score(_features(shop)), _metrics(shop), page_size=page_size)
+
+
+def _scored_users(shop: Shop) -> DataFrame:
+    unscored = shop.users().select("user_id", "email", F.lit(None).cast("decimal(3,2)").alias("churn_risk_score"))
+    return tables.apply_churn_to_users(unscored, _features(shop))
+
+
+CHURN = {
+    "mart_churn_features": _features,
+    "churn_risk_score": lambda s: churn.churn_risk_score(_features(s)),
+    "churn_heuristic": lambda s: churn.churn_heuristic(_metrics(s)),
+    "churn_rule_factors": lambda s: churn.churn_rule_factors(_metrics(s)),
+    "churn_feature_prep": lambda s: churn.churn_feature_prep(_metrics(s)),
+    "churn_training_set": lambda s: churn.churn_training_set(s.orders()),
+    "at_risk_customers": lambda s: _at_risk(s, 20),
+    "churn_histogram": lambda s: churn.churn_histogram(_at_risk(s, 100)),
+}
+
+PRODUCTS = {
+    "top_products_hour": lambda s: products.top_products_hour(s.lines(), s.products()),
+    "top_products_today": lambda s: products.top_products_today(s.lines(), s.products()),
+    "top_categories_hour": lambda s: products.top_categories_hour(s.lines(), s.products()),
+    "top_categories_today": lambda s: products.top_categories_today(s.lines(), s.products()),
+    "inventory_alerts": lambda s: products.inventory_alerts(s.lines(), s.products()),
+    "inventory_severity": lambda s: products.inventory_severity(
+        products.inventory_alerts(s.lines(), s.products())
+    ),
+    "product_detail": lambda s: products.product_detail(s.lines(), s.products(), product_id=1),
+}
+
+RECOMMENDATIONS = {
+    "rec_user_jaccard": lambda s: recs.rec_user_jaccard(s.lines(), s.products(), user_id=1),
+    "rec_user_jaccard_batch": lambda s: recs.rec_user_jaccard_batch(s.lines(), s.products()),
+    "rec_user_overlap": lambda s: recs.rec_user_overlap(s.lines(), s.products(), user_id=1),
+    "rec_item_lift": lambda s: recs.rec_item_lift(s.lines(), s.products(), s.users()),
+    "rec_similar_products": lambda s: recs.rec_similar_products(s.lines(), s.products(), s.users(), product_id=1),
+    "rec_trending": lambda s: products.rec_trending(s.lines(), s.products()),
+}
+
+
+def _offers(shop: Shop) -> DataFrame:
+    return experiments.ab_assign(experiments.ab_eligibility(_scored_users(shop)))
+
+
+def _assignments(shop: Shop, days_back: int = 30) -> DataFrame:
+    moment = Anchor(shop.orders()).midnight(days_back)
+    return experiments.ab_assignments(_offers(shop), moment)
+
+
+def _conversion(shop: Shop) -> DataFrame:
+    return experiments.ab_conversion(_assignments(shop), shop.orders())
+
+
+def _sticky_log(shop: Shop) -> DataFrame:
+    """Riskiest users were all put into the control group a month earlier."""
+    risky = _offers(shop).filter(F.col("churn_risk") > 0.7).withColumn("variant", F.lit(experiments.CONTROL))
+    log = experiments.ab_assignments(risky, Anchor(shop.orders()).midnight(60))
+    return experiments.ab_log_sticky(log, _assignments(shop))
+
+
+EXPERIMENTS = {
+    "ab_eligibility": lambda s: experiments.ab_eligibility(_scored_users(s)),
+    "ab_assign": _offers,
+    "ab_log_sticky": _sticky_log,
+    "ab_conversion": _conversion,
+    "ab_summary": lambda s: experiments.ab_summary(_conversion(s), _assignments(s), Anchor(s.orders()).date),
+    "ab_results": lambda s: experiments.ab_results(_assignments(s), _conversion(s)),
+}
+
+
+def _line_snapshot(shop: Shop) -> DataFrame:
+    """Sixty days of snapshots, this time from the order lines."""
+    lines = shop.lines()
+    return kpi.mart_daily_snapshot(staging.stg_transactions(lines.filter(Anchor(lines).since_day(60))))
+
+
+def _snapshot(shop: Shop) -> DataFrame:
+    return kpi.mart_daily_snapshot(_staged(shop))
+
+
+def _old_snapshot(shop: Shop) -> DataFrame:
+    return _snapshot(shop).filter(F.col("report_date") < "2001-07-20")
+
+
+TABLES = {
+    "upsert_by_key": lambda s: tables.upsert_by_key(_snapshot(s), _line_snapshot(s), ["report_date"]),
+    "insert_if_absent": lambda s: tables.insert_if_absent(_old_snapshot(s), _line_snapshot(s), ["report_date"]),
+    "apply_rfm_to_users": lambda s: tables.apply_rfm_to_users(
+        s.users().select("user_id", "email", F.lit(None).cast("string").alias("customer_segment")),
+        customers.mart_rfm_segments(customers.int_rfm_scores(_staged(s))),
+    ),
+    "apply_churn_to_users": _scored_users,
+    "apply_snapshot_to_log": lambda s: tables.apply_snapshot_to_log(
+        _snapshot(s).withColumn("total_users", F.lit(0).cast("bigint")), _snapshot(s)
+    ),
+    "user_totals": lambda s: tables.user_totals(s.orders()),
+}
+
+ROW = ["transaction_id", "user_id", TS, "quantity", "total_amount"]
+
+
+def _charged_lines(shop: Shop, fee: int = 1000) -> DataFrame:
+    """Order lines after a flat fee, which turns the smallest amounts negative."""
+    return shop.lines().select(*ROW).withColumn("total_amount", F.col("total_amount") - fee)
+
+
+def _refresh_log(shop: Shop) -> DataFrame:
+    """Purchases and signups stand for the refreshes of the two views."""
+    name = F.when(F.col("event_type") == "purchase", "daily_metrics").otherwise("user_metrics")
+    moment = F.date_trunc("second", F.col("timestamp")).cast("timestamp_ntz")
+    return (
+        shop.events()
+        .filter(F.col("event_type").isin("purchase", "signup"))
+        .select(name.alias("table_name"), moment.alias("computed_at"))
+    )
+
+
+def _stale(shop: Shop) -> DataFrame:
+    return quality.dq_stale_tables(_refresh_log(shop), "2024-01-31 01:00:00")
+
+
+QUALITY = {
+    "dq_null_user_ids": lambda s: quality.dq_null_user_ids(s.orders()),
+    "dq_null_amounts": lambda s: quality.dq_null_amounts(s.orders()),
+    "dq_orphans": lambda s: quality.dq_orphans(s.orders(), s.users()),
+    "dq_duplicates": lambda s: quality.dq_duplicates(s.lines()),
+    "dq_revenue_anomaly": lambda s: quality.dq_revenue_anomaly(s.orders()),
+    "dq_volume_anomaly": lambda s: quality.dq_volume_anomaly(s.orders()),
+    "dq_stale_tables": _stale,
+    "dq_summary": lambda s: quality.dq_summary(
+        [
+            quality.row_checks(s.orders()),
+            quality.dq_orphans(s.orders(), s.users()),
+            quality.dq_duplicates(s.lines()),
+            quality.dq_revenue_anomaly(s.orders()),
+            quality.dq_volume_anomaly(s.orders()),
+            _stale(s),
+        ]
+    ),
+    "dq_daily_gate": lambda s: quality.dq_daily_gate(s.orders(), s.users()),
+    "dq_row_minimum": lambda s: quality.dq_row_minimum(churn.churn_training_set(s.orders()), 200),
+    "dq_not_null": lambda s: quality.dq_not_null(_features(s), ["user_id", *churn.FEATURES]),
+    "dq_unique": lambda s: quality.dq_unique(s.lines(), "transaction_id"),
+    "dq_accepted_values": lambda s: quality.dq_accepted_values(
+        s.users(), "persona", ["AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY"]
+    ),
+    "dq_no_negative_revenue": lambda s: quality.dq_no_negative_revenue(
+        s.orders().select("transaction_id", "user_id", (F.col("total_amount") - 2000).alias("total_amount"))
+    ),
+    "valid_transactions": lambda s: quality.valid_transactions(_charged_lines(s)),
+    "quarantined_transactions": lambda s: quality.quarantined_transactions(_charged_lines(s)),
+}
+
+GROUPS = (STAGING, KPI, CUSTOMERS, CHURN, PRODUCTS, RECOMMENDATIONS, EXPERIMENTS, TABLES, QUALITY)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     bound = {}
-    for group in (STAGING, KPI, CUSTOMERS):
+    for group in GROUPS:
         for name, build in group.items():
             bound[name] = lambda spark, folder, build=build: portable(build(Shop(spark, folder)))
     return bound
