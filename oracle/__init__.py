@@ -1,5 +1,5 @@
 """DuckDB statements the queries are checked against."""
 
-from oracle import churn, customers, kpi, products
+from oracle import churn, customers, kpi, products, streams
 
-STATEMENTS: dict[str, str] = {**kpi.SQL, **customers.SQL, **products.SQL, **churn.SQL}
+STATEMENTS: dict[str, str] = {**kpi.SQL, **customers.SQL, **products.SQL, **churn.SQL, **streams.SQL}

@@ -84,11 +84,11 @@ def rule_factors() -> Column:
     reasons = F.array(
         F.when(
             F.col("recency_days") > 90,
-            F.concat(F.lit("High recency — "), F.col("recency_days"), F.lit(" days since last purchase")),
+            F.concat(F.lit("High recency — "), F.col("recency_days").cast("bigint"), F.lit(" days since last purchase")),
         ),
         F.when(
             F.col("frequency") < 3,
-            F.concat(F.lit("Low frequency — only "), F.col("frequency"), F.lit(" orders")),
+            F.concat(F.lit("Low frequency — only "), F.col("frequency").cast("bigint"), F.lit(" orders")),
         ),
         F.when(F.col("monetary") < 100, F.concat(F.lit("Low total spend — $"), spend)),
     )

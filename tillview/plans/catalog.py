@@ -3,14 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillview.functions.dates import TS, Anchor
-from tillview.operators import churn, cohorts, customers, experiments, kpi, products, quality, recs, staging, tables, trends
-from tillview.sources.shop import Shop
+from tillview.functions.numeric import money
+from tillview.operators import (
+    churn,
+    cohorts,
+    customers,
+    experiments,
+    kpi,
+    ml,
+    products,
+    quality,
+    recs,
+    staging,
+    tables,
+    trends,
+)
+from tillview.plans import jobs
+from tillview.sources.readers import parquet_stream
+from tillview.sources.schemas import MODEL_REGISTRY
+from tillview.sources.scratch import scratch_path
+from tillview.sources.shop import SESSION_SECONDS, Shop
+from tillview.sources.versions import VersionedTable
+from tillview.streaming import events, sinks
+from tillview.streaming import transactions as purchase_stream
 
 # The day in the event stream that has both first-time and returning buyers.
 FIRST_WEEK_DAY = "2024-01-03 12:00:00"
@@ -284,7 +306,133 @@ QUALITY = {
     "quarantined_transactions": lambda s: quality.quarantined_transactions(_charged_lines(s)),
 }
 
-GROUPS = (STAGING, KPI, CUSTOMERS, CHURN, PRODUCTS, RECOMMENDATIONS, EXPERIMENTS, TABLES, QUALITY)
+def _exported(shop: Shop) -> DataFrame:
+    """The month-partitioned export, written and read back."""
+    path = scratch_path(shop.spark, "export")
+    jobs.run_export(shop.lines(), {}, path)
+    return shop.spark.read.parquet(f"{path}/transactions")
+
+
+def _cohort_table(shop: Shop) -> DataFrame:
+    """The cohort job end to end: export, computation from the files, table."""
+    path = scratch_path(shop.spark, "cohorts")
+    jobs.run_export(shop.lines(), {}, path)
+    table = VersionedTable(shop.spark, f"{path}/cohort_retention")
+    jobs.run_cohort_job(f"{path}/transactions", table)
+    return table.read()
+
+
+def _refreshed(shop: Shop) -> DataFrame:
+    report = jobs.refresh_views(shop.users(), shop.lines(), scratch_path(shop.spark, "views"))
+    return shop.spark.createDataFrame(list(report.rows.items()), "view string, rows bigint")
+
+
+JOBS = {
+    "refresh_views": _refreshed,
+    "export_then_read": lambda s: _exported(s).groupBy("txn_month").agg(
+        F.count("*").alias("rows"), F.sum("total_amount").alias("revenue")
+    ),
+    "cohort_job": _cohort_table,
+}
+
+
+def _messages(shop: Shop, *columns) -> DataFrame:
+    """The event table as a stream of JSON messages, as a broker would deliver them."""
+    stream = parquet_stream(shop.spark, shop.folder, "events.parquet", shop.table("events").schema)
+    session = F.concat_ws("-", F.col("user_id"), F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / SESSION_SECONDS))
+    quantity = (F.pmod(F.col("event_id"), F.lit(4)) + 1).cast("int")
+    fields = [
+        F.col("event_id").cast("string").alias("event_id"),
+        "event_type",
+        "user_id",
+        session.alias("session_id"),
+        F.from_json("props", "k BIGINT")["k"].alias("product_id"),
+        quantity.alias("quantity"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
+    ]
+    return stream.select(F.to_json(F.struct(*fields, *columns)).alias("value"))
+
+
+def _keyed_result(shop: Shop, stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """Run a stream over everything there is and return the newest row per key."""
+    path = scratch_path(shop.spark, label)
+    sinks.start_keyed(stream, f"{path}/updates", f"{path}/checkpoint", available_now=True).awaitTermination()
+    return sinks.read_keyed(shop.spark, f"{path}/updates", keys)
+
+
+def _stream_event_counts(shop: Shop) -> DataFrame:
+    counts = events.event_counts(events.parse_events(_messages(shop)))
+    return _keyed_result(shop, counts, "event-counts", ["window_start", "event_type"])
+
+
+def _purchase_messages(shop: Shop) -> DataFrame:
+    price = F.try_divide(money("value"), F.pmod(F.col("event_id"), F.lit(4)) + 1).cast("decimal(12,2)")
+    return _messages(shop, price.alias("unit_price"), money("value").alias("total_amount"))
+
+
+def _stream_ingest(shop: Shop) -> DataFrame:
+    path = scratch_path(shop.spark, "ingest")
+    rows = purchase_stream.ingest_transactions(_purchase_messages(shop))
+    sinks.start_append(
+        rows, f"{path}/table", f"{path}/checkpoint", ["txn_month"], available_now=True
+    ).awaitTermination()
+    return shop.spark.read.parquet(f"{path}/table").withColumn("txn_month", F.col("txn_month").cast("string"))
+
+
+def _stream_user_totals(shop: Shop) -> DataFrame:
+    rows = purchase_stream.ingest_transactions(_purchase_messages(shop))
+    return _keyed_result(shop, purchase_stream.running_user_totals(rows), "user-totals", ["user_id"])
+
+
+STREAMS = {
+    "stream_event_counts": _stream_event_counts,
+    "stream_ingest_transactions": _stream_ingest,
+    "stream_user_totals": _stream_user_totals,
+    "stream_session_rollup": lambda s: events.session_rollup(s.events()),
+    "event_funnel": lambda s: events.event_funnel(s.events(), ["view", "click", "purchase"]),
+}
+
+# Boosting rounds and AUC gate for the shared tables: labels there are random, so
+# no model passes the usual gate.
+SHARED_ROUNDS, SHARED_MIN_AUC = 5, 0.0
+
+
+@lru_cache(maxsize=4)
+def _trained(spark: SparkSession, folder: str) -> ml.ChurnModel:
+    return ml.churn_train(_training(Shop(spark, folder)), SHARED_ROUNDS, SHARED_MIN_AUC)
+
+
+def _model(shop: Shop) -> ml.ChurnModel:
+    return _trained(shop.spark, shop.folder)
+
+
+def _training(shop: Shop) -> DataFrame:
+    return churn.churn_training_set(shop.orders())
+
+
+def _training_report(shop: Shop) -> DataFrame:
+    model = _model(shop)
+    rows = [(name, auc, name == model.name) for name, auc in model.report.items()]
+    return shop.spark.createDataFrame(rows, "candidate string, cv_auc double, chosen boolean")
+
+
+def _promoted(shop: Shop) -> DataFrame:
+    registry = shop.spark.createDataFrame([], MODEL_REGISTRY)
+    model = _model(shop)
+    return ml.model_registry_promote(registry, "churn_model", "v1", "2024-01-31 02:00:00", model.report)
+
+
+MODEL = {
+    "churn_train": _training_report,
+    "churn_score_batch": lambda s: ml.churn_score_batch(churn.churn_feature_prep(_metrics(s)), _model(s)),
+    "churn_model_factors": lambda s: ml.churn_model_factors(churn.churn_feature_prep(_metrics(s)), _model(s)),
+    "churn_model_report": lambda s: ml.churn_model_report(_training(s), _model(s)),
+    "churn_holdout_eval": lambda s: ml.churn_holdout_eval(_training(s), SHARED_ROUNDS, SHARED_MIN_AUC),
+    "rfm_silhouette": lambda s: ml.rfm_silhouette(_metrics(s)),
+    "model_registry_promote": _promoted,
+}
+
+GROUPS = (STAGING, KPI, CUSTOMERS, CHURN, PRODUCTS, RECOMMENDATIONS, EXPERIMENTS, TABLES, QUALITY, JOBS, STREAMS, MODEL)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
