@@ -62,7 +62,7 @@ def session_rollup(events: DataFrame) -> DataFrame:
 def event_funnel(events: DataFrame, stages: list[str], key: str = "session_id") -> DataFrame:
     """How many keys got to each stage, having passed all stages before it."""
     passed = [F.bool_or(F.col("event_type") == stage) for stage in stages]
-    flags = events.filter(F.col("event_type").isin(stages)).groupBy(key).agg(
+    flags = events.filter(F.col("event_type").isin(stages) & F.col(key).isNotNull()).groupBy(key).agg(
         *[p.alias(f"stage_{i}") for i, p in enumerate(passed)]
     )
     reached, so_far = [], F.lit(True)
