@@ -54,12 +54,12 @@ CTES = {
         FROM lines l GROUP BY 1""",
     "daily90": """
         SELECT metric_date AS date, total_revenue AS revenue, avg_order_value FROM daily
-        WHERE metric_date >= (SELECT MAX(metric_date) FROM daily) - 90""",
+        WHERE metric_date >= (SELECT CAST(MAX(transaction_date) AS DATE) FROM orders_fact) - 90""",
     "weekly": """
         SELECT CAST(date_trunc('week', metric_date) AS DATE) AS week_start,
                SUM(total_revenue) AS revenue, SUM(total_transactions) AS transactions,
                AVG(avg_order_value) AS aov, SUM(daily_active_users) AS active_users
-        FROM daily WHERE metric_date >= (SELECT MAX(metric_date) FROM daily) - 84
+        FROM daily WHERE metric_date >= (SELECT CAST(MAX(transaction_date) AS DATE) FROM orders_fact) - 84
         GROUP BY 1 ORDER BY 1 DESC LIMIT 12""",
     "staged": """
         SELECT transaction_id, user_id, CAST(transaction_date AS DATE) AS transaction_date, total_amount,
@@ -83,10 +83,10 @@ CTES = {
                NTILE(5) OVER (ORDER BY monetary, user_id) AS m_score
         FROM rfm_base""",
     "buyers": """
-        SELECT user_id, (SELECT MAX(transaction_date) FROM staged) - MAX(transaction_date) AS recency_days,
+        SELECT user_id, (SELECT CAST(MAX(transaction_date) AS DATE) FROM orders_fact) - MAX(transaction_date) AS recency_days,
                COUNT(DISTINCT transaction_id) AS frequency, SUM(total_amount) AS monetary,
                CAST(SUM(total_amount) AS DOUBLE) / COUNT(*) AS avg_order_value,
-               (SELECT MAX(transaction_date) FROM staged) - MIN(transaction_date) AS tenure_days,
+               (SELECT CAST(MAX(transaction_date) AS DATE) FROM orders_fact) - MIN(transaction_date) AS tenure_days,
                MIN(transaction_date) AS first_purchase_date, MAX(transaction_date) AS last_purchase_date
         FROM staged GROUP BY user_id""",
     "buyers_scored": """
@@ -96,7 +96,7 @@ CTES = {
         FROM buyers""",
     "metrics": """
         SELECT u.user_id, u.email,
-               COALESCE((SELECT CAST(MAX(transaction_date) AS DATE) FROM lines)
+               COALESCE((SELECT CAST(MAX(transaction_date) AS DATE) FROM orders_fact)
                         - CAST(MAX(t.transaction_date) AS DATE), 9999) AS recency_days,
                COUNT(DISTINCT t.transaction_id) AS frequency, COALESCE(SUM(t.total_amount), 0) AS monetary,
                COALESCE(CAST(SUM(t.total_amount) AS DOUBLE) / NULLIF(COUNT(t.total_amount), 0), 0) AS avg_order_value,

@@ -26,7 +26,7 @@ LINE_SNAPSHOT = f"""
     SELECT CAST(transaction_date AS DATE) AS report_date, COUNT(DISTINCT user_id) AS total_users,
            COUNT(DISTINCT transaction_id) AS total_transactions, SUM(total_amount) AS total_revenue,
            {avg('total_amount')} AS aov
-    FROM lines WHERE transaction_date >= {today('lines')} - 60 GROUP BY 1"""
+    FROM lines WHERE transaction_date >= {today('orders_fact')} - 60 GROUP BY 1"""
 
 SNAPSHOT_ROW = (
     f"SELECT {day('report_date')} AS report_date, total_users, total_transactions, "
@@ -158,7 +158,7 @@ SQL = {
     "apply_snapshot_to_log": query(
         "snapshot",
         f"""SELECT {day('report_date')} AS report_date,
-                   CASE WHEN report_date = (SELECT MAX(report_date) FROM snapshot) - 1 THEN total_users ELSE 0 END
+                   CASE WHEN report_date = (SELECT CAST(MAX(transaction_date) AS DATE) FROM orders_fact) - 1 THEN total_users ELSE 0 END
                        AS total_users,
                    total_transactions, {dbl('total_revenue')} AS total_revenue, {rnd('aov', 2)} AS avg_order_value
             FROM snapshot""",

@@ -48,7 +48,7 @@ PAYMENT = f"""
     SELECT payment_method, COUNT(*) AS transaction_count, {dbl('SUM(total_amount)')} AS revenue,
            {rnd('100.0 * COUNT(*) / SUM(COUNT(*)) OVER ()', 2)} AS pct_of_transactions,
            {rnd('100.0 * CAST(SUM(total_amount) AS DOUBLE) / SUM(SUM(total_amount)) OVER ()', 2)} AS pct_of_revenue
-    FROM lines WHERE transaction_date >= {now('lines')} - INTERVAL 24 HOUR
+    FROM lines WHERE transaction_date >= {now('orders_fact')} - INTERVAL 24 HOUR
     GROUP BY payment_method"""
 
 WEEKDAY = """
@@ -81,7 +81,7 @@ SQL = {
         "lines users products",
         f"""SELECT transaction_id, email, product_name, {dbl('total_amount')} AS total_amount
             FROM lines JOIN users USING (user_id) JOIN products USING (product_id)
-            WHERE transaction_date >= {now('lines')} - INTERVAL 7 DAY
+            WHERE transaction_date >= {now('orders_fact')} - INTERVAL 7 DAY
             ORDER BY transaction_date DESC, transaction_id, product_id, lines.total_amount LIMIT 1000""",
     ),
     "export_transactions": query(
@@ -131,7 +131,7 @@ SQL = {
         f"""SELECT {day('metric_date')} AS date, {dbl('total_revenue')} AS revenue,
                    total_transactions AS transactions, daily_active_users AS active_users, avg_order_value,
                    {big('total_items_sold')} AS items_sold
-            FROM daily WHERE metric_date >= (SELECT MAX(metric_date) FROM daily) - 30""",
+            FROM daily WHERE metric_date >= (SELECT CAST(MAX(transaction_date) AS DATE) FROM orders_fact) - 30""",
     ),
     "mart_daily_snapshot": query(
         "snapshot",
@@ -169,7 +169,7 @@ SQL = {
         "daily90",
         f"""SELECT {day('date')} AS date, {dbl('revenue')} AS revenue, avg_order_value,
                    CAST(SUM(revenue) OVER w AS DOUBLE) / COUNT(revenue) OVER w AS ma7
-            FROM daily90 WHERE date >= (SELECT MAX(date) FROM daily90) - 30
+            FROM daily90 WHERE date >= (SELECT CAST(MAX(transaction_date) AS DATE) FROM orders_fact) - 30
             WINDOW w AS (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
     ),
     "weekly_growth": query(

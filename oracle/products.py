@@ -32,7 +32,7 @@ ALERTS = f"""
            CASE WHEN SUM(t.quantity) > 0 THEN {rnd('stock_quantity / CAST(SUM(t.quantity) AS DOUBLE)', 1)} END
                AS days_until_stockout
     FROM products p LEFT JOIN lines t
-      ON p.product_id = t.product_id AND t.transaction_date >= {now('lines')} - INTERVAL 24 HOUR
+      ON p.product_id = t.product_id AND t.transaction_date >= {now('orders_fact')} - INTERVAL 24 HOUR
     GROUP BY p.product_id, product_name, category, stock_quantity
     HAVING stock_quantity < 50 OR CAST(stock_quantity AS DOUBLE) / NULLIF(SUM(t.quantity), 0) < 7
     ORDER BY days_until_stockout NULLS LAST, p.product_id LIMIT 20"""
@@ -76,18 +76,18 @@ METRIC = f"""
 SQL = {
     "top_products_hour": top(
         f"{NAMED}, COUNT(*) AS purchase_count, {UNITS}, {REVENUE}, {avg('total_amount')} AS avg_sale_price",
-        f"{now('lines')} - INTERVAL 1 HOUR", 10,
+        f"{now('orders_fact')} - INTERVAL 1 HOUR", 10,
     ),
-    "top_products_today": top(f"{NAMED}, {UNITS}, {REVENUE}", today("lines"), 10),
+    "top_products_today": top(f"{NAMED}, {UNITS}, {REVENUE}", today("orders_fact"), 10),
     "rec_trending": top(
         f"{NAMED}, {dbl('current_price')} AS current_price, {UNITS}, {REVENUE}",
-        f"{now('lines')} - INTERVAL 24 HOUR", 20,
+        f"{now('orders_fact')} - INTERVAL 24 HOUR", 20,
     ),
     "top_categories_hour": category(
         f"COUNT(*) AS transactions, {REVENUE}, {UNITS}, {avg('total_amount')} AS avg_order_value",
-        f"{now('lines')} - INTERVAL 1 HOUR",
+        f"{now('orders_fact')} - INTERVAL 1 HOUR",
     ),
-    "top_categories_today": category(f"{UNITS}, {REVENUE}", today("lines")),
+    "top_categories_today": category(f"{UNITS}, {REVENUE}", today("orders_fact")),
     "inventory_alerts": query("lines products", "SELECT * FROM alerts", ("alerts", ALERTS)),
     "inventory_severity": query(
         "lines products",
@@ -102,7 +102,7 @@ SQL = {
                    stock_quantity, {big('COALESCE(SUM(t.quantity), 0)')} AS units_sold_24h,
                    {dbl('COALESCE(SUM(t.total_amount), 0)')} AS revenue_24h
             FROM products p LEFT JOIN lines t ON t.product_id = p.product_id
-             AND t.transaction_date >= {now('lines')} - INTERVAL 24 HOUR
+             AND t.transaction_date >= {now('orders_fact')} - INTERVAL 24 HOUR
             WHERE p.product_id = 1
             GROUP BY p.product_id, product_name, category, subcategory, brand, current_price, stock_quantity""",
     ),

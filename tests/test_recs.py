@@ -29,9 +29,11 @@ def random_rows(seed, hot_groups):
 
 
 @pytest.mark.parametrize("min_common", [1, 2, 5])
-@pytest.mark.parametrize("hot_groups", [0, 1, 6])
-def test_pairs_equal_brute_force(spark, monkeypatch, min_common, hot_groups):
+@pytest.mark.parametrize("hot_groups", [0, 6])
+@pytest.mark.parametrize("busy", [1, 50, 10_000])
+def test_pairs_equal_brute_force(spark, monkeypatch, min_common, hot_groups, busy):
     monkeypatch.setattr(recs, "GROUP_SLICE", 7)
+    monkeypatch.setattr(recs, "BUSY_GROUP", busy)
     rows = random_rows(min_common * 10 + hot_groups, hot_groups)
     members = spark.createDataFrame(rows, "item bigint, grp bigint")
     got = recs.overlapping_pairs(members.toDF("product_id", "user_id"), "product_id", "user_id", min_common)

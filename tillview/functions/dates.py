@@ -1,8 +1,9 @@
 """Time anchors and calendar arithmetic.
 
 ``as_of`` stands for "now" in every operator. A caller passes a datetime, a
-string or a Column; without one it is the newest timestamp of the fact, read
-through a scalar subquery so that the operator stays lazy.
+string or a Column; without one it is the newest timestamp of the fact, which is
+looked up once. As a literal it reaches the Parquet scan (and prunes monthly
+partitions), which a value computed inside the query would not.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ class Anchor:
         self.column = column
         self.type = fact.schema[column].dataType
         if as_of is None:
-            self.now = fact.agg(F.max(column)).scalar()
-        else:
+            as_of = fact.agg(F.max(column)).first()[0]
+        if not isinstance(as_of, Column):
             # through text, so that the Python process's own time zone plays no part
-            self.now = (as_of if isinstance(as_of, Column) else F.lit(str(as_of))).cast(self.type)
+            as_of = F.lit(None if as_of is None else str(as_of))
+        self.now = as_of.cast(self.type)
         self.date = F.to_date(self.now)
 
     def since(self, interval: str) -> Column:

@@ -132,14 +132,16 @@ def churn_feature_prep(metrics: DataFrame) -> DataFrame:
     )
 
 
-def churn_training_set(transactions: DataFrame, window_days: int = LABEL_WINDOW_DAYS) -> DataFrame:
+def churn_training_set(
+    transactions: DataFrame, as_of=None, window_days: int = LABEL_WINDOW_DAYS
+) -> DataFrame:
     """Features up to a snapshot and a label from the days after it.
 
     The snapshot lies ``window_days`` before the newest transaction; a user
     churned when nothing follows within the window. Features and label come
     out of one aggregate, so the fact is shuffled once.
     """
-    anchor = Anchor(transactions)
+    anchor = Anchor(transactions, as_of)
     snapshot = F.date_sub(anchor.date, window_days)
     day = F.to_date(TS)
     before = day <= snapshot

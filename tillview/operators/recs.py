@@ -1,10 +1,11 @@
 """Recommendations from purchases shared between users or between products.
 
-Pairs are never formed from whole groups. To share ``k`` buyers, two products
-must share one that is not among the ``k - 1`` busiest buyers of either, so
-those are left out when candidates are formed, and a buyer of everything
-forms no pairs. What is left out is added back when candidates are counted,
-so the counts are exact. The same holds for users and popular products.
+Counting what two products have in common starts from the buyers they share. A
+buyer of very many products would form a pair of every two of them. To share
+``k`` buyers, though, two products must share one that is not among the
+``k - 1`` busiest buyers of either. So where those are very busy they form no
+pairs; they are only looked up for the pairs the other buyers have formed, and
+the counts stay exact. The same holds for users and very popular products.
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ from pyspark.sql import functions as F
 from tillview.functions.numeric import money_ratio, ratio
 from tillview.sources.scratch import materialize
 
+# members from which on a group counts as very busy
+BUSY_GROUP = 10_000
 # rows of one group that meet the whole group in one task
 GROUP_SLICE = 2_000
+PAIRS_PER_TASK = 20_000_000
 
 
 def purchase_counts(transactions: DataFrame) -> DataFrame:
@@ -38,41 +42,36 @@ def overlapping_pairs(members: DataFrame, item: str, group: str, min_common: int
 
     ``members`` has distinct (item, group) rows. Returns item_a, item_b, common.
     """
-    degrees = members.groupBy(group).agg(F.count("*").alias("degree"))
-    ranked = members.select(F.col(item).alias("item"), F.col(group).alias("grp")).join(
-        degrees.select(F.col(group).alias("grp"), "degree"), "grp"
-    )
-    kept, left_out = ranked, None
-    if min_common > 1:
-        # Spark limits each item's rows before the shuffle, so no item's whole list meets in one task
-        busiest = Window.partitionBy("item").orderBy(F.col("degree").desc(), F.col("grp").desc())
-        left_out = (
-            ranked.withColumn("place", F.row_number().over(busiest))
-            .filter(F.col("place") <= min_common - 1)
-            .select("item", "grp")
-        )
-        kept = ranked.join(left_out, ["item", "grp"], "left_anti")
+    rows = members.select(F.col(item).alias("item"), F.col(group).alias("grp"))
+    degrees = rows.groupBy("grp").agg(F.count("*").alias("degree"))
+    ranked = rows.join(degrees, "grp")
+    size = degrees.agg(F.max("degree").alias("largest"), F.sum(F.col("degree") * F.col("degree")).alias("pairs")).first()
+    # AQE sizes the pairing stage by the bytes that go in; what matters is the pairs that come out
+    tasks = max(members.sparkSession.sparkContext.defaultParallelism, (size["pairs"] or 0) // PAIRS_PER_TASK + 1)
+    if min_common < 2 or (size["largest"] or 0) < BUSY_GROUP:
+        return _shared_groups(ranked, tasks).filter(F.col("common") >= min_common)
 
-    slices = F.ceil(F.col("degree") / GROUP_SLICE).cast("int")
-    left = kept.select("grp", F.col("item").alias("item_a"), F.pmod(F.hash("item"), slices).alias("slice"))
-    right = kept.select("grp", F.col("item").alias("item_b"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
-    candidates = (
-        left.join(right, ["grp", "slice"])
-        .filter(F.col("item_a") < F.col("item_b"))
-        .groupBy("item_a", "item_b")
-        .agg(F.count("*").alias("common"))
-    )
-    if left_out is None:
-        return candidates.filter(F.col("common") >= min_common)
+    left_out = _busiest_groups(ranked, min_common - 1)
 
+    kept = ranked.join(left_out, ["item", "grp"], "left_anti")
+    missing = left_out.groupBy("item").agg(F.count("*").alias("missing"))
+    missing_of = lambda side: missing.select(F.col("item").alias(f"item_{side}"), F.col("missing").alias(f"missing_{side}"))
+    zero = F.lit(0)
+    within_reach = F.col("common") + F.coalesce("missing_a", zero) + F.coalesce("missing_b", zero) >= min_common
     # counted once and read three times below
-    candidates = materialize(candidates, "pairs")
+    candidates = materialize(
+        _shared_groups(kept, tasks)
+        .join(missing_of("a"), "item_a", "left")
+        .join(missing_of("b"), "item_b", "left")
+        .filter(within_reach)
+        .select("item_a", "item_b", "common"),
+        "pairs",
+    )
     pairs = candidates.select("item_a", "item_b")
-    all_members = ranked.select("item", "grp")
     # a group left out for item_a counts if item_b has it at all,
     # one left out for item_b only if it was kept for item_a
     first = pairs.join(left_out.withColumnRenamed("item", "item_a"), "item_a").join(
-        all_members.withColumnRenamed("item", "item_b"), ["item_b", "grp"], "left_semi"
+        rows.withColumnRenamed("item", "item_b"), ["item_b", "grp"], "left_semi"
     )
     second = pairs.join(left_out.withColumnRenamed("item", "item_b"), "item_b").join(
         kept.select(F.col("item").alias("item_a"), "grp"), ["item_a", "grp"], "left_semi"
@@ -88,6 +87,34 @@ def overlapping_pairs(members: DataFrame, item: str, group: str, min_common: int
     )
 
 
+def _busiest_groups(ranked: DataFrame, most: int) -> DataFrame:
+    """Up to ``most`` very busy groups per item."""
+    # Spark limits each item's rows before the shuffle, so no item's whole list meets in one task
+    busiest = Window.partitionBy("item").orderBy(F.col("degree").desc(), F.col("grp").desc())
+    top = (
+        ranked.filter(F.col("degree") >= BUSY_GROUP)
+        .withColumn("place", F.row_number().over(busiest))
+        .filter(F.col("place") <= most)
+    )
+    return materialize(top.select("item", "grp"), "busiest")
+
+
+def _shared_groups(ranked: DataFrame, tasks: int) -> DataFrame:
+    """Number of groups per pair of items; a large group is spread over many tasks."""
+    slices = F.ceil(F.col("degree") / GROUP_SLICE).cast("int")
+    left = ranked.select("grp", F.col("item").alias("item_a"), F.pmod(F.hash("item"), slices).alias("slice"))
+    right = ranked.select(
+        "grp", F.col("item").alias("item_b"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice")
+    )
+    return (
+        left.repartition(tasks, "grp", "slice")
+        .join(right.repartition(tasks, "grp", "slice"), ["grp", "slice"])
+        .filter(F.col("item_a") < F.col("item_b"))
+        .groupBy("item_a", "item_b")
+        .agg(F.count("*").alias("common"))
+    )
+
+
 def _jaccard(common, size_a, size_b):
     """Jaccard similarity to 12 decimals, so that sums do not depend on their order."""
     either = size_a + size_b - common

@@ -63,11 +63,11 @@ def _daily(shop: Shop) -> DataFrame:
 
 
 def _daily90(shop: Shop) -> DataFrame:
-    return kpi.daily_kpis(_daily(shop), days=90)
+    return kpi.daily_kpis(_daily(shop), shop.last_order, days=90)
 
 
 def _metrics(shop: Shop) -> DataFrame:
-    return customers.user_metrics(shop.users(), shop.lines())
+    return customers.user_metrics(shop.users(), shop.lines(), shop.last_order)
 
 
 def _top200(shop: Shop) -> DataFrame:
@@ -79,7 +79,7 @@ def _staged(shop: Shop) -> DataFrame:
 
 
 def _rfm(shop: Shop) -> DataFrame:
-    return customers.rfm_base(shop.users(), shop.orders())
+    return customers.rfm_base(shop.users(), shop.orders(), shop.last_order)
 
 
 def _summary(shop: Shop) -> DataFrame:
@@ -90,51 +90,53 @@ STAGING = {
     "stg_transactions": lambda s: staging.stg_transactions(s.lines()),
     "stg_users": lambda s: staging.stg_users(s.registered_users()),
     "user_history": lambda s: staging.user_history(s.orders(), user_id=100, since="1996-01-01"),
-    "recent_star_rows": lambda s: staging.recent_star_rows(s.lines(), s.users(), s.products()),
+    "recent_star_rows": lambda s: staging.recent_star_rows(s.lines(), s.users(), s.products(), s.last_order),
     "export_transactions": lambda s: staging.export_transactions(s.lines()),
 }
 
 KPI = {
-    "realtime_kpi": lambda s: kpi.realtime_kpi(s.purchases()),
-    "today_vs_yesterday": lambda s: kpi.today_vs_yesterday(s.purchases()),
-    "revenue_momentum": lambda s: kpi.revenue_momentum(kpi.today_vs_yesterday(s.purchases())),
-    "hourly_trend": lambda s: kpi.hourly_trend(s.purchases()),
+    "realtime_kpi": lambda s: kpi.realtime_kpi(s.purchases(), s.last_purchase),
+    "today_vs_yesterday": lambda s: kpi.today_vs_yesterday(s.purchases(), s.last_purchase),
+    "revenue_momentum": lambda s: kpi.revenue_momentum(kpi.today_vs_yesterday(s.purchases(), s.last_purchase)),
+    "hourly_trend": lambda s: kpi.hourly_trend(s.purchases(), s.last_purchase),
     "daily_metrics": _daily,
-    "daily_kpis": lambda s: kpi.daily_kpis(_daily(s)),
+    "daily_kpis": lambda s: kpi.daily_kpis(_daily(s), s.last_order),
     "mart_daily_snapshot": lambda s: kpi.mart_daily_snapshot(_staged(s)),
-    "daily_volume_90d": lambda s: kpi.daily_volume(s.orders()),
-    "today_summary": lambda s: kpi.today_summary(s.purchases()),
-    "notify_summary": lambda s: kpi.notify_summary(s.orders(), kpi.mart_daily_snapshot(_staged(s))),
-    "weekly_revenue": lambda s: trends.weekly_revenue(_daily(s)),
-    "revenue_ma7": lambda s: trends.revenue_ma7(kpi.daily_kpis(_daily(s))),
-    "weekly_growth": lambda s: trends.weekly_growth(trends.weekly_revenue(_daily(s))),
+    "daily_volume_90d": lambda s: kpi.daily_volume(s.orders(), s.last_order),
+    "today_summary": lambda s: kpi.today_summary(s.purchases(), s.last_purchase),
+    "notify_summary": lambda s: kpi.notify_summary(
+        s.orders(), kpi.mart_daily_snapshot(_staged(s)), s.last_order
+    ),
+    "weekly_revenue": lambda s: trends.weekly_revenue(_daily(s), s.last_order),
+    "revenue_ma7": lambda s: trends.revenue_ma7(kpi.daily_kpis(_daily(s), s.last_order)),
+    "weekly_growth": lambda s: trends.weekly_growth(trends.weekly_revenue(_daily(s), s.last_order)),
     "dow_heatmap": lambda s: trends.dow_heatmap(_daily90(s)),
     "best_weekday": lambda s: kpi.best_weekday(_daily90(s)),
-    "revenue_by_country": lambda s: kpi.revenue_by_country(s.orders(), s.users()),
-    "top_markets": lambda s: kpi.top_markets(kpi.revenue_by_country(s.orders(), s.users())),
-    "geo_performance": lambda s: kpi.geo_performance(s.purchases(), s.users()),
-    "revenue_by_age_group": lambda s: kpi.revenue_by_age_group(s.orders(), s.users()),
-    "payment_breakdown": lambda s: kpi.payment_breakdown(s.lines()),
+    "revenue_by_country": lambda s: kpi.revenue_by_country(s.orders(), s.users(), s.last_order),
+    "top_markets": lambda s: kpi.top_markets(kpi.revenue_by_country(s.orders(), s.users(), s.last_order)),
+    "geo_performance": lambda s: kpi.geo_performance(s.purchases(), s.users(), s.last_purchase),
+    "revenue_by_age_group": lambda s: kpi.revenue_by_age_group(s.orders(), s.users(), s.last_order),
+    "payment_breakdown": lambda s: kpi.payment_breakdown(s.lines(), s.last_order),
     "new_vs_returning": lambda s: kpi.new_vs_returning(s.purchases(), as_of=FIRST_WEEK_DAY),
     "breakdown_leaders": lambda s: kpi.breakdown_leaders(
-        kpi.revenue_by_age_group(s.orders(), s.users()), kpi.payment_breakdown(s.lines()), _daily90(s)
+        kpi.revenue_by_age_group(s.orders(), s.users(), s.last_order), kpi.payment_breakdown(s.lines(), s.last_order), _daily90(s)
     ),
-    "persona_profile": lambda s: kpi.persona_profile(s.orders(), s.users()),
+    "persona_profile": lambda s: kpi.persona_profile(s.orders(), s.users(), s.last_order),
 }
 
 CUSTOMERS = {
     "user_metrics": _metrics,
-    "int_rfm_scores": lambda s: customers.int_rfm_scores(_staged(s)).drop("rounded_order_value"),
-    "mart_rfm_segments": lambda s: customers.mart_rfm_segments(customers.int_rfm_scores(_staged(s))),
+    "int_rfm_scores": lambda s: customers.int_rfm_scores(_staged(s), s.last_order).drop("rounded_order_value"),
+    "mart_rfm_segments": lambda s: customers.mart_rfm_segments(customers.int_rfm_scores(_staged(s), s.last_order)),
     "rfm_segment_summary": _summary,
     "rfm_segment_summary_classic": lambda s: customers.rfm_segment_summary_classic(_rfm(s)),
     "rfm_user_details": lambda s: customers.rfm_user_details(
-        customers.rfm_base(s.registered_users(), s.orders())
+        customers.rfm_base(s.registered_users(), s.orders(), s.last_order)
     ),
     "rfm_percentile_scores": lambda s: customers.rfm_percentile_scores(_metrics(s)),
     "rfm_breakpoints": lambda s: customers.rfm_breakpoints(_metrics(s)),
     "top_customers": lambda s: customers.top_customers(_metrics(s)),
-    "ltv_leaderboard": lambda s: customers.ltv_leaderboard(s.orders(), s.registered_users()),
+    "ltv_leaderboard": lambda s: customers.ltv_leaderboard(s.orders(), s.registered_users(), s.last_order),
     "ltv_quartiles": lambda s: customers.ltv_quartiles(_top200(s)),
     "ltv_histogram": lambda s: customers.ltv_histogram(_top200(s)),
     "ltv_concentration": lambda s: customers.ltv_concentration(_top200(s)),
@@ -148,7 +150,7 @@ CUSTOMERS = {
 
 
 def _features(shop: Shop) -> DataFrame:
-    return churn.mart_churn_features(_staged(shop))
+    return churn.mart_churn_features(_staged(shop), shop.last_order)
 
 
 def _at_risk(shop: Shop, page_size: int) -> DataFrame:
@@ -166,21 +168,23 @@ CHURN = {
     "churn_heuristic": lambda s: churn.churn_heuristic(_metrics(s)),
     "churn_rule_factors": lambda s: churn.churn_rule_factors(_metrics(s)),
     "churn_feature_prep": lambda s: churn.churn_feature_prep(_metrics(s)),
-    "churn_training_set": lambda s: churn.churn_training_set(s.orders()),
+    "churn_training_set": lambda s: churn.churn_training_set(s.orders(), s.last_order),
     "at_risk_customers": lambda s: _at_risk(s, 20),
     "churn_histogram": lambda s: churn.churn_histogram(_at_risk(s, 100)),
 }
 
 PRODUCTS = {
-    "top_products_hour": lambda s: products.top_products_hour(s.lines(), s.products()),
-    "top_products_today": lambda s: products.top_products_today(s.lines(), s.products()),
-    "top_categories_hour": lambda s: products.top_categories_hour(s.lines(), s.products()),
-    "top_categories_today": lambda s: products.top_categories_today(s.lines(), s.products()),
-    "inventory_alerts": lambda s: products.inventory_alerts(s.lines(), s.products()),
+    "top_products_hour": lambda s: products.top_products_hour(s.lines(), s.products(), s.last_order),
+    "top_products_today": lambda s: products.top_products_today(s.lines(), s.products(), s.last_order),
+    "top_categories_hour": lambda s: products.top_categories_hour(s.lines(), s.products(), s.last_order),
+    "top_categories_today": lambda s: products.top_categories_today(s.lines(), s.products(), s.last_order),
+    "inventory_alerts": lambda s: products.inventory_alerts(s.lines(), s.products(), s.last_order),
     "inventory_severity": lambda s: products.inventory_severity(
-        products.inventory_alerts(s.lines(), s.products())
+        products.inventory_alerts(s.lines(), s.products(), s.last_order)
+    ),
+    "product_detail": lambda s: products.product_detail(
+        s.lines(), s.products(), product_id=1, as_of=s.last_order
     ),
-    "product_detail": lambda s: products.product_detail(s.lines(), s.products(), product_id=1),
 }
 
 RECOMMENDATIONS = {
@@ -189,7 +193,7 @@ RECOMMENDATIONS = {
     "rec_user_overlap": lambda s: recs.rec_user_overlap(s.lines(), s.products(), user_id=1),
     "rec_item_lift": lambda s: recs.rec_item_lift(s.lines(), s.products(), s.users()),
     "rec_similar_products": lambda s: recs.rec_similar_products(s.lines(), s.products(), s.users(), product_id=1),
-    "rec_trending": lambda s: products.rec_trending(s.lines(), s.products()),
+    "rec_trending": lambda s: products.rec_trending(s.lines(), s.products(), s.last_order),
 }
 
 
@@ -198,18 +202,18 @@ def _offers(shop: Shop) -> DataFrame:
 
 
 def _assignments(shop: Shop, days_back: int = 30) -> DataFrame:
-    moment = Anchor(shop.orders()).midnight(days_back)
+    moment = Anchor(shop.orders(), shop.last_order).midnight(days_back)
     return experiments.ab_assignments(_offers(shop), moment)
 
 
 def _conversion(shop: Shop) -> DataFrame:
-    return experiments.ab_conversion(_assignments(shop), shop.orders())
+    return experiments.ab_conversion(_assignments(shop), shop.orders(), shop.last_order)
 
 
 def _sticky_log(shop: Shop) -> DataFrame:
     """Riskiest users were all put into the control group a month earlier."""
     risky = _offers(shop).filter(F.col("churn_risk") > 0.7).withColumn("variant", F.lit(experiments.CONTROL))
-    log = experiments.ab_assignments(risky, Anchor(shop.orders()).midnight(60))
+    log = experiments.ab_assignments(risky, Anchor(shop.orders(), shop.last_order).midnight(60))
     return experiments.ab_log_sticky(log, _assignments(shop))
 
 
@@ -218,7 +222,7 @@ EXPERIMENTS = {
     "ab_assign": _offers,
     "ab_log_sticky": _sticky_log,
     "ab_conversion": _conversion,
-    "ab_summary": lambda s: experiments.ab_summary(_conversion(s), _assignments(s), Anchor(s.orders()).date),
+    "ab_summary": lambda s: experiments.ab_summary(_conversion(s), _assignments(s), Anchor(s.orders(), s.last_order).date),
     "ab_results": lambda s: experiments.ab_results(_assignments(s), _conversion(s)),
 }
 
@@ -226,7 +230,7 @@ EXPERIMENTS = {
 def _line_snapshot(shop: Shop) -> DataFrame:
     """Sixty days of snapshots, this time from the order lines."""
     lines = shop.lines()
-    return kpi.mart_daily_snapshot(staging.stg_transactions(lines.filter(Anchor(lines).since_day(60))))
+    return kpi.mart_daily_snapshot(staging.stg_transactions(lines.filter(Anchor(lines, shop.last_order).since_day(60))))
 
 
 def _snapshot(shop: Shop) -> DataFrame:
@@ -242,11 +246,11 @@ TABLES = {
     "insert_if_absent": lambda s: tables.insert_if_absent(_old_snapshot(s), _line_snapshot(s), ["report_date"]),
     "apply_rfm_to_users": lambda s: tables.apply_rfm_to_users(
         s.users().select("user_id", "email", F.lit(None).cast("string").alias("customer_segment")),
-        customers.mart_rfm_segments(customers.int_rfm_scores(_staged(s))),
+        customers.mart_rfm_segments(customers.int_rfm_scores(_staged(s), s.last_order)),
     ),
     "apply_churn_to_users": _scored_users,
     "apply_snapshot_to_log": lambda s: tables.apply_snapshot_to_log(
-        _snapshot(s).withColumn("total_users", F.lit(0).cast("bigint")), _snapshot(s)
+        _snapshot(s).withColumn("total_users", F.lit(0).cast("bigint")), _snapshot(s), s.last_order
     ),
     "user_totals": lambda s: tables.user_totals(s.orders()),
 }
@@ -279,21 +283,21 @@ QUALITY = {
     "dq_null_amounts": lambda s: quality.dq_null_amounts(s.orders()),
     "dq_orphans": lambda s: quality.dq_orphans(s.orders(), s.users()),
     "dq_duplicates": lambda s: quality.dq_duplicates(s.lines()),
-    "dq_revenue_anomaly": lambda s: quality.dq_revenue_anomaly(s.orders()),
-    "dq_volume_anomaly": lambda s: quality.dq_volume_anomaly(s.orders()),
+    "dq_revenue_anomaly": lambda s: quality.dq_revenue_anomaly(s.orders(), s.last_order),
+    "dq_volume_anomaly": lambda s: quality.dq_volume_anomaly(s.orders(), s.last_order),
     "dq_stale_tables": _stale,
     "dq_summary": lambda s: quality.dq_summary(
         [
             quality.row_checks(s.orders()),
             quality.dq_orphans(s.orders(), s.users()),
             quality.dq_duplicates(s.lines()),
-            quality.dq_revenue_anomaly(s.orders()),
-            quality.dq_volume_anomaly(s.orders()),
+            quality.dq_revenue_anomaly(s.orders(), s.last_order),
+            quality.dq_volume_anomaly(s.orders(), s.last_order),
             _stale(s),
         ]
     ),
-    "dq_daily_gate": lambda s: quality.dq_daily_gate(s.orders(), s.users()),
-    "dq_row_minimum": lambda s: quality.dq_row_minimum(churn.churn_training_set(s.orders()), 200),
+    "dq_daily_gate": lambda s: quality.dq_daily_gate(s.orders(), s.users(), s.last_order),
+    "dq_row_minimum": lambda s: quality.dq_row_minimum(churn.churn_training_set(s.orders(), s.last_order), 200),
     "dq_not_null": lambda s: quality.dq_not_null(_features(s), ["user_id", *churn.FEATURES]),
     "dq_unique": lambda s: quality.dq_unique(s.lines(), "transaction_id"),
     "dq_accepted_values": lambda s: quality.dq_accepted_values(
@@ -323,7 +327,9 @@ def _cohort_table(shop: Shop) -> DataFrame:
 
 
 def _refreshed(shop: Shop) -> DataFrame:
-    report = jobs.refresh_views(shop.users(), shop.lines(), scratch_path(shop.spark, "views"))
+    report = jobs.refresh_views(
+        shop.users(), shop.lines(), scratch_path(shop.spark, "views"), shop.last_order
+    )
     return shop.spark.createDataFrame(list(report.rows.items()), "view string, rows bigint")
 
 
@@ -407,7 +413,7 @@ def _model(shop: Shop) -> ml.ChurnModel:
 
 
 def _training(shop: Shop) -> DataFrame:
-    return churn.churn_training_set(shop.orders())
+    return churn.churn_training_set(shop.orders(), shop.last_order)
 
 
 def _training_report(shop: Shop) -> DataFrame:

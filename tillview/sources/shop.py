@@ -12,6 +12,9 @@ fixed rule (FIXTURES.md); they carry no meaning beyond giving the query work.
 
 from __future__ import annotations
 
+from datetime import datetime
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,17 @@ class Shop:
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def last_order(self) -> datetime:
+        """The clock of the order and line facts."""
+        return self.table("orders").agg(F.max("o_orderdate")).first()[0]
+
+    @cached_property
+    def last_purchase(self) -> datetime:
+        """The clock of the purchase events."""
+        events = self.table("events").filter(F.col("event_type") == "purchase")
+        return events.agg(F.max("ts")).first()[0]
+
     def users(self) -> DataFrame:
         geography = self.table("nation").join(
             self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
