@@ -101,15 +101,15 @@ def candidates(rounds: int = 100, depth: int = 5) -> dict[str, Pipeline]:
     }
 
 
-def prepare_training(training: DataFrame) -> DataFrame:
+def prepare_training(training: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """Stored rows with class weight and fold.
 
     Positives weigh negatives / positives. The fold is drawn per user and
     class from a hash, so it is the same wherever the row is recomputed.
     """
     counts = training.agg(F.count("*").alias("n"), F.sum(LABEL).alias("positive")).first()
-    if counts["n"] < MIN_ROWS:
-        raise GateError(f"{counts['n']} training rows, need {MIN_ROWS}")
+    if counts["n"] < min_rows:
+        raise GateError(f"{counts['n']} training rows, need {min_rows}")
     weight = (counts["n"] - counts["positive"]) / max(counts["positive"], 1)
     prepared = (
         training.withColumn(WEIGHT, F.when(F.col(LABEL) == 1, F.lit(float(weight))).otherwise(1.0))
@@ -144,9 +144,11 @@ def choose(report: dict[str, float]) -> str:
     return best
 
 
-def churn_train(training: DataFrame, rounds: int = 100, min_auc: float = MIN_AUC) -> ChurnModel:
+def churn_train(
+    training: DataFrame, rounds: int = 100, min_auc: float = MIN_AUC, min_rows: int = MIN_ROWS
+) -> ChurnModel:
     """Cross-validate the candidates, pick one and fit it on all rows."""
-    prepared = prepare_training(training)
+    prepared = prepare_training(training, min_rows)
     models = candidates(rounds)
     report = evaluate_candidates(prepared, models)
     name = choose(report)
@@ -262,9 +264,11 @@ def churn_model_report(training: DataFrame, model: ChurnModel) -> DataFrame:
     )
 
 
-def churn_holdout_eval(training: DataFrame, rounds: int = 100, min_auc: float = MIN_AUC) -> DataFrame:
+def churn_holdout_eval(
+    training: DataFrame, rounds: int = 100, min_auc: float = MIN_AUC, min_rows: int = MIN_ROWS
+) -> DataFrame:
     """AUC of the boosted trees on a fifth of the users that training never saw."""
-    prepared = prepare_training(training)
+    prepared = prepare_training(training, min_rows)
     fitted = candidates(rounds)[PREFERRED].fit(prepared.filter(F.col(FOLD) != 0))
     held_out = fitted.transform(prepared.filter(F.col(FOLD) == 0))
     auc = BinaryClassificationEvaluator(labelCol=LABEL).evaluate(held_out)

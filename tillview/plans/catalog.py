@@ -398,14 +398,14 @@ STREAMS = {
     "event_funnel": lambda s: events.event_funnel(s.events(), ["view", "click", "purchase"]),
 }
 
-# Boosting rounds and AUC gate for the shared tables: labels there are random, so
-# no model passes the usual gate.
-SHARED_ROUNDS, SHARED_MIN_AUC = 5, 0.0
+# Boosting rounds and gates for the shared tables: labels there are random and the
+# smallest has 150 users, so no model passes the usual gates.
+SHARED_GATES = {"rounds": 5, "min_auc": 0.0, "min_rows": 100}
 
 
 @lru_cache(maxsize=4)
 def _trained(spark: SparkSession, folder: str) -> ml.ChurnModel:
-    return ml.churn_train(_training(Shop(spark, folder)), SHARED_ROUNDS, SHARED_MIN_AUC)
+    return ml.churn_train(_training(Shop(spark, folder)), **SHARED_GATES)
 
 
 def _model(shop: Shop) -> ml.ChurnModel:
@@ -433,7 +433,7 @@ MODEL = {
     "churn_score_batch": lambda s: ml.churn_score_batch(churn.churn_feature_prep(_metrics(s)), _model(s)),
     "churn_model_factors": lambda s: ml.churn_model_factors(churn.churn_feature_prep(_metrics(s)), _model(s)),
     "churn_model_report": lambda s: ml.churn_model_report(_training(s), _model(s)),
-    "churn_holdout_eval": lambda s: ml.churn_holdout_eval(_training(s), SHARED_ROUNDS, SHARED_MIN_AUC),
+    "churn_holdout_eval": lambda s: ml.churn_holdout_eval(_training(s), **SHARED_GATES),
     "rfm_silhouette": lambda s: ml.rfm_silhouette(_metrics(s)),
     "model_registry_promote": _promoted,
 }

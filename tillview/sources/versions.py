@@ -35,7 +35,7 @@ class VersionedTable:
         return self.spark.read.parquet(versions[-1])
 
     def replace(self, df: DataFrame, min_rows: int = 1) -> int:
-        """Write a new version and switch to it; rows are counted by the write itself."""
+        """Write a new version and switch to it; rows are counted from the files' footers."""
         folder = f"{self.path}/v={time.time_ns():020d}"
         rows = write_counted(df, folder, mode="errorifexists")
         if rows < min_rows:
