@@ -57,8 +57,7 @@ def ab_conversion(
     """Assigned and converted users per variant.
 
     Converted means a purchase from the assignment to 7 days after it, both
-    ends included. The semi join asks only whether there is one, and the fact
-    is first cut to the time span of the assignments.
+    ends included. The fact is first cut to the time span of the assignments.
     """
     kind = transactions.schema[TS].dataType
     assigned = assignments.filter(F.col("experiment_key") == experiment_key).select(
@@ -70,12 +69,12 @@ def ab_conversion(
     sales = transactions.filter((F.col(TS) >= first) & (F.col(TS) <= last)).select(
         F.col("user_id").alias("buyer"), F.col(TS).alias("bought_at")
     )
-    converted = assigned.join(
-        sales,
-        (F.col("user_id") == F.col("buyer"))
-        & (F.col("bought_at") >= F.col("assigned_at"))
-        & (F.col("bought_at") <= F.col("assigned_at") + week),
-        "left_semi",
+    # the few assignments can be broadcast to the sales; if they are shuffled instead,
+    # AQE can split a busy buyer's side of an inner join
+    converted = (
+        sales.join(assigned, F.col("buyer") == F.col("user_id"))
+        .filter((F.col("bought_at") >= F.col("assigned_at")) & (F.col("bought_at") <= F.col("assigned_at") + week))
+        .select("variant", "user_id")
     )
     counts = lambda df, name: df.groupBy("variant").agg(F.countDistinct("user_id").alias(name))
     return (
