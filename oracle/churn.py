@@ -7,8 +7,9 @@ from oracle.kpi import now, today
 PREP = f"""
     SELECT user_id, {dbl('recency_days')} AS recency_days, {dbl('frequency')} AS frequency,
            {dbl('monetary')} AS monetary, avg_order_value,
-           COALESCE({dbl('GREATEST(CAST(last_purchase_date AS DATE) - CAST(first_purchase_date AS DATE), 1)')},
-                    GREATEST(frequency * 30, recency_days, 1)) AS tenure_days
+           {dbl("""CASE WHEN last_purchase_date IS NOT NULL
+                    THEN GREATEST(CAST(last_purchase_date AS DATE) - CAST(first_purchase_date AS DATE), 1)
+                    ELSE GREATEST(frequency * 30, recency_days, 1) END""")} AS tenure_days
     FROM metrics"""
 
 AT_RISK = """
@@ -147,7 +148,8 @@ SQL = {
     ),
     "apply_rfm_to_users": query(
         "users buyers_scored",
-        f"""SELECT u.user_id, u.email, {MART_SEGMENT} AS customer_segment
+        f"""SELECT u.user_id, u.email,
+                   CASE WHEN s.user_id IS NOT NULL THEN {MART_SEGMENT} END AS customer_segment
             FROM users u LEFT JOIN buyers_scored s ON s.user_id = u.user_id""",
     ),
     "apply_churn_to_users": query(
