@@ -1,6 +1,6 @@
 """Statements for RFM, lifetime value and cohorts."""
 
-from oracle.base import ACTION, CLASSIC_SEGMENT, MART_SEGMENT, big, dbl, day, query, rnd, sec
+from oracle.base import ACTION, CLASSIC_SEGMENT, MART_SEGMENT, NEXT_ACTION, big, dbl, day, query, rnd, sec
 
 
 def summary(segment: str) -> tuple[str, str]:
@@ -68,11 +68,7 @@ SQL = {
         f"""SELECT s.user_id, s.email, s.recency_days, s.frequency, {dbl('s.monetary')} AS monetary, r_score, f_score,
                    m_score, CONCAT(r_score, f_score, m_score) AS rfm_score, {CLASSIC_SEGMENT} AS customer_segment,
                    {day('u.registration_date')} AS registration_date, u.country, u.age_group,
-                   CASE {CLASSIC_SEGMENT} WHEN 'Champions' THEN 'Send exclusive VIP offer'
-                        WHEN 'At Risk' THEN 'Send 20% win-back coupon'
-                        WHEN 'New Customers' THEN 'Send welcome series email'
-                        WHEN 'Lost' THEN 'Final win-back attempt or suppress'
-                        ELSE 'Standard marketing' END AS next_action
+                   {NEXT_ACTION} AS next_action
             FROM rfm_scored s JOIN registered u ON u.user_id = s.user_id
             ORDER BY s.monetary DESC, s.user_id LIMIT 100""",
     ),

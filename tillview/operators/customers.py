@@ -49,8 +49,20 @@ MART_RULES = [
     ("Hibernating", 1, 2, 1, 2, 1),
     ("Lost", 1, 1, 1, 5, 1),
 ]
-# The older report asks for About to Sleep before At Risk.
-CLASSIC_RULES = MART_RULES[:6] + [MART_RULES[8], MART_RULES[6], MART_RULES[7]] + MART_RULES[9:]
+# The older report's order, which asks for About to Sleep before At Risk.
+CLASSIC_RULES = [
+    ("Champions", 4, 5, 4, 5, 4),
+    ("Loyal Customers", 3, 5, 4, 5, 1),
+    ("Potential Loyalists", 4, 5, 3, 5, 1),
+    ("New Customers", 4, 5, 1, 2, 1),
+    ("Promising", 3, 5, 1, 5, 4),
+    ("Need Attention", 3, 5, 3, 5, 1),
+    ("About to Sleep", 1, 2, 3, 5, 1),
+    ("At Risk", 1, 2, 4, 5, 4),
+    ("Cannot Lose Them", 1, 1, 4, 5, 4),
+    ("Hibernating", 1, 2, 1, 2, 1),
+    ("Lost", 1, 1, 1, 5, 1),
+]
 FALLBACK_SEGMENT = "Other"
 
 
