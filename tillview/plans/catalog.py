@@ -29,7 +29,7 @@ from tillview.plans import jobs
 from tillview.sources.readers import parquet_stream
 from tillview.sources.schemas import MODEL_REGISTRY
 from tillview.sources.scratch import scratch_path
-from tillview.sources.shop import SESSION_SECONDS, Shop
+from tillview.sources.shop import Shop, session_id
 from tillview.sources.versions import VersionedTable
 from tillview.streaming import events, sinks
 from tillview.streaming import transactions as purchase_stream
@@ -345,13 +345,12 @@ JOBS = {
 def _messages(shop: Shop, *columns) -> DataFrame:
     """The event table as a stream of JSON messages, as a broker would deliver them."""
     stream = parquet_stream(shop.spark, shop.folder, "events.parquet", shop.table("events").schema)
-    session = F.concat_ws("-", F.col("user_id"), F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / SESSION_SECONDS))
     quantity = (F.pmod(F.col("event_id"), F.lit(4)) + 1).cast("int")
     fields = [
         F.col("event_id").cast("string").alias("event_id"),
         "event_type",
         "user_id",
-        session.alias("session_id"),
+        session_id().alias("session_id"),
         F.from_json("props", "k BIGINT")["k"].alias("product_id"),
         quantity.alias("quantity"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),

@@ -15,7 +15,7 @@ from __future__ import annotations
 from datetime import datetime
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillview.functions.numeric import MONEY, money
@@ -27,6 +27,13 @@ STOCK_FACTOR, STOCK_RANGE = 7919, 1000
 SESSION_SECONDS = 1800
 
 
+def session_id() -> Column:
+    """User and half hour of an event, whatever the session's time zone."""
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    slot = F.floor(F.timestamp_diff("SECOND", epoch, F.col("ts")) / F.lit(SESSION_SECONDS))
+    return F.concat_ws("-", F.col("user_id"), slot)
+
+
 class Shop:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -113,13 +120,12 @@ class Shop:
 
     def events(self) -> DataFrame:
         """All events; the session is the user's half hour, the product the JSON key ``k``."""
-        slot = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / F.lit(SESSION_SECONDS))
         return self.table("events").select(
             "event_id",
             "event_type",
             "user_id",
             F.col("ts").alias("timestamp"),
-            F.concat_ws("-", F.col("user_id"), slot).alias("session_id"),
+            session_id().alias("session_id"),
             F.from_json("props", "k BIGINT")["k"].alias("product_id"),
             money("value").alias("amount"),
             (F.pmod(F.col("event_id"), F.lit(4)) + 1).alias("quantity"),
