@@ -4,9 +4,11 @@ import compare
 import pytest
 
 import __spark_entry__ as entry_points
+from oracle import STATEMENTS as ORACLE
+from tillview.plans.catalog import all_queries
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, STATEMENTS = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, STATEMENTS = all_queries(), ORACLE
 # model quality and samples have no SQL counterpart; tests/test_ml.py covers them
 WITHOUT_SQL = {
     "churn_train",
@@ -27,6 +29,8 @@ def con():
 def test_every_query_has_a_statement():
     assert set(QUERIES) - set(STATEMENTS) == WITHOUT_SQL
     assert set(STATEMENTS) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(STATEMENTS) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(STATEMENTS))
