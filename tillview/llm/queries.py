@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillview.llm import tokens
+from tillview.llm import language, secrets, tokens
 from tillview.llm.common import table
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document's whole text."""
+    return language.predict(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document's whole text."""
+    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document's whole text, and what they decode to, as digests."""
     import public_tokenizers
@@ -18,6 +28,8 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language": op3_language,
+    "op4_secrets": op4_secrets,
     "op6_bpe": op6_bpe,
 }
 STATEMENTS: dict[str, str] = {}
