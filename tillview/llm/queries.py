@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillview.llm import language, secrets, tokens
+from tillview.llm import language, licenses, secrets, tokens, urls
 from tillview.llm.common import table
 
 
@@ -27,9 +27,24 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_digests(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, urls.learn(pages)).drop("url")
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that every document's whole text names."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_secrets": op4_secrets,
     "op6_bpe": op6_bpe,
+    "op9_urls": op9_urls,
+    "op10_licenses": op10_licenses,
+}
+STATEMENTS: dict[str, str] = {
+    "op10_licenses": licenses.statement(),
 }
-STATEMENTS: dict[str, str] = {}

@@ -47,7 +47,9 @@ UPPER36 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 BASE64_URL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
-ENCODINGS = [HEX_LOWER, HEX_UPPER, BASE32, LOWER36, UPPER36, BASE62, BASE64, BASE64_URL]
+SLUG_LOWER = LOWER36 + "-_"
+SLUG_UPPER = UPPER36 + "-_"
+ENCODINGS = [HEX_LOWER, HEX_UPPER, BASE32, LOWER36, UPPER36, SLUG_LOWER, SLUG_UPPER, BASE62, BASE64, BASE64_URL]
 WORD_AGREEMENT = 0.065
 TEST_LEVEL = 0.001
 FALSE_DISCOVERIES = 0.01
