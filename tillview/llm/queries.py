@@ -5,11 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillview.llm import language, licenses, secrets, tokens, urls
+from tillview.llm import language, licenses, secrets, statements, tokens, urls, warc
 from tillview.llm.common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back."""
+    records = warc.round_trip(table(spark, sf_dir, "pages"), warc.shared_folder(spark, "warc"))
+    return records.select(
+        F.col("id").alias("page_id"), "url", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to"
+    )
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document's whole text."""
     return language.predict(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
@@ -39,6 +48,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op3_language": op3_language,
     "op4_secrets": op4_secrets,
     "op6_bpe": op6_bpe,
@@ -46,5 +56,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
 }
 STATEMENTS: dict[str, str] = {
+    "op1_warc": statements.WARC,
     "op10_licenses": licenses.statement(),
 }
