@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillview.llm import language, licenses, secrets, statements, tokens, urls, warc
+from tillview.llm import language, leaks, licenses, lines, secrets, statements, tokens, urls, warc
 from tillview.llm.common import table
 
 
@@ -36,6 +36,17 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_digests(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its cross-site boilerplate lines."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return lines.drop_boilerplate(docs, counts=("n_lines", "n_removed")).drop("source")
+
+
+def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document's whole text shares with the benchmark."""
+    return leaks.report(leaks.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -52,10 +63,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_secrets": op4_secrets,
     "op6_bpe": op6_bpe,
+    "op7_lines": op7_lines,
+    "op8_leaks": op8_leaks,
     "op9_urls": op9_urls,
     "op10_licenses": op10_licenses,
 }
 STATEMENTS: dict[str, str] = {
     "op1_warc": statements.WARC,
+    "op7_lines": statements.LINES,
+    "op8_leaks": statements.LEAKS,
     "op10_licenses": licenses.statement(),
 }

@@ -16,3 +16,49 @@ SELECT page_id, url, payload_bytes, payload_digest,
   CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
 FROM r
 """
+
+LINES = """
+WITH l AS (
+  SELECT doc_id, source, unnest(list_distinct(list_filter(
+    list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: length(x) >= 20))) AS line
+  FROM documents
+), s AS (
+  SELECT line, min(doc_id) AS keeper FROM l GROUP BY line HAVING count(DISTINCT source) >= 3
+), gone AS (
+  SELECT doc_id, list(DISTINCT line) AS lines FROM l JOIN s USING (line) WHERE doc_id <> keeper GROUP BY doc_id
+), k AS (
+  SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS met, CASE WHEN gone.doc_id IS NULL THEN string_split(d.text, chr(10))
+    ELSE list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(gone.lines, trim(x, ' ' || chr(9) || chr(13)))) END AS kept
+  FROM documents d LEFT JOIN gone ON d.doc_id = gone.doc_id
+)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(kept, chr(10)) END AS text,
+  CAST(coalesce(len(met), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(met) - len(kept), 0) AS BIGINT) AS n_removed
+FROM k
+"""
+
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+LEAKS = f"""
+WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+iw AS (
+  SELECT item_id, least(len(w), 10) AS long, unnest(range(1, CAST(len(w) - least(len(w), 10) + 2 AS BIGINT))) AS pos, w
+  FROM i WHERE len(w) > 0
+), win AS (SELECT DISTINCT item_id, long, array_to_string(w[pos : pos + long - 1], ' ') AS ngram FROM iw),
+lens AS (SELECT DISTINCT long FROM win),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS pos FROM d),
+g AS (SELECT r, pos, long, array_to_string(w[pos : pos + long - 1], ' ') AS ngram FROM p, lens WHERE pos + long - 1 <= len(w)),
+h AS (SELECT r, pos, g.long, item_id FROM g JOIN win ON g.long = win.long AND g.ngram = win.ngram),
+spots AS (SELECT r, unnest(range(pos, pos + long)) AS spot FROM h),
+nh AS (SELECT r, count(DISTINCT spot) AS n_hit FROM spots GROUP BY r),
+ni AS (
+  SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM h GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN nh USING (r) LEFT JOIN ni USING (r)
+"""
