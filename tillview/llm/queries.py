@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillview.llm import language, leaks, licenses, lines, secrets, statements, tokens, urls, warc
+from tillview.llm import language, leaks, licenses, lines, secrets, statements, tokens, urls, vectors, warc
 from tillview.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document's whole text."""
     return language.predict(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
@@ -60,6 +65,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_vectors": op2_vectors,
     "op3_language": op3_language,
     "op4_secrets": op4_secrets,
     "op6_bpe": op6_bpe,
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 STATEMENTS: dict[str, str] = {
     "op1_warc": statements.WARC,
+    "op2_vectors": statements.VECTORS,
     "op7_lines": statements.LINES,
     "op8_leaks": statements.LEAKS,
     "op10_licenses": licenses.statement(),
