@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillview.llm import language, leaks, licenses, lines, secrets, statements, tokens, urls, vectors, warc
+from tillview.llm import language, leaks, licenses, lines, minhash, secrets, statements, tokens, urls, vectors, warc
 from tillview.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document's whole text, and what they decode to, as digests."""
     import public_tokenizers
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_vectors": op2_vectors,
     "op3_language": op3_language,
     "op4_secrets": op4_secrets,
+    "op5_minhash": op5_minhash,
     "op6_bpe": op6_bpe,
     "op7_lines": op7_lines,
     "op8_leaks": op8_leaks,
