@@ -94,7 +94,8 @@ def drop_boilerplate(
     known = set(docs.columns)
     mark = next(n for n in (f"gone_{i}" for i in range(len(known) + 1)) if n not in known)
     id_ = next(n for n in (f"doc_{i}" for i in range(len(known) + 1)) if n not in known)
-    gone = gone.select(F.col("doc").alias(id_), F.col("gone").alias(mark))
+    # written first, so that its size is known when the join with the texts is planned
+    gone = materialize(gone.select(F.col("doc").alias(id_), F.col("gone").alias(mark)), "gone")
     joined = docs.join(gone, named(key) == F.col(id_), "left")
     lines = F.split(named(text), "\n")
     kept = F.filter(
