@@ -82,7 +82,7 @@ RULES = [
     ("all-rights-reserved", (20,)),
 ]
 #: Part of at least one of these stands in every known sentence, so other texts need no look.
-SIGNS = ("licen", "copyright", "permission", "rights", "redistribut", "software")
+SIGNS = ("licen", "copyright", "permission", "rights", "redistribut", "software", "warrant")
 BY_LINE = r"[.!?][ \t\r]*(\n|$)|[.!?][ \t\r]+|\n"
 ACROSS_LINES = r"[.!?](\s+|$)|\n\s*\n"
 
