@@ -2,15 +2,6 @@
 
 from __future__ import annotations
 
-from tillview.operators.customers import (
-    CLASSIC_RULES,
-    DEFAULT_ACTION,
-    DEFAULT_NEXT_ACTION,
-    FALLBACK_SEGMENT,
-    MART_RULES,
-    NEXT_ACTIONS,
-    SEGMENT_ACTIONS,
-)
 
 CTES = {
     "users": """
@@ -115,7 +106,7 @@ CTES = {
                COALESCE(SUM(t.quantity), 0) AS total_items_purchased
         FROM users u LEFT JOIN lines t ON t.user_id = u.user_id
         GROUP BY u.user_id, u.email""",
-    "top200": "SELECT * FROM metrics ORDER BY monetary DESC, user_id LIMIT 200",
+    "bought": "SELECT * FROM metrics WHERE frequency > 0",
     "risk": """
         SELECT user_id, recency_days, frequency,
                LEAST(1.0, ROUND(CAST(recency_days * (20 - LEAST(20, frequency)) / 7300.0 AS DECIMAL(30,10)), 2)) AS score
@@ -155,7 +146,7 @@ NEEDS = {
     "buyers": ["staged"],
     "buyers_scored": ["buyers"],
     "metrics": ["users", "lines"],
-    "top200": ["metrics"],
+    "bought": ["metrics"],
     "risk": ["buyers"],
     "offers": ["users", "risk"],
     "assigned": ["offers", "orders_fact"],
@@ -165,25 +156,52 @@ NEEDS = {
 
 
 
-def case_of_rules(rules: list[tuple]) -> str:
-    """The segment rules as one CASE, first match wins."""
-    branches = [
-        f"WHEN r_score BETWEEN {r_low} AND {r_high} AND f_score BETWEEN {f_low} AND {f_high} "
-        f"AND m_score >= {m_low} THEN '{name}'"
-        for name, r_low, r_high, f_low, f_high, m_low in rules
-    ]
-    return "CASE " + " ".join(branches) + f" ELSE '{FALLBACK_SEGMENT}' END"
-
-
-def case_of_texts(column: str, texts: dict[str, str], default: str) -> str:
-    branches = [f"WHEN '{name}' THEN '{text}'" for name, text in texts.items()]
-    return f"CASE {column} " + " ".join(branches) + f" ELSE '{default}' END"
-
-
-MART_SEGMENT = case_of_rules(MART_RULES)
-CLASSIC_SEGMENT = case_of_rules(CLASSIC_RULES)
-ACTION = case_of_texts("customer_segment", SEGMENT_ACTIONS, DEFAULT_ACTION)
-NEXT_ACTION = case_of_texts(CLASSIC_SEGMENT, NEXT_ACTIONS, DEFAULT_NEXT_ACTION)
+# fixed values: segments by scores, first match wins, written apart from the operators
+MART_SEGMENT = """CASE
+    WHEN r_score >= 4 AND f_score >= 4 AND m_score >= 4 THEN 'Champions'
+    WHEN r_score >= 3 AND f_score >= 4 THEN 'Loyal Customers'
+    WHEN r_score >= 4 AND f_score >= 3 THEN 'Potential Loyalists'
+    WHEN r_score >= 4 AND f_score <= 2 THEN 'New Customers'
+    WHEN r_score >= 3 AND m_score >= 4 THEN 'Promising'
+    WHEN r_score >= 3 AND f_score >= 3 THEN 'Need Attention'
+    WHEN r_score <= 2 AND f_score >= 4 AND m_score >= 4 THEN 'At Risk'
+    WHEN r_score = 1 AND f_score >= 4 AND m_score >= 4 THEN 'Cannot Lose Them'
+    WHEN r_score <= 2 AND f_score >= 3 THEN 'About to Sleep'
+    WHEN r_score <= 2 AND f_score <= 2 THEN 'Hibernating'
+    WHEN r_score = 1 THEN 'Lost'
+    ELSE 'Other' END"""
+CLASSIC_SEGMENT = """CASE
+    WHEN r_score >= 4 AND f_score >= 4 AND m_score >= 4 THEN 'Champions'
+    WHEN r_score >= 3 AND f_score >= 4 THEN 'Loyal Customers'
+    WHEN r_score >= 4 AND f_score >= 3 THEN 'Potential Loyalists'
+    WHEN r_score >= 4 AND f_score <= 2 THEN 'New Customers'
+    WHEN r_score >= 3 AND m_score >= 4 THEN 'Promising'
+    WHEN r_score >= 3 AND f_score >= 3 THEN 'Need Attention'
+    WHEN r_score <= 2 AND f_score >= 3 THEN 'About to Sleep'
+    WHEN r_score <= 2 AND f_score >= 4 AND m_score >= 4 THEN 'At Risk'
+    WHEN r_score = 1 AND f_score >= 4 AND m_score >= 4 THEN 'Cannot Lose Them'
+    WHEN r_score <= 2 AND f_score <= 2 THEN 'Hibernating'
+    WHEN r_score = 1 THEN 'Lost'
+    ELSE 'Other' END"""
+ACTION = """CASE customer_segment
+    WHEN 'Champions' THEN 'Reward, Upsell premium products'
+    WHEN 'Loyal Customers' THEN 'Upsell, Ask for reviews'
+    WHEN 'Potential Loyalists' THEN 'Offer membership, Recommend products'
+    WHEN 'New Customers' THEN 'Provide onboarding support'
+    WHEN 'Promising' THEN 'Offer loyalty programs'
+    WHEN 'Need Attention' THEN 'Limited time offers'
+    WHEN 'About to Sleep' THEN 'Engagement campaigns'
+    WHEN 'At Risk' THEN 'Win-back campaigns, Special discounts'
+    WHEN 'Cannot Lose Them' THEN 'Personalized reactivation offers'
+    WHEN 'Hibernating' THEN 'Re-engagement emails'
+    WHEN 'Lost' THEN 'Aggressive win-back or ignore'
+    ELSE 'Monitor' END"""
+NEXT_ACTION = f"""CASE {CLASSIC_SEGMENT}
+    WHEN 'Champions' THEN 'Send exclusive VIP offer'
+    WHEN 'At Risk' THEN 'Send 20% win-back coupon'
+    WHEN 'New Customers' THEN 'Send welcome series email'
+    WHEN 'Lost' THEN 'Final win-back attempt or suppress'
+    ELSE 'Standard marketing' END"""
 
 
 def query(tables: str, body: str, *more: tuple[str, str]) -> str:
@@ -224,4 +242,4 @@ def day(expr: str) -> str:
 
 
 def sec(expr: str) -> str:
-    return f"strftime({expr}, '%Y-%m-%d %H:%M:%S')"
+    return f"strftime({expr}, '%Y-%m-%d %H:%M:%S.%f')"

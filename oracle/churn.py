@@ -131,7 +131,7 @@ SQL = {
         ("at_risk", AT_RISK),
     ),
     "churn_histogram": query(
-        "risk metrics", "SELECT * FROM h", ("at_risk", AT_RISK + " LIMIT 100"), ("h", histogram("at_risk", "score", 20))
+        "risk metrics", "SELECT * FROM h", ("at_risk", AT_RISK), ("h", histogram("at_risk", "score", 20))
     ),
     "upsert_by_key": query(
         "snapshot lines",

@@ -92,16 +92,19 @@ SQL = {
         (
             "q",
             " UNION ALL ".join(
-                f"SELECT '{c}' AS feature, quantile_cont(CAST({c} AS DOUBLE), [0, 0.2, 0.4, 0.6, 0.8, 1]) AS q FROM metrics"
+                f"SELECT '{c}' AS feature, quantile_cont(CAST({c} AS DOUBLE), [0, 0.2, 0.4, 0.6, 0.8, 1]) AS q FROM metrics WHERE frequency > 0"
                 for c in EDGES
             ),
         ),
     ),
     "top_customers": query(
-        "top200",
-        f"""SELECT user_id, email, {dbl('monetary')} AS lifetime_value, frequency AS total_purchases,
-                   {big('recency_days')} AS recency_days, {day('last_purchase_date')} AS last_purchase_date
-            FROM top200 ORDER BY monetary DESC, user_id LIMIT 50""",
+        "metrics buyers_scored",
+        f"""SELECT {big('ROW_NUMBER() OVER (ORDER BY m.monetary DESC, m.user_id)')} AS place, m.user_id, m.email,
+                   s.customer_segment, {dbl('m.monetary')} AS lifetime_value, m.frequency AS total_purchases,
+                   {big('m.recency_days')} AS recency_days, {day('m.last_purchase_date')} AS last_purchase_date
+            FROM metrics m LEFT JOIN s ON s.user_id = m.user_id
+            ORDER BY m.monetary DESC, m.user_id LIMIT 50""",
+        ("s", f"SELECT user_id, {MART_SEGMENT} AS customer_segment FROM buyers_scored"),
     ),
     "ltv_leaderboard": query(
         "registered orders_fact",
@@ -115,19 +118,19 @@ SQL = {
             ORDER BY SUM(t.total_amount) DESC, u.user_id LIMIT 100""",
     ),
     "ltv_quartiles": query(
-        "top200",
+        "bought",
         f"""SELECT quantile_cont({dbl('monetary')}, 0.25) AS q1, quantile_cont({dbl('monetary')}, 0.5) AS median,
-                   quantile_cont({dbl('monetary')}, 0.75) AS q3 FROM top200 WHERE monetary <> 0""",
+                   quantile_cont({dbl('monetary')}, 0.75) AS q3 FROM bought WHERE monetary <> 0""",
     ),
     "ltv_histogram": query(
-        "top200", "SELECT * FROM h", ("h", histogram("(SELECT monetary FROM top200 WHERE monetary <> 0)", "monetary", 30))
+        "bought", "SELECT * FROM h", ("h", histogram("(SELECT monetary FROM bought WHERE monetary <> 0)", "monetary", 30))
     ),
     "ltv_concentration": query(
-        "top200",
+        "bought",
         """SELECT CAST(SUM(CASE WHEN rn <= GREATEST(1, n // 5) THEN monetary END) AS DOUBLE)
                   / CAST(SUM(monetary) AS DOUBLE) * 100 AS top20_pct
            FROM (SELECT monetary, ROW_NUMBER() OVER (ORDER BY monetary DESC, user_id) AS rn, COUNT(*) OVER () AS n
-                 FROM top200)""",
+                 FROM bought)""",
     ),
     "segment_radar": query(
         "rfm_scored",
@@ -143,8 +146,9 @@ SQL = {
         summary(MART_SEGMENT),
     ),
     "rfm_scatter": query(
-        "metrics",
-        f"""SELECT user_id, {big('recency_days')} AS recency_days, frequency, {dbl('monetary')} AS monetary,
+        "metrics buyers_scored",
+        f"""SELECT user_id, customer_segment, {big('recency_days')} AS recency_days, frequency, {dbl('monetary')} AS monetary,
+                   {dbl('monetary')} AS lifetime_value,
                    CASE WHEN MAX(monetary) OVER () > MIN(monetary) OVER ()
                         THEN 6 + 34 * ({dbl('monetary')} - {dbl('MIN(monetary) OVER ()')})
                              / ({dbl('MAX(monetary) OVER ()')} - {dbl('MIN(monetary) OVER ()')})
@@ -152,7 +156,8 @@ SQL = {
             FROM (SELECT *, list_reduce(list_prepend(CAST(2166136261 AS HUGEINT),
                        list_transform(string_split(user_id || '-42', ''), lambda c: CAST(ascii(c) AS HUGEINT))),
                        lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS draw
-                  FROM metrics WHERE frequency > 0 ORDER BY draw, user_id LIMIT 500)""",
+                  FROM metrics WHERE frequency > 0 ORDER BY draw, user_id LIMIT 500) LEFT JOIN s USING (user_id)""",
+        ("s", f"SELECT user_id, {MART_SEGMENT} AS customer_segment FROM buyers_scored"),
     ),
     "cohort_retention": query(
         "orders_fact",

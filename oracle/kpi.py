@@ -203,14 +203,15 @@ SQL = {
     "payment_breakdown": query("lines", PAYMENT),
     "new_vs_returning": query(
         "purchases",
-        f"""SELECT CASE WHEN CAST(f.first_date AS DATE) = DATE '2024-01-03' THEN 'New' ELSE 'Returning' END
+        f"""SELECT strftime(CAST(t.transaction_date AS DATE), '%Y-%m-%d') AS metric_date,
+                   CASE WHEN CAST(f.first_date AS DATE) = CAST(t.transaction_date AS DATE) THEN 'New' ELSE 'Returning' END
                        AS customer_type,
                    COUNT(DISTINCT t.user_id) AS customers, COUNT(*) AS transactions,
                    {dbl('SUM(total_amount)')} AS revenue, {rnd(avg('total_amount'), 2)} AS avg_order_value
             FROM purchases t
             JOIN (SELECT user_id, MIN(transaction_date) AS first_date FROM purchases GROUP BY 1) f
               ON f.user_id = t.user_id
-            WHERE CAST(t.transaction_date AS DATE) = DATE '2024-01-03' GROUP BY 1""",
+            GROUP BY 1, 2""",
     ),
     "breakdown_leaders": query(
         "orders_fact users lines daily90",

@@ -35,7 +35,7 @@ ALERTS = f"""
       ON p.product_id = t.product_id AND t.transaction_date >= {now('orders_fact')} - INTERVAL 24 HOUR
     GROUP BY p.product_id, product_name, category, stock_quantity
     HAVING stock_quantity < 50 OR CAST(stock_quantity AS DOUBLE) / NULLIF(SUM(t.quantity), 0) < 7
-    ORDER BY days_until_stockout NULLS LAST, p.product_id LIMIT 20"""
+    ORDER BY days_until_stockout NULLS LAST, p.product_id"""
 
 PAIRS = """
     SELECT a.product_id AS product_a, b.product_id AS product_b, COUNT(*) AS common
@@ -88,7 +88,7 @@ SQL = {
         f"{now('orders_fact')} - INTERVAL 1 HOUR",
     ),
     "top_categories_today": category(f"{UNITS}, {REVENUE}", today("orders_fact")),
-    "inventory_alerts": query("lines products", "SELECT * FROM alerts", ("alerts", ALERTS)),
+    "inventory_alerts": query("lines products", "SELECT * FROM alerts", ("alerts", ALERTS + " LIMIT 20")),
     "inventory_severity": query(
         "lines products",
         """SELECT COUNT(*) FILTER (days_until_stockout < 3) AS critical,

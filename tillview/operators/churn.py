@@ -165,6 +165,15 @@ def churn_training_set(
     )
 
 
+def at_risk_scores(scores: DataFrame, metrics: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The scores of all known users above the threshold."""
+    return (
+        scores.filter(F.col("churn_risk_score") > F.lit(threshold).cast("decimal(3,2)"))
+        .select("user_id", "churn_risk_score")
+        .join(metrics.select("user_id"), "user_id", "left_semi")
+    )
+
+
 def at_risk_customers(
     scores: DataFrame, metrics: DataFrame, page: int = 1, page_size: int = 20, threshold: float = 0.7
 ) -> DataFrame:
@@ -172,11 +181,8 @@ def at_risk_customers(
 
     The page is cut on the scores alone; only its rows are looked up.
     """
-    known = metrics.select("user_id")
     ranked = (
-        scores.filter(F.col("churn_risk_score") > F.lit(threshold).cast("decimal(3,2)"))
-        .select("user_id", "churn_risk_score")
-        .join(known, "user_id", "left_semi")
+        at_risk_scores(scores, metrics, threshold)
         .orderBy(F.col("churn_risk_score").desc(), "user_id")
         .offset((page - 1) * page_size)
         .limit(page_size)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tillview.functions.dates import TS, Anchor
 from tillview.functions.hashing import fnv1a32
 from tillview.functions.numeric import mean, ratio
-from tillview.functions.ranks import exact_percentiles, with_ntiles
+from tillview.functions.ranks import Target, exact_percentiles, find_ranks, with_ntiles
+from tillview.sources.scratch import materialize
 
 NEVER_BOUGHT_DAYS = 9999
 
@@ -227,20 +228,26 @@ def rfm_percentile_scores(metrics: DataFrame) -> DataFrame:
 
 
 def rfm_breakpoints(metrics: DataFrame, bins: int = 5) -> DataFrame:
-    """Quantile bin edges of recency, frequency and spend, one row per edge."""
+    """Quantile bin edges of the buyers' recency, frequency and spend, one row per edge."""
     features = ["recency_days", "frequency", "monetary"]
-    edges = exact_percentiles(metrics, features, [i / bins for i in range(bins + 1)])
+    edges = exact_percentiles(metrics.filter(F.col("frequency") > 0), features, [i / bins for i in range(bins + 1)])
     rows = [(f, i, round(e, 4)) for f in features for i, e in enumerate(edges[f]) if e is not None]
     return metrics.sparkSession.createDataFrame(rows, "feature string, edge bigint, value double")
 
 
 def top_customers(metrics: DataFrame, limit: int = 50) -> DataFrame:
-    """Highest lifetime value with recency."""
+    """Highest lifetime value with its place and recency; the segment is shown if the users carry one."""
+    place = Window.orderBy(F.col("monetary").desc(), "user_id")
+    segment = [c for c in ("customer_segment",) if c in metrics.columns]
     return (
         metrics.orderBy(F.col("monetary").desc(), "user_id")
         .limit(limit)
+        # the window sees the rows of the list only
+        .withColumn("place", F.row_number().over(place).cast("bigint"))
         .select(
+            "place",
             "user_id",
+            *segment,
             "email",
             F.col("monetary").alias("lifetime_value"),
             F.col("frequency").alias("total_purchases"),
@@ -270,17 +277,24 @@ def ltv_leaderboard(transactions: DataFrame, users: DataFrame, as_of=None, limit
     )
 
 
-def ltv_quartiles(top: DataFrame) -> DataFrame:
-    """Quartiles of the non-zero lifetime values of a top list."""
-    values = top.filter(F.col("lifetime_value") != 0)
+def lifetime_values(metrics: DataFrame) -> DataFrame:
+    """The lifetime value of every buyer."""
+    return metrics.filter(F.col("frequency") > 0).select("user_id", F.col("monetary").alias("lifetime_value"))
+
+
+def ltv_quartiles(buyers: DataFrame) -> DataFrame:
+    """Quartiles of the non-zero lifetime values."""
+    values = buyers.filter(F.col("lifetime_value") != 0)
     q1, median, q3 = exact_percentiles(values, ["lifetime_value"], [0.25, 0.5, 0.75])["lifetime_value"]
-    return top.sparkSession.createDataFrame([(q1, median, q3)], "q1 double, median double, q3 double")
+    return buyers.sparkSession.createDataFrame([(q1, median, q3)], "q1 double, median double, q3 double")
 
 
 def equal_width_histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Rows per equal-width bin between the smallest and largest value."""
     value = F.col(column).cast("double")
-    low, high = df.agg(F.min(value)).scalar(), df.agg(F.max(value)).scalar()
+    df = materialize(df.select(column), "histogram")
+    bounds = df.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
+    low, high = F.lit(bounds["low"]).cast("double"), F.lit(bounds["high"]).cast("double")
     # the largest value belongs to the last bin
     position = F.when(high == low, F.lit(0.0)).otherwise((value - low) / F.nullif(high - low, F.lit(0.0)))
     bin_index = F.least(F.floor(position * bins), F.lit(bins - 1)).cast("bigint")
@@ -292,17 +306,26 @@ def equal_width_histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     )
 
 
-def ltv_histogram(top: DataFrame, bins: int = 30) -> DataFrame:
-    return equal_width_histogram(top.filter(F.col("lifetime_value") != 0), "lifetime_value", bins)
+def ltv_histogram(buyers: DataFrame, bins: int = 30) -> DataFrame:
+    return equal_width_histogram(buyers.filter(F.col("lifetime_value") != 0), "lifetime_value", bins)
+
 
+def ltv_concentration(buyers: DataFrame) -> DataFrame:
+    """Share of lifetime value held by the best fifth of the buyers.
 
-def ltv_concentration(top: DataFrame) -> DataFrame:
-    """Share of lifetime value held by the best fifth of a top list."""
-    size = top.count()
-    best = top.orderBy(F.col("lifetime_value").desc(), "user_id").limit(max(1, size // 5))
-    held = best.agg(F.sum("lifetime_value")).scalar().cast("double")
-    total = F.sum("lifetime_value").cast("double")
-    return top.agg(F.coalesce(F.try_divide(held, total) * 100, F.lit(0.0)).alias("top20_pct"))
+    The value at the cut comes from the rank search: what lies above it counts whole,
+    and the rows that share it fill up the fifth.
+    """
+    table = materialize(buyers.filter(F.col("lifetime_value").isNotNull()).select("lifetime_value"), "values")
+    size = table.count()
+    kept = max(1, size // 5)
+    value = F.col("lifetime_value")
+    cut = find_ranks(table, [Target("cut", value, size - kept, size)], "decimal(18,2)")["cut"] if size else None
+    edge = F.lit(str(cut.value if cut else 0)).cast("decimal(18,2)")
+    above = size - cut.before - cut.ties if cut else 0
+    held = F.coalesce(F.sum(F.when(value > edge, value)), F.lit(0)) + edge * F.lit(kept - above)
+    total = F.sum(value).cast("double")
+    return table.agg(F.coalesce(F.try_divide(held.cast("double"), total) * 100, F.lit(0.0)).alias("top20_pct"))
 
 
 def segment_radar(summary: DataFrame, limit: int = 6) -> DataFrame:
@@ -341,9 +364,12 @@ def rfm_scatter(metrics: DataFrame, limit: int = 500, seed: int = 42) -> DataFra
     low, high = F.min(value).over(shown), F.max(value).over(shown)
     bubble = F.when(high > low, 6 + 34 * (value - low) / F.nullif(high - low, F.lit(0.0))).otherwise(12.0)
     draw = fnv1a32(F.concat_ws("-", F.col("user_id"), F.lit(seed)))
+    labels = [c for c in ("customer_segment",) if c in metrics.columns]
     return (
         metrics.filter(F.col("frequency") > 0)
         .orderBy(draw, "user_id")
         .limit(limit)
-        .select("user_id", "recency_days", "frequency", "monetary", bubble.alias("bubble"))
+        .select(
+            "user_id", *labels, "recency_days", "frequency", "monetary", F.col("monetary").alias("lifetime_value"), bubble.alias("bubble")
+        )
     )

@@ -226,6 +226,35 @@ def payment_breakdown(transactions: DataFrame, as_of=None, hours: int = 24) -> D
     )
 
 
+def new_vs_returning_by_day(transactions: DataFrame) -> DataFrame:
+    """Every day's buyers split by whether it is the day of their first purchase.
+
+    The fact is reduced to one row per user and day, once; the first day of a user is
+    a minimum over those rows.
+    """
+    daily = (
+        transactions.filter(F.col("user_id").isNotNull())
+        .groupBy("user_id", F.to_date(TS).alias("metric_date"))
+        .agg(
+            F.count("*").alias("transactions"),
+            F.sum("total_amount").alias("revenue"),
+            F.count("total_amount").alias("amounts"),
+        )
+    )
+    first = daily.groupBy("user_id").agg(F.min("metric_date").alias("first_day"))
+    kind = F.when(F.col("metric_date") == F.col("first_day"), "New").otherwise("Returning")
+    return (
+        daily.join(first, "user_id")
+        .groupBy("metric_date", kind.alias("customer_type"))
+        .agg(
+            F.count("*").alias("customers"),
+            F.sum("transactions").alias("transactions"),
+            F.sum("revenue").alias("revenue"),
+            ratio(F.sum("revenue"), F.sum("amounts"), 2).alias("avg_order_value"),
+        )
+    )
+
+
 def new_vs_returning(transactions: DataFrame, as_of=None) -> DataFrame:
     """The day's buyers split by whether this is the day of their first purchase.
 

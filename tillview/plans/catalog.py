@@ -34,9 +34,6 @@ from tillview.sources.versions import VersionedTable
 from tillview.streaming import events, sinks
 from tillview.streaming import transactions as purchase_stream
 
-# The day in the event stream that has both first-time and returning buyers.
-FIRST_WEEK_DAY = "2024-01-03 12:00:00"
-
 
 def portable(df: DataFrame) -> DataFrame:
     """Result columns as plain text, BIGINT, DOUBLE and BOOLEAN, as a client gets them."""
@@ -46,7 +43,7 @@ def portable(df: DataFrame) -> DataFrame:
         if isinstance(kind, T.DateType):
             col = F.date_format(col, "yyyy-MM-dd")
         elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            col = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
+            col = F.date_format(col, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(kind, (T.DecimalType, T.FloatType)):
             col = col.cast("double")
         elif isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType)):
@@ -70,8 +67,14 @@ def _metrics(shop: Shop) -> DataFrame:
     return customers.user_metrics(shop.users(), shop.lines(), shop.last_order)
 
 
-def _top200(shop: Shop) -> DataFrame:
-    return customers.top_customers(_metrics(shop), limit=200)
+def _values(shop: Shop) -> DataFrame:
+    return customers.lifetime_values(_metrics(shop))
+
+
+def _segmented(shop: Shop) -> DataFrame:
+    """User totals with the segment of the mart."""
+    segments = customers.mart_rfm_segments(customers.int_rfm_scores(_staged(shop), shop.last_order))
+    return _metrics(shop).join(segments.select("user_id", "customer_segment"), "user_id", "left")
 
 
 def _staged(shop: Shop) -> DataFrame:
@@ -117,7 +120,7 @@ KPI = {
     "geo_performance": lambda s: kpi.geo_performance(s.purchases(), s.users(), s.last_purchase),
     "revenue_by_age_group": lambda s: kpi.revenue_by_age_group(s.orders(), s.users(), s.last_order),
     "payment_breakdown": lambda s: kpi.payment_breakdown(s.lines(), s.last_order),
-    "new_vs_returning": lambda s: kpi.new_vs_returning(s.purchases(), as_of=FIRST_WEEK_DAY),
+    "new_vs_returning": lambda s: kpi.new_vs_returning_by_day(s.purchases()),
     "breakdown_leaders": lambda s: kpi.breakdown_leaders(
         kpi.revenue_by_age_group(s.orders(), s.users(), s.last_order), kpi.payment_breakdown(s.lines(), s.last_order), _daily90(s)
     ),
@@ -135,14 +138,14 @@ CUSTOMERS = {
     ),
     "rfm_percentile_scores": lambda s: customers.rfm_percentile_scores(_metrics(s)),
     "rfm_breakpoints": lambda s: customers.rfm_breakpoints(_metrics(s)),
-    "top_customers": lambda s: customers.top_customers(_metrics(s)),
+    "top_customers": lambda s: customers.top_customers(_segmented(s)),
     "ltv_leaderboard": lambda s: customers.ltv_leaderboard(s.orders(), s.registered_users(), s.last_order),
-    "ltv_quartiles": lambda s: customers.ltv_quartiles(_top200(s)),
-    "ltv_histogram": lambda s: customers.ltv_histogram(_top200(s)),
-    "ltv_concentration": lambda s: customers.ltv_concentration(_top200(s)),
+    "ltv_quartiles": lambda s: customers.ltv_quartiles(_values(s)),
+    "ltv_histogram": lambda s: customers.ltv_histogram(_values(s)),
+    "ltv_concentration": lambda s: customers.ltv_concentration(_values(s)),
     "segment_radar": lambda s: customers.segment_radar(_summary(s)),
     "top_segment": lambda s: customers.top_segment(_summary(s)),
-    "rfm_scatter": lambda s: customers.rfm_scatter(_metrics(s)),
+    "rfm_scatter": lambda s: customers.rfm_scatter(_segmented(s)),
     "cohort_retention": lambda s: cohorts.cohort_retention(s.orders()),
     "cohort_registration": lambda s: cohorts.cohort_registration(s.registered_users(), s.orders()),
     "cohort_ltv": lambda s: cohorts.cohort_ltv(s.registered_users(), s.orders()),
@@ -170,7 +173,9 @@ CHURN = {
     "churn_feature_prep": lambda s: churn.churn_feature_prep(_metrics(s)),
     "churn_training_set": lambda s: churn.churn_training_set(s.orders(), s.last_order),
     "at_risk_customers": lambda s: _at_risk(s, 20),
-    "churn_histogram": lambda s: churn.churn_histogram(_at_risk(s, 100)),
+    "churn_histogram": lambda s: churn.churn_histogram(
+        churn.at_risk_scores(churn.churn_risk_score(_features(s)), _metrics(s))
+    ),
 }
 
 PRODUCTS = {
@@ -180,7 +185,7 @@ PRODUCTS = {
     "top_categories_today": lambda s: products.top_categories_today(s.lines(), s.products(), s.last_order),
     "inventory_alerts": lambda s: products.inventory_alerts(s.lines(), s.products(), s.last_order),
     "inventory_severity": lambda s: products.inventory_severity(
-        products.inventory_alerts(s.lines(), s.products(), s.last_order)
+        products.inventory_alerts(s.lines(), s.products(), s.last_order, limit=None)
     ),
     "product_detail": lambda s: products.product_detail(
         s.lines(), s.products(), product_id=1, as_of=s.last_order
