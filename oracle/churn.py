@@ -248,4 +248,37 @@ SQL = {
                    {dbl('total_amount - 1000')} AS total_amount, 'total_amount below 0' AS reasons
             FROM lines WHERE total_amount - 1000 < 0""",
     ),
+    "rfm_silhouette": query(
+        "bought",
+        """SELECT CASE WHEN COUNT(DISTINCT k) > 1 THEN AVG(s) END AS silhouette FROM (
+             SELECT user_id, k, CASE WHEN n = 1 THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END AS s FROM (
+               SELECT p.user_id, p.k, MAX(CASE WHEN c.k = p.k THEN c.n END) AS n,
+                      MAX(CASE WHEN c.k = p.k THEN (c.n * p.q + c.q - 2 * (p.x * c.x + p.y * c.y + p.z * c.z)) / NULLIF(c.n - 1, 0) END) AS a,
+                      MIN(CASE WHEN c.k <> p.k THEN (c.n * p.q + c.q - 2 * (p.x * c.x + p.y * c.y + p.z * c.z)) / c.n END) AS b
+               FROM p, c GROUP BY p.user_id, p.k))""",
+        (
+            "e",
+            """SELECT quantile_cont(CAST(recency_days AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) AS r,
+                      quantile_cont(CAST(frequency AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) AS f,
+                      quantile_cont(CAST(monetary AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) AS m FROM bought""",
+        ),
+        (
+            "p",
+            """SELECT user_id, x, y, z, x * x + y * y + z * z AS q,
+                      len(list_filter(list_distinct(r), lambda v: x >= v)) + len(list_filter(list_distinct(f), lambda v: y >= v))
+                      + len(list_filter(list_distinct(m), lambda v: z >= v)) AS k
+               FROM (SELECT user_id, CAST(recency_days AS DOUBLE) AS x, CAST(frequency AS DOUBLE) AS y,
+                            CAST(monetary AS DOUBLE) AS z, r, f, m FROM bought, e)""",
+        ),
+        ("c", "SELECT k, COUNT(*) AS n, SUM(q) AS q, SUM(x) AS x, SUM(y) AS y, SUM(z) AS z FROM p GROUP BY k"),
+    ),
+    "churn_score_heuristic": query(
+        "metrics",
+        f"""SELECT user_id, p AS churn_probability,
+                   CASE WHEN p >= 0.7 THEN 'High' WHEN p >= 0.4 THEN 'Medium' ELSE 'Low' END AS churn_risk_label,
+                   CASE WHEN len(f) > 0 THEN array_to_string(f, ' | ') ELSE 'Insufficient purchase history' END AS rule_factors
+            FROM (SELECT user_id, {FACTORS} AS f,
+                         {rnd('LEAST(1, recency_days / 365.0::DOUBLE) * 0.6 + (1 - LEAST(1, frequency / 20.0::DOUBLE)) * 0.4', 4)} AS p
+                  FROM metrics)""",
+    ),
 }

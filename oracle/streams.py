@@ -56,9 +56,10 @@ SQL = {
                   AS conversion_pct
            FROM (SELECT UNNEST([1, 2, 3])::BIGINT AS step, UNNEST(['view', 'click', 'purchase']) AS stage,
                         UNNEST([a, b, c]) AS reached, UNNEST([a, a, b]) AS previous
-                 FROM (SELECT COUNT(*) FILTER (v) AS a, COUNT(*) FILTER (v AND k) AS b,
-                              COUNT(*) FILTER (v AND k AND p) AS c
-                       FROM (SELECT session_id, bool_or(event_type = 'view') AS v, bool_or(event_type = 'click') AS k,
-                                    bool_or(event_type = 'purchase') AS p FROM all_events GROUP BY session_id)))""",
+                 FROM (SELECT COUNT(v) AS a, COUNT(*) FILTER (k >= v) AS b, COUNT(*) FILTER (k >= v AND p >= k) AS c
+                       FROM (SELECT session_id, MIN(timestamp) FILTER (event_type = 'view') AS v,
+                                    MIN(timestamp) FILTER (event_type = 'click') AS k,
+                                    MIN(timestamp) FILTER (event_type = 'purchase') AS p
+                             FROM all_events GROUP BY session_id)))""",
     ),
 }

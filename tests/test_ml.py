@@ -73,6 +73,22 @@ def test_reports(spark, training, model):
     assert -1 <= score <= 1
 
 
+def test_training_and_scoring_read_the_same_features(spark, sales):
+    rows = [(i, 1 + i % 9, 1, f"2024-{1 + i % 5:02d}-{1 + i % 27:02d}", 1, 10 + i) for i in range(120)]
+    fact = sales(rows)
+    past = fact.filter("transaction_date < '2024-04-27'")
+    trained = churn.churn_training_set(fact, "2024-05-26").drop("churned").collect()
+    assert trained and sorted(trained) == sorted(churn.churn_scoring_set(past, "2024-04-26").collect())
+
+
+def test_folds_are_stratified(spark, training):
+    rows = ml.prepare_training(training).groupBy("churned", ml.FOLD).count().collect()
+    assert len(rows) == 2 * ml.FOLDS
+    for label in (0.0, 1.0):
+        sizes = [r["count"] for r in rows if r.churned == label]
+        assert max(sizes) - min(sizes) <= 1
+
+
 def test_registry_keeps_one_row_per_version(spark):
     registry = spark.createDataFrame([], MODEL_REGISTRY)
     for auc in (0.8, 0.9):

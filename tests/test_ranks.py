@@ -30,7 +30,7 @@ def test_ntile_with_brackets_on_many_rows(spark, hot_share):
     df = spark.range(60_000).select(
         "id", F.when(F.rand(7) < hot_share, F.lit(500)).otherwise(F.pmod(F.hash("id"), F.lit(100_000))).cast("bigint").alias("v")
     )
-    got = with_ntiles(df, {"b": F.col("v")}, "id", unbracketed_rows=1000)
+    got = with_ntiles(df, {"b": F.col("v")}, "id")
     check = got.withColumn("want", F.ntile(5).over(Window.orderBy("v", "id")))
     assert check.filter("b <> want").count() == 0
     assert check.count() == 60_000
@@ -45,11 +45,10 @@ def test_descending_and_several_keys(spark):
     assert want.filter("u <> up OR d <> down").count() == 0
 
 
-@pytest.mark.parametrize("limit", [20_000, 1000])
-def test_percentiles(spark, limit):
+def test_percentiles(spark):
     df = spark.range(30_000).select((F.pmod(F.hash("id"), F.lit(999_983)) / 7.0).alias("x"), F.lit(3).alias("same"))
     fractions = [0.0, 0.2, 0.25, 0.5, 0.8, 1.0]
-    got = exact_percentiles(df, ["x", "same"], fractions, unbracketed_rows=limit)
+    got = exact_percentiles(df, ["x", "same"], fractions)
     want = df.agg(F.percentile("x", F.array(*[F.lit(f) for f in fractions]))).first()[0]
     assert got["x"] == pytest.approx(want, rel=1e-12)
     assert got["same"] == [3.0] * len(fractions)

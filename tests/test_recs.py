@@ -30,16 +30,22 @@ def random_rows(seed, hot_groups):
 
 @pytest.mark.parametrize("min_common", [1, 2, 5])
 @pytest.mark.parametrize("hot_groups", [0, 6])
-@pytest.mark.parametrize("busy", [1, 50, 10_000])
-def test_pairs_equal_brute_force(spark, monkeypatch, min_common, hot_groups, busy):
-    monkeypatch.setattr(recs, "GROUP_SLICE", 7)
-    monkeypatch.setattr(recs, "BUSY_GROUP", busy)
+def test_pairs_equal_brute_force(spark, min_common, hot_groups):
     rows = random_rows(min_common * 10 + hot_groups, hot_groups)
     members = spark.createDataFrame(rows, "item bigint, grp bigint")
     got = recs.overlapping_pairs(members.toDF("product_id", "user_id"), "product_id", "user_id", min_common)
     assert {(r.item_a, r.item_b): r.common for r in got.collect()} == brute_force(rows, min_common)
 
 
+def test_a_group_of_several_slices_equals_brute_force(spark):
+    hot = [(item, group) for group in (1, 2, 3) for item in range(2 * recs.GROUP_SLICE + 100) if item % 3 == 0 or group < 3]
+    members = spark.createDataFrame(hot, "item bigint, grp bigint")
+    got = recs.overlapping_pairs(members, "item", "grp", 3)
+    n = len([1 for item, group in hot if group == 3])
+    assert got.count() == n * (n - 1) // 2
+    assert got.filter("common <> 3 OR item_a % 3 <> 0 OR item_b % 3 <> 0").count() == 0
+
+
 @pytest.fixture
 def shop(spark, sales):
     rng = random.Random(5)
@@ -54,8 +60,8 @@ def shop(spark, sales):
 
 
 def test_single_and_batch_recommendations_agree(spark, shop):
-    fact, products, _ = shop
-    batch = recs.rec_user_jaccard_batch(fact, products).collect()
+    fact, products, users = shop
+    batch = recs.rec_user_jaccard_batch(fact, products, users).collect()
     by_user = defaultdict(set)
     for r in batch:
         by_user[r.target_user].add(tuple(r))

@@ -57,8 +57,32 @@ def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     for batch_id, value in [(0, 1), (1, 2), (1, 2)]:
         spark.createDataFrame([("k", value)], "k string, v int").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     assert [tuple(r) for r in sinks.read_keyed(spark, path, ["k"]).collect()] == [("k", 2)]
-    sinks.compact_keyed(spark, path, ["k"], str(tmp_path / "compact"))
-    assert spark.read.parquet(str(tmp_path / "compact")).count() == 1
+    assert sinks.compact_keyed(spark, path, ["k"]) == sinks.compact_keyed(spark, path, ["k"]) == 1
+    assert [tuple(r) for r in sinks.read_keyed(spark, path, ["k"]).collect()] == [("k", 2)]
+    for batch_id, rows in [(2, [("k", 3)]), (3, [("l", 4)])]:
+        spark.createDataFrame(rows, "k string, v int").write.parquet(f"{path}/batch_id={batch_id}")
+    assert {tuple(r) for r in sinks.read_keyed(spark, path, ["k"]).collect()} == {("k", 3), ("l", 4)}
+    assert sinks.compact_keyed(spark, path, ["k"]) == 3
+    # what the first base was made of is gone, what only the second holds is still there
+    assert sorted(p.name for p in (tmp_path / "updates").glob("batch_id=*")) == ["batch_id=2", "batch_id=3"]
+    assert {tuple(r) for r in sinks.read_keyed(spark, path, ["k"]).collect()} == {("k", 3), ("l", 4)}
+
+
+def test_ids_beyond_32_bits_are_kept(spark):
+    wide = purchase(1, "2024-01-01T10:00:01", user=2**40)
+    assert events.parse_events(spark.createDataFrame([(json.dumps(wide),)], "value string")).first().user_id == 2**40
+
+
+def test_sessions_as_a_stream_leave_the_state(spark, tmp_path):
+    inbox = tmp_path / "in"
+    send(inbox, "1.json", [event(1, "2024-01-01T23:59:00"), event(2, "2024-01-01T23:59:30", kind="x")])
+    send(inbox, "2.json", [event(3, "2024-01-02T00:01:00"), event(4, "2024-01-03T00:00:00", session="t")])
+    days = events.session_rollup(events.parse_events(source(spark, inbox)), lateness="1 hour")
+    path = str(tmp_path / "updates")
+    keys = ["day", "session_id"]
+    sinks.start_keyed(days, path, str(tmp_path / "cp"), True, keys=keys, compact_every=2).awaitTermination()
+    rows = {r.session_id: r for r in events.merge_sessions(sinks.read_keyed(spark, path, keys)).collect()}
+    assert (rows["s"].pages_viewed, rows["s"].duration_seconds) == (2, 120) and rows["t"].duration_seconds == 0
 
 
 def test_ingest_skips_bad_records_and_repeats(spark, tmp_path):
@@ -94,13 +118,14 @@ def test_user_totals_survive_disorder(spark, tmp_path):
 
 def test_sessions_and_funnel(spark):
     rows = [("a", 1, "page_view", 0), ("a", 1, "product_click", 30), ("a", 1, "page_view", 90), ("b", 2, "page_view", 0), (None, 3, "page_view", 0)]
+    rows += [("c", 4, "product_click", 5), ("c", 4, "page_view", 9)]  # clicked before the first view
     df = spark.createDataFrame(rows, "session_id string, user_id int, event_type string, at int").withColumn(
         "timestamp", F.timestamp_seconds("at")
     )
     sessions = {r.session_id: (r.pages_viewed, r.duration_seconds) for r in events.session_rollup(df).collect()}
-    assert sessions == {"a": (2, 90), "b": (1, 0)}
+    assert sessions == {"a": (2, 90), "b": (1, 0), "c": (1, 4)}
     funnel = events.event_funnel(df, ["page_view", "product_click", "purchase", "refund"]).collect()
-    assert [(r.reached, None if r.conversion_pct is None else float(r.conversion_pct)) for r in funnel] == [(2, 100.0), (1, 50.0), (0, 0.0), (0, None)]
+    assert [(r.reached, None if r.conversion_pct is None else float(r.conversion_pct)) for r in funnel] == [(3, 100.0), (1, 33.33), (0, 0.0), (0, None)]
 
 
 @pytest.mark.parametrize("value", ["{", "[]", "null", ""])

@@ -5,7 +5,7 @@ row to one task in plain Spark. Both only depend on a handful of rows, the ones
 at known ranks, so these are looked up instead:
 
 1. an approximate quantile sketch (mergeable, bounded size) brackets each rank,
-2. one pass counts the rows below a bracket and builds the value histogram
+2. one pass counts the rows below each bracket, another builds the value histogram
    inside it; map-side combine makes a value shared by many rows one entry,
 3. the running count over that narrow histogram names the value at the rank.
 
@@ -27,8 +27,6 @@ from pyspark.sql import types as T
 from tillview.sources.scratch import materialize
 
 SKETCH_ACCURACY = 10_000
-# up to this many rows a bracket spanning everything is narrow enough
-UNBRACKETED_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -48,34 +46,34 @@ class Found:
     ties: int
 
 
-def find_ranks(
-    table: DataFrame, targets: list[Target], key_type: str, unbracketed_rows: int = UNBRACKETED_ROWS
-) -> dict[Hashable, Found]:
+def find_ranks(table: DataFrame, targets: list[Target], key_type: str) -> dict[Hashable, Found]:
     """Value at each target rank, the rows before it and the rows equal to it."""
     if not targets:
         return {}
-    brackets = _brackets(table, [t for t in targets if t.size > unbracketed_rows], key_type)
+    brackets = _brackets(table, targets, key_type)
 
-    entries = []
+    entries, below = [], []
     for position, target in enumerate(targets):
         key = target.key.cast(key_type)
-        low, high = brackets.get(target.name, (None, None))
+        low, high = brackets[target.name]
         inside = key.isNotNull() if high is None else key <= _lit(high, key_type)
-        shown = key if low is None else F.when(key >= _lit(low, key_type), key)
-        # a row below the bracket is counted under the NULL value, which sorts first
-        entries.append(F.when(inside, F.struct(F.lit(position).alias("target"), shown.alias("value"))))
+        if low is not None:
+            inside = inside & (key >= _lit(low, key_type))
+        below.append(F.lit(0) if low is None else F.count_if(key < _lit(low, key_type)))
+        entries.append(F.when(inside, F.struct(F.lit(position).alias("target"), key.alias("value"))))
 
+    # one row of plain counts; only the few rows inside a bracket are multiplied by targets
+    first = table.agg(*[b.cast("bigint").alias(f"b{i}") for i, b in enumerate(below)]).first()
     histogram = (
         table.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
         .groupBy("e.target", "e.value")
         .agg(F.count("*").alias("ties"))
     )
-    running = Window.partitionBy("target").orderBy(F.col("value").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    wanted = F.element_at(F.array(*[F.lit(t.rank) for t in targets]), F.col("target") + 1)
+    running = Window.partitionBy("target").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    of_target = lambda values: F.element_at(F.array(*[F.lit(v).cast("bigint") for v in values]), F.col("target") + 1)
+    wanted = of_target([t.rank for t in targets])
     hits = (
-        histogram.withColumn("upto", F.sum("ties").over(running))
+        histogram.withColumn("upto", F.sum("ties").over(running) + of_target(first))
         .filter((F.col("upto") > wanted) & (F.col("upto") - F.col("ties") <= wanted))
         .collect()  # one row per target
     )
@@ -88,8 +86,6 @@ def find_ranks(
 
 def _brackets(table: DataFrame, targets: list[Target], key_type: str) -> dict[Hashable, tuple[Any, Any]]:
     """Values that enclose each rank: three sketch errors away on both sides."""
-    if not targets:
-        return {}
     margin = 3.0 / SKETCH_ACCURACY
     sketches = []
     for target in targets:
@@ -111,7 +107,6 @@ def with_ntiles(
     orders: dict[str, Column],
     id_column: str,
     buckets: int = 5,
-    unbracketed_rows: int = UNBRACKETED_ROWS,
 ) -> DataFrame:
     """Add ``NTILE(buckets) OVER (ORDER BY key, id)`` for every ``name: key``.
 
@@ -130,7 +125,7 @@ def with_ntiles(
         for i, start in enumerate(starts)
         if start < size
     ]
-    values = find_ranks(table, edges, key_type, unbracketed_rows)
+    values = find_ranks(table, edges, key_type)
     tied = [
         Target(t.name, F.when(t.key.cast(key_type) == _lit(values[t.name].value, key_type), F.col(id_column)),
                t.rank - values[t.name].before, values[t.name].ties)
@@ -138,7 +133,7 @@ def with_ntiles(
         if t.rank > values[t.name].before
     ]
     id_type = table.schema[id_column].dataType.simpleString()
-    ids = find_ranks(table, tied, id_type, unbracketed_rows)
+    ids = find_ranks(table, tied, id_type)
 
     scored = {}
     for name, key in orders.items():
@@ -161,7 +156,6 @@ def exact_percentiles(
     df: DataFrame,
     columns: list[str],
     fractions: list[float],
-    unbracketed_rows: int = UNBRACKETED_ROWS,
 ) -> dict[str, list[float | None]]:
     """``percentile_cont`` of each column at each fraction, as driver-side numbers."""
     table = materialize(df.select(*columns), "percentiles")
@@ -174,7 +168,7 @@ def exact_percentiles(
                 exact = fraction * (sizes[column] - 1)
                 for rank in {math.floor(exact), math.ceil(exact)}:
                     targets[(column, rank)] = Target((column, rank), F.col(column), rank, sizes[column])
-    found = find_ranks(table, list(targets.values()), key_type, unbracketed_rows)
+    found = find_ranks(table, list(targets.values()), key_type)
 
     def interpolate(column: str, fraction: float) -> float | None:
         if not sizes[column]:

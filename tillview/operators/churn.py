@@ -132,27 +132,21 @@ def churn_feature_prep(metrics: DataFrame) -> DataFrame:
     )
 
 
-def churn_training_set(
-    transactions: DataFrame, as_of=None, window_days: int = LABEL_WINDOW_DAYS
-) -> DataFrame:
-    """Features up to a snapshot and a label from the days after it.
+def churn_features_at(transactions: DataFrame, snapshot, *extra) -> DataFrame:
+    """The model's features of every buyer as known at the end of a day.
 
-    The snapshot lies ``window_days`` before the newest transaction; a user
-    churned when nothing follows within the window. Features and label come
-    out of one aggregate, so the fact is shuffled once.
+    Training and scoring both read their features here, from the same kind of fact, so
+    they mean the same. ``extra`` aggregates ride along in the one pass over the fact.
     """
-    anchor = Anchor(transactions, as_of)
-    snapshot = F.date_sub(anchor.date, window_days)
     day = F.to_date(TS)
     before = day <= snapshot
-    after = (day > snapshot) & (day <= F.date_add(snapshot, window_days))
     per_user = transactions.groupBy("user_id").agg(
         F.max(F.when(before, day)).alias("last_day"),
         F.min(F.when(before, day)).alias("first_day"),
         F.countDistinct(F.when(before, F.col("transaction_id"))).alias("frequency"),
         F.sum(F.when(before, F.col("total_amount"))).cast("double").alias("monetary"),
         mean(F.when(before, F.col("total_amount"))).alias("avg_order_value"),
-        F.max(F.when(after, 1)).alias("returned"),
+        *extra,
     )
     return (
         per_user.filter(F.col("frequency") >= 1)
@@ -160,6 +154,29 @@ def churn_training_set(
         .withColumn("tenure_days", F.greatest(F.datediff(snapshot, F.col("first_day")), F.lit(1)).cast("bigint"))
         .withColumn("purchase_velocity", F.col("frequency").cast("double") / F.col("tenure_days"))
         .withColumn("recency_ratio", F.col("recency_days").cast("double") / F.col("tenure_days"))
+        .drop("last_day", "first_day")
+    )
+
+
+def churn_scoring_set(transactions: DataFrame, as_of=None) -> DataFrame:
+    """The features of every buyer as of the newest day."""
+    return churn_features_at(transactions, Anchor(transactions, as_of).date).select("user_id", *FEATURES)
+
+
+def churn_training_set(
+    transactions: DataFrame, as_of=None, window_days: int = LABEL_WINDOW_DAYS
+) -> DataFrame:
+    """Features up to a snapshot and a label from the days after it.
+
+    The snapshot lies ``window_days`` before the newest transaction; a user
+    churned when nothing follows within the window. Features and label come
+    out of one aggregate, so the fact is shuffled once.
+    """
+    snapshot = F.date_sub(Anchor(transactions, as_of).date, window_days)
+    day = F.to_date(TS)
+    after = (day > snapshot) & (day <= F.date_add(snapshot, window_days))
+    return (
+        churn_features_at(transactions, snapshot, F.max(F.when(after, 1)).alias("returned"))
         .withColumn("churned", F.when(F.col("returned").isNull(), 1).otherwise(0).cast("bigint"))
         .select("user_id", *FEATURES, "churned")
     )

@@ -104,8 +104,9 @@ def candidates(rounds: int = 100, depth: int = 5) -> dict[str, Pipeline]:
 def prepare_training(training: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """Stored rows with class weight and fold.
 
-    Positives weigh negatives / positives. The fold is drawn per user and
-    class from a hash, so it is the same wherever the row is recomputed.
+    Positives weigh negatives / positives. Folds are stratified: within a class, users in
+    the order of a hash are dealt to the folds by quintile of that order, so every fold
+    has a fifth of each class, and the same one wherever a row is recomputed.
     """
     counts = training.agg(F.count("*").alias("n"), F.sum(LABEL).alias("positive")).first()
     if counts["n"] < min_rows:
@@ -113,11 +114,21 @@ def prepare_training(training: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame
     weight = (counts["n"] - counts["positive"]) / max(counts["positive"], 1)
     prepared = (
         training.withColumn(WEIGHT, F.when(F.col(LABEL) == 1, F.lit(float(weight))).otherwise(1.0))
-        .withColumn(FOLD, F.pmod(F.xxhash64("user_id", LABEL, F.lit(SEED)), F.lit(FOLDS)).cast("int"))
+        .withColumn("draw", F.pmod(F.xxhash64("user_id", F.lit(SEED)), F.lit(2**52)).cast("double"))
         .withColumn(LABEL, F.col(LABEL).cast("double"))
         .withColumns({c: F.col(c).cast("double") for c in FEATURES})
     )
-    return materialize(prepared, "training")
+    stored = materialize(prepared, "training")
+    edges = {
+        label: exact_percentiles(stored.filter(F.col(LABEL) == label), ["draw"], [i / FOLDS for i in range(1, FOLDS)])["draw"]
+        for label in (0.0, 1.0)
+    }
+    fold = F.lit(0)
+    for label, cuts in edges.items():
+        for cut in cuts:
+            if cut is not None:
+                fold = fold + ((F.col(LABEL) == label) & (F.col("draw") > cut)).cast("int")
+    return stored.withColumn(FOLD, fold).drop("draw")
 
 
 def evaluate_candidates(prepared: DataFrame, models: dict[str, Pipeline]) -> dict[str, float]:
@@ -144,6 +155,20 @@ def choose(report: dict[str, float]) -> str:
     return best
 
 
+def churn_candidates(
+    training: DataFrame, rounds: int = 100, min_auc: float = MIN_AUC, min_rows: int = MIN_ROWS
+) -> tuple[dict[str, float], str]:
+    """Cross-validated AUC per candidate and the decision on the one that would be chosen."""
+    report = evaluate_candidates(prepare_training(training, min_rows), candidates(rounds))
+    return report, "promote" if report[choose(report)] >= min_auc else "blocked"
+
+
+def churn_fit(training: DataFrame, rounds: int = 100, min_rows: int = 1) -> ChurnModel:
+    """The preferred candidate on all rows, without a selection."""
+    fitted = candidates(rounds)[PREFERRED].fit(prepare_training(training, min_rows))
+    return ChurnModel(fitted, PREFERRED, float("nan"), {})
+
+
 def churn_train(
     training: DataFrame, rounds: int = 100, min_auc: float = MIN_AUC, min_rows: int = MIN_ROWS
 ) -> ChurnModel:
@@ -207,7 +232,7 @@ def churn_model_factors(prepared_features: DataFrame, model: ChurnModel, top: in
         text = F.concat(
             F.when(contribution > 0, "High ").otherwise("Low "),
             F.lit(f"{FEATURE_LABELS[feature]} ("),
-            F.format_string(FEATURE_FORMATS[feature], feature),
+            F.format_string(FEATURE_FORMATS[feature], F.col(feature).cast("double")),
             F.lit(")"),
         )
         return F.struct((-F.abs(contribution)).alias("order"), F.lit(FEATURES.index(feature)).alias("i"), text.alias("t"))
@@ -276,24 +301,31 @@ def churn_holdout_eval(
     return training.sparkSession.createDataFrame([(auc, decision)], "churn_auc double, decision string")
 
 
-def rfm_silhouette(metrics: DataFrame, bins: int = 5, sample: int = 3000) -> DataFrame:
-    """Silhouette of the summed quantile bins over a sample (squared Euclidean distance)."""
+def rfm_silhouette(metrics: DataFrame, bins: int = 5) -> DataFrame:
+    """Silhouette of the buyers' summed quantile bins (squared Euclidean distance, linear in the rows)."""
     columns = ["recency_days", "frequency", "monetary"]
-    edges = exact_percentiles(metrics, columns, [i / bins for i in range(1, bins)])
+    buyers = metrics.filter(F.col("frequency") > 0)
+    edges = exact_percentiles(buyers, columns, [i / bins for i in range(1, bins)])
     label = F.lit(0)
     for column in columns:
         for edge in sorted(set(edges[column])):
             label = label + (F.col(column).cast("double") >= F.lit(edge)).cast("int")
-    sampled = (
-        metrics.orderBy(F.xxhash64("user_id", F.lit(SEED)), "user_id")
-        .limit(sample)
-        .select(label.cast("double").alias("prediction"), *[F.col(c).cast("double").alias(c) for c in columns])
-    )
-    vectors = materialize(sampled, "silhouette")
+    labelled = buyers.select(label.cast("double").alias("prediction"), *[F.col(c).cast("double").alias(c) for c in columns])
+    vectors = materialize(labelled, "silhouette")
     score = ClusteringEvaluator().evaluate(_assembler(columns).transform(vectors))
     return metrics.sparkSession.createDataFrame([(score,)], "silhouette double")
 
 
+def register_rfm(registry: DataFrame, edges: DataFrame, version: str, trained_at) -> DataFrame:
+    """The registry with the segment edges of a version as its metrics.
+
+    ``edges`` is the short table of :func:`customers.rfm_breakpoints`: a few rows per feature.
+    """
+    rows = edges.orderBy("feature", "edge").collect()
+    metrics = {f: [r["value"] for r in rows if r["feature"] == f] for f in dict.fromkeys(r["feature"] for r in rows)}
+    return model_registry_promote(registry, "rfm_segments", version, trained_at, metrics)
+
+
 def model_registry_promote(registry: DataFrame, name: str, version: str, trained_at, metrics: dict) -> DataFrame:
     """The registry with one active (model, version) upserted."""
     row = registry.sparkSession.createDataFrame(

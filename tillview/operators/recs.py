@@ -1,40 +1,37 @@
 """Recommendations from purchases shared between users or between products.
 
-Counting what two products have in common starts from the buyers they share. A
-buyer of very many products would form a pair of every two of them. To share
-``k`` buyers, though, two products must share one that is not among the
-``k - 1`` busiest buyers of either. So where those are very busy they form no
-pairs; they are only looked up for the pairs the other buyers have formed, and
-the counts stay exact. The same holds for users and very popular products.
+One user or one product is a look-up: its own rows come first, the candidates follow
+by semi join, and only their rows are aggregated; nothing is stored.
+
+Counting what all products have in common starts from the buyers they share. To share
+``k`` buyers, two products must share one that is not among the
+``k - 1`` busiest buyers of either. So these form no pairs; they are only looked up for
+the pairs that the other buyers have formed, and the counts stay exact. The members of
+a large group meet slice by slice: a task gets two slices, never a whole group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillview.functions.numeric import money_ratio, ratio
 from tillview.sources.scratch import materialize
 
-# members from which on a group counts as very busy
-BUSY_GROUP = 10_000
-# rows of one group that meet the whole group in one task
+# members of a slice; two slices of a group meet in a task
 GROUP_SLICE = 2_000
 PAIRS_PER_TASK = 20_000_000
+# waves of tasks on the cluster, at most, for the pairing stage
+WAVES = 64
 
 
-def purchase_counts(transactions: DataFrame) -> DataFrame:
-    """One row per user and product with the number of purchases.
+def _bought(transactions: DataFrame) -> DataFrame:
+    return transactions.filter(F.col("user_id").isNotNull() & F.col("product_id").isNotNull())
 
-    Stored, because every recommender reads it several times over and the fact
-    behind it should be scanned once.
-    """
-    counts = (
-        transactions.filter(F.col("user_id").isNotNull() & F.col("product_id").isNotNull())
-        .groupBy("user_id", "product_id")
-        .agg(F.count("*").alias("purchases"))
-    )
-    return materialize(counts, "purchases")
+
+def purchase_counts(transactions: DataFrame) -> DataFrame:
+    """One row per user and product with the number of purchases."""
+    return _bought(transactions).groupBy("user_id", "product_id").agg(F.count("*").alias("purchases"))
 
 
 def overlapping_pairs(members: DataFrame, item: str, group: str, min_common: int) -> DataFrame:
@@ -42,17 +39,13 @@ def overlapping_pairs(members: DataFrame, item: str, group: str, min_common: int
 
     ``members`` has distinct (item, group) rows. Returns item_a, item_b, common.
     """
-    rows = members.select(F.col(item).alias("item"), F.col(group).alias("grp"))
+    rows = materialize(members.select(F.col(item).alias("item"), F.col(group).alias("grp")), "members")
     degrees = rows.groupBy("grp").agg(F.count("*").alias("degree"))
     ranked = rows.join(degrees, "grp")
-    size = degrees.agg(F.max("degree").alias("largest"), F.sum(F.col("degree") * F.col("degree")).alias("pairs")).first()
-    # AQE sizes the pairing stage by the bytes that go in; what matters is the pairs that come out
-    tasks = max(members.sparkSession.sparkContext.defaultParallelism, (size["pairs"] or 0) // PAIRS_PER_TASK + 1)
-    if min_common < 2 or (size["largest"] or 0) < BUSY_GROUP:
-        return _shared_groups(ranked, tasks).filter(F.col("common") >= min_common)
+    if min_common < 2:
+        return _shared_groups(ranked).filter(F.col("common") >= min_common)
 
     left_out = _busiest_groups(ranked, min_common - 1)
-
     kept = ranked.join(left_out, ["item", "grp"], "left_anti")
     missing = left_out.groupBy("item").agg(F.count("*").alias("missing"))
     missing_of = lambda side: missing.select(F.col("item").alias(f"item_{side}"), F.col("missing").alias(f"missing_{side}"))
@@ -60,7 +53,7 @@ def overlapping_pairs(members: DataFrame, item: str, group: str, min_common: int
     within_reach = F.col("common") + F.coalesce("missing_a", zero) + F.coalesce("missing_b", zero) >= min_common
     # counted once and read three times below
     candidates = materialize(
-        _shared_groups(kept, tasks)
+        _shared_groups(kept)
         .join(missing_of("a"), "item_a", "left")
         .join(missing_of("b"), "item_b", "left")
         .filter(within_reach)
@@ -88,30 +81,53 @@ def overlapping_pairs(members: DataFrame, item: str, group: str, min_common: int
 
 
 def _busiest_groups(ranked: DataFrame, most: int) -> DataFrame:
-    """Up to ``most`` very busy groups per item."""
+    """The ``most`` busiest groups of each item."""
     # Spark limits each item's rows before the shuffle, so no item's whole list meets in one task
     busiest = Window.partitionBy("item").orderBy(F.col("degree").desc(), F.col("grp").desc())
-    top = (
-        ranked.filter(F.col("degree") >= BUSY_GROUP)
-        .withColumn("place", F.row_number().over(busiest))
-        .filter(F.col("place") <= most)
-    )
+    top = ranked.withColumn("place", F.row_number().over(busiest)).filter(F.col("place") <= most)
     return materialize(top.select("item", "grp"), "busiest")
 
 
-def _shared_groups(ranked: DataFrame, tasks: int) -> DataFrame:
-    """Number of groups per pair of items; a large group is spread over many tasks."""
-    slices = F.ceil(F.col("degree") / GROUP_SLICE).cast("int")
-    left = ranked.select("grp", F.col("item").alias("item_a"), F.pmod(F.hash("item"), slices).alias("slice"))
-    right = ranked.select(
-        "grp", F.col("item").alias("item_b"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice")
+def _tasks(ranked: DataFrame) -> int:
+    """AQE sizes the pairing stage by the bytes that go in; what matters is the pairs that come out."""
+    parallel = ranked.sparkSession.sparkContext.defaultParallelism
+    # each row of a group of d members takes part in d pairs
+    pairs = ranked.agg(F.coalesce(F.sum("degree"), F.lit(0))).first()[0]
+    return min(max(parallel, pairs // PAIRS_PER_TASK + 1), parallel * WAVES)
+
+
+def _slices() -> Column:
+    return F.ceil(F.col("degree") / GROUP_SLICE).cast("int")
+
+
+def _shared_groups(ranked: DataFrame) -> DataFrame:
+    """Number of groups per pair of items; a cell is one pair of slices of one group."""
+    tasks, own = _tasks(ranked), F.pmod(F.hash("item"), _slices())
+    left = ranked.select("grp", F.col("item").alias("left"), own.alias("p"), F.explode(F.sequence(own, _slices() - 1)).alias("q"))
+    right = ranked.select("grp", F.col("item").alias("right"), own.alias("q"), F.explode(F.sequence(F.lit(0), own)).alias("p"))
+    met = left.repartition(tasks, "grp", "p", "q").join(right.repartition(tasks, "grp", "p", "q"), ["grp", "p", "q"])
+    return (
+        met.filter((F.col("p") != F.col("q")) | (F.col("left") < F.col("right")))
+        .groupBy(F.least("left", "right").alias("item_a"), F.greatest("left", "right").alias("item_b"))
+        .agg(F.count("*").alias("common"))
     )
+
+
+def _common_with_targets(purchases: DataFrame, targets: DataFrame, min_common: int) -> DataFrame:
+    """(target_user, user_id, common): the users that share enough products with each target."""
+    mine = purchases.join(targets.select("user_id").distinct(), "user_id", "left_semi")
+    degrees = purchases.groupBy("product_id").agg(F.count("*").alias("degree"))
+    busy = lambda df: df.join(degrees, "product_id").withColumns(
+        {"own": F.pmod(F.hash("user_id"), _slices()), "other": F.explode(F.sequence(F.lit(0), _slices() - 1))}
+    )
+    left = busy(mine).select("product_id", F.col("user_id").alias("target_user"), F.col("own").alias("p"), F.col("other").alias("q"))
+    right = busy(purchases).select("product_id", "user_id", F.col("other").alias("p"), F.col("own").alias("q"))
     return (
-        left.repartition(tasks, "grp", "slice")
-        .join(right.repartition(tasks, "grp", "slice"), ["grp", "slice"])
-        .filter(F.col("item_a") < F.col("item_b"))
-        .groupBy("item_a", "item_b")
+        left.join(right, ["product_id", "p", "q"])
+        .filter(F.col("target_user") != F.col("user_id"))
+        .groupBy("target_user", "user_id")
         .agg(F.count("*").alias("common"))
+        .filter(F.col("common") >= min_common)
     )
 
 
@@ -123,13 +139,12 @@ def _jaccard(common, size_a, size_b):
 
 
 def _recommendations(
-    similar: DataFrame, purchases: DataFrame, products: DataFrame, min_score: float, limit: int
+    similar: DataFrame, purchases: DataFrame, owned: DataFrame, products: DataFrame, min_score: float, limit: int
 ) -> DataFrame:
     """Products of similar users that the target does not own, best ``limit`` per target.
 
-    ``similar`` has target_user, user_id and similarity.
+    ``similar`` has target_user, user_id and similarity; ``owned`` target_user and product_id.
     """
-    owned = purchases.select(F.col("user_id").alias("target_user"), "product_id")
     best = Window.partitionBy("target_user").orderBy(F.col("recommendation_score").desc(), "product_id")
     return (
         similar.join(purchases, "user_id")
@@ -165,71 +180,70 @@ def rec_user_jaccard(
     min_score: float = 0.1,
     limit: int = 20,
 ) -> DataFrame:
-    """Recommendations for one user: linear in the fact, no pairs at all.
-
-    One aggregate per user yields both its number of products and how many of
-    them the target owns too.
-    """
-    purchases = purchase_counts(transactions)
-    target = purchases.filter(F.col("user_id") == user_id).select("product_id", F.lit(1).alias("shared"))
+    """Recommendations for one user, from the rows of users who share products with them."""
+    bought = _bought(transactions)
+    target = bought.filter(F.col("user_id") == user_id).select("product_id").distinct()
     size = target.agg(F.count("*")).scalar()
-    similar = (
-        purchases.join(target, "product_id", "left")
+    near = (
+        bought.filter(F.col("user_id") != user_id)
+        .join(target, "product_id", "left_semi")
+        .select("user_id", "product_id")
+        .distinct()
         .groupBy("user_id")
-        .agg(F.count("*").alias("products"), F.count("shared").alias("common"))
-        .filter((F.col("user_id") != user_id) & (F.col("common") >= min_common))
-        .select(
-            F.lit(user_id).cast("bigint").alias("target_user"),
-            "user_id",
-            _jaccard(F.col("common"), F.col("products"), size).alias("similarity"),
-        )
+        .agg(F.count("*").alias("common"))
+        .filter(F.col("common") >= min_common)
+    )
+    # only the baskets of similar users and the target's own
+    baskets = purchase_counts(bought.join(near, "user_id", "left_semi"))
+    sizes = baskets.groupBy("user_id").agg(F.count("*").alias("products"))
+    similar = near.join(sizes, "user_id").select(
+        F.lit(user_id).cast("bigint").alias("target_user"),
+        "user_id",
+        _jaccard(F.col("common"), F.col("products"), size).alias("similarity"),
     )
-    return _recommendations(similar, purchases, products, min_score, limit)
+    owned = target.withColumn("target_user", F.lit(user_id).cast("bigint"))
+    return _recommendations(similar, baskets, owned, products, min_score, limit)
 
 
 def rec_user_jaccard_batch(
     transactions: DataFrame,
     products: DataFrame,
-    targets: DataFrame | None = None,
+    targets: DataFrame,
     min_common: int = 2,
     min_score: float = 0.1,
     limit: int = 20,
 ) -> DataFrame:
-    """The same for every user, or for the users in ``targets``."""
-    purchases = purchase_counts(transactions)
-    pairs = overlapping_pairs(purchases, "user_id", "product_id", min_common)
-    sizes = purchases.groupBy("user_id").agg(F.count("*").alias("products"))
-    size_of = lambda side: sizes.select(F.col("user_id").alias(f"item_{side}"), F.col("products").alias(f"size_{side}"))
-    scored = (
-        pairs.join(size_of("a"), "item_a")
-        .join(size_of("b"), "item_b")
-        .withColumn("similarity", _jaccard(F.col("common"), F.col("size_a"), F.col("size_b")))
+    """The same for every user in ``targets``; the work grows with the targets' baskets."""
+    purchases = materialize(purchase_counts(transactions), "purchases")
+    common = _common_with_targets(purchases, targets, min_common)
+    sizes = materialize(purchases.groupBy("user_id").agg(F.count("*").alias("products")), "baskets")
+    similar = (
+        common.join(sizes, "user_id")
+        .join(sizes.select(F.col("user_id").alias("target_user"), F.col("products").alias("size")), "target_user")
+        .select("target_user", "user_id", _jaccard(F.col("common"), F.col("products"), F.col("size")).alias("similarity"))
     )
-    both_ways = F.array(
-        F.struct(F.col("item_a").alias("target_user"), F.col("item_b").alias("user_id")),
-        F.struct(F.col("item_b").alias("target_user"), F.col("item_a").alias("user_id")),
+    owned = purchases.join(targets.select("user_id"), "user_id", "left_semi").select(
+        F.col("user_id").alias("target_user"), "product_id"
     )
-    similar = scored.select(F.explode(both_ways).alias("e"), "similarity").select("e.*", "similarity")
-    if targets is not None:
-        similar = similar.join(targets.select(F.col("user_id").alias("target_user")), "target_user", "left_semi")
-    return _recommendations(similar, purchases, products, min_score, limit)
+    return _recommendations(similar, purchases, owned, products, min_score, limit)
 
 
 def rec_user_overlap(
     transactions: DataFrame, products: DataFrame, user_id: int, limit: int = 10
 ) -> DataFrame:
     """Products by the number of distinct buyers who share any product with the user."""
-    purchases = purchase_counts(transactions).select("user_id", "product_id")
-    owned = purchases.filter(F.col("user_id") == user_id).select("product_id")
+    bought = _bought(transactions).select("user_id", "product_id")
+    owned = bought.filter(F.col("user_id") == user_id).select("product_id").distinct()
     neighbours = (
-        purchases.filter(F.col("user_id") != user_id)
+        bought.filter(F.col("user_id") != user_id)
         .join(owned, "product_id", "left_semi")
         .select("user_id")
         .distinct()
     )
     return (
-        purchases.join(owned, "product_id", "left_anti")
-        .join(neighbours, "user_id", "left_semi")
+        bought.join(neighbours, "user_id", "left_semi")
+        .join(owned, "product_id", "left_anti")
+        .distinct()
         .groupBy("product_id")
         .agg(F.count("*").alias("recommendation_score"))
         .join(products.select("product_id", "product_name", "category", "current_price"), "product_id")
@@ -254,7 +268,7 @@ def rec_item_lift(
     threshold (lift is at most users / buyers). Both go before pairs are formed.
     """
     total = users.agg(F.countDistinct("user_id")).scalar()
-    purchases = purchase_counts(transactions).select("user_id", "product_id")
+    purchases = materialize(purchase_counts(transactions).select("user_id", "product_id"), "purchases")
     popularity = purchases.groupBy("product_id").agg(F.count("*").alias("buyers"))
     eligible = popularity.filter(
         (F.col("buyers") >= min_common) & (F.col("buyers") * F.lit(min_lift) <= total)
@@ -306,18 +320,27 @@ def rec_similar_products(
     min_common: int = 2,
     limit: int = 10,
 ) -> DataFrame:
-    """Products most associated with one product: linear in the fact."""
+    """Products most associated with one product, from the rows of its buyers."""
     total = users.agg(F.countDistinct("user_id")).scalar()
-    purchases = purchase_counts(transactions).select("user_id", "product_id")
-    buyers = purchases.filter(F.col("product_id") == product_id).select("user_id", F.lit(1).alias("shared"))
+    bought = _bought(transactions).select("user_id", "product_id")
+    buyers = bought.filter(F.col("product_id") == product_id).select("user_id").distinct()
     base = buyers.agg(F.count("*")).scalar()
-    return (
-        purchases.filter(F.col("product_id") != product_id)
-        .join(buyers, "user_id", "left")
-        # popularity and co-purchases of every product from the same aggregate
+    together = (
+        bought.filter(F.col("product_id") != product_id)
+        .join(buyers, "user_id", "left_semi")
+        .distinct()
         .groupBy("product_id")
-        .agg(F.count("*").alias("paired_buyers"), F.count("shared").alias("co_purchase_count"))
+        .agg(F.count("*").alias("co_purchase_count"))
         .filter(F.col("co_purchase_count") >= min_common)
+    )
+    popularity = (
+        bought.join(together, "product_id", "left_semi")
+        .distinct()
+        .groupBy("product_id")
+        .agg(F.count("*").alias("paired_buyers"))
+    )
+    return (
+        together.join(popularity, "product_id")
         .withColumn("base_buyers", base)
         .withColumn(
             "lift", money_ratio(F.col("co_purchase_count") * total, F.col("base_buyers") * F.col("paired_buyers"), 2)

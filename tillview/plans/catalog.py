@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -194,7 +193,7 @@ PRODUCTS = {
 
 RECOMMENDATIONS = {
     "rec_user_jaccard": lambda s: recs.rec_user_jaccard(s.lines(), s.products(), user_id=1),
-    "rec_user_jaccard_batch": lambda s: recs.rec_user_jaccard_batch(s.lines(), s.products()),
+    "rec_user_jaccard_batch": lambda s: recs.rec_user_jaccard_batch(s.lines(), s.products(), s.users()),
     "rec_user_overlap": lambda s: recs.rec_user_overlap(s.lines(), s.products(), user_id=1),
     "rec_item_lift": lambda s: recs.rec_item_lift(s.lines(), s.products(), s.users()),
     "rec_similar_products": lambda s: recs.rec_similar_products(s.lines(), s.products(), s.users(), product_id=1),
@@ -347,9 +346,30 @@ JOBS = {
 }
 
 
+DELIVERIES = 4
+
+
+def _delivered(shop: Shop) -> str:
+    """The event table split by time into a few deliveries, written in their order."""
+    path = scratch_path(shop.spark, "deliveries")
+    fact = shop.table("events")
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    bounds = fact.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).select(seconds("low"), seconds("high")).first()
+    low, high = bounds[0] or 0, bounds[1] or 0
+    cuts = [low + (high - low) * i // DELIVERIES for i in range(DELIVERIES)] + [high + 1]
+    for begin, end in zip(cuts, cuts[1:]):
+        at = seconds("ts")
+        fact.filter((at >= begin) & (at < end)).write.mode("append").parquet(path)
+    return path
+
+
 def _messages(shop: Shop, *columns) -> DataFrame:
     """The event table as a stream of JSON messages, as a broker would deliver them."""
-    stream = parquet_stream(shop.spark, shop.folder, "events.parquet", shop.table("events").schema)
+    path = _delivered(shop)
+    files = max(1, len(shop.spark.read.parquet(path).inputFiles()) // DELIVERIES)  # of one delivery
+    stream = parquet_stream(
+        shop.spark, path, "*.parquet", shop.table("events").schema, maxFilesPerTrigger=files
+    )
     quantity = (F.pmod(F.col("event_id"), F.lit(4)) + 1).cast("int")
     fields = [
         F.col("event_id").cast("string").alias("event_id"),
@@ -366,7 +386,9 @@ def _messages(shop: Shop, *columns) -> DataFrame:
 def _keyed_result(shop: Shop, stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
     """Run a stream over everything there is and return the newest row per key."""
     path = scratch_path(shop.spark, label)
-    sinks.start_keyed(stream, f"{path}/updates", f"{path}/checkpoint", available_now=True).awaitTermination()
+    sinks.start_keyed(
+        stream, f"{path}/updates", f"{path}/checkpoint", available_now=True, keys=keys, compact_every=3
+    ).awaitTermination()
     return sinks.read_keyed(shop.spark, f"{path}/updates", keys)
 
 
@@ -394,50 +416,77 @@ def _stream_user_totals(shop: Shop) -> DataFrame:
     return _keyed_result(shop, purchase_stream.running_user_totals(rows), "user-totals", ["user_id"])
 
 
+def _stream_sessions(shop: Shop) -> DataFrame:
+    days = events.session_rollup(events.parse_events(_messages(shop)), lateness="1 hour")
+    return events.merge_sessions(_keyed_result(shop, days, "sessions", ["day", "session_id"])).drop("device")
+
+
 STREAMS = {
     "stream_event_counts": _stream_event_counts,
     "stream_ingest_transactions": _stream_ingest,
     "stream_user_totals": _stream_user_totals,
-    "stream_session_rollup": lambda s: events.session_rollup(s.events()),
+    "stream_session_rollup": _stream_sessions,
     "event_funnel": lambda s: events.event_funnel(s.events(), ["view", "click", "purchase"]),
 }
 
-# Boosting rounds and gates for the shared tables: labels there are random and the
-# smallest has 150 users, so no model passes the usual gates.
-SHARED_GATES = {"rounds": 5, "min_auc": 0.0, "min_rows": 100}
+def _training(shop: Shop) -> DataFrame:
+    return churn.churn_training_set(shop.orders(), shop.last_order)
 
 
-@lru_cache(maxsize=4)
-def _trained(spark: SparkSession, folder: str) -> ml.ChurnModel:
-    return ml.churn_train(_training(Shop(spark, folder)), **SHARED_GATES)
+def _scoring(shop: Shop) -> DataFrame:
+    return churn.churn_scoring_set(shop.orders(), shop.last_order)
 
 
-def _model(shop: Shop) -> ml.ChurnModel:
-    return _trained(shop.spark, shop.folder)
+def _training_report(shop: Shop) -> DataFrame:
+    """The candidates' AUC and what the gates decide; few rows are a decision, too."""
+    try:
+        report, decision = ml.churn_candidates(_training(shop))
+    except ml.GateError:
+        report, decision = {}, "too few rows"
+    chosen = ml.choose(report) if report else None
+    rows = [(name, auc, name == chosen, decision) for name, auc in report.items()] or [(None, None, None, decision)]
+    return shop.spark.createDataFrame(rows, "candidate string, cv_auc double, chosen boolean, decision string")
 
 
-def _training(shop: Shop) -> DataFrame:
-    return churn.churn_training_set(shop.orders(), shop.last_order)
+def _fitted(shop: Shop) -> ml.ChurnModel:
+    """The boosted trees on all rows, to explain and describe them; scoring asks the gates."""
+    return ml.churn_fit(_training(shop))
 
 
-def _training_report(shop: Shop) -> DataFrame:
-    model = _model(shop)
-    rows = [(name, auc, name == model.name) for name, auc in model.report.items()]
-    return shop.spark.createDataFrame(rows, "candidate string, cv_auc double, chosen boolean")
+def _scored(shop: Shop) -> DataFrame:
+    """Scores of the model that passes the gates, else of the heuristic."""
+    try:
+        model = ml.churn_train(_training(shop))
+    except ml.GateError:
+        model = None
+    return ml.churn_score_batch(_scoring(shop), model)
+
+
+def _holdout(shop: Shop) -> DataFrame:
+    try:
+        return ml.churn_holdout_eval(_training(shop))
+    except ml.GateError:
+        return shop.spark.createDataFrame([(None, "too few rows")], "churn_auc double, decision string")
 
 
 def _promoted(shop: Shop) -> DataFrame:
+    """The registry after the segment edges of two days were promoted one after the other."""
     registry = shop.spark.createDataFrame([], MODEL_REGISTRY)
-    model = _model(shop)
-    return ml.model_registry_promote(registry, "churn_model", "v1", "2024-01-31 02:00:00", model.report)
+    for days_back in (30, 0):
+        orders = shop.orders()
+        until = orders.filter(F.col(TS) < Anchor(orders, shop.last_order).midnight(days_back - 1))
+        edges = customers.rfm_breakpoints(customers.user_metrics(shop.users(), until))
+        registry = ml.register_rfm(registry, edges, f"minus-{days_back}", "2024-01-31 02:00:00")
+    return registry
 
 
 MODEL = {
     "churn_train": _training_report,
-    "churn_score_batch": lambda s: ml.churn_score_batch(churn.churn_feature_prep(_metrics(s)), _model(s)),
-    "churn_model_factors": lambda s: ml.churn_model_factors(churn.churn_feature_prep(_metrics(s)), _model(s)),
-    "churn_model_report": lambda s: ml.churn_model_report(_training(s), _model(s)),
-    "churn_holdout_eval": lambda s: ml.churn_holdout_eval(_training(s), **SHARED_GATES),
+    "churn_score_batch": _scored,
+    "churn_score_heuristic": lambda s: ml.churn_score_batch(churn.churn_feature_prep(_metrics(s)), None),
+    "churn_model_factors": lambda s: ml.churn_model_factors(_scoring(s), _fitted(s)),
+    "churn_model_report": lambda s: ml.churn_model_report(_training(s), _fitted(s)),
+    "churn_holdout_eval": _holdout,
     "rfm_silhouette": lambda s: ml.rfm_silhouette(_metrics(s)),
     "model_registry_promote": _promoted,
 }

@@ -27,8 +27,11 @@ def kafka_stream(
     return reader.load()
 
 
-def parquet_stream(spark: SparkSession, folder: str, file_glob: str, schema: StructType) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(folder)
+def parquet_stream(spark: SparkSession, folder: str, file_glob: str, schema: StructType, **options) -> DataFrame:
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+    for key, value in options.items():
+        reader = reader.option(key, value)
+    return reader.parquet(folder)
 
 
 def write_counted(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> int:

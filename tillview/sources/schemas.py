@@ -7,7 +7,6 @@ from pyspark.sql.types import (
     DateType,
     DecimalType,
     DoubleType,
-    IntegerType,
     LongType,
     StringType,
     StructField,
@@ -23,94 +22,32 @@ def _struct(*fields: tuple) -> StructType:
 USER_EVENT = _struct(
     ("event_id", StringType()),
     ("event_type", StringType()),
-    ("user_id", IntegerType()),
+    ("user_id", LongType()),
     ("session_id", StringType()),
     ("timestamp", StringType()),
     ("page", StringType()),
-    ("product_id", IntegerType()),
+    ("product_id", LongType()),
     ("device_type", StringType()),
     ("browser", StringType()),
     ("referrer", StringType()),
-    ("position", IntegerType()),
+    ("position", LongType()),
     ("source", StringType()),
-    ("quantity", IntegerType()),
+    ("quantity", LongType()),
 )
 
 TRANSACTION_EVENT = _struct(
     ("event_id", StringType()),
     ("event_type", StringType()),
-    ("user_id", IntegerType()),
+    ("user_id", LongType()),
     ("session_id", StringType()),
-    ("product_id", IntegerType()),
-    ("quantity", IntegerType()),
+    ("product_id", LongType()),
+    ("quantity", LongType()),
     ("unit_price", DoubleType()),
     ("total_amount", DoubleType()),
     ("payment_method", StringType()),
     ("timestamp", StringType()),
 )
 
-TRANSACTIONS = _struct(
-    ("transaction_id", LongType()),
-    ("user_id", IntegerType()),
-    ("product_id", IntegerType()),
-    ("session_id", StringType()),
-    ("transaction_date", TimestampType()),
-    ("quantity", IntegerType()),
-    ("unit_price", DecimalType(10, 2)),
-    ("total_amount", DecimalType(12, 2)),
-    ("discount_amount", DecimalType(10, 2)),
-    ("tax_amount", DecimalType(10, 2)),
-    ("shipping_cost", DecimalType(10, 2)),
-    ("payment_method", StringType()),
-    ("order_status", StringType()),
-)
-
-USERS = _struct(
-    ("user_id", IntegerType()),
-    ("email", StringType()),
-    ("registration_date", DateType()),
-    ("country", StringType()),
-    ("city", StringType()),
-    ("age_group", StringType()),
-    ("gender", StringType()),
-    ("persona", StringType()),
-    ("customer_segment", StringType()),
-    ("lifetime_value", DecimalType(12, 2)),
-    ("churn_risk_score", DecimalType(3, 2)),
-    ("last_purchase_date", DateType()),
-    ("total_purchases", LongType()),
-)
-
-PRODUCTS = _struct(
-    ("product_id", IntegerType()),
-    ("product_name", StringType()),
-    ("category", StringType()),
-    ("subcategory", StringType()),
-    ("brand", StringType()),
-    ("unit_cost", DecimalType(10, 2)),
-    ("current_price", DecimalType(10, 2)),
-    ("stock_quantity", IntegerType()),
-)
-
-SESSIONS = _struct(
-    ("session_id", StringType()),
-    ("user_id", IntegerType()),
-    ("session_start", TimestampType()),
-    ("session_end", TimestampType()),
-    ("device", StringType()),
-    ("pages_viewed", LongType()),
-    ("duration_seconds", LongType()),
-)
-
-REALTIME_METRICS = _struct(
-    ("window_start", TimestampType()),
-    ("window_end", TimestampType()),
-    ("event_type", StringType()),
-    ("event_count", IntegerType()),
-    ("unique_users", IntegerType()),
-    ("unique_sessions", IntegerType()),
-)
-
 DAILY_REPORT_LOG = _struct(
     ("report_date", DateType()),
     ("total_users", LongType()),
@@ -127,13 +64,6 @@ MODEL_REGISTRY = _struct(
     ("is_active", BooleanType()),
 )
 
-AB_ASSIGNMENTS = _struct(
-    ("user_id", IntegerType()),
-    ("experiment_key", StringType()),
-    ("variant", StringType()),
-    ("assigned_at", TimestampType()),
-)
-
 AB_METRICS = _struct(
     ("metric_date", DateType()),
     ("experiment_key", StringType()),

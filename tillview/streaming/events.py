@@ -45,11 +45,37 @@ def event_counts(events: DataFrame, window: str = WINDOW, lateness: str = LATENE
     )
 
 
-def session_rollup(events: DataFrame) -> DataFrame:
-    """The sessions table from events that carry a session id, in batch or as a stream."""
+def session_rollup(events: DataFrame, lateness: str | None = None) -> DataFrame:
+    """The sessions table from events that carry a session id, in batch or as a stream.
+
+    As a stream give ``lateness``: sessions are kept per day of their events and leave the
+    state once the watermark has passed the day; :func:`merge_sessions` puts the days together.
+    """
+    if lateness is not None:
+        events = events.withWatermark("timestamp", lateness)
+    keys = ["session_id"] if lateness is None else [F.window("timestamp", "1 day").alias("day"), "session_id"]
+    rolled = _rolled_up(events, keys)
+    return rolled if lateness is None else rolled.withColumn("day", F.col("day.start"))
+
+
+def merge_sessions(days: DataFrame) -> DataFrame:
+    """One row per session from the rows of its days."""
+    device = [F.max("device").alias("device")] if "device" in days.columns else []
+    start, end = F.min("session_start"), F.max("session_end")
+    return days.groupBy("session_id").agg(
+        F.max("user_id").alias("user_id"),
+        start.alias("session_start"),
+        end.alias("session_end"),
+        *device,
+        F.sum("pages_viewed").alias("pages_viewed"),
+        F.timestamp_diff("SECOND", start, end).alias("duration_seconds"),
+    )
+
+
+def _rolled_up(events: DataFrame, keys: list) -> DataFrame:
     device = [F.max("device_type").alias("device")] if "device_type" in events.columns else []
     start, end = F.min("timestamp"), F.max("timestamp")
-    return events.filter(F.col("session_id").isNotNull()).groupBy("session_id").agg(
+    return events.filter(F.col("session_id").isNotNull()).groupBy(*keys).agg(
         F.max("user_id").alias("user_id"),
         start.alias("session_start"),
         end.alias("session_end"),
@@ -60,16 +86,21 @@ def session_rollup(events: DataFrame) -> DataFrame:
 
 
 def event_funnel(events: DataFrame, stages: list[str], key: str = "session_id") -> DataFrame:
-    """How many keys got to each stage, having passed all stages before it."""
-    passed = [F.bool_or(F.col("event_type") == stage) for stage in stages]
-    flags = events.filter(F.col("event_type").isin(stages) & F.col(key).isNotNull()).groupBy(key).agg(
-        *[p.alias(f"stage_{i}") for i, p in enumerate(passed)]
+    """How many keys got to each stage, having passed all stages before it in order.
+
+    A stage counts from its first time, which may not lie before that of the stage
+    before it. One aggregation of fixed-size state per key.
+    """
+    times = [F.min(F.when(F.col("event_type") == stage, F.col("timestamp"))) for stage in stages]
+    firsts = events.filter(F.col("event_type").isin(stages) & F.col(key).isNotNull()).groupBy(key).agg(
+        *[t.alias(f"first_{i}") for i, t in enumerate(times)]
     )
-    reached, so_far = [], F.lit(True)
+    reached, so_far = [], F.col("first_0").isNotNull()
     for i in range(len(stages)):
-        so_far = so_far & F.col(f"stage_{i}")
+        if i:
+            so_far = so_far & F.coalesce(F.col(f"first_{i}") >= F.col(f"first_{i - 1}"), F.lit(False))
         reached.append(F.count_if(so_far).alias(f"reached_{i}"))
-    totals = flags.agg(*reached)
+    totals = firsts.agg(*reached)
     rows = F.array(
         *[
             F.struct(
