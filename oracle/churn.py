@@ -281,4 +281,27 @@ SQL = {
                          {rnd('LEAST(1, recency_days / 365.0::DOUBLE) * 0.6 + (1 - LEAST(1, frequency / 20.0::DOUBLE)) * 0.4', 4)} AS p
                   FROM metrics)""",
     ),
+    "model_registry_promote": query(
+        "orders_fact",
+        """SELECT 'rfm_segments' AS model_name, 'minus-' || k AS version, '2024-01-31 02:00:00.000000' AS trained_at,
+                  '{"frequency": ' || CAST(list_transform(f, lambda v: ROUND(v, 4)) AS VARCHAR) || ', "monetary": '
+                  || CAST(list_transform(m, lambda v: ROUND(v, 4)) AS VARCHAR) || ', "recency_days": '
+                  || CAST(list_transform(r, lambda v: ROUND(v, 4)) AS VARCHAR) || '}' AS metrics, TRUE AS is_active
+           FROM (SELECT k, quantile_cont(frequency, [0, 0.2, 0.4, 0.6, 0.8, 1]) AS f,
+                        quantile_cont(monetary, [0, 0.2, 0.4, 0.6, 0.8, 1]) AS m,
+                        quantile_cont(recency, [0, 0.2, 0.4, 0.6, 0.8, 1]) AS r FROM b GROUP BY k)""",
+        (
+            "o",
+            """SELECT t.*, k FROM orders_fact t, (SELECT UNNEST([30, 0]) AS k)
+               WHERE transaction_date < (SELECT CAST(MAX(transaction_date) AS DATE) FROM orders_fact) - (k - 1)""",
+        ),
+        (
+            "b",
+            """SELECT o.k, user_id, CAST(MIN(newest) - MAX(CAST(transaction_date AS DATE)) AS DOUBLE) AS recency,
+                      CAST(COUNT(DISTINCT transaction_id) AS DOUBLE) AS frequency, CAST(SUM(total_amount) AS DOUBLE) AS monetary
+               FROM o JOIN (SELECT k, MAX(CAST(transaction_date AS DATE)) AS newest FROM o GROUP BY k) n ON n.k = o.k
+               WHERE user_id IN (SELECT c_custkey FROM customer)
+               GROUP BY o.k, user_id""",
+        ),
+    ),
 }

@@ -1,6 +1,6 @@
 """Statements for the jobs and the streams."""
 
-from oracle.base import big, dbl, query, sec
+from oracle.base import big, dbl, query, rnd, sec
 from oracle.customers import SQL as CUSTOMER_SQL
 
 TS = "timestamp"
@@ -62,4 +62,33 @@ SQL = {
                                     MIN(timestamp) FILTER (event_type = 'purchase') AS p
                              FROM all_events GROUP BY session_id)))""",
     ),
+    "nightly_run": query(
+        "buyers snapshot users",
+        """SELECT table_name, rows, 'pass' AS decision FROM (
+             SELECT 'mart_rfm_segments' AS table_name, COUNT(*) AS rows FROM buyers
+             UNION ALL SELECT 'mart_churn_features', COUNT(*) FROM buyers
+             UNION ALL SELECT 'mart_daily_snapshot', COUNT(*) FROM snapshot
+             UNION ALL SELECT 'users', COUNT(*) FROM users
+             UNION ALL SELECT 'daily_report_log', COUNT(*) FROM snapshot
+                       WHERE report_date = (SELECT MAX(report_date) FROM snapshot) - 1)
+           WHERE EXISTS (SELECT 1 FROM snapshot WHERE report_date = (SELECT MAX(report_date) FROM snapshot) - 1)""",
+    ),
+    "export_marts": query(
+        "lines buyers snapshot",
+        """SELECT 'transactions' AS table_name, COUNT(*) AS rows FROM lines
+           UNION ALL SELECT 'mart_rfm_segments', COUNT(*) FROM buyers
+           UNION ALL SELECT 'mart_churn_features', COUNT(*) FROM buyers
+           UNION ALL SELECT 'mart_daily_snapshot', COUNT(*) FROM snapshot""",
+    ),
+    "ab_metrics_upsert": query(
+        "assigned orders_fact",
+        f"""SELECT strftime(day, '%Y-%m-%d') AS metric_date, 'churn-discount-v1' AS experiment_key, variant, assigned_users,
+                   converted_users, {rnd('converted_users / CAST(assigned_users AS DOUBLE)', 4)} AS conversion_rate
+            FROM (SELECT d.day, a.variant, COUNT(DISTINCT a.user_id) AS assigned_users, COUNT(DISTINCT t.user_id) AS converted_users
+                  FROM d CROSS JOIN assigned a LEFT JOIN orders_fact t
+                    ON a.user_id = t.user_id AND t.transaction_date >= a.assigned_at
+                   AND t.transaction_date <= a.assigned_at + INTERVAL 7 DAY AND t.transaction_date <= d.day
+                  GROUP BY d.day, a.variant)""",
+        ("d", "SELECT CAST(MAX(transaction_date) AS DATE) - UNNEST([0, 1]) AS day FROM orders_fact"),
+    ),
 }

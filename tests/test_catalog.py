@@ -16,7 +16,6 @@ WITHOUT_SQL = {
     "churn_model_factors",
     "churn_model_report",
     "churn_holdout_eval",
-    "model_registry_promote",
 }
 
 

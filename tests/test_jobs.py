@@ -88,6 +88,23 @@ def test_experiment_metrics_are_upserted(spark, shop, tmp_path):
     assert metrics.count() == 2 and metrics.agg(F.sum("assigned_users")).first()[0] == 30
 
 
+def test_nothing_is_shown_before_its_test(spark, shop, tmp_path, monkeypatch):
+    users, fact = shop
+    monkeypatch.setattr(jobs.quality, "dq_accepted_values", lambda *a: spark.createDataFrame([("x", "fail", 1.0)], "check_name string, status string, value double"))
+    with pytest.raises(jobs.QualityError):
+        jobs.run_nightly(users, fact, spark.createDataFrame([], DAILY_REPORT_LOG), str(tmp_path))
+    assert VersionedTable(spark, str(tmp_path / "mart_rfm_segments")).versions() == []
+
+
+def test_runs_are_expired(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "scratch_root", lambda _: str(tmp_path))
+    scratch.materialize(spark.range(3), "x")
+    (tmp_path / "tillview-run-other").mkdir()
+    (tmp_path / "kept").mkdir()
+    assert scratch.expire_runs(spark, hours=100) == 1  # this application's own
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["kept", "tillview-run-other"]
+
+
 def test_scratch_follows_the_session(spark):
     assert scratch.scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
     stored = scratch.materialize(spark.range(3), "x")

@@ -33,6 +33,11 @@ def mean(col: Column | str) -> Column:
     return F.try_divide(F.sum(col).cast("double"), F.count(col))
 
 
+def mean_of_sums(total: Column | str, count: Column | str) -> Column:
+    """As :func:`mean`, from partial sums and counts."""
+    return F.try_divide(F.sum(total).cast("double"), F.sum(count))
+
+
 def distinct_if(condition: Column, col: Column | str) -> Column:
     return F.countDistinct(F.when(condition, _c(col)))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillview.functions.dates import TS, Anchor
 from tillview.functions.hashing import fnv1a32
-from tillview.functions.numeric import mean, ratio
+from tillview.functions.numeric import mean, mean_of_sums, ratio
 from tillview.functions.ranks import Target, exact_percentiles, find_ranks, with_ntiles
 from tillview.sources.scratch import materialize
 
@@ -73,18 +73,25 @@ def user_metrics(users: DataFrame, transactions: DataFrame, as_of=None) -> DataF
     The fact is reduced to one row per user before it meets the users.
     """
     anchor = Anchor(transactions, as_of)
-    totals = [
-        F.max(TS).alias("last_purchase_date"),
-        F.min(TS).alias("first_purchase_date"),
+    items = [F.sum("quantity").alias("items")] if "quantity" in transactions.columns else []
+    # one row per order first: the distinct counts then see no order lines
+    orders = transactions.groupBy("user_id", "transaction_id", F.to_date(TS).alias("day")).agg(
+        F.max(TS).alias("last"),
+        F.min(TS).alias("first"),
+        F.sum("total_amount").alias("spent"),
+        F.count("total_amount").alias("amounts"),
+        *items,
+    )
+    counted = ["frequency", "monetary", "avg_order_value", "purchase_days", "total_items_purchased"]
+    bought = orders.groupBy("user_id").agg(
+        F.max("last").alias("last_purchase_date"),
+        F.min("first").alias("first_purchase_date"),
         F.countDistinct("transaction_id").alias("frequency"),
-        F.sum("total_amount").alias("monetary"),
-        mean("total_amount").alias("avg_order_value"),
-        F.countDistinct(F.to_date(TS)).alias("purchase_days"),
-    ]
-    if "quantity" in transactions.columns:
-        totals.append(F.sum("quantity").alias("total_items_purchased"))
-    counted = [c for c in ("frequency", "monetary", "avg_order_value", "purchase_days", "total_items_purchased")]
-    bought = transactions.groupBy("user_id").agg(*totals)
+        F.sum("spent").alias("monetary"),
+        mean_of_sums("spent", "amounts").alias("avg_order_value"),
+        F.countDistinct("day").alias("purchase_days"),
+        *([F.sum("items").alias("total_items_purchased")] if items else []),
+    )
     labels = [c for c in ("customer_segment",) if c in users.columns]
     return (
         users.select("user_id", "email", *labels)

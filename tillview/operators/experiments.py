@@ -64,8 +64,9 @@ def ab_conversion(
         "user_id", "variant", F.col("assigned_at").cast(kind).alias("assigned_at")
     )
     week = F.expr(f"INTERVAL {CONVERSION_DAYS} DAYS")
-    first = assigned.agg(F.min("assigned_at")).scalar()
-    last = assigned.agg((F.max("assigned_at") + week).cast(kind)).scalar()
+    span = assigned.agg(F.min("assigned_at").alias("first"), (F.max("assigned_at") + week).cast(kind).alias("last")).first()
+    # as literals the bounds reach the scan of the fact
+    first, last = (F.lit(None if x is None else str(x)).cast(kind) for x in span)
     sales = transactions.filter((F.col(TS) >= first) & (F.col(TS) <= last)).select(
         F.col("user_id").alias("buyer"), F.col(TS).alias("bought_at")
     )

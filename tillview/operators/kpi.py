@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillview.functions.dates import TS, Anchor
-from tillview.functions.numeric import distinct_if, mean, money_ratio, ratio, sum_if
+from tillview.functions.numeric import distinct_if, mean, mean_of_sums, money_ratio, ratio, sum_if
 
 
 
@@ -78,17 +78,23 @@ def daily_metrics(transactions: DataFrame) -> DataFrame:
     ``new_customers`` counts every buyer of the day, which is what the original
     view computes; ``first_time_customers`` counts those who never bought before.
     """
+    # one row per order first: the distinct counts then see no order lines
+    orders = transactions.groupBy(F.to_date(TS).alias("metric_date"), "user_id", "transaction_id", "session_id").agg(
+        F.sum("total_amount").alias("revenue"),
+        F.count("total_amount").alias("amounts"),
+        F.sum("quantity").alias("items"),
+        F.sum("discount_amount").alias("discounts"),
+    )
     by_day = (
-        transactions.withColumn("metric_date", F.to_date(TS))
-        .groupBy("metric_date")
+        orders.groupBy("metric_date")
         .agg(
             F.countDistinct("user_id").alias("daily_active_users"),
             F.countDistinct("transaction_id").alias("total_transactions"),
-            F.sum("total_amount").alias("total_revenue"),
-            mean("total_amount").alias("avg_order_value"),
-            F.sum("quantity").alias("total_items_sold"),
+            F.sum("revenue").alias("total_revenue"),
+            mean_of_sums("revenue", "amounts").alias("avg_order_value"),
+            F.sum("items").alias("total_items_sold"),
             F.countDistinct("session_id").alias("total_sessions"),
-            F.sum("discount_amount").alias("total_discounts"),
+            F.sum("discounts").alias("total_discounts"),
         )
         .withColumn("new_customers", F.col("daily_active_users"))
     )
@@ -120,14 +126,22 @@ def daily_kpis(daily: DataFrame, as_of=None, days: int = 30) -> DataFrame:
 
 
 def mart_daily_snapshot(staged: DataFrame) -> DataFrame:
-    return staged.groupBy(F.col(TS).alias("report_date")).agg(
+    orders = staged.groupBy(F.col(TS).alias("report_date"), "user_id", "transaction_id").agg(
+        F.sum("total_amount").alias("revenue"), F.count("total_amount").alias("amounts")
+    )
+    return orders.groupBy("report_date").agg(
         F.countDistinct("user_id").alias("total_users"),
         F.countDistinct("transaction_id").alias("total_transactions"),
-        F.round(F.sum("total_amount"), 2).alias("total_revenue"),
-        ratio(F.sum("total_amount"), F.count("total_amount"), 2).alias("avg_order_value"),
+        F.round(F.sum("revenue"), 2).cast(_sum_type(staged)).alias("total_revenue"),
+        ratio(F.sum("revenue"), F.sum("amounts"), 2).alias("avg_order_value"),
     )
 
 
+def _sum_type(staged: DataFrame):
+    """The type that one sum of the amounts has."""
+    return staged.select(F.round(F.sum("total_amount"), 2)).schema[0].dataType
+
+
 def daily_volume(transactions: DataFrame, as_of=None, days: int = 90) -> DataFrame:
     return (
         transactions.filter(Anchor(transactions, as_of).since_day(days))

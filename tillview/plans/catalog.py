@@ -26,8 +26,8 @@ from tillview.operators import (
 )
 from tillview.plans import jobs
 from tillview.sources.readers import parquet_stream
-from tillview.sources.schemas import MODEL_REGISTRY
-from tillview.sources.scratch import scratch_path
+from tillview.sources.schemas import AB_METRICS, DAILY_REPORT_LOG, MODEL_REGISTRY
+from tillview.sources.scratch import materialize, scratch_path
 from tillview.sources.shop import Shop, session_id
 from tillview.sources.versions import VersionedTable
 from tillview.streaming import events, sinks
@@ -207,11 +207,26 @@ def _offers(shop: Shop) -> DataFrame:
 
 def _assignments(shop: Shop, days_back: int = 30) -> DataFrame:
     moment = Anchor(shop.orders(), shop.last_order).midnight(days_back)
-    return experiments.ab_assignments(_offers(shop), moment)
+    # the log is read several times below; deriving it scans the whole fact
+    return materialize(experiments.ab_assignments(_offers(shop), moment), "assignments")
 
 
-def _conversion(shop: Shop) -> DataFrame:
-    return experiments.ab_conversion(_assignments(shop), shop.orders(), shop.last_order)
+def _conversion(shop: Shop, assignments: DataFrame | None = None) -> DataFrame:
+    return experiments.ab_conversion(
+        _assignments(shop) if assignments is None else assignments, shop.orders(), shop.last_order
+    )
+
+
+def _ab_summary(shop: Shop) -> DataFrame:
+    assignments = _assignments(shop)
+    return experiments.ab_summary(
+        _conversion(shop, assignments), assignments, Anchor(shop.orders(), shop.last_order).date
+    )
+
+
+def _ab_results(shop: Shop) -> DataFrame:
+    assignments = _assignments(shop)
+    return experiments.ab_results(assignments, _conversion(shop, assignments))
 
 
 def _sticky_log(shop: Shop) -> DataFrame:
@@ -226,8 +241,8 @@ EXPERIMENTS = {
     "ab_assign": _offers,
     "ab_log_sticky": _sticky_log,
     "ab_conversion": _conversion,
-    "ab_summary": lambda s: experiments.ab_summary(_conversion(s), _assignments(s), Anchor(s.orders(), s.last_order).date),
-    "ab_results": lambda s: experiments.ab_results(_assignments(s), _conversion(s)),
+    "ab_summary": _ab_summary,
+    "ab_results": _ab_results,
 }
 
 
@@ -337,7 +352,50 @@ def _refreshed(shop: Shop) -> DataFrame:
     return shop.spark.createDataFrame(list(report.rows.items()), "view string, rows bigint")
 
 
+def _report(shop: Shop, report: jobs.JobReport) -> DataFrame:
+    rows = [(name, n, report.decision) for name, n in report.rows.items()]
+    return shop.spark.createDataFrame(rows, "table_name string, rows bigint, decision string")
+
+
+def _nightly(shop: Shop) -> DataFrame:
+    """The nightly run: what it wrote, table by table."""
+    users = shop.users().select(
+        "user_id",
+        "email",
+        F.lit(None).cast("string").alias("customer_segment"),
+        F.lit(None).cast("decimal(3,2)").alias("churn_risk_score"),
+    )
+    log = shop.spark.createDataFrame([], DAILY_REPORT_LOG)
+    return _report(shop, jobs.run_nightly(users, shop.orders(), log, scratch_path(shop.spark, "nightly"), shop.last_order))
+
+
+def _exported_marts(shop: Shop) -> DataFrame:
+    """The export with its marts: rows of each table."""
+    marts = {
+        "mart_rfm_segments": customers.mart_rfm_segments(customers.int_rfm_scores(_staged(shop), shop.last_order)),
+        "mart_churn_features": _features(shop),
+        "mart_daily_snapshot": _snapshot(shop),
+    }
+    rows = jobs.run_export(shop.lines(), marts, scratch_path(shop.spark, "export"))
+    return shop.spark.createDataFrame(list(rows.items()), "table_name string, rows bigint")
+
+
+def _experiment_metrics(shop: Shop) -> DataFrame:
+    """Two days of experiment metrics, upserted one after the other."""
+    table = VersionedTable(shop.spark, scratch_path(shop.spark, "ab-metrics"))
+    metrics = shop.spark.createDataFrame([], AB_METRICS)
+    orders, assignments = shop.orders(), _assignments(shop)
+    for days_back in (1, 0, 0):  # the last day is run twice and stays one
+        moment = Anchor(orders, shop.last_order).midnight(days_back)
+        jobs.run_experiment_metrics(assignments, orders.filter(F.col(TS) <= moment), metrics, table, moment)
+        metrics = table.read()
+    return metrics
+
+
 JOBS = {
+    "nightly_run": _nightly,
+    "export_marts": _exported_marts,
+    "ab_metrics_upsert": _experiment_metrics,
     "refresh_views": _refreshed,
     "export_then_read": lambda s: _exported(s).groupBy("txn_month").agg(
         F.count("*").alias("rows"), F.sum("total_amount").alias("revenue")

@@ -33,7 +33,11 @@ def refresh_views(users: DataFrame, transactions: DataFrame, root: str, as_of=No
         "daily_metrics": kpi.daily_metrics(transactions),
         "user_metrics": customers.user_metrics(users, transactions, as_of),
     }
-    return JobReport(rows={name: VersionedTable(spark, f"{root}/{name}").replace(df) for name, df in views.items()})
+    staged = {name: VersionedTable(spark, f"{root}/{name}").stage(df) for name, df in views.items()}
+    # both are complete before either is shown
+    for name, (folder, _) in staged.items():
+        VersionedTable(spark, f"{root}/{name}").publish(folder)
+    return JobReport(rows={name: rows for name, (_, rows) in staged.items()})
 
 
 def run_nightly(users: DataFrame, transactions: DataFrame, report_log: DataFrame, root: str, as_of=None) -> JobReport:
@@ -62,11 +66,10 @@ def run_nightly(users: DataFrame, transactions: DataFrame, report_log: DataFrame
         "mart_churn_features": churn.mart_churn_features(staged, as_of),
         "mart_daily_snapshot": kpi.mart_daily_snapshot(staged),
     }
-    built = {}
+    built, folders = {}, {}
     for name, df in marts.items():
-        table = VersionedTable(spark, f"{root}/{name}")
-        report.rows[name] = table.replace(df, min_rows=0)
-        built[name] = table.read()
+        folders[name], report.rows[name] = VersionedTable(spark, f"{root}/{name}").stage(df, min_rows=0)
+        built[name] = spark.read.schema(df.schema).parquet(folders[name])
     segments = [*customers.SEGMENT_ACTIONS, customers.FALLBACK_SEGMENT]
     _require(
         quality.dq_unique(built["mart_rfm_segments"], "user_id"),
@@ -74,6 +77,9 @@ def run_nightly(users: DataFrame, transactions: DataFrame, report_log: DataFrame
         quality.dq_not_null(built["mart_churn_features"], ["user_id", *churn.FEATURES]),
         quality.dq_unique(built["mart_daily_snapshot"], "report_date"),
     )
+    # shown only after the tests
+    for name, folder in folders.items():
+        VersionedTable(spark, f"{root}/{name}").publish(folder)
 
     # both write-backs in one pass over the users
     updated = tables.apply_churn_to_users(

@@ -36,6 +36,9 @@ def parquet_stream(spark: SparkSession, folder: str, file_glob: str, schema: Str
 
 def write_counted(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> int:
     """Write Parquet and return the row count, which the footers hold: no column is read."""
+    if partition_by:
+        # rows of a partition meet in few tasks; AQE splits a large one and joins small ones
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

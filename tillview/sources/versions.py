@@ -34,13 +34,22 @@ class VersionedTable:
             raise FileNotFoundError(f"no complete version under {self.path}")
         return self.spark.read.parquet(versions[-1])
 
-    def replace(self, df: DataFrame, min_rows: int = 1) -> int:
-        """Write a new version and switch to it; rows are counted from the files' footers."""
+    def stage(self, df: DataFrame, min_rows: int = 1) -> tuple[str, int]:
+        """Write a new version that nobody sees yet: its folder and rows, counted from the footers."""
         folder = f"{self.path}/v={time.time_ns():020d}"
         rows = write_counted(df, folder, mode="errorifexists")
         if rows < min_rows:
             raise EmptyTableError(f"{self.path}: {rows} rows, expected at least {min_rows}")
+        return folder, rows
+
+    def publish(self, folder: str) -> None:
+        """Switch readers to a staged version."""
         self._fs().createNewFile(self._hadoop_path(f"{folder}/{_READY}"))
+
+    def replace(self, df: DataFrame, min_rows: int = 1) -> int:
+        """Stage and publish."""
+        folder, rows = self.stage(df, min_rows)
+        self.publish(folder)
         return rows
 
     def expire(self, keep: int = 2) -> None:
