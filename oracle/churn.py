@@ -17,6 +17,7 @@ AT_RISK = """
     FROM risk r JOIN metrics m ON m.user_id = r.user_id WHERE r.score > 0.7
     ORDER BY r.score DESC, m.user_id"""
 
+# fixed values: the explanation texts
 FACTORS = """list_filter([
     CASE WHEN recency_days > 90 THEN 'High recency — ' || recency_days || ' days since last purchase' END,
     CASE WHEN frequency < 3 THEN 'Low frequency — only ' || frequency || ' orders' END,

@@ -81,6 +81,7 @@ def churn_heuristic(features: DataFrame) -> DataFrame:
 
 def rule_factors() -> Column:
     spend = F.round("monetary", 0).cast("bigint")
+    # fixed values: the explanation texts
     reasons = F.array(
         F.when(
             F.col("recency_days") > 90,
