@@ -40,6 +40,8 @@ ARCHIVE_BYTES = 64 << 20
 #: Ranges that lie closer than this are read together, in reads of READ_BYTES or one record.
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
+#: Compressed bytes that a reading task fetches, about.
+TASK_BYTES = 16 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX_SCHEMA = "id bigint, url string, digest string, record_type string, archive string, offset bigint, length bigint"
 RECORD_SCHEMA = (
@@ -203,7 +205,10 @@ def read_records(selected: DataFrame, folder: str, with_payload: bool = True) ->
         if ranges:
             yield fetch(archive, ranges)
 
-    dealt = selected.select("archive", "offset", "length").repartitionByRange("archive", "offset")
+    places = selected.select("archive", "offset", "length")
+    # the index is small, what it points to is not: tasks are sized by the bytes they will fetch
+    size = places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    dealt = places.repartitionByRange(size // TASK_BYTES + 1, "archive", "offset")
     return dealt.sortWithinPartitions("archive", "offset").mapInArrow(read, schema)
 
 
