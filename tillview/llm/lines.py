@@ -62,14 +62,16 @@ def removals(docs: DataFrame, key: str, text: str, site: str, min_sites: int = M
         else rows.groupBy("h", "g").agg(F.min("doc").alias("keeper"))
     )
     met = materialize(rows.join(spread, ["h", "g"]), "lines")
-    sketched = met.groupBy("h", "g").agg(F.hll_sketch_agg("site", SKETCH_SIZE).alias("sketch"))
+    # one row per line and site first: a line on few sites weighs no more for its many documents
+    places = met.select("h", "g", "site").distinct()
+    sketched = places.groupBy("h", "g").agg(F.hll_sketch_agg("site", SKETCH_SIZE).alias("sketch"))
     low = min(min_sites * (1 - NEAR), min_sites - 0.5)
     high = max(min_sites * (1 + NEAR), min_sites + 0.5)
     sized = materialize(
         sketched.select("h", "g", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") > low), "sizes"
     )
     near = sized.where(F.col("sites") < high).select("h", "g")
-    counted = met.join(near, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.count_distinct("site").alias("sites"))
+    counted = places.join(near, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.count("site").alias("sites"))
     boilerplate = (
         sized.where(F.col("sites") >= high).select("h", "g").union(counted.where(F.col("sites") >= min_sites).select("h", "g"))
     )
