@@ -61,7 +61,8 @@ def removals(docs: DataFrame, key: str, text: str, site: str, min_sites: int = M
         if min_sites > 1
         else rows.groupBy("h", "g").agg(F.min("doc").alias("keeper"))
     )
-    met = materialize(rows.join(spread, ["h", "g"]), "lines")
+    # written first: joined straight from its aggregation, the rows of a hot line couldn't be split
+    met = materialize(rows.join(materialize(spread, "spread"), ["h", "g"]), "lines")
     # one row per line and site first: a line on few sites weighs no more for its many documents
     places = met.select("h", "g", "site").distinct()
     sketched = places.groupBy("h", "g").agg(F.hll_sketch_agg("site", SKETCH_SIZE).alias("sketch"))
