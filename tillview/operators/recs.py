@@ -4,9 +4,9 @@ One user or one product is a look-up: its own rows come first, the candidates fo
 by semi join, and only their rows are aggregated; nothing is stored.
 
 Counting what all products have in common starts from the buyers they share. To share
-``k`` buyers, two products must share one that is not among the
-``k - 1`` busiest buyers of either. So these form no pairs; they are only looked up for
-the pairs that the other buyers have formed, and the counts stay exact. The members of
+``k`` buyers, two products must share some that are not among the few busiest buyers of
+either. So these form no pairs; they are only looked up for the pairs that the other
+buyers have formed often enough, and the counts stay exact. The members of
 a large group meet slice by slice: a task gets two slices, never a whole group.
 """
 
@@ -45,7 +45,10 @@ def overlapping_pairs(members: DataFrame, item: str, group: str, min_common: int
     if min_common < 2:
         return _shared_groups(ranked).filter(F.col("common") >= min_common)
 
-    left_out = _busiest_groups(ranked, min_common - 1)
+    # one global order of the groups: what two items lose of their overlap to the two cuts lies
+    # at its end, so at most one cut's length; the rest they must share among the kept groups
+    shared_kept = min(2, min_common - 1)
+    left_out = _busiest_groups(ranked, min_common - shared_kept)
     kept = ranked.join(left_out, ["item", "grp"], "left_anti")
     missing = left_out.groupBy("item").agg(F.count("*").alias("missing"))
     missing_of = lambda side: missing.select(F.col("item").alias(f"item_{side}"), F.col("missing").alias(f"missing_{side}"))
@@ -54,6 +57,7 @@ def overlapping_pairs(members: DataFrame, item: str, group: str, min_common: int
     # counted once and read three times below
     candidates = materialize(
         _shared_groups(kept)
+        .filter(F.col("common") >= shared_kept)
         .join(missing_of("a"), "item_a", "left")
         .join(missing_of("b"), "item_b", "left")
         .filter(within_reach)
