@@ -227,6 +227,18 @@ def test_minhash_edges_and_brute_force(spark, odd):
     assert minhash.classes(table.limit(0)).count() == 0
 
 
+def test_minhash_finds_pairs_that_repeat_differently(spark):
+    """Set Jaccard 0.818 where shingles of one text alone stand there twenty times."""
+
+    def text(pair, side):
+        shared = " ".join(f"p{pair}w{i}" for i in range(220))
+        return f"{shared} " + " ".join([" ".join(f"p{pair}{side}{i}" for i in range(20))] * 20)
+
+    rows = [(2 * pair + n, text(pair, side)) for pair in range(12) for n, side in enumerate("ab")]
+    got = minhash.classes(frame(spark, rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_minhash_of_large_groups_in_parts(spark, monkeypatch):
     from test_queries import brute_classes
 

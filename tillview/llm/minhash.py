@@ -1,14 +1,16 @@
 """Near-duplicate documents by ProbMinHash, banding and exact verification.
 
-Signature. A text is its five-word shingles, weighted 1 + ln(count). Each shingle is a
+Signature. A text is the set of its five-word shingles, all of weight 1 however often
+they stand there, since verification compares sets. Each shingle is a
 Poisson process with its weight as rate; every arrival goes to a uniform register, which
 keeps its earliest arrival. A shingle stops as soon as its next arrival is later than
 the latest register. Two registers agree with the probability Jaccard similarity of
-the weighted sets.
+the sets.
 
 Candidates. Texts with the same word sequence are one entry. Bands of registers make
 buckets; entries of a bucket whose signatures agree in ESTIMATE or more are joined, and
-the components of these joins are the candidate groups.
+the components of these joins are the candidate groups. A pair at SIMILARITY shares no
+bucket with probability (1 - 0.8^4)^25 = 2e-6, and is less likely to be lost above it.
 
 Verification. Within a candidate group all texts are compared by the exact Jaccard
 similarity of their shingle sets; the links at SIMILARITY or above make the classes.
@@ -40,9 +42,9 @@ from tillview.llm.components import connected
 from tillview.sources.scratch import materialize
 
 SIMILARITY = 0.8
-BANDS, BAND_SIZE = 20, 5
+BANDS, BAND_SIZE = 25, 4
 REGISTERS = BANDS * BAND_SIZE
-#: Signatures that agree less than this are no candidates; four deviations below SIMILARITY.
+#: Signatures that agree less than this are no candidates; five deviations below SIMILARITY.
 ESTIMATE = 0.6
 #: Entries, and shingles, that a part of a bucket or group holds at most, about.
 PART_ROWS = 2_048
@@ -104,8 +106,8 @@ def sign(docs: DataFrame, text: str) -> DataFrame:
                 key = shingles.sequence_key(words)
                 if key not in known:
                     known[key] = len(sets)
-                    found, counts = np.unique(shingles.shingle_hashes(words), return_counts=True)
-                    sets.append((found, 1 + np.log(counts)))
+                    found = np.unique(shingles.shingle_hashes(words))
+                    sets.append((found, np.ones(len(found))))
                 keys.append(key)
                 place.append(known[key])
                 sizes.append(len(sets[known[key]][0]))
