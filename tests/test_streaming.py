@@ -6,6 +6,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tillview.plans import catalog
+from tillview.sources.shop import Shop
 from tillview.streaming import events, sinks, transactions
 
 
@@ -132,3 +134,34 @@ def test_sessions_and_funnel(spark):
 def test_malformed_json_becomes_null(spark, value):
     row = events.parse_events(spark.createDataFrame([(value,)], "value string")).first()
     assert row.event_id is None and row.timestamp is None
+
+
+def test_deliveries_of_uneven_density_lose_no_event(spark, tmp_path):
+    """Few files in the first delivery, many in the others: a batch that ends inside one drops the rest."""
+    rows = []
+    for file in range(8):
+        hours = [h for h in range(0, 100, 2) if h >= 25 or (file < 3 and h % 10 == 0)]
+        rows += [(file * 1000 + h, file, h * 3600 + file, file * 100 + h, "view") for h in hours]
+    rows += [(9000, 0, 0, 1, "view"), (9001, 0, 100 * 3600 - 1, 1, "view"), (9002, 0, None, 1, "view")]
+    table = spark.createDataFrame(rows, "event_id bigint, file int, at bigint, user_id bigint, event_type string").select(
+        "event_id", F.timestamp_seconds("at").cast("timestamp_ntz").alias("ts"), "user_id", "event_type",
+        F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"), "file",
+    )
+    for file in range(8):
+        table.where(F.col("file") == file).drop("file").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    shop = Shop(spark, str(tmp_path))
+    counts = catalog._stream_event_counts(shop)
+    assert counts.agg(F.sum("event_count")).first()[0] == len(rows) - 1  # a window needs a time
+    sessions = catalog._stream_sessions(shop)
+    assert sessions.agg(F.sum("pages_viewed")).first()[0] == len(rows) - 1
+
+
+def test_rows_without_a_time_are_delivered(spark, tmp_path):
+    rows = [(1, 0, 1), (2, 50, 1), (3, None, 1)]
+    spark.createDataFrame(rows, "event_id bigint, at bigint, user_id bigint").select(
+        "event_id", F.timestamp_seconds("at").cast("timestamp_ntz").alias("ts"), "user_id"
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    inbox = str(tmp_path / "inbox")
+    for _ in catalog._deliver(Shop(spark, str(tmp_path)), inbox):
+        pass
+    assert spark.read.parquet(inbox).count() == 3

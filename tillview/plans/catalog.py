@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from tillview.functions.dates import TS, Anchor
 from tillview.functions.numeric import money
@@ -407,27 +408,26 @@ JOBS = {
 DELIVERIES = 4
 
 
-def _delivered(shop: Shop) -> str:
-    """The event table split by time into a few deliveries, written in their order."""
-    path = scratch_path(shop.spark, "deliveries")
+def _deliver(shop: Shop, inbox: str) -> Iterator[None]:
+    """The event table split by time into a few deliveries; the next is written when the last was taken.
+
+    Rows without a time come with the last delivery.
+    """
     fact = shop.table("events")
     seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     bounds = fact.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).select(seconds("low"), seconds("high")).first()
     low, high = bounds[0] or 0, bounds[1] or 0
     cuts = [low + (high - low) * i // DELIVERIES for i in range(DELIVERIES)] + [high + 1]
-    for begin, end in zip(cuts, cuts[1:]):
+    for i, (begin, end) in enumerate(zip(cuts, cuts[1:])):
         at = seconds("ts")
-        fact.filter((at >= begin) & (at < end)).write.mode("append").parquet(path)
-    return path
+        inside = (at >= begin) & (at < end)
+        fact.filter(inside | at.isNull() if i == DELIVERIES - 1 else inside).write.mode("append").parquet(inbox)
+        yield
 
 
-def _messages(shop: Shop, *columns) -> DataFrame:
+def _messages(shop: Shop, inbox: str, *columns) -> DataFrame:
     """The event table as a stream of JSON messages, as a broker would deliver them."""
-    path = _delivered(shop)
-    files = max(1, len(shop.spark.read.parquet(path).inputFiles()) // DELIVERIES)  # of one delivery
-    stream = parquet_stream(
-        shop.spark, path, "*.parquet", shop.table("events").schema, maxFilesPerTrigger=files
-    )
+    stream = parquet_stream(shop.spark, inbox, "*.parquet", shop.table("events").schema)
     quantity = (F.pmod(F.col("event_id"), F.lit(4)) + 1).cast("int")
     fields = [
         F.col("event_id").cast("string").alias("event_id"),
@@ -441,41 +441,59 @@ def _messages(shop: Shop, *columns) -> DataFrame:
     return stream.select(F.to_json(F.struct(*fields, *columns)).alias("value"))
 
 
-def _keyed_result(shop: Shop, stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
+def _run_deliveries(shop: Shop, start: Callable[[str], StreamingQuery]) -> None:
+    """A pass over each delivery with the same checkpoint, so that each is one micro-batch.
+
+    A batch that ended inside a delivery would move the watermark past the rest of it.
+    """
+    inbox = scratch_path(shop.spark, "deliveries")
+    for _ in _deliver(shop, inbox):
+        start(inbox).awaitTermination()
+
+
+def _keyed_result(shop: Shop, stream: Callable[[str], DataFrame], label: str, keys: list[str]) -> DataFrame:
     """Run a stream over everything there is and return the newest row per key."""
     path = scratch_path(shop.spark, label)
-    sinks.start_keyed(
-        stream, f"{path}/updates", f"{path}/checkpoint", available_now=True, keys=keys, compact_every=3
-    ).awaitTermination()
+    _run_deliveries(
+        shop,
+        lambda inbox: sinks.start_keyed(
+            stream(inbox), f"{path}/updates", f"{path}/checkpoint", available_now=True, keys=keys, compact_every=3
+        ),
+    )
     return sinks.read_keyed(shop.spark, f"{path}/updates", keys)
 
 
 def _stream_event_counts(shop: Shop) -> DataFrame:
-    counts = events.event_counts(events.parse_events(_messages(shop)))
+    counts = lambda inbox: events.event_counts(events.parse_events(_messages(shop, inbox)))
     return _keyed_result(shop, counts, "event-counts", ["window_start", "event_type"])
 
 
-def _purchase_messages(shop: Shop) -> DataFrame:
+def _purchase_messages(shop: Shop, inbox: str) -> DataFrame:
     price = F.try_divide(money("value"), F.pmod(F.col("event_id"), F.lit(4)) + 1).cast("decimal(12,2)")
-    return _messages(shop, price.alias("unit_price"), money("value").alias("total_amount"))
+    return _messages(shop, inbox, price.alias("unit_price"), money("value").alias("total_amount"))
 
 
 def _stream_ingest(shop: Shop) -> DataFrame:
     path = scratch_path(shop.spark, "ingest")
-    rows = purchase_stream.ingest_transactions(_purchase_messages(shop))
-    sinks.start_append(
-        rows, f"{path}/table", f"{path}/checkpoint", ["txn_month"], available_now=True
-    ).awaitTermination()
+    rows = lambda inbox: purchase_stream.ingest_transactions(_purchase_messages(shop, inbox))
+    _run_deliveries(
+        shop,
+        lambda inbox: sinks.start_append(
+            rows(inbox), f"{path}/table", f"{path}/checkpoint", ["txn_month"], available_now=True
+        ),
+    )
     return shop.spark.read.parquet(f"{path}/table").withColumn("txn_month", F.col("txn_month").cast("string"))
 
 
 def _stream_user_totals(shop: Shop) -> DataFrame:
-    rows = purchase_stream.ingest_transactions(_purchase_messages(shop))
-    return _keyed_result(shop, purchase_stream.running_user_totals(rows), "user-totals", ["user_id"])
+    totals = lambda inbox: purchase_stream.running_user_totals(
+        purchase_stream.ingest_transactions(_purchase_messages(shop, inbox))
+    )
+    return _keyed_result(shop, totals, "user-totals", ["user_id"])
 
 
 def _stream_sessions(shop: Shop) -> DataFrame:
-    days = events.session_rollup(events.parse_events(_messages(shop)), lateness="1 hour")
+    days = lambda inbox: events.session_rollup(events.parse_events(_messages(shop, inbox)), lateness="1 hour")
     return events.merge_sessions(_keyed_result(shop, days, "sessions", ["day", "session_id"])).drop("device")
 
 
