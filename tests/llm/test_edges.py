@@ -496,3 +496,50 @@ def test_pipeline_by_brute_force(spark):
             assert hit and set(after) == set(before) - hit
         if name == "tokens":
             assert all(after[i].n_tokens * 4 == len(after[i].ids) for i in before)
+
+
+APACHE = """Copyright 2020 Foo
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+BSD = """Redistribution and use in source and binary forms, with or without modification,
+are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+   disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+   disclaimer in the documentation and/or other materials provided with the distribution."""
+
+
+def test_licence_headers_in_comments(spark):
+    def marked(text, mark):
+        return "\n".join(f"{mark} {line}".rstrip() for line in text.split("\n"))
+
+    rows = [
+        (1, marked(APACHE, "#"), "Apache-2.0", "2 3 4 5"),
+        (2, f"/*\n{marked(MIT, ' *')}\n */", "MIT", "8 9 10"),
+        (3, marked(BSD, "//"), "BSD-2-Clause", "21 22 23"),
+        (4, BSD.replace("1.", "(a)").replace("2.", "(b)"), "BSD-2-Clause", "21 22 23"),
+        (5, "This project is licensed under the MIT License.", "MIT", "7"),
+        (6, "This library is distributed under the terms of the GNU General Public License, version 3.", "GPL-3.0", "11"),
+        (7, "# We speak of licenses under the MIT License here.", "", ""),
+    ]
+    got = licenses.scan(frame(spark, [r[:2] for r in rows], "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.licenses, r.sentence_ids) for r in got) == [(i, names, ids) for i, _, names, ids in rows]

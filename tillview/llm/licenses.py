@@ -4,7 +4,13 @@ A text is cut into sentences twice, once with line ends as borders and once acro
 them, since notices are wrapped as often as they stand on a line of their own. A
 sentence is normalised (lower case, other characters than a-z and 0-9 to one space) and
 looked up in the table of known sentences; unknown sentences drop out. A rule holds if
-its identifiers follow each other in one of the two sequences. All of it are
+its identifiers follow each other in one of the sequences.
+
+A third reading serves notices in comments: comment marks are taken off each line, so
+that a line of marks only ends a sentence like an empty one; sentences also end at ':', at the
+numbers of a list and after a copyright line; a lead-in ('this project is', 'distributed
+under') counts as one of the wordings in the table. It only adds: its sequence is shown
+where it is longer than both others. All of it are
 DataFrame functions over one row at a time: no shuffle, no Python.
 
 Defined cases: null and empty texts have no sentence and no licence. Whole texts are
@@ -85,6 +91,18 @@ RULES = [
 SIGNS = ("licen", "copyright", "permission", "rights", "redistribut", "software", "warrant")
 BY_LINE = r"[.!?][ \t\r]*(\n|$)|[.!?][ \t\r]+|\n"
 ACROSS_LINES = r"[.!?](\s+|$)|\n\s*\n"
+# the reading of comments
+MARKS = r"(?mi)^[ \t]*(?:/\*+!?|\*+/?|//+!?|#+!?|--+|;+|%+|<!--|\.\.[ \t]|dnl\b|rem\b|['\"!>|]+)[ \t]*|[ \t]*(?:\*+/|-->|\*+|#+)[ \t]*\r?$"
+#: An address that stands in a paragraph of its own belongs to the sentence before it.
+ADDRESS = r"\s*\n\s*(?=https?://)"
+COPYRIGHT_LINE = r"(?mi)^([ \t]*(?:copyright[ \t]*(?:\(c\)|©|[12][0-9]{3})|\(c\)|©).*)$"
+NUMBER = r"[ \t]*\(?(?:[0-9]{1,2}|[a-z])[.)][ \t]+"
+IN_COMMENTS = rf"(?i)(?:[.!?](?:\s+|$)|(?<!free software):(?:\s+|$)|\n\s*\n)(?:{NUMBER})?|\n{NUMBER}"
+LEAD_IN = (
+    r"^(?:(?:this|the) (?:project|software|source|source code|code|file|work|library|package|program|module|repository|"
+    r"repo|plugin|tool|script|document|documentation|content) (?:is|are) |it is |is )?"
+    r"(?:licensed|released|distributed|available|made available|published|provided) under (?:the terms of )?"
+)
 
 
 def identifiers(text: Column, border: str) -> Column:
@@ -92,9 +110,29 @@ def identifiers(text: Column, border: str) -> Column:
     known = F.create_map(*(x for i, s in SENTENCES.items() for x in (F.lit(s), F.lit(i))))
     plain = F.transform(F.split(text, border), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     ids = F.filter(F.transform(plain, lambda s: F.element_at(known, s)), lambda i: i.isNotNull())
+    return _barred(ids)
+
+
+def _barred(ids: Column) -> Column:
     return F.concat(F.lit("|"), F.concat_ws("|", F.transform(ids, lambda i: i.cast("string"))), F.lit("|"))
 
 
+def comment_identifiers(text: Column) -> Column:
+    """Like ``identifiers``, without comment marks and with the wordings of a lead-in."""
+    known = F.create_map(*(x for i, s in SENTENCES.items() for x in (F.lit(s), F.lit(i))))
+    bare = F.regexp_replace(F.regexp_replace(text, MARKS, ""), COPYRIGHT_LINE, "$1\n\n")
+    pieces = F.split(F.regexp_replace(bare, ADDRESS, " "), IN_COMMENTS)
+    plain = F.transform(pieces, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+
+    def look(s: Column) -> Column:
+        wordings = ("licensed under ", "released under ", "this work is licensed under ")
+        said = [F.regexp_replace(s, LEAD_IN, w) for w in wordings]
+        the = [F.regexp_replace(s, LEAD_IN + "(?:the |a )?", f"{w}the ") for w in wordings]
+        return F.coalesce(F.element_at(known, s), *(F.element_at(known, x) for x in said + the))
+
+    return _barred(F.filter(F.transform(plain, look), lambda i: i.isNotNull()))
+
+
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Key, ``sentence_ids`` (known sentences in order), ``licenses``, ``n_licenses``."""
     low = F.lower(named(text))
@@ -105,11 +143,12 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         named(key).alias(key),
         F.when(seen, identifiers(named(text), BY_LINE)).otherwise("|").alias("by_line"),
         F.when(seen, identifiers(named(text), ACROSS_LINES)).otherwise("|").alias("across"),
+        F.when(seen, comment_identifiers(named(text))).otherwise("|").alias("comments"),
     )
 
     def holds(rule: tuple[int, ...]) -> Column:
         wanted = "|" + "|".join(map(str, rule)) + "|"
-        return F.col("by_line").contains(wanted) | F.col("across").contains(wanted)
+        return F.col("by_line").contains(wanted) | F.col("across").contains(wanted) | F.col("comments").contains(wanted)
 
     names = list(dict.fromkeys(name for name, _ in RULES))
     held = []
@@ -119,8 +158,9 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
             any_rule = any_rule | holds(rule)
         held.append(F.when(any_rule, name))
     licenses = F.array_compact(F.array(*held))
-    # the longer reading of the two
+    # the longest reading, the first of equals
     sequence = F.when(F.length("by_line") >= F.length("across"), F.col("by_line")).otherwise(F.col("across"))
+    sequence = F.when(F.length("comments") > F.length(sequence), F.col("comments")).otherwise(sequence)
     return found.select(
         named(key),
         F.trim(F.translate(sequence, "|", " ")).alias("sentence_ids"),
