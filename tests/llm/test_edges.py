@@ -543,3 +543,18 @@ def test_licence_headers_in_comments(spark):
     ]
     got = licenses.scan(frame(spark, [r[:2] for r in rows], "doc_id bigint, text string")).collect()
     assert sorted((r.doc_id, r.licenses, r.sentence_ids) for r in got) == [(i, names, ids) for i, _, names, ids in rows]
+
+
+def test_url_words_are_counted_over_all_urls(spark):
+    """'quibblezorp' stands in two urls of 20,000, so that a sample of 4,096 seldom has it twice."""
+    rows = [(i, f"http://site{i}.org/page/{i}") for i in range(20_000)]
+    rows += [(20_000 + 2 * k + n, f"http://quibble{c}zorp.org/x") for k, c in enumerate("abcdefghijkl") for n in range(2)]
+    model = urls.learn(frame(spark, rows, "page_id bigint, url string"))
+    assert all(f"quibble{c}zorp" in model.words and f"quibble{c}zorp" in model.odds for c in "abcdefghijkl")
+
+
+def test_url_words_beyond_the_bound_are_the_rare_ones(spark, monkeypatch):
+    monkeypatch.setattr(urls, "MODEL_WORDS", 150)
+    rows = [(i, f"http://frequentword.org/{'rarer' if i < 2 else 'page'}") for i in range(50)]
+    model = urls.learn(frame(spark, rows, "page_id bigint, url string"))
+    assert {"frequentword", "page", "rarer"} <= set(model.words)

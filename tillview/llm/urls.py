@@ -2,9 +2,10 @@
 
 Host names glue words together. A unigram model splits every label into words along
 the most probable path (Viterbi); a multinomial naive Bayes model scores the words of
-host and path. Both models are fitted on a bounded sample of urls: a url is a positive
-example if one of its plain tokens is a seed word. Class priors are counted over all
-urls.
+host and path. Words, words per class and class priors are counted over all urls; the
+driver and the broadcast hold the MODEL_WORDS most frequent words, rarer ones count as
+unknown. The rows carry no labels: a url is a positive example if one of its plain tokens
+is a seed word.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no
 rule and is allowed with score 0. The longest rule wins, equal lengths by name. Repeated
@@ -17,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -24,10 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillview.llm.common import append_columns, bounded_sample, named
+from tillview.llm.common import append_columns, named
+from tillview.sources.scratch import materialize
 
-#: Urls of a class to learn from, at most.
-SAMPLE_URLS = 4096
+#: Distinct words of a model, at most; the most frequent ones.
+MODEL_WORDS = 200_000
 #: Labels whose words a worker remembers; bounds memory, not results.
 REMEMBERED_LABELS = 200_000
 LONGEST_WORD = 24
@@ -137,55 +140,106 @@ class UrlModel:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, total))))
 
 
+def _segmenter(counts: Counter, total: int, urls: int, prior: float) -> UrlModel:
+    """The word costs from counts of plain tokens; ``total`` is their sum, those of words beyond ``counts`` included."""
+    vocabulary = Counter(counts)
+    for word in COMMON_WORDS + SEED_WORDS:
+        vocabulary[word] += max(1, urls // 50)
+        total += max(1, urls // 50)
+    words = {w: -math.log2(c / total) for w, c in vocabulary.items()}
+    return UrlModel(words, math.log2(total + 1), {}, 0.0, prior)
+
+
+def _with_odds(model: UrlModel, by_class: dict[bool, Counter], sums: dict[bool, int], distinct: int, seeds: int) -> UrlModel:
+    """``model`` with the log odds of the words of ``by_class``; sums and distinct cover all words.
+
+    A seed counts as if ``seeds`` more positive urls had it.
+    """
+    held = {c: Counter(by_class[c]) for c in by_class}
+    distinct += len(set(SEED_WORDS) - set(held[True]) - set(held[False]))
+    for word in SEED_WORDS:
+        held[True][word] += seeds
+    sizes = {c: sums[c] + seeds * len(SEED_WORDS) * c + distinct + 1 for c in held}
+    every = set(held[True]) | set(held[False])
+    model.odds = {w: math.log((held[True][w] + 1) / sizes[True]) - math.log((held[False][w] + 1) / sizes[False]) for w in every}
+    model.memory.clear()
+    return model
+
+
+def _prior(positives: int, negatives: int) -> float:
+    return math.log((positives + 1) / (negatives + 1))
+
+
+def is_word(token: str, count: int) -> bool:
+    """A glued name is no word of its own: rare unknown names shouldn't outweigh their parts."""
+    return count > 1 and len(token) > 1
+
+
 def fit(examples: list[tuple[str, str, bool]], positives: int, negatives: int) -> UrlModel:
     """Both models from labelled (host, path) pairs; the counts of all rows give the prior."""
     counts = Counter(t for host, path, _ in examples for t in plain_tokens(host) + plain_tokens(path))
-    # a glued name is no word of its own: rare unknown names shouldn't outweigh their parts
-    vocabulary = Counter({w: c for w, c in counts.items() if c > 1 and len(w) > 1})
-    for word in COMMON_WORDS + SEED_WORDS:
-        vocabulary[word] += max(1, len(examples) // 50)
-    total = sum(vocabulary.values())
-    words = {w: -math.log2(c / total) for w, c in vocabulary.items()}
-    model = UrlModel(words, math.log2(total + 1), {}, 0.0, math.log((positives + 1) / (negatives + 1)))
+    counts = Counter({w: c for w, c in counts.items() if is_word(w, c)})
+    model = _segmenter(counts, sum(counts.values()), len(examples), _prior(positives, negatives))
     by_class: dict[bool, Counter] = {True: Counter(), False: Counter()}
     for host, path, positive in examples:
         by_class[positive].update(model.tokens(host, path))
-    for word in SEED_WORDS:  # seeds that the sample lacks count as if some of its urls had them
-        by_class[True][word] += 1 + len(examples) // 50
-    every = set(by_class[True]) | set(by_class[False])
-    sizes = {c: sum(by_class[c].values()) + len(every) + 1 for c in by_class}
-    model.odds = {
-        w: math.log((by_class[True][w] + 1) / sizes[True]) - math.log((by_class[False][w] + 1) / sizes[False]) for w in every
-    }
-    model.memory.clear()
-    return model
+    sums = {c: sum(by_class[c].values()) for c in by_class}
+    return _with_odds(model, by_class, sums, len(set(by_class[True]) | set(by_class[False])), 1 + len(examples) // 50)
+
+
+def _tally(marked: DataFrame, splitter: Callable[[], Callable[[str, str], list[str]]], name: str) -> DataFrame:
+    """(token, yes, no): how often the tokens of all urls stand in either class; batches are summed up before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = splitter()
+        for batch in batches:
+            met: dict[bool, Counter] = {True: Counter(), False: Counter()}
+            for host, path, positive in zip(*(c.to_pylist() for c in batch.columns)):
+                met[positive].update(tokens(host, path))
+            every = list(met[True] | met[False])
+            counts = [pa.array([met[c][t] for t in every], pa.int64()) for c in (True, False)]
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *counts], names=["token", "yes", "no"])
 
+    met = marked.select("host", "path", "positive").mapInArrow(run, "token string, yes bigint, no bigint")
+    return materialize(met.groupBy("token").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")), name)
 
-def learn(pages: DataFrame, key: str = "page_id", url: str = "url") -> UrlModel:
-    """The models of a table of urls; at most SAMPLE_URLS rows of a class reach the driver."""
+
+def _most_frequent(words: DataFrame) -> list:
+    """The MODEL_WORDS most frequent words; seeds and common words come first."""
+    fixed = F.col("token").isin(*COMMON_WORDS, *SEED_WORDS)
+    return words.orderBy(fixed.desc(), (F.col("yes") + F.col("no")).desc(), "token").limit(MODEL_WORDS).collect()
+
+
+def learn(pages: DataFrame, url: str = "url") -> UrlModel:
+    """The models of a table of urls, counted over all rows."""
     host, path = url_parts(named(url))
     seeds = "|".join(SEED_WORDS)
-    parts = pages.select(named(key).alias("key"), host.alias("host"), path.alias("path")).where(F.col("host") != "")
+    parts = pages.select(host.alias("host"), path.alias("path")).where(F.col("host") != "")
     marked = parts.withColumn(
         "positive", F.concat_ws("/", "host", F.lower("path")).rlike(rf"(^|[^a-z0-9])({seeds})([^a-z0-9]|$)")
     )
     sizes = {r["positive"]: r["count"] for r in marked.groupBy("positive").count().collect()}
-    chosen = bounded_sample(marked.select("key", "positive"), "key", "positive", SAMPLE_URLS)
-    rows = (
-        marked.join(F.broadcast(chosen), ["key", "positive"])
-        .groupBy("key", "positive")
-        .agg(F.min(F.struct("host", "path")).alias("at"))
-        .collect()
-    )
-    rows.sort(key=lambda r: (r["key"], r["positive"]))
-    examples = [(r["at"]["host"], r["at"]["path"], r["positive"]) for r in rows]
-    return fit(examples, sizes.get(True, 0), sizes.get(False, 0))
+    positives, negatives = sizes.get(True, 0), sizes.get(False, 0)
+
+    plain = _tally(marked, lambda: lambda host, path: plain_tokens(host) + plain_tokens(path), "url-tokens")
+    words = plain.where((F.col("yes") + F.col("no") > 1) & (F.length("token") > 1))
+    total = words.agg(F.sum(F.col("yes") + F.col("no"))).first()[0] or 0
+    counts = Counter({r["token"]: r["yes"] + r["no"] for r in _most_frequent(words)})
+    model = _segmenter(counts, total, positives + negatives, _prior(positives, negatives))
+
+    shared = pages.sparkSession.sparkContext.broadcast(vars(model))
+    split = _tally(marked, lambda: UrlModel(**shared.value).tokens, "url-words")
+    sums = split.agg(F.sum("yes"), F.sum("no"), F.count("*")).first()
+    rows = _most_frequent(split)
+    by_class = {True: Counter({r["token"]: r["yes"] for r in rows}), False: Counter({r["token"]: r["no"] for r in rows})}
+    # the classes are seldom of one size: seeds are measured by the positive one
+    return _with_odds(model, by_class, {True: sums[0] or 0, False: sums[1] or 0}, sums[2], 1 + positives // 25)
 
 
 def judge(pages: DataFrame, model: UrlModel, url: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``block_score`` and ``verdict``.
 
-    The model, bounded by its sample, is broadcast.
+    The model, bounded by MODEL_WORDS, is broadcast.
     """
     shared = pages.sparkSession.sparkContext.broadcast({"model": vars(model)})
     host, path = url_parts(named(url))
