@@ -558,3 +558,20 @@ def test_url_words_beyond_the_bound_are_the_rare_ones(spark, monkeypatch):
     rows = [(i, f"http://frequentword.org/{'rarer' if i < 2 else 'page'}") for i in range(50)]
     model = urls.learn(frame(spark, rows, "page_id bigint, url string"))
     assert {"frequentword", "page", "rarer"} <= set(model.words)
+
+
+@pytest.mark.parametrize(
+    "alphabet,size,least",
+    [(secrets.HEX_UPPER, 24, 0.75), (secrets.HEX_UPPER, 32, 0.9), (secrets.BASE32, 20, 0.8), (secrets.LOWER36, 20, 0.8)],
+)
+def test_random_tokens_of_small_alphabets_are_found(alphabet, size, least):
+    draw = random.Random(11)
+    texts = ["word " + "".join(draw.choice(alphabet) for _ in range(size)) + " word" for _ in range(300)]
+    assert np.mean([any(k == "random" for *_, k in secrets.scan_text(t)[1]) for t in texts]) >= least
+
+
+def test_tokens_of_base_spans_stay_out_of_the_family(monkeypatch):
+    tested = []
+    monkeypatch.setattr(secrets, "battery", lambda token: tested.append(token) or 0.5)
+    secrets.scan_text("0123456789abcdef0123456789abcdef and Zq3Rt7Lm9Xw2Pv5Nb8Kc")
+    assert tested == ["Zq3Rt7Lm9Xw2Pv5Nb8Kc"]

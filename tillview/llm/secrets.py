@@ -7,8 +7,11 @@ correlation of neighbours. A token that any test finds non-random at TEST_LEVEL
 dropped. For the others the chi-squared statistic is held against what words of the
 same length give: word-like text has a known unevenness, so its statistic follows a
 noncentral chi-squared law whose centre grows with the length. The left tail is the
-token's p-value, so short tokens, for which the tests have no power, cannot pass. The
-Benjamini-Hochberg rule over all tokens of the document holds the share of false
+token's p-value. In the small alphabets (upper-case hex, base32, letters of one case with
+digits) that statistic can't tell short random tokens from words; there the likelihood
+ratio of the uniform alphabet against letters as frequent as in words, with a share of digits,
+gives the p-value. Either way short tokens, for which the tests have no power, cannot pass. The
+Benjamini-Hochberg rule over the document's tokens outside base spans holds the share of false
 discoveries at FALSE_DISCOVERIES.
 
 Defined cases: a null text counts as empty and gives zero counts, the digest of an
@@ -51,6 +54,19 @@ SLUG_LOWER = LOWER36 + "-_"
 SLUG_UPPER = UPPER36 + "-_"
 ENCODINGS = [HEX_LOWER, HEX_UPPER, BASE32, LOWER36, UPPER36, SLUG_LOWER, SLUG_UPPER, BASE62, BASE64, BASE64_URL]
 WORD_AGREEMENT = 0.065
+# fixed values: letters A to Z in words, per 1,000; the digits of word-like tokens
+LETTERS = dict(
+    zip(
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+        (82, 15, 28, 43, 127, 22, 20, 61, 70, 1.5, 7.7, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 9.8, 24, 1.5, 20, 0.7),
+    )
+)
+WORD_DIGITS = 0.25
+# how the likelihood varies in joined words with numbers, against independent letters; set so that
+# one in a hundred of them, and two of joined hexadecimal words, reach 0.01
+WORD_SPREAD, HEX_SPREAD = 0.6, 2.3
+#: No single letter weighs more than if words had it this often.
+RAREST = 0.01
 TEST_LEVEL = 0.001
 FALSE_DISCOVERIES = 0.01
 FIELDS = [
@@ -84,6 +100,21 @@ def chi_squared_below(x: float, freedom: float, centre: float) -> float:
     return normal_below(z)
 
 
+def word_ratios(alphabet: str) -> tuple[dict[str, float], float, float]:
+    """Log likelihood ratio of each character, uniform against word-like; its mean and variance in words."""
+    letters = [c for c in alphabet if c.isalpha()]
+    weights = {c: max(LETTERS[c.upper()] / 1000, RAREST) for c in letters}
+    whole, digits = sum(weights.values()), len(alphabet) - len(letters)
+    share = {c: (1 - WORD_DIGITS) * weights[c] / whole if c in weights else WORD_DIGITS / digits for c in alphabet}
+    ratios = {c: -math.log(len(alphabet) * f) for c, f in share.items()}
+    mean = sum(share[c] * x for c, x in ratios.items())
+    spread = HEX_SPREAD if alphabet == HEX_UPPER else WORD_SPREAD
+    return ratios, mean, spread * sum(share[c] * (x - mean) ** 2 for c, x in ratios.items())
+
+
+WORD_RATIOS = {a: word_ratios(a) for a in (HEX_UPPER, BASE32, LOWER36, UPPER36)}
+
+
 def battery(token: str) -> float | None:
     """The p-value against word-like text, or None if the token isn't random in its own alphabet."""
     body = token.rstrip("=")
@@ -112,6 +143,9 @@ def battery(token: str) -> float | None:
     serial = sum((a - mean) * (b - mean) for a, b in zip(values, values[1:])) / around if around else 1.0
     if normal_tail((serial + 1 / n) * math.sqrt(n)) < TEST_LEVEL:
         return None
+    if alphabet in WORD_RATIOS:
+        ratios, mean, variance = WORD_RATIOS[alphabet]
+        return normal_below((n * mean - sum(ratios[c] for c in body)) / math.sqrt(n * variance))
     uneven = n * max(0.0, WORD_AGREEMENT * k - 1) if k > 16 else n * 0.5
     return chi_squared_below(chi, k - 1, uneven)
 
@@ -137,6 +171,8 @@ def random_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int
     """Tokens that the battery finds, outside the spans already taken."""
     tested = []
     for m in TOKEN.finditer(text):
+        if any(m.start() < e and s < m.end() for s, e, _ in taken):
+            continue
         p = battery(m[0])
         if p is not None:
             tested.append((*m.span(), p))
@@ -144,7 +180,7 @@ def random_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int
     return [
         (start, end, "random")
         for (start, end, _), kept in zip(tested, found)
-        if kept and not any(start < e and s < end for s, e, _ in taken)
+        if kept
     ]
 
 
