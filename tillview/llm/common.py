@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,15 +21,34 @@ def named(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
+#: Bytes of input texts that a task holds as Python objects at a time.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, inputs: Sequence[int], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts in the columns ``inputs`` have about ``most`` bytes, a longer row alone."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for i in inputs:
+        column = batch.column(i)
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    before, start = np.r_[0, np.cumsum(size)], 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(before, before[start] + most, "right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def append_columns(
     df: DataFrame,
     inputs: Sequence[str],
     fields: Sequence[T.StructField],
     make: Callable[..., Sequence[pa.Array]],
 ) -> DataFrame:
-    """``df`` with columns that ``make`` computes from one Arrow batch of the ``inputs`` at a time.
+    """``df`` with columns that ``make`` computes from a few MB of the ``inputs`` at a time.
 
-    No shuffle, one batch in memory. A column of ``df`` named like a new one is replaced.
+    No shuffle; results of a slice leave before the next is read. A column of ``df`` named
+    like a new one is replaced.
     """
     new = {f.name for f in fields}
     kept = [f for f in df.schema.fields if f.name not in new]
@@ -39,8 +60,9 @@ def append_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = make(*(batch.column(i) for i in at))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=names)
+            for part in slices(batch, at):
+                made = make(*(part.column(i) for i in at))
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], *made], names=names)
 
     return source.mapInArrow(run, T.StructType([*kept, *fields]))
 

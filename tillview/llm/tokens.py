@@ -30,8 +30,13 @@ from pyspark.sql import types as T
 
 from tillview.llm.common import append_columns
 
-#: Words whose ids a worker remembers; bounds memory, not results.
-REMEMBERED_WORDS = 400_000
+#: Bytes of words and ids that a worker remembers, and pairs of tokens; they bound memory, not results.
+REMEMBERED_BYTES = 64 << 20
+REMEMBERED_PAIRS = 100_000
+#: Longer words are encoded each time.
+REMEMBERED_LENGTH = 64
+#: What an entry of the memory takes beside its text and ids.
+ENTRY_BYTES = 160
 FIELDS = [
     T.StructField("ids", T.BinaryType()),
     T.StructField("decoded", T.StringType()),
@@ -52,9 +57,9 @@ def byte_symbols() -> list[str]:
 
 
 class Encoder:
-    """Exact ids for the words of one vocabulary file; holds a bounded memory of words."""
+    """Exact ids for the words of one vocabulary file; remembers words up to a number of bytes."""
 
-    def __init__(self, content: str, remembered: int = REMEMBERED_WORDS):
+    def __init__(self, content: str, remembered: int = REMEMBERED_BYTES):
         spec = json.loads(content)
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -84,6 +89,7 @@ class Encoder:
         self.fits: dict[tuple[int, int], bool] = {}
         self.remembered = remembered
         self.memory: dict[str, bytes] = {}
+        self.held = 0
 
     def marked(self, token: str) -> str:
         if self.suffix and token.endswith(self.suffix):
@@ -116,7 +122,7 @@ class Encoder:
                     r = self.rank.get((a, b))
                     if r is not None and r > born_a and r > born_b and r < gone_a and r <= gone_b:
                         known = False
-            if len(self.fits) >= self.remembered:
+            if len(self.fits) >= REMEMBERED_PAIRS:
                 self.fits.clear()
             self.fits[left, right] = known
         return known
@@ -144,9 +150,12 @@ class Encoder:
         ids = self.memory.get(piece)
         if ids is None:
             ids = np.array(self.word(piece), dtype="<u4").tobytes()
-            if len(self.memory) >= self.remembered:
-                self.memory.clear()
-            self.memory[piece] = ids
+            if len(piece) <= REMEMBERED_LENGTH:
+                self.held += 4 * len(piece) + len(ids) + ENTRY_BYTES
+                if self.held > self.remembered:
+                    self.memory.clear()
+                    self.held = 4 * len(piece) + len(ids) + ENTRY_BYTES
+                self.memory[piece] = ids
         return ids
 
     def pieces(self, text: str) -> list[str]:
