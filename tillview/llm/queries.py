@@ -7,8 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillview.llm import language, leaks, licenses, lines, minhash, secrets, statements, tokens, urls, vectors, warc
+from tillview.llm import (
+    alignment,
+    language,
+    leaks,
+    licenses,
+    lines,
+    minhash,
+    negatives,
+    packing,
+    secrets,
+    statements,
+    tokens,
+    urls,
+    vectors,
+    warc,
+)
 from tillview.llm.common import table
+from tillview.sources.scratch import materialize
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +84,35 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector's positives, from all vectors."""
+    label, moved = F.col("label").cast("bigint"), F.col("vec_id") % 7 == 0
+    return negatives.mine(
+        table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=F.when(moved, (label + 1) % 10).otherwise(label)
+    )
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizers' tokens of every document's whole text."""
+    import public_tokenizers
+
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = materialize(alignment.align(spark, docs, *files).drop("text"), "aligned")
+    return alignment.link_counts(aligned, "doc_id", alignment.sizes(*files)[1])
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces and the sequences they are packed into."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = packing.encode(spark, docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
+    pieces = materialize(packing.cut(encoded), "pieces")
+    digests = pieces.select("number", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return digests.join(packing.place(pieces), "number").drop("number")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_vectors": op2_vectors,
@@ -79,6 +124,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_leaks": op8_leaks,
     "op9_urls": op9_urls,
     "op10_licenses": op10_licenses,
+    "op11_negatives": op11_negatives,
+    "op12_alignment": op12_alignment,
+    "op13_packing": op13_packing,
 }
 STATEMENTS: dict[str, str] = {
     "op1_warc": statements.WARC,
@@ -86,4 +134,5 @@ STATEMENTS: dict[str, str] = {
     "op7_lines": statements.LINES,
     "op8_leaks": statements.LEAKS,
     "op10_licenses": licenses.statement(),
+    "op11_negatives": statements.NEGATIVES,
 }
