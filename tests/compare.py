@@ -44,7 +44,7 @@ def difference(df, sql: str, con: duckdb.DuckDBPyConnection) -> str | None:
     wanted = _rows(names, result.fetchall())
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} and {sorted(names)}"
-    spark_kinds = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    spark_kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     odd = {c: (k, kinds[c]) for c, k in df.dtypes if kinds[c] not in (spark_kinds.get(k), "NUMBER", "STRING", "BOOL")}
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
     if len(got) != len(wanted):
