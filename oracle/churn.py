@@ -98,9 +98,82 @@ TRAINING = f"""
                WHERE CAST(transaction_date AS DATE) > snap AND CAST(transaction_date AS DATE) <= snap + 30) post
       ON post.user_id = pre.user_id"""
 
+SCORING = f"""
+    SELECT user_id, CAST(o.newest AS DATE) - CAST(MAX(transaction_date) AS DATE) AS recency_days,
+           COUNT(DISTINCT transaction_id) AS frequency, {dbl('SUM(total_amount)')} AS monetary,
+           GREATEST(CAST(o.newest AS DATE) - CAST(MIN(transaction_date) AS DATE), 1) AS tenure_days
+    FROM orders_fact, (SELECT MAX(transaction_date) AS newest FROM orders_fact) o GROUP BY user_id, o.newest"""
+
+# a leaf's value, and for each feature: lowest (not included), highest, share of rows that take the path's turns
+LEAVES = """
+    SELECT * FROM (VALUES
+      (-0.2, -1, 120, 0.6, -1, 10, 350 / 600.0::DOUBLE, -1, 1e18, 1.0, -1, 1e18, 1.0),
+      (-0.8, -1, 120, 0.6, 10, 1e18, 250 / 600.0::DOUBLE, -1, 1e18, 1.0, -1, 1e18, 1.0),
+      (0.3, 120, 400, 0.4 * (120 / 150.0::DOUBLE), -1, 1e18, 1.0, -1, 1500000, 150 / 400.0::DOUBLE, -1, 1e18, 1.0),
+      (0.7, 400, 1e18, 0.4 * (30 / 150.0::DOUBLE), -1, 1e18, 1.0, -1, 1500000, 150 / 400.0::DOUBLE, -1, 1e18, 1.0),
+      (0.9, 120, 1e18, 0.4, -1, 1e18, 1.0, 1500000, 1e18, 250 / 400.0::DOUBLE, -1, 1e18, 1.0),
+      (0.04, -1, 1e18, 1.0, -1, 15, 0.7, -1, 1e18, 1.0, -1, 1500, 300 / 700.0::DOUBLE),
+      (-0.05, -1, 60, 250 / 400.0::DOUBLE, -1, 15, 0.7, -1, 1e18, 1.0, 1500, 1e18, 400 / 700.0::DOUBLE),
+      (0.02, 60, 1e18, 150 / 400.0::DOUBLE, -1, 15, 0.7, -1, 1e18, 1.0, 1500, 1e18, 400 / 700.0::DOUBLE),
+      (-0.06, -1, 1e18, 1.0, 15, 1e18, 0.3, -1, 1e18, 1.0, -1, 1e18, 1.0)
+    ) AS t(value, rl, rh, rs, fl, fh, fs, ml, mh, ms, tl, th, ts)"""
+
+
+def _held(bit: int, feature: str, short: str) -> str:
+    """With the feature in the coalition its conditions count, without it their share."""
+    return (
+        f"CASE WHEN (s.mask >> {bit}) % 2 = 1 THEN CASE WHEN {feature} > {short}l AND {feature} <= {short}h THEN 1.0 ELSE 0.0 END "
+        f"ELSE {short}s END"
+    )
+
+
+# the worth of each of the 16 coalitions of four features
+WORTH = f"""
+    SELECT user_id, s.mask, SUM({dbl('value')} * {_held(0, 'recency_days', 'r')} * {_held(1, 'frequency', 'f')}
+           * {_held(2, 'monetary', 'm')} * {_held(3, 'tenure_days', 't')}) AS v
+    FROM scoring, leaves, (SELECT UNNEST(range(16)) AS mask) s GROUP BY user_id, s.mask"""
+
+
+def _shapley(bit: int) -> str:
+    """Over all coalitions without the feature: size! (3 - size)! / 4! times what it adds."""
+    return f"""(SELECT SUM((b.v - a.v) * CASE bit_count(a.mask) WHEN 0 THEN 1 / 4.0 WHEN 1 THEN 1 / 12.0::DOUBLE
+                           WHEN 2 THEN 1 / 12.0::DOUBLE ELSE 1 / 4.0 END)
+                FROM worth a JOIN worth b ON a.user_id = b.user_id AND b.mask = a.mask + {1 << bit}
+                WHERE (a.mask >> {bit}) % 2 = 0 AND a.user_id = u.user_id)"""
+
+
 SNAPSHOT_DAY = ("snapshot_day", "SELECT CAST(MAX(transaction_date) AS DATE) - 30 AS snap FROM orders_fact")
 
 SQL = {
+    "churn_tree_contributions": query(
+        "orders_fact",
+        "SELECT u.user_id, "
+        + ", ".join(
+            f"ROUND({_shapley(bit)}, 9) + 0.0 AS {name}"
+            for bit, name in enumerate(["recency_days", "frequency", "monetary", "tenure_days"])
+        )
+        + ", ROUND(u.v, 9) + 0.0 AS margin FROM worth u WHERE u.mask = 15",
+        ("scoring", SCORING),
+        ("leaves", LEAVES),
+        ("worth", WORTH),
+    ),
+    "churn_heuristic_report": query(
+        "orders_fact",
+        """SELECT class, hit / CAST(NULLIF(predicted, 0) AS DOUBLE) AS precision, hit / CAST(NULLIF(support, 0) AS DOUBLE) AS recall,
+                  2.0::DOUBLE * hit / NULLIF(predicted + support, 0) AS f1, support,
+                  (SELECT AVG(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END::DOUBLE)
+                   FROM scored a JOIN scored b ON a.churned = 1 AND b.churned = 0) AS train_auc
+           FROM (SELECT c.class, COUNT(*) FILTER (churned = c.k AND (p >= 0.5) = (c.k = 1)) AS hit,
+                        COUNT(*) FILTER ((p >= 0.5) = (c.k = 1)) AS predicted, COUNT(*) FILTER (churned = c.k) AS support
+                 FROM scored, (VALUES ('Retained', 0), ('Churned', 1)) AS c(class, k) GROUP BY c.class)""",
+        SNAPSHOT_DAY,
+        ("training", TRAINING),
+        (
+            "scored",
+            f"""SELECT churned, {rnd('LEAST(1, recency_days / 365.0::DOUBLE) * 0.6 + (1 - LEAST(1, frequency / 20.0::DOUBLE)) * 0.4', 4)} AS p
+                FROM training""",
+        ),
+    ),
     "mart_churn_features": query("buyers", CHURN_FEATURES),
     "churn_risk_score": query(
         "risk", f"SELECT user_id, recency_days, frequency, {dbl('score')} AS churn_risk_score FROM risk"

@@ -1,9 +1,14 @@
 """Model training on a set whose labels follow from the features."""
 
+import itertools
+import math
+import random
+
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tillview.operators import churn, ml
+from tillview.operators import churn, ml, shapley
 from tillview.sources.schemas import MODEL_REGISTRY
 
 
@@ -64,6 +69,79 @@ def test_explanation_names_the_deciding_feature(training, model):
     assert all(len(r.top_risk_factors) == 2 for r in rows) and len(named) > 500
 
 
+def test_contributions_add_up_to_the_margin(training, model):
+    """Of each kind of model, for every user."""
+    prepared = ml.prepare_training(training)
+    for name, pipeline in ml.candidates(rounds=3).items():
+        fitted = ml.ChurnModel(pipeline.fit(prepared), name, 0.0, {})
+        total = sum((F.col(f) for f in ml.FEATURES), F.col("bias"))
+        sums = {r.user_id: r.total for r in ml.churn_contributions(prepared, fitted).select("user_id", total.alias("total")).collect()}
+        column = "probability" if name == "random_forest" else "rawPrediction"
+        scored = fitted.pipeline.transform(prepared).select("user_id", vector_to_array(column)[1].alias("margin")).collect()
+        assert len(sums) == len(scored) == 600
+        assert max(abs(sums[r.user_id] - r.margin) for r in scored) < 1e-9
+
+
+def test_contributions_by_all_subsets(spark):
+    """Random trees, also with a feature twice on a path, against the definition."""
+    draw = random.Random(5)
+    names = ["a", "b", "c", "d", "e"]
+    nodes = []
+
+    def grow(tree, cover, depth):
+        node = sum(n[0] == tree for n in nodes)
+        nodes.append(None)
+        if depth == 0 or cover < 2:
+            nodes[-1] = row = (tree, node, None, None, -1, -1, draw.uniform(-1, 1), cover, 0.5 + tree)
+            return row
+        place = len(nodes) - 1
+        nodes[place] = (tree, node)
+        left = draw.randrange(1, int(cover))
+        children = [grow(tree, float(c), depth - 1) for c in (left, cover - left)]
+        nodes[place] = (tree, node, draw.randrange(5), draw.uniform(0, 1), children[0][1], children[1][1], None, cover, 0.5 + tree)
+        return nodes[place]
+
+    for tree in range(3):
+        grow(tree, 90.0, 4)
+    by = {(n[0], n[1]): n for n in nodes}
+
+    def worth(x, subset, tree, node=0):
+        _, _, feature, cut, left, right, value, cover, weight = by[tree, node]
+        if feature is None:
+            return weight * value
+        if feature in subset:
+            return worth(x, subset, tree, left if x[feature] <= cut else right)
+        return sum(by[tree, c][7] / cover * worth(x, subset, tree, c) for c in (left, right))
+
+    users = [(i, *(draw.uniform(0, 1) for _ in names)) for i in range(6)]
+    frame = spark.createDataFrame(users, "user_id int, " + ", ".join(f"{n} double" for n in names))
+    got = {r.user_id: r for r in shapley.tree_contributions(frame, spark.createDataFrame(nodes, shapley.NODES), names).collect()}
+    for i, *x in users:
+        v = {s: sum(worth(x, s, t) for t in range(3)) for k in range(6) for s in itertools.combinations(range(5), k)}
+        assert got[i].bias == pytest.approx(v[()], abs=1e-12)
+        for j, name in enumerate(names):
+            wanted = 0.0
+            for s in v:
+                if j not in s:
+                    share = math.factorial(len(s)) * math.factorial(4 - len(s)) / math.factorial(5)
+                    wanted += share * (v[tuple(sorted((*s, j)))] - v[s])
+            assert got[i][name] == pytest.approx(wanted, abs=1e-12)
+
+
+def test_score_report_by_pairs(spark):
+    draw = random.Random(2)
+    rows = [(draw.randrange(2), draw.randrange(12) / 12) for _ in range(300)]
+    got = {r["class"]: r for r in ml.score_report(spark.createDataFrame(rows, "churned int, churn_probability double")).collect()}
+    up, down = ([p for y, p in rows if y == k] for k in (1, 0))
+    auc = sum((a > b) + (a == b) / 2 for a in up for b in down) / len(up) / len(down)
+    assert got["Churned"].train_auc == pytest.approx(auc, abs=1e-12)
+    assert got["Churned"].recall == sum(p >= 0.5 for p in up) / len(up)
+    assert got["Retained"].precision == sum(p < 0.5 for p in down) / sum(p < 0.5 for _, p in rows)
+    one = ml.score_report(spark.createDataFrame([(1, 0.7)], "churned int, churn_probability double")).collect()
+    assert {r.train_auc for r in one} == {None}
+    assert ml.score_report(spark.createDataFrame([], "churned int, churn_probability double")).count() == 2
+
+
 def test_reports(spark, training, model):
     report = {r["class"]: r for r in ml.churn_model_report(training, model).collect()}
     assert report["Churned"].support + report["Retained"].support == 600

@@ -21,6 +21,7 @@ from tillview.operators import (
     products,
     quality,
     recs,
+    shapley,
     staging,
     tables,
     trends,
@@ -556,6 +557,44 @@ def _promoted(shop: Shop) -> DataFrame:
     return registry
 
 
+# A small ensemble over the four features below, to check the explanation in SQL.
+EXPLAINED = ["recency_days", "frequency", "monetary", "tenure_days"]
+SMALL_ENSEMBLE = [
+    (0, 0, 0, 120.0, 1, 2, None, 1000.0, 1.0),
+    (0, 1, 1, 10.0, 3, 4, None, 600.0, 1.0),
+    (0, 2, 2, 1500000.0, 5, 6, None, 400.0, 1.0),
+    (0, 3, None, None, -1, -1, -0.2, 350.0, 1.0),
+    (0, 4, None, None, -1, -1, -0.8, 250.0, 1.0),
+    (0, 5, 0, 400.0, 7, 8, None, 150.0, 1.0),
+    (0, 6, None, None, -1, -1, 0.9, 250.0, 1.0),
+    (0, 7, None, None, -1, -1, 0.3, 120.0, 1.0),
+    (0, 8, None, None, -1, -1, 0.7, 30.0, 1.0),
+    (1, 0, 1, 15.0, 1, 2, None, 1000.0, 0.1),
+    (1, 1, 3, 1500.0, 3, 4, None, 700.0, 0.1),
+    (1, 2, None, None, -1, -1, -0.6, 300.0, 0.1),
+    (1, 3, None, None, -1, -1, 0.4, 300.0, 0.1),
+    (1, 4, 0, 60.0, 5, 6, None, 400.0, 0.1),
+    (1, 5, None, None, -1, -1, -0.5, 250.0, 0.1),
+    (1, 6, None, None, -1, -1, 0.2, 150.0, 0.1),
+]
+
+
+def _explained(shop: Shop) -> DataFrame:
+    """Shapley values of every buyer under the small ensemble, and the margin they add up to."""
+    nodes = shop.spark.createDataFrame(SMALL_ENSEMBLE, shapley.NODES)
+    found = shapley.tree_contributions(_scoring(shop), nodes, EXPLAINED)
+    margin = sum((F.col(f) for f in EXPLAINED), F.col("bias"))
+    # a zero without a sign
+    return found.select("user_id", *[(F.round(c, 9) + 0.0).alias(n) for n, c in [*((f, F.col(f)) for f in EXPLAINED), ("margin", margin)]])
+
+
+def _heuristic_report(shop: Shop) -> DataFrame:
+    """The heuristic's scores of the training rows, stored and judged against their labels."""
+    rows = _training(shop)
+    scores = rows.select("churned", churn.heuristic_probability().cast("double").alias("churn_probability"))
+    return ml.score_report(materialize(scores, "scores"))
+
+
 MODEL = {
     "churn_train": _training_report,
     "churn_score_batch": _scored,
@@ -563,6 +602,8 @@ MODEL = {
     "churn_model_factors": lambda s: ml.churn_model_factors(_scoring(s), _fitted(s)),
     "churn_model_report": lambda s: ml.churn_model_report(_training(s), _fitted(s)),
     "churn_holdout_eval": _holdout,
+    "churn_tree_contributions": _explained,
+    "churn_heuristic_report": _heuristic_report,
     "rfm_silhouette": lambda s: ml.rfm_silhouette(_metrics(s)),
     "model_registry_promote": _promoted,
 }
