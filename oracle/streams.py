@@ -1,7 +1,8 @@
 """Statements for the jobs and the streams."""
 
-from oracle.base import big, dbl, query, rnd, sec
+from oracle.base import big, day, dbl, query, rnd, sec
 from oracle.customers import SQL as CUSTOMER_SQL
+from oracle.kpi import SQL as KPI_SQL
 
 TS = "timestamp"
 
@@ -11,6 +12,30 @@ SQL = {
         """SELECT 'daily_metrics' AS view, COUNT(*) AS rows FROM daily
            UNION ALL SELECT 'user_metrics', COUNT(*) FROM metrics""",
     ),
+    "refresh_delta_daily": KPI_SQL["daily_metrics"],
+    "refresh_delta_users": CUSTOMER_SQL["user_metrics"],
+    "refresh_delta_report": query(
+        "lines daily metrics",
+        """SELECT r.refresh, x.name, x.rows FROM (SELECT UNNEST([0, 1])::BIGINT AS refresh) r,
+           LATERAL (
+             SELECT 'daily_metrics' AS name, COUNT(DISTINCT CAST(transaction_date AS DATE)) AS rows FROM tagged WHERE late <= r.refresh
+             UNION ALL SELECT 'user_metrics', COUNT(*) FROM metrics
+             UNION ALL SELECT 'months_read', COUNT(DISTINCT strftime(transaction_date, '%Y-%m')) FROM tagged WHERE late = r.refresh
+           ) x""",
+        (
+            "tagged",
+            """SELECT *, CASE WHEN transaction_id % 2 = 0 AND transaction_date >= (SELECT CAST(MAX(transaction_date) AS DATE)
+                      FROM orders_fact) - 90 THEN 1 ELSE 0 END AS late FROM lines""",
+        ),
+    ),
+    "active_users": query(
+        "orders_fact",
+        f"""SELECT 'day' AS grain, {day('d')} AS period, COUNT(DISTINCT user_id) AS users FROM o GROUP BY d
+            UNION ALL SELECT 'week', {day("date_trunc('week', d)")}, COUNT(DISTINCT user_id) FROM o GROUP BY date_trunc('week', d)
+            UNION ALL SELECT '30 days', {day('p.d')}, COUNT(DISTINCT o.user_id)
+            FROM (SELECT DISTINCT d FROM o) p JOIN o ON o.d BETWEEN p.d - 29 AND p.d GROUP BY p.d""",
+        ("o", "SELECT user_id, CAST(transaction_date AS DATE) AS d FROM orders_fact"),
+    ),
     "export_then_read": query(
         "lines",
         f"""SELECT strftime(transaction_date, '%Y-%m') AS txn_month, COUNT(*) AS rows,

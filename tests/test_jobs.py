@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tillview.operators import experiments, kpi, staging
+from tillview.operators import customers, experiments, kpi, staging, states
 from tillview.plans import jobs
 from tillview.sources import scratch
+from tillview.sources.months import MonthlyParts, month_lists
 from tillview.sources.schemas import AB_METRICS, DAILY_REPORT_LOG
 from tillview.sources.versions import EmptyTableError, VersionedTable
 
@@ -109,3 +110,54 @@ def test_scratch_follows_the_session(spark):
     assert scratch.scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
     stored = scratch.materialize(spark.range(3), "x")
     assert stored.inputFiles()[0].startswith("file:" + scratch.scratch_root(spark)) or scratch.scratch_root(spark) in stored.inputFiles()[0]
+
+
+def test_delta_refresh_equals_the_rebuild_and_reads_changed_months_only(spark, shop, tmp_path):
+    users, fact = shop
+    root, path = str(tmp_path / "views"), str(tmp_path / "fact")
+    later = fact.selectExpr(
+        "transaction_id + 1000 AS transaction_id", "user_id % 5 + 27 AS user_id", "product_id", "session_id",
+        "CAST(transaction_date + INTERVAL 40 DAYS AS TIMESTAMP_NTZ) AS transaction_date", "quantity", "total_amount", "discount_amount",
+    )
+    fact = fact.select(*later.columns)
+    correction = later.where("transaction_id < 1010").selectExpr("* EXCEPT (transaction_id)", "transaction_id + 5000 AS transaction_id")
+
+    def append(df):
+        df.withColumn("txn_month", F.date_format("transaction_date", "yyyy-MM")).write.mode("append").partitionBy("txn_month").parquet(path)
+        return jobs.refresh_views_by_delta(users, path, root, "2024-03-20")
+
+    def check(whole):
+        for name, wanted in (("daily_metrics", kpi.daily_metrics(whole)), ("user_metrics", customers.user_metrics(users.drop("customer_segment"), whole, "2024-03-20"))):
+            got = VersionedTable(spark, f"{root}/{name}").read().select(*wanted.columns).collect()
+            assert sorted(got, key=str) == sorted(wanted.collect(), key=str), name
+
+    assert append(fact).rows["months_read"] == 1
+    check(fact)
+    assert jobs.refresh_views_by_delta(users, path, root, "2024-03-20").decision == "unchanged"
+    whole = fact.unionByName(later)
+    assert append(later).rows["months_read"] == 2  # February and March; January is not read
+    check(whole)
+    assert append(correction).rows["months_read"] == 1
+    check(whole.unionByName(correction))
+    parts = MonthlyParts(spark, f"{root}/states", jobs.STATES)
+    assert parts.months() == ["2024-01", "2024-02", "2024-03"]
+    assert parts.expire() == 0 and len(parts.manifest.versions()) == 3
+
+
+def test_changed_months_are_all_that_the_scan_reads(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    spark.range(9).selectExpr("id", "concat('2024-0', id % 3 + 1) AS txn_month").write.partitionBy("txn_month").parquet(path)
+    plan = spark.read.parquet(path).where(F.col("txn_month").cast("string").isin(["2024-02"]))
+    assert {f.split("txn_month=")[1][:7] for f in plan.inputFiles()} >= {"2024-02"}
+    assert "PartitionFilters: [" in plan._jdf.queryExecution().toString() and plan.count() == 3
+    lists = month_lists(spark, path)
+    assert sorted(lists) == ["2024-01", "2024-02", "2024-03"] and len(set(lists.values())) == 3
+
+
+def test_distinct_users_by_bitmaps(spark, sales):
+    rows = [(i, u, 1, f"2024-01-{d:02d} 10:00:00", 1, 5) for i, (u, d) in enumerate([(1, 1), (1, 2), (40_000, 2), (-3, 2), (2**40, 9), (1, 31)])]
+    rows.append((99, None, 1, "2024-01-02 10:00:00", 1, 5))
+    got = {(r.grain, str(r.period)): r.users for r in states.active_users(states.day_users(sales(rows)), window=8).collect()}
+    assert got["day", "2024-01-02"] == 3 and got["week", "2024-01-01"] == 3
+    assert got["8 days", "2024-01-02"] == 3 and got["8 days", "2024-01-09"] == 4 and got["8 days", "2024-01-31"] == 1
+    assert states.active_users(states.day_users(sales(rows).limit(0))).count() == 0

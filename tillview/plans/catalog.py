@@ -23,10 +23,12 @@ from tillview.operators import (
     recs,
     shapley,
     staging,
+    states,
     tables,
     trends,
 )
 from tillview.plans import jobs
+from tillview.sources.months import MONTH
 from tillview.sources.readers import parquet_stream
 from tillview.sources.schemas import AB_METRICS, DAILY_REPORT_LOG, MODEL_REGISTRY
 from tillview.sources.scratch import materialize, scratch_path
@@ -354,6 +356,36 @@ def _refreshed(shop: Shop) -> DataFrame:
     return shop.spark.createDataFrame(list(report.rows.items()), "view string, rows bigint")
 
 
+RECENT_MONTHS = 3
+
+
+def _refreshed_by_delta(shop: Shop) -> tuple[str, list[jobs.JobReport]]:
+    """The views after a first load and after the last months' rows were appended: their folder and the reports."""
+    root = scratch_path(shop.spark, "delta")
+    lines = shop.lines().withColumn(MONTH, F.date_format(TS, "yyyy-MM"))
+    # half of the last months' orders come later, so that old and new months change
+    late = (F.col(TS) >= Anchor(lines, shop.last_order).midnight(30 * RECENT_MONTHS)) & (F.col("transaction_id") % 2 == 0)
+    reports = []
+    for part in (lines.where(~late), lines.where(late)):
+        part.hint("rebalance", MONTH).write.mode("append").partitionBy(MONTH).parquet(f"{root}/fact")
+        reports.append(jobs.refresh_views_by_delta(shop.users(), f"{root}/fact", f"{root}/views", shop.last_order))
+    return f"{root}/views", reports
+
+
+def _delta_view(shop: Shop, name: str) -> DataFrame:
+    return VersionedTable(shop.spark, f"{_refreshed_by_delta(shop)[0]}/{name}").read()
+
+
+def _delta_report(shop: Shop) -> DataFrame:
+    rows = [(i, name, n) for i, report in enumerate(_refreshed_by_delta(shop)[1]) for name, n in report.rows.items()]
+    return shop.spark.createDataFrame(rows, "refresh bigint, name string, rows bigint")
+
+
+def _active_users(shop: Shop) -> DataFrame:
+    """Daily, weekly and 30-day users from a stored table of the days' bitmaps."""
+    return states.active_users(materialize(states.day_users(shop.orders()), "day-users"))
+
+
 def _report(shop: Shop, report: jobs.JobReport) -> DataFrame:
     rows = [(name, n, report.decision) for name, n in report.rows.items()]
     return shop.spark.createDataFrame(rows, "table_name string, rows bigint, decision string")
@@ -399,6 +431,10 @@ JOBS = {
     "export_marts": _exported_marts,
     "ab_metrics_upsert": _experiment_metrics,
     "refresh_views": _refreshed,
+    "refresh_delta_daily": lambda s: _delta_view(s, "daily_metrics"),
+    "refresh_delta_users": lambda s: _delta_view(s, "user_metrics"),
+    "refresh_delta_report": _delta_report,
+    "active_users": _active_users,
     "export_then_read": lambda s: _exported(s).groupBy("txn_month").agg(
         F.count("*").alias("rows"), F.sum("total_amount").alias("revenue")
     ),

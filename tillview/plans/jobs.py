@@ -11,7 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillview.operators import churn, cohorts, customers, experiments, kpi, quality, staging, tables
+from tillview.operators import churn, cohorts, customers, experiments, kpi, quality, staging, states, tables
+from tillview.sources.months import MONTH, MonthlyParts, month_lists
 from tillview.sources.readers import write_counted
 from tillview.sources.scratch import materialize
 from tillview.sources.versions import VersionedTable
@@ -40,6 +41,34 @@ def refresh_views(users: DataFrame, transactions: DataFrame, root: str, as_of=No
     return JobReport(rows={name: rows for name, (_, rows) in staged.items()})
 
 
+STATES = ["day_totals", "day_users", "user_months"]
+
+
+def refresh_views_by_delta(users: DataFrame, fact_path: str, root: str, as_of=None) -> JobReport:
+    """The views of :func:`refresh_views` after a change of some months of a month-partitioned fact.
+
+    Only months whose files changed are read; their states replace the old ones, and the views
+    are put together from the states of all months. ``rows`` also tells how many months were
+    read. Without a change the views stay as they are.
+    """
+    spark = users.sparkSession
+    parts, current = MonthlyParts(spark, f"{root}/states", STATES), month_lists(spark, fact_path)
+    changed, gone = parts.changed(current), set(parts.months()) - set(current)
+    if not changed and not gone:
+        return JobReport(decision="unchanged", rows={"months_read": 0})
+    fact = spark.read.parquet(fact_path)
+    # the type of a partition's name is guessed; months are text
+    changes = fact.withColumn(MONTH, F.col(MONTH).cast("string")).where(F.col(MONTH).isin(changed)).drop(MONTH)
+    made = {"day_totals": states.day_totals(changes), "day_users": states.day_users(changes), "user_months": states.user_months(changes)}
+    parts.update(current, made)
+    totals, bitmaps, months = (parts.read(name, made[name].schema) for name in STATES)
+    views = {"daily_metrics": states.daily_view(totals, bitmaps, months), "user_metrics": states.user_view(users, months, as_of)}
+    staged = {name: VersionedTable(spark, f"{root}/{name}").stage(df) for name, df in views.items()}
+    for name, (folder, _) in staged.items():
+        VersionedTable(spark, f"{root}/{name}").publish(folder)
+    return JobReport(rows={**{name: rows for name, (_, rows) in staged.items()}, "months_read": len(changed)})
+
+
 def run_nightly(users: DataFrame, transactions: DataFrame, report_log: DataFrame, root: str, as_of=None) -> JobReport:
     """Gate, marts with their column tests, write-backs and the daily log.
 
