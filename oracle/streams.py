@@ -81,11 +81,18 @@ SQL = {
                   AS conversion_pct
            FROM (SELECT UNNEST([1, 2, 3])::BIGINT AS step, UNNEST(['view', 'click', 'purchase']) AS stage,
                         UNNEST([a, b, c]) AS reached, UNNEST([a, a, b]) AS previous
-                 FROM (SELECT COUNT(v) AS a, COUNT(*) FILTER (k >= v) AS b, COUNT(*) FILTER (k >= v AND p >= k) AS c
-                       FROM (SELECT session_id, MIN(timestamp) FILTER (event_type = 'view') AS v,
-                                    MIN(timestamp) FILTER (event_type = 'click') AS k,
-                                    MIN(timestamp) FILTER (event_type = 'purchase') AS p
-                             FROM all_events GROUP BY session_id)))""",
+                 FROM (SELECT COUNT(*) AS a, COUNT(k) AS b, COUNT(p) AS c FROM purchased))""",
+        ("viewed", "SELECT session_id, MIN(timestamp) AS v FROM all_events WHERE event_type = 'view' GROUP BY 1"),
+        (
+            "clicked",
+            """SELECT v.session_id, MIN(e.timestamp) AS k FROM viewed v LEFT JOIN all_events e
+                 ON e.session_id = v.session_id AND e.event_type = 'click' AND e.timestamp >= v.v GROUP BY 1""",
+        ),
+        (
+            "purchased",
+            """SELECT c.session_id, MIN(c.k) AS k, MIN(e.timestamp) AS p FROM clicked c LEFT JOIN all_events e
+                 ON e.session_id = c.session_id AND e.event_type = 'purchase' AND e.timestamp >= c.k GROUP BY 1""",
+        ),
     ),
     "nightly_run": query(
         "buyers snapshot users",

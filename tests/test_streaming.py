@@ -3,6 +3,8 @@
 import json
 import time
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +132,36 @@ def test_sessions_and_funnel(spark):
     assert [(r.reached, None if r.conversion_pct is None else float(r.conversion_pct)) for r in funnel] == [(3, 100.0), (1, 33.33), (0, 0.0), (0, None)]
 
 
+def test_funnel_follows_any_ordered_run(spark):
+    """Sessions in random order over several slices, equal times and a stage named twice, by brute force."""
+    draw = random.Random(12)
+    kinds = ["view", "click", "purchase", "other"]
+    rows = [("early", 1, "click", 5), ("early", 1, "view", 10), ("early", 1, "click", 12), ("early", 1, "purchase", 13)]
+    for session in range(120):
+        rows += [(str(session), 1, draw.choice(kinds), draw.randrange(0, 3000, 100)) for _ in range(draw.randrange(9))]
+    rows += [("late", 1, "view", None), (None, 1, "view", 3)]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "session_id string, user_id int, event_type string, at int").withColumn(
+        "timestamp", F.timestamp_seconds("at")
+    )
+    for stages in (["view", "click", "purchase"], ["click", "view", "click", "click"], ["purchase"]):
+        reached = [0] * len(stages)
+        for session in {r[0] for r in rows} - {None}:
+            now = -1
+            for i, stage in enumerate(stages):
+                # a stage named twice running needs one more event only if the first use took its time
+                times = [t for s, _, k, t in rows if s == session and k == stage and t is not None and t >= now]
+                if not times:
+                    break
+                now = min(times)
+                reached[i] += 1
+        assert [r.reached for r in events.event_funnel(df, stages).collect()] == reached
+    assert [r.reached for r in events.event_funnel(df.where("session_id = 'early'"), kinds[:3]).collect()] == [1, 1, 1]
+    assert [r.reached for r in events.event_funnel(df.limit(0), kinds[:3]).collect()] == [0, 0, 0]
+    with pytest.raises(ValueError, match="stages"):
+        events.event_funnel(df, [])
+
+
 @pytest.mark.parametrize("value", ["{", "[]", "null", ""])
 def test_malformed_json_becomes_null(spark, value):
     row = events.parse_events(spark.createDataFrame([(value,)], "value string")).first()

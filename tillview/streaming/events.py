@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -85,22 +85,65 @@ def _rolled_up(events: DataFrame, keys: list) -> DataFrame:
     )
 
 
-def event_funnel(events: DataFrame, stages: list[str], key: str = "session_id") -> DataFrame:
-    """How many keys got to each stage, having passed all stages before it in order.
+#: Events of a key that meet in one fold span at most this many seconds; a busy key is many folds.
+SLICE_SECONDS = 600
+MOST_STAGES = 8
+
 
-    A stage counts from its first time, which may not lie before that of the stage
-    before it. One aggregation of fixed-size state per key.
+def event_funnel(events: DataFrame, stages: list[str], key: str = "session_id") -> DataFrame:
+    """How many keys got to each stage: having passed all stages before it, in the order of time.
+
+    The stages may lie anywhere among a key's events, as long as each follows the one before it
+    (or has its time). What a run of events does is a table: from the number of stages passed
+    before it to the number after it. Tables of neighbouring runs compose to that of both, so a
+    key's events are folded in slices of time, in parallel, and the slices' tables in order. A
+    stage may be named more than once. Events without key or time are left out; without events
+    every stage counts 0.
     """
-    times = [F.min(F.when(F.col("event_type") == stage, F.col("timestamp"))) for stage in stages]
-    firsts = events.filter(F.col("event_type").isin(stages) & F.col(key).isNotNull()).groupBy(key).agg(
-        *[t.alias(f"first_{i}") for i, t in enumerate(times)]
+    if not 0 < len(stages) <= MOST_STAGES:
+        raise ValueError(f"1 to {MOST_STAGES} stages")
+    passed = _passes(_slice_tables(events, stages, key))
+    totals = passed.agg(*[F.count_if(F.col("passed") > i).alias(f"reached_{i}") for i in range(len(stages))])
+    return _funnel_rows(totals, stages)
+
+
+def _slice_tables(events: DataFrame, stages: list[str], key: str) -> DataFrame:
+    """(key, slice, passes): what each slice of a key's events does to 0, 1, 2, ... stages passed."""
+    bit = F.lit(0)
+    for stage in dict.fromkeys(stages):
+        bits = sum(1 << i for i, s in enumerate(stages) if s == stage)
+        bit = F.when(F.col("event_type") == stage, F.lit(bits)).otherwise(bit)
+    told = events.filter(F.col("event_type").isin(stages) & F.col(key).isNotNull() & F.col("timestamp").isNotNull())
+    # events of one time are a set, combined before the shuffle
+    moments = told.groupBy(F.col(key).alias("key"), F.col("timestamp").alias("at")).agg(F.bit_or(bit).alias("told"))
+    seconds = F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / SLICE_SECONDS)
+    runs = moments.groupBy("key", seconds.alias("slice")).agg(F.array_sort(F.collect_list(F.struct("at", "told"))).alias("run"))
+    states = len(stages) + 1
+    steps = F.array(*[F.lit(_after(told, passed, len(stages))) for told in range(1 << len(stages)) for passed in range(states)])
+
+    def step(passes: Column, moment: Column) -> Column:
+        return F.transform(passes, lambda p: F.get(steps, moment["told"] * states + p))
+
+    unchanged = F.array(*map(F.lit, range(states)))
+    return runs.select("key", "slice", F.aggregate("run", unchanged, step).alias("passes"))
+
+
+def _after(told: int, passed: int, stages: int) -> int:
+    """Stages passed after a moment that tells the stages of the bits ``told``."""
+    while passed < stages and told >> passed & 1:
+        passed += 1
+    return passed
+
+
+def _passes(tables: DataFrame) -> DataFrame:
+    """(key, passed): the slices' tables applied in order, from no stage on; one short row for each slice."""
+    ordered = tables.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("slice", "passes"))).alias("tables"))
+    return ordered.select(
+        "key", F.aggregate("tables", F.lit(0), lambda passed, table: F.get(table["passes"], passed)).alias("passed")
     )
-    reached, so_far = [], F.col("first_0").isNotNull()
-    for i in range(len(stages)):
-        if i:
-            so_far = so_far & F.coalesce(F.col(f"first_{i}") >= F.col(f"first_{i - 1}"), F.lit(False))
-        reached.append(F.count_if(so_far).alias(f"reached_{i}"))
-    totals = firsts.agg(*reached)
+
+
+def _funnel_rows(totals: DataFrame, stages: list[str]) -> DataFrame:
     rows = F.array(
         *[
             F.struct(
