@@ -104,3 +104,26 @@ def test_user_without_purchases_gets_nothing(shop):
     fact, products, _ = shop
     assert recs.rec_user_jaccard(fact, products, 12345).count() == 0
     assert recs.rec_user_overlap(fact, products, 12345).count() == 0
+
+
+@pytest.mark.parametrize("targets", [range(1, 61), (3, 17, 60)])
+def test_hot_products_form_few_pairs(spark, monkeypatch, targets):
+    """One product that all users bought and one that a third did: exact counts, few pair rows."""
+    monkeypatch.setattr(recs, "GROUP_SLICE", 15)
+    rng = random.Random(4)
+    rows = {(u, rng.randint(1, 150)) for u in range(1, 61) for _ in range(4)}
+    rows |= {(u, 1000) for u in range(1, 61)} | {(u, 1001) for u in range(1, 61, 3)}
+    purchases = spark.createDataFrame(sorted(rows), "user_id bigint, product_id bigint")
+    wanted = spark.createDataFrame([(u,) for u in targets], "user_id bigint")
+    for min_common in (2, 3):
+        got = {(r.target_user, r.user_id): r.common for r in recs._common_with_targets(purchases, wanted, min_common).collect()}
+        every = brute_force(rows, min_common)
+        both = {(a, b): n for (x, y), n in every.items() for a, b in ((x, y), (y, x)) if a in set(targets)}
+        assert got == both and both
+    ranked = recs._with_degree(purchases.toDF("item", "grp"))
+    kept = ranked.join(recs._busiest_groups(ranked, 1), ["item", "grp"], "left_anti")
+    formed = recs._shared_with(kept, wanted.toDF("item")).agg({"common": "sum"}).first()[0]
+    groups = defaultdict(int)
+    for _, product in rows:
+        groups[product] += 1
+    assert formed < sum(n * n for n in groups.values()) * len(targets) / 60 / 4

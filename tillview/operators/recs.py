@@ -3,11 +3,11 @@
 One user or one product is a look-up: its own rows come first, the candidates follow
 by semi join, and only their rows are aggregated; nothing is stored.
 
-Counting what all products have in common starts from the buyers they share. To share
-``k`` buyers, two products must share some that are not among the few busiest buyers of
-either. So these form no pairs; they are only looked up for the pairs that the other
-buyers have formed often enough, and the counts stay exact. The members of
-a large group meet slice by slice: a task gets two slices, never a whole group.
+Counting what all products (or users) have in common starts from the groups they share. To
+share ``k`` groups, two items must share one that is not among the ``k - 1`` busiest of
+either. So those of an item's busiest groups that are large form no pairs; they are only
+looked up for the pairs that the other groups have formed, and the counts stay exact. The
+members of a group that still meets in slices do so two slices a task, never a whole group.
 """
 
 from __future__ import annotations
@@ -37,58 +37,63 @@ def purchase_counts(transactions: DataFrame) -> DataFrame:
 def overlapping_pairs(members: DataFrame, item: str, group: str, min_common: int) -> DataFrame:
     """Pairs ``item_a < item_b`` that share at least ``min_common`` groups.
 
-    ``members`` has distinct (item, group) rows. Returns item_a, item_b, common.
+    ``members`` has distinct (item, group) rows. Returns item_a, item_b, common. Pairs that
+    cannot get that far with what was left out are dropped before they are stored.
     """
     rows = materialize(members.select(F.col(item).alias("item"), F.col(group).alias("grp")), "members")
-    degrees = rows.groupBy("grp").agg(F.count("*").alias("degree"))
-    ranked = rows.join(degrees, "grp")
-    if min_common < 2:
-        return _shared_groups(ranked).filter(F.col("common") >= min_common)
-
-    # one global order of the groups: what two items lose of their overlap to the two cuts lies
-    # at its end, so at most one cut's length; the rest they must share among the kept groups
-    shared_kept = min(2, min_common - 1)
-    left_out = _busiest_groups(ranked, min_common - shared_kept)
+    ranked = _with_degree(rows)
+    left_out = _busiest_groups(ranked, min_common - 1)
     kept = ranked.join(left_out, ["item", "grp"], "left_anti")
     missing = left_out.groupBy("item").agg(F.count("*").alias("missing"))
     missing_of = lambda side: missing.select(F.col("item").alias(f"item_{side}"), F.col("missing").alias(f"missing_{side}"))
     zero = F.lit(0)
-    within_reach = F.col("common") + F.coalesce("missing_a", zero) + F.coalesce("missing_b", zero) >= min_common
     # counted once and read three times below
     candidates = materialize(
         _shared_groups(kept)
-        .filter(F.col("common") >= shared_kept)
         .join(missing_of("a"), "item_a", "left")
         .join(missing_of("b"), "item_b", "left")
-        .filter(within_reach)
-        .select("item_a", "item_b", "common"),
+        .withColumn("more", F.coalesce("missing_a", zero) + F.coalesce("missing_b", zero))
+        .filter(F.col("common") + F.col("more") >= min_common)
+        .select("item_a", "item_b", "common", "more"),
         "pairs",
     )
-    pairs = candidates.select("item_a", "item_b")
-    # a group left out for item_a counts if item_b has it at all,
-    # one left out for item_b only if it was kept for item_a
+    looked_up = _looked_up(candidates.filter(F.col("more") > 0).select("item_a", "item_b"), rows, kept, left_out)
+    return (
+        candidates.select("item_a", "item_b", "common")
+        .unionByName(looked_up)
+        .groupBy("item_a", "item_b")
+        .agg(F.sum("common").alias("common"))
+        .filter(F.col("common") >= min_common)
+    )
+
+
+def _with_degree(rows: DataFrame) -> DataFrame:
+    return rows.join(rows.groupBy("grp").agg(F.count("*").alias("degree")), "grp")
+
+
+def _looked_up(pairs: DataFrame, rows: DataFrame, kept: DataFrame, left_out: DataFrame) -> DataFrame:
+    """(item_a, item_b, 1): for the pairs, each shared group that one of them left out.
+
+    A group left out for item_a counts if item_b has it at all, one left out for item_b only
+    if it was kept for item_a.
+    """
     first = pairs.join(left_out.withColumnRenamed("item", "item_a"), "item_a").join(
-        rows.withColumnRenamed("item", "item_b"), ["item_b", "grp"], "left_semi"
+        rows.select(F.col("item").alias("item_b"), "grp"), ["item_b", "grp"], "left_semi"
     )
     second = pairs.join(left_out.withColumnRenamed("item", "item_b"), "item_b").join(
         kept.select(F.col("item").alias("item_a"), "grp"), ["item_a", "grp"], "left_semi"
     )
-    added = first.select("item_a", "item_b").unionByName(second.select("item_a", "item_b")).withColumn(
+    return first.select("item_a", "item_b").unionByName(second.select("item_a", "item_b")).withColumn(
         "common", F.lit(1).cast("bigint")
     )
-    return (
-        candidates.unionByName(added)
-        .groupBy("item_a", "item_b")
-        .agg(F.sum("common").alias("common"))
-        .filter(F.col("common") >= min_common)
-    )
 
 
 def _busiest_groups(ranked: DataFrame, most: int) -> DataFrame:
-    """The ``most`` busiest groups of each item."""
+    """The large groups among the ``most`` busiest of each item; one global order of the groups."""
     # Spark limits each item's rows before the shuffle, so no item's whole list meets in one task
     busiest = Window.partitionBy("item").orderBy(F.col("degree").desc(), F.col("grp").desc())
-    top = ranked.withColumn("place", F.row_number().over(busiest)).filter(F.col("place") <= most)
+    large = ranked.filter(F.col("degree") > GROUP_SLICE)
+    top = large.withColumn("place", F.row_number().over(busiest)).filter(F.col("place") <= most)
     return materialize(top.select("item", "grp"), "busiest")
 
 
@@ -118,23 +123,41 @@ def _shared_groups(ranked: DataFrame) -> DataFrame:
 
 
 def _common_with_targets(purchases: DataFrame, targets: DataFrame, min_common: int) -> DataFrame:
-    """(target_user, user_id, common): the users that share enough products with each target."""
-    mine = purchases.join(targets.select("user_id").distinct(), "user_id", "left_semi")
-    degrees = purchases.groupBy("product_id").agg(F.count("*").alias("degree"))
-    busy = lambda df: df.join(degrees, "product_id").withColumns(
-        {"own": F.pmod(F.hash("user_id"), _slices()), "other": F.explode(F.sequence(F.lit(0), _slices() - 1))}
+    """(target_user, user_id, common): the users that share enough products with each target.
+
+    As :func:`overlapping_pairs`, for pairs with a target: a user's busiest products, if large,
+    form no pairs and are looked up.
+    """
+    rows = purchases.select(F.col("user_id").alias("item"), F.col("product_id").alias("grp"))
+    ranked = _with_degree(rows)
+    left_out = _busiest_groups(ranked, min_common - 1)
+    kept = ranked.join(left_out, ["item", "grp"], "left_anti")
+    wanted = targets.select(F.col("user_id").alias("item")).distinct()
+    met = materialize(_shared_with(kept, wanted), "pairs")
+    # only a user with a product left out can have more in common than was counted
+    outside = left_out.select("item").distinct()
+    either = met.join(outside.withColumnRenamed("item", "item_a"), "item_a", "left_semi").unionByName(
+        met.join(outside.withColumnRenamed("item", "item_b"), "item_b", "left_semi")
     )
-    left = busy(mine).select("product_id", F.col("user_id").alias("target_user"), F.col("own").alias("p"), F.col("other").alias("q"))
-    right = busy(purchases).select("product_id", "user_id", F.col("other").alias("p"), F.col("own").alias("q"))
+    looked_up = _looked_up(either.select("item_a", "item_b").distinct(), rows, kept, left_out)
     return (
-        left.join(right, ["product_id", "p", "q"])
-        .filter(F.col("target_user") != F.col("user_id"))
-        .groupBy("target_user", "user_id")
-        .agg(F.count("*").alias("common"))
+        met.unionByName(looked_up)
+        .groupBy(F.col("item_a").alias("target_user"), F.col("item_b").alias("user_id"))
+        .agg(F.sum("common").alias("common"))
         .filter(F.col("common") >= min_common)
     )
 
 
+def _shared_with(ranked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(item_a, item_b, common) for the wanted items and all others; groups meet in slices."""
+    tasks, own = _tasks(ranked), F.pmod(F.hash("item"), _slices())
+    other = F.explode(F.sequence(F.lit(0), _slices() - 1))
+    left = ranked.join(wanted, "item", "left_semi").select("grp", F.col("item").alias("item_a"), own.alias("p"), other.alias("q"))
+    right = ranked.select("grp", F.col("item").alias("item_b"), own.alias("q"), other.alias("p"))
+    met = left.repartition(tasks, "grp", "p", "q").join(right.repartition(tasks, "grp", "p", "q"), ["grp", "p", "q"])
+    return met.filter(F.col("item_a") != F.col("item_b")).groupBy("item_a", "item_b").agg(F.count("*").alias("common"))
+
+
 def _jaccard(common, size_a, size_b):
     """Jaccard similarity to 12 decimals, so that sums do not depend on their order."""
     either = size_a + size_b - common
@@ -150,8 +173,14 @@ def _recommendations(
     ``similar`` has target_user, user_id and similarity; ``owned`` target_user and product_id.
     """
     best = Window.partitionBy("target_user").orderBy(F.col("recommendation_score").desc(), "product_id")
+    least = F.lit(min_score).cast("decimal(10,6)")
+    # no product of a target scores more than its neighbours' similarities times their most purchases of a product
+    most = purchases.groupBy("user_id").agg(F.max("purchases").alias("most"))
+    bound = F.sum(F.col("similarity") * F.col("most").cast("decimal(10,0)"))
+    within_reach = similar.join(most, "user_id").groupBy("target_user").agg(F.round(bound, 6).alias("bound")).filter(F.col("bound") > least)
     return (
-        similar.join(purchases, "user_id")
+        similar.join(within_reach.select("target_user"), "target_user", "left_semi")
+        .join(purchases, "user_id")
         .groupBy("target_user", "product_id")
         .agg(
             # a neighbour's repeat purchases count again
@@ -159,7 +188,7 @@ def _recommendations(
             F.count("*").alias("recommended_by_n_similar_users"),
         )
         .withColumn("recommendation_score", F.round(F.col("score"), 6))
-        .filter(F.col("recommendation_score") > F.lit(min_score).cast("decimal(10,6)"))
+        .filter(F.col("recommendation_score") > least)
         .join(owned, ["target_user", "product_id"], "left_anti")
         .withColumn("place", F.row_number().over(best))
         .filter(F.col("place") <= limit)
@@ -226,6 +255,7 @@ def rec_user_jaccard_batch(
         .join(sizes.select(F.col("user_id").alias("target_user"), F.col("products").alias("size")), "target_user")
         .select("target_user", "user_id", _jaccard(F.col("common"), F.col("products"), F.col("size")).alias("similarity"))
     )
+    similar = materialize(similar, "similar")
     owned = purchases.join(targets.select("user_id"), "user_id", "left_semi").select(
         F.col("user_id").alias("target_user"), "product_id"
     )
