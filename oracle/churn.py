@@ -213,6 +213,12 @@ SQL = {
             {SNAPSHOT_ROW} FROM snapshot WHERE report_date NOT IN (SELECT report_date FROM fresh)""",
         ("fresh", LINE_SNAPSHOT),
     ),
+    "merge_write_back": query(
+        "users buyers_scored risk",
+        f"""SELECT u.user_id, u.email, CASE WHEN s.user_id IS NOT NULL THEN {MART_SEGMENT} END AS customer_segment,
+                   {dbl('r.score')} AS churn_risk_score
+            FROM users u LEFT JOIN buyers_scored s ON s.user_id = u.user_id LEFT JOIN risk r ON r.user_id = u.user_id""",
+    ),
     "insert_if_absent": query(
         "snapshot lines",
         f"""{SNAPSHOT_ROW} FROM old UNION ALL
@@ -379,3 +385,4 @@ SQL = {
         ),
     ),
 }
+SQL["merge_upsert"] = SQL["upsert_by_key"]

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tillview.operators import customers, experiments, kpi, staging, states
+from tillview.operators import churn, customers, experiments, kpi, staging, states, tables
 from tillview.plans import jobs
+from tillview.plans.filetable import FileTable
 from tillview.sources import scratch
 from tillview.sources.months import MonthlyParts, month_lists
 from tillview.sources.schemas import AB_METRICS, DAILY_REPORT_LOG
@@ -161,3 +162,49 @@ def test_distinct_users_by_bitmaps(spark, sales):
     assert got["day", "2024-01-02"] == 3 and got["week", "2024-01-01"] == 3
     assert got["8 days", "2024-01-02"] == 3 and got["8 days", "2024-01-09"] == 4 and got["8 days", "2024-01-31"] == 1
     assert states.active_users(states.day_users(sales(rows).limit(0))).count() == 0
+
+
+def test_merge_rewrites_touched_files_only(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id AS k", "id * 2 AS v", "CAST(NULL AS STRING) AS note")
+    table = FileTable(spark, str(tmp_path / "t"), ["k"], rows.schema, rows_per_file=100)
+    table.replace(rows)
+    files = dict(table.files())
+    assert len(files) == 10 and sum(files.values()) == 1000
+    old = table.read()
+
+    batch = spark.createDataFrame([(5, 1, "a"), (6, 2, "b"), (6, 3, "c"), (2000, 4, "d")], "k bigint, v bigint, note string")
+    report = table.upsert(batch, order_by="v")
+    assert (report.files, report.rewritten) == (10, 1) and len(set(files) - {f for f, _ in table.files()}) == 1
+    wanted = tables.upsert_by_key(rows, batch, ["k"], "v")
+    assert set(map(tuple, table.read().collect())) == set(map(tuple, wanted.collect()))
+    assert table.read().count() == 1001 and old.count() == 1000  # readers of the old state are not disturbed
+
+    changes = spark.createDataFrame([(100, None, "x"), (101, 202, None), (102, 7, None), (5000, 1, "no such key")], "k bigint, v bigint, note string")
+    assert table.update(changes, ["v", "note"]).rewritten == 1
+    got = {r.k: (r.v, r.note) for r in table.read().where("k BETWEEN 100 AND 102 OR k = 5000").collect()}
+    assert got == {100: (200, "x"), 101: (202, None), 102: (7, None)}
+    assert table.update(changes, ["v", "note"]).rewritten == 0  # nothing differs any more
+    assert table.upsert(batch.limit(0)).rewritten == 0
+    assert table.upsert(spark.createDataFrame([(9000, 1, "new")], "k bigint, v bigint, note string")).rewritten == 0 and table.read().count() == 1002
+
+
+def test_merge_into_an_empty_table(spark, tmp_path):
+    batch = spark.createDataFrame([(1, "a"), (None, "b"), (1, "c")], "k bigint, v string")
+    table = FileTable(spark, str(tmp_path / "t"), ["k"], batch.schema)
+    assert table.read().count() == 0
+    table.upsert(batch.where("k IS NOT NULL"))
+    assert [tuple(r) for r in table.read().collect()] == [(1, "c")]
+
+
+def test_write_back_equals_the_full_rewrite(spark, shop, tmp_path):
+    users, fact = shop
+    staged = staging.stg_transactions(fact)
+    segments, features = customers.mart_rfm_segments(customers.int_rfm_scores(staged)), churn.mart_churn_features(staged)
+    table = FileTable(spark, str(tmp_path / "users"), ["user_id"], users.schema, rows_per_file=5)
+    table.replace(users)
+    assert jobs.write_back(table, segments, features).rewritten == 6
+    wanted = tables.apply_churn_to_users(tables.apply_rfm_to_users(users, segments), features)
+    assert set(map(tuple, table.read().collect())) == set(map(tuple, wanted.select(*users.columns).collect()))
+    assert jobs.write_back(table, segments, features).rewritten == 0
+    one = segments.where("user_id = 3").withColumn("customer_segment", F.lit("Lost"))
+    assert jobs.write_back(table, one, features.limit(0)).rewritten == 1

@@ -28,6 +28,7 @@ from tillview.operators import (
     trends,
 )
 from tillview.plans import jobs
+from tillview.plans.filetable import FileTable
 from tillview.sources.months import MONTH
 from tillview.sources.readers import parquet_stream
 from tillview.sources.schemas import AB_METRICS, DAILY_REPORT_LOG, MODEL_REGISTRY
@@ -264,7 +265,31 @@ def _old_snapshot(shop: Shop) -> DataFrame:
     return _snapshot(shop).filter(F.col("report_date") < "2001-07-20")
 
 
+def _written_back(shop: Shop) -> DataFrame:
+    """The users' table in eight files after both write-backs, run twice: the second finds nothing to change."""
+    columns = "customer_segment string, churn_risk_score decimal(3,2)"
+    empty = [F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in columns.split(", "))]
+    users = shop.users().select("user_id", "email", *empty)
+    table = FileTable(shop.spark, scratch_path(shop.spark, "users"), ["user_id"], users.schema, max(1, users.count() // 8))
+    table.replace(users)
+    segments = customers.mart_rfm_segments(customers.int_rfm_scores(_staged(shop), shop.last_order))
+    for _ in range(2):
+        jobs.write_back(table, segments, _features(shop))
+    return table.read()
+
+
+def _merged_snapshot(shop: Shop) -> DataFrame:
+    """The daily snapshot in files of 200 days after a merge of the last sixty."""
+    whole = _snapshot(shop)
+    table = FileTable(shop.spark, scratch_path(shop.spark, "snapshot"), ["report_date"], whole.schema, 200)
+    table.replace(whole)
+    table.upsert(_line_snapshot(shop))
+    return table.read()
+
+
 TABLES = {
+    "merge_write_back": _written_back,
+    "merge_upsert": _merged_snapshot,
     "upsert_by_key": lambda s: tables.upsert_by_key(_snapshot(s), _line_snapshot(s), ["report_date"]),
     "insert_if_absent": lambda s: tables.insert_if_absent(_old_snapshot(s), _line_snapshot(s), ["report_date"]),
     "apply_rfm_to_users": lambda s: tables.apply_rfm_to_users(

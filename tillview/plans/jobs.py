@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillview.operators import churn, cohorts, customers, experiments, kpi, quality, staging, states, tables
+from tillview.operators.churn import risk_score
+from tillview.plans.filetable import FileTable, MergeReport
 from tillview.sources.months import MONTH, MonthlyParts, month_lists
 from tillview.sources.readers import write_counted
 from tillview.sources.scratch import materialize
@@ -120,6 +122,13 @@ def run_nightly(users: DataFrame, transactions: DataFrame, report_log: DataFrame
     return report
 
 
+def write_back(users: FileTable, segments: DataFrame, features: DataFrame) -> MergeReport:
+    """Segments and risk scores into the users' table; only files with a changed user are written."""
+    risk = features.select("user_id", risk_score().alias("churn_risk_score"))
+    batch = segments.select("user_id", "customer_segment").join(risk, "user_id", "full")
+    return users.update(batch, ["customer_segment", "churn_risk_score"])
+
+
 def run_export(transactions: DataFrame, marts: dict[str, DataFrame], root: str) -> dict[str, int]:
     """Transactions by month and the marts as Parquet; returns the rows of each."""
     exported = staging.export_transactions(transactions)
