@@ -75,6 +75,31 @@ SQL = {
                    {big(f'FLOOR(epoch(MAX({TS}) - MIN({TS})))')} AS duration_seconds
             FROM all_events GROUP BY session_id""",
     ),
+    # a session is closed when the watermark, an hour behind the newest event, has passed its last event by 30 minutes
+    "stream_sessions_closed": query(
+        "all_events",
+        f"""SELECT user_id, {sec(f'MIN({TS})')} AS session_start, {sec(f'MAX({TS})')} AS session_end, COUNT(*) AS events,
+                   COUNT(*) FILTER (event_type = 'view') AS pages_viewed,
+                   {big(f'FLOOR(epoch(MAX({TS}) - MIN({TS})))')} AS duration_seconds
+            FROM (SELECT *, SUM(fresh) OVER (PARTITION BY user_id ORDER BY {TS} ROWS UNBOUNDED PRECEDING) AS run
+                  FROM (SELECT *, CASE WHEN {TS} - LAG({TS}) OVER (PARTITION BY user_id ORDER BY {TS}) <= INTERVAL 30 MINUTE
+                                  THEN 0 ELSE 1 END AS fresh FROM all_events WHERE user_id IS NOT NULL))
+            GROUP BY user_id, run
+            HAVING MAX({TS}) + INTERVAL 30 MINUTE <= (SELECT MAX({TS}) FROM all_events) - INTERVAL 1 HOUR""",
+    ),
+    "stream_ingest_account": query(
+        "all_events",
+        """SELECT UNNEST(['input', 'quarantined', 'other', 'late', 'repeated', 'kept', 'quarantine_rows']) AS outcome,
+                  UNNEST([COALESCE(SUM(copies), 0), COALESCE(SUM(copies) FILTER (bad), 0), COALESCE(SUM(copies) FILTER (NOT bad AND NOT sold), 0),
+                          COALESCE(SUM(copies) FILTER (NOT bad AND sold AND late), 0),
+                          COALESCE(SUM(copies - 1) FILTER (NOT bad AND sold AND NOT late), 0), COUNT(*) FILTER (NOT bad AND sold AND NOT late),
+                          COALESCE(SUM(copies) FILTER (bad), 0)])::BIGINT AS rows
+           FROM (SELECT CASE WHEN event_id % 83 = 0 THEN 2 ELSE 1 END AS copies, event_type = 'purchase' AS sold,
+                        event_id % 97 = 0 OR (event_type = 'purchase' AND (event_id % 89 = 0 OR amount IS NULL OR user_id IS NULL
+                                                                           OR product_id IS NULL)) AS bad,
+                        event_id % 79 = 0 AND epoch_us(timestamp) >= low + (high - low) * 3 // 4 AS late
+                 FROM all_events, (SELECT epoch_us(MIN(timestamp)) AS low, epoch_us(MAX(timestamp)) AS high FROM all_events))""",
+    ),
     "event_funnel": query(
         "all_events",
         """SELECT step, stage, reached, CAST(ROUND(CAST(100.0 * reached / NULLIF(previous, 0) AS DECIMAL(30,7)), 2) AS DOUBLE)

@@ -1,9 +1,8 @@
 """Streams: late, repeated, malformed and out-of-order events."""
 
 import json
-import time
-
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,3 +196,61 @@ def test_rows_without_a_time_are_delivered(spark, tmp_path):
     for _ in catalog._deliver(Shop(spark, str(tmp_path)), inbox):
         pass
     assert spark.read.parquet(inbox).count() == 3
+
+
+def test_sessions_end_by_inactivity_and_are_told_once(spark, tmp_path):
+    """Over midnight, out of order, merged by an event between two runs; late events change nothing."""
+    inbox = tmp_path / "in"
+    send(inbox, "1.json", [event(1, "2024-01-01T23:50:00"), event(2, "2024-01-02T00:30:00"), event(3, "2024-01-01T12:00:00", user=2)])
+    send(inbox, "2.json", [event(4, "2024-01-02T00:10:00", kind="x"), event(5, "2024-01-02T00:40:00", user=None)])
+    send(inbox, "3.json", [event(6, "2024-01-02T09:00:00", user=3)])
+    send(inbox, "4.json", [event(8, "2024-01-02T09:10:00", user=3)])
+    send(inbox, "5.json", [event(7, "2024-01-01T23:55:00")])  # a watermark holds from the second batch after it
+    told = events.inactivity_sessions(events.parse_events(source(spark, inbox)), lateness="1 hour")
+    path, checkpoint = str(tmp_path / "table"), str(tmp_path / "cp")
+    sinks.start_append(told, path, checkpoint, available_now=True).awaitTermination()
+    closed = {r.user_id: (str(r.session_start), str(r.session_end), r.events, r.pages_viewed) for r in spark.read.parquet(path).collect()}
+    assert closed == {
+        1: ("2024-01-01 23:50:00", "2024-01-02 00:30:00", 3, 2),
+        2: ("2024-01-01 12:00:00", "2024-01-01 12:00:00", 1, 1),
+    }
+    # the open session goes on and is told when the watermark has passed it
+    send(inbox, "6.json", [event(9, "2024-01-02T12:00:00", user=4), event(10, "2024-01-02T09:35:00", user=3)])
+    sinks.start_append(told, path, checkpoint, available_now=True).awaitTermination()
+    rows = [(r.user_id, r.events, r.duration_seconds) for r in spark.read.parquet(path).where("user_id > 2").collect()]
+    assert rows == [(3, 3, 2100)]
+
+
+def test_account_of_an_ingestion(spark, tmp_path):
+    """Every message is kept, quarantined, another event, late or a repeat."""
+    inbox = tmp_path / "in"
+    no_amount = purchase(3, "2024-01-01T10:00:03")
+    del no_amount["total_amount"]
+    no_time = purchase(8, "noon")
+    send(inbox, "1.json", [purchase(1, "2024-01-01T10:00:01"), no_amount, no_time, "nonsense", "{}", '{"event_id": "e9", "event', event(4, "2024-01-01T10:00:04")])
+    send(inbox, "2.json", [purchase(1, "2024-01-01T10:00:01"), purchase(5, "2024-01-05T00:00:00")])
+    passes, path = [], str(tmp_path / "table")
+
+    def take():
+        rows = transactions.ingest_transactions(transactions.accounted_messages(source(spark, inbox)))
+        passes.append(sinks.start_append(rows, path, str(tmp_path / "cp"), available_now=True))
+        passes[-1].awaitTermination()
+
+    take()
+    send(inbox, "3.json", [purchase(6, "2024-01-02T00:00:00"), purchase(7, "2024-01-05T01:00:00"), purchase(7, "2024-01-05T01:00:00")])
+    take()
+    told, kept = transactions.account_of(passes), spark.read.parquet(path).count()
+    assert told == {"input": 12, "quarantined": 5, "other": 1, "late": 1, "repeated": 2} and kept == 3
+    bad = spark.createDataFrame([(line,) for line in (inbox / "1.json").read_text().splitlines()], "value string")
+    reasons = sorted(r.reason for r in transactions.quarantined_messages(bad).collect())
+    assert reasons == ["not an event"] * 3 + ["without timestamp", "without total_amount"]
+
+
+def test_console_and_memory_sinks(spark, tmp_path):
+    """The console sink's stream into memory: the newest totals of each batch."""
+    inbox = tmp_path / "in"
+    send(inbox, "1.json", [purchase(1, "2024-01-01T10:00:01"), purchase(2, "2024-01-01T10:00:02")])
+    totals = transactions.running_user_totals(transactions.ingest_transactions(source(spark, inbox)))
+    writer = totals.writeStream.outputMode("update").format("memory").queryName("totals")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    assert [(r.user_id, r.total_purchases) for r in spark.table("totals").collect()] == [(1, 2)]

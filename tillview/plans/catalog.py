@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -470,18 +470,24 @@ JOBS = {
 DELIVERIES = 4
 
 
+def _micros(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
+def _cuts(shop: Shop) -> list[int]:
+    """Where the deliveries begin and the last one ends, in microseconds."""
+    bounds = shop.table("events").agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
+    low, high = (x or 0 for x in bounds.select(_micros("low"), _micros("high")).first())
+    return [low + (high - low) * i // DELIVERIES for i in range(DELIVERIES)] + [high + 1]
+
+
 def _deliver(shop: Shop, inbox: str) -> Iterator[None]:
     """The event table split by time into a few deliveries; the next is written when the last was taken.
 
     Rows without a time come with the last delivery.
     """
-    fact = shop.table("events")
-    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    bounds = fact.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).select(seconds("low"), seconds("high")).first()
-    low, high = bounds[0] or 0, bounds[1] or 0
-    cuts = [low + (high - low) * i // DELIVERIES for i in range(DELIVERIES)] + [high + 1]
+    fact, cuts, at = shop.table("events"), _cuts(shop), _micros("ts")
     for i, (begin, end) in enumerate(zip(cuts, cuts[1:])):
-        at = seconds("ts")
         inside = (at >= begin) & (at < end)
         fact.filter(inside | at.isNull() if i == DELIVERIES - 1 else inside).write.mode("append").parquet(inbox)
         yield
@@ -489,7 +495,11 @@ def _deliver(shop: Shop, inbox: str) -> Iterator[None]:
 
 def _messages(shop: Shop, inbox: str, *columns) -> DataFrame:
     """The event table as a stream of JSON messages, as a broker would deliver them."""
-    stream = parquet_stream(shop.spark, inbox, "*.parquet", shop.table("events").schema)
+    return _as_messages(parquet_stream(shop.spark, inbox, "*.parquet", shop.table("events").schema), *columns).select("value")
+
+
+def _as_messages(stream: DataFrame, *columns) -> DataFrame:
+    """Rows of the event table with the message of each as ``value``."""
     quantity = (F.pmod(F.col("event_id"), F.lit(4)) + 1).cast("int")
     fields = [
         F.col("event_id").cast("string").alias("event_id"),
@@ -500,7 +510,7 @@ def _messages(shop: Shop, inbox: str, *columns) -> DataFrame:
         quantity.alias("quantity"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
     ]
-    return stream.select(F.to_json(F.struct(*fields, *columns)).alias("value"))
+    return stream.withColumn("value", F.to_json(F.struct(*fields, *columns)))
 
 
 def _run_deliveries(shop: Shop, start: Callable[[str], StreamingQuery]) -> None:
@@ -531,8 +541,12 @@ def _stream_event_counts(shop: Shop) -> DataFrame:
 
 
 def _purchase_messages(shop: Shop, inbox: str) -> DataFrame:
+    return _purchase_fields(parquet_stream(shop.spark, inbox, "*.parquet", shop.table("events").schema)).select("value")
+
+
+def _purchase_fields(stream: DataFrame) -> DataFrame:
     price = F.try_divide(money("value"), F.pmod(F.col("event_id"), F.lit(4)) + 1).cast("decimal(12,2)")
-    return _messages(shop, inbox, price.alias("unit_price"), money("value").alias("total_amount"))
+    return _as_messages(stream, price.alias("unit_price"), money("value").alias("total_amount"))
 
 
 def _stream_ingest(shop: Shop) -> DataFrame:
@@ -559,7 +573,51 @@ def _stream_sessions(shop: Shop) -> DataFrame:
     return events.merge_sessions(_keyed_result(shop, days, "sessions", ["day", "session_id"])).drop("device")
 
 
+def _stream_closed_sessions(shop: Shop) -> DataFrame:
+    """Sessions of users by inactivity that the watermark has closed when all deliveries were taken."""
+    path = scratch_path(shop.spark, "closed-sessions")
+    closed = lambda inbox: events.inactivity_sessions(events.parse_events(_messages(shop, inbox)), lateness="1 hour")
+    _run_deliveries(
+        shop, lambda inbox: sinks.start_append(closed(inbox), f"{path}/table", f"{path}/checkpoint", available_now=True)
+    )
+    return shop.spark.read.parquet(f"{path}/table")
+
+
+def _spoiled_messages(shop: Shop, inbox: str) -> DataFrame:
+    """Purchase messages of which some are cut off, lack their amount, come twice or far too late."""
+    last = _cuts(shop)[-2]
+    events_ = parquet_stream(shop.spark, inbox, "*.parquet", shop.table("events").schema)
+    every = lambda n: F.col("event_id") % n == 0
+    late = every(79) & (_micros("ts") >= last)
+    moved = events_.withColumn("ts", F.when(late, F.col("ts") - F.expr("INTERVAL 20 DAYS")).otherwise(F.col("ts")))
+    lacking = moved.withColumn("value", F.when(~every(89), F.col("value")))
+    whole = _purchase_fields(lacking).withColumn("copies", F.when(every(83), 2).otherwise(1))
+    cut = F.when(every(97), F.expr("left(value, length(value) - 10)")).otherwise(F.col("value"))
+    return whole.select(cut.alias("value"), F.explode(F.expr("sequence(1, copies)"))).select("value")
+
+
+def _ingest_account(shop: Shop) -> DataFrame:
+    """What became of the spoiled messages: one row per outcome, the rows of table and quarantine counted."""
+    path, passes = scratch_path(shop.spark, "account"), []
+
+    def take(inbox: str) -> StreamingQuery:
+        messages = _spoiled_messages(shop, inbox)
+        bad = purchase_stream.quarantined_messages(messages)
+        sinks.start_append(bad, f"{path}/quarantine", f"{path}/checkpoint-bad", available_now=True).awaitTermination()
+        good = purchase_stream.ingest_transactions(purchase_stream.accounted_messages(messages))
+        passes.append(sinks.start_append(good, f"{path}/table", f"{path}/checkpoint", ["txn_month"], available_now=True))
+        return passes[-1]
+
+    _run_deliveries(shop, take)
+    told = purchase_stream.account_of(passes)
+    counted = {name: shop.spark.read.parquet(f"{path}/{name}").count() for name in ("table", "quarantine")}
+    rows = [(name, n) for name, n in {**told, "kept": counted["table"], "quarantine_rows": counted["quarantine"]}.items()]
+    return shop.spark.createDataFrame(rows, "outcome string, rows bigint")
+
+
 STREAMS = {
+    "stream_sessions_closed": _stream_closed_sessions,
+    "stream_ingest_account": _ingest_account,
     "stream_event_counts": _stream_event_counts,
     "stream_ingest_transactions": _stream_ingest,
     "stream_user_totals": _stream_user_totals,

@@ -58,6 +58,27 @@ def session_rollup(events: DataFrame, lateness: str | None = None) -> DataFrame:
     return rolled if lateness is None else rolled.withColumn("day", F.col("day.start"))
 
 
+def inactivity_sessions(events: DataFrame, key: str = "user_id", gap: str = "30 minutes", lateness: str | None = None) -> DataFrame:
+    """One row per session of ``key``: events that follow each other within ``gap``, in batch or as a stream.
+
+    As a stream give ``lateness``. Open sessions are state that grows and merges as events come in
+    any order; in append mode a session is told once, when the watermark has passed its end, and
+    leaves the state. It may span midnight. Events without key or time are left out.
+    """
+    if lateness is not None:
+        events = events.withWatermark("timestamp", lateness)
+    known = events.filter(F.col(key).isNotNull() & F.col("timestamp").isNotNull())
+    start, end = F.min("timestamp"), F.max("timestamp")
+    rolled = known.groupBy(F.session_window("timestamp", gap).alias("open"), key).agg(
+        start.alias("session_start"),
+        end.alias("session_end"),
+        F.count("*").alias("events"),
+        F.count_if(F.col("event_type").isin("page_view", "view")).alias("pages_viewed"),
+        F.timestamp_diff("SECOND", start, end).alias("duration_seconds"),
+    )
+    return rolled.drop("open")
+
+
 def merge_sessions(days: DataFrame) -> DataFrame:
     """One row per session from the rows of its days."""
     device = [F.max("device").alias("device")] if "device" in days.columns else []
