@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tillview.llm import (
+    alignment,
+    common,
     components,
     language,
     leaks,
     licenses,
     lines,
     minhash,
+    negatives,
+    packing,
+    remembered,
     secrets,
     shingles,
     tokens,
@@ -575,3 +580,199 @@ def test_tokens_of_base_spans_stay_out_of_the_family(monkeypatch):
     monkeypatch.setattr(secrets, "battery", lambda token: tested.append(token) or 0.5)
     secrets.scan_text("0123456789abcdef0123456789abcdef and Zq3Rt7Lm9Xw2Pv5Nb8Kc")
     assert tested == ["Zq3Rt7Lm9Xw2Pv5Nb8Kc"]
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    draw = random.Random(1)
+    for n in (0, 1, 5, 300):
+        texts = [None if draw.random() < 0.1 else "x" * draw.choice([0, 1, 50, 3000, 9000]) for _ in range(n)]
+        batch = pa.record_batch([pa.array(texts, pa.string()), pa.array(range(n), pa.int64())], names=["t", "i"])
+        parts = list(common.slices(batch, [0], 4000))
+        assert [i for p in parts for i in p.column(1).to_pylist()] == list(range(n))
+        assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(0).to_pylist()) <= 4000 for p in parts)
+
+
+# 11 negatives -----------------------------------------------------------------------------
+
+
+def brute_negatives(rows, is_anchor):
+    """From all scores, in Python integers."""
+    found, label = [], {i: lab for i, lab, _ in rows}
+    for a, own, qa in rows:
+        if not is_anchor(a):
+            continue
+        score = {i: sum(x * y for x, y in zip(qa, q)) for i, _, q in rows if len(q) == len(qa) and i != a}
+        order = sorted(score, key=lambda i: (-score[i], i))
+        for p in [i for i in order if label[i] == own][:5]:
+            fit = [i for i in order if label[i] != own and 30 * score[p] <= 100 * score[i] <= 90 * score[p]]
+            found += [(a, p, k + 1, i, score[p], score[i]) for k, i in enumerate(fit[:10])]
+    return sorted(found)
+
+
+def test_scores_from_subset_sums():
+    draw = np.random.default_rng(3)
+    for width in (0, 1, 7, 8, 9, 64):
+        for top in (1, 300, 2**28):
+            a, b = (draw.integers(-top, top, (n, width)) for n in (5, 33))
+            assert (negatives.scores(negatives.tables(a), negatives.bit_planes(b)) == b @ a.T).all()
+
+
+@pytest.mark.parametrize("block,anchors", [(4096, 128), (7, 2)])
+def test_negatives_by_brute_force(spark, monkeypatch, block, anchors):
+    """Ties, a label with most rows, widths that differ, repeated rows, and rows that take no part."""
+    monkeypatch.setattr(negatives, "BLOCK_ROWS", block)
+    monkeypatch.setattr(negatives, "ANCHORS", anchors)
+    draw = random.Random(6)
+    rows = []
+    for i in range(80):
+        width = 3 if i % 10 else 5
+        rows.append((i, 0 if i % 3 else i % 4, [draw.choice([-0.5, 0.25, 0.5, 0.75, 0.1]) for _ in range(width)]))
+    whole = [(i, lab, tuple(int(np.floor(256 * x)) for x in v)) for i, lab, v in rows]
+    odd = [(100, None, [1.0] * 3), (101, 1, None), (102, 1, [1.0, None, 0.0]), (103, 1, [float("nan")] * 3), (None, 1, [1.0] * 3)]
+    vecs = frame(spark, rows + [rows[5], *odd], "vec_id bigint, label int, embedding array<double>").withColumn("score", F.lit("x"))
+    got = sorted(tuple(r) for r in negatives.mine(vecs, F.col("id") % 4 == 0).collect())
+    assert got == brute_negatives(whole, lambda i: i % 4 == 0) and len(got) > 50
+    assert negatives.mine(vecs.limit(0), F.lit(True)).count() == 0
+    assert negatives.mine(vecs, F.lit(False)).count() == 0
+
+
+# 12 alignment -----------------------------------------------------------------------------
+
+
+def test_terminals_are_the_common_ends():
+    draw = random.Random(8)
+    for _ in range(300):
+        size = draw.randrange(1, 60)
+        a, b = (sorted({size, *(draw.randrange(1, size + 1) for _ in range(draw.randrange(40)))}) for _ in range(2))
+        na, nb = alignment.group_sizes(np.array(a), np.array(b))
+        ends = sorted(set(a) & set(b))
+        assert np.cumsum(na).tolist() == [a.index(e) + 1 for e in ends]
+        assert np.cumsum(nb).tolist() == [b.index(e) + 1 for e in ends]
+
+
+def both_files():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+@pytest.mark.parametrize("frequent", [100_000, 3])
+def test_alignment_edges(spark, odd, monkeypatch, frequent):
+    """The same counts whether pairs are broadcast or joined, however few links are held at a time."""
+    from tillview.sources.scratch import materialize
+
+    monkeypatch.setattr(alignment, "LINKS_HELD", 50)
+    monkeypatch.setattr(alignment, "LARGE_GROUP", 6)
+    more = [(7, "<|endoftext|> <s> x", "", "", 0), (8, "a▁b", "", "", 0), (9, "日本語のテキスト  \n\nİ é ", "", "", 0), (10, " ", "", "", 0)]
+    docs = odd.union(frame(spark, more, DOCS)).withColumns({"a_ids": F.lit(1), "pairs": F.lit(2)})
+    aligned = materialize(alignment.align(spark, docs, *both_files()).drop("text"), "aligned")
+    size = alignment.sizes(*both_files())
+    got = alignment.link_counts(aligned, "doc_id", size, frequent).collect()
+    assert len(got) == docs.count()
+    by_id = {r.doc_id: r for r in got}
+    for i in (2, 3, 8):
+        assert tuple(by_id[i])[1:] == (0, 0, 0, 0, 0, 0, "")
+    same = [r for r in got if r.doc_id in (1, None)]
+    assert len(same) == 3 and len({tuple(r)[1:] for r in same}) == 1  # repeated rows are documents of their own
+    assert by_id[4][1:] == by_id[6][1:] and by_id[4].n_a > 30_000
+    assert by_id[7].n_a > 6 and by_id[9].n_groups > 5 and by_id[10].n_groups >= 1
+    # counts by brute force from the aligned ids
+    held, links = {}, []
+    for r in aligned.collect():
+        members = [(np.frombuffer(ids, "<u2").tolist(), np.cumsum([0, *last][:-1]).tolist()) for ids, last in ((r.a_ids, r.a_last), (r.b_ids, r.b_last))]
+        second = {}
+        for y, g in zip(*members[1]):
+            second.setdefault(g, []).append(y)
+        own = [(x, y) for x, g in zip(*members[0]) for y in second[g]]
+        links.append((str(r.doc_id), own))
+        for pair in set(own):
+            held[pair] = held.get(pair, 0) + 1
+    top = {}
+    for (x, _), n in held.items():
+        top[x] = max(top.get(x, 0), n)
+    wanted = sorted((d, len(ls), sum(held[x] for x in ls), sum(held[x] == top[x[0]] for x in ls)) for d, ls in links)
+    assert sorted((str(r.doc_id), r.n_links, r.count_sum, r.n_best) for r in got) == wanted
+    empty = materialize(alignment.align(spark, docs.limit(0), *both_files()).drop("text"), "aligned")
+    assert alignment.link_counts(empty, "doc_id", size).count() == 0
+
+
+def test_first_tokenizer_equals_the_library():
+    from tokenizers import Tokenizer
+
+    with open(both_files()[0], encoding="utf-8") as first, open(both_files()[1], "rb") as second:
+        pair = alignment.Pair(first.read(), second.read())
+    library = Tokenizer.from_file(both_files()[0])
+    library.encode_special_tokens = True
+    draw = random.Random(9)
+    parts = [chr(i) for i in range(256)] + list("aaa   \n'stvm") + ["<|endoftext|>", "日", "é", "　", "  ", "x" * 50]
+    for _ in range(2000):
+        text = " " + "".join(draw.choice(parts) for _ in range(draw.randrange(40)))
+        assert pair.first(text) == library.encode(text, add_special_tokens=False).ids
+
+
+# 13 packing -------------------------------------------------------------------------------
+
+
+def test_chunked_ids_equal_the_library():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary())
+    with open(vocabulary(), encoding="utf-8") as file:
+        memory = remembered.Remembered(remembered.library(file.read()), most=5000)
+    draw = random.Random(10)
+    latin = [chr(i) for i in range(256)] + list("aaaa    'stvm<|>\n")
+    wide = latin + ["<|endoftext|>", "İ", "é", "漢字", "　", "Σ", "x" * 100]
+    for parts in (latin, wide):
+        for _ in range(30):
+            texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(60))) for _ in range(50)]
+            for text, ids in zip(texts, memory.ids([remembered.words(t) for t in texts])):
+                assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_sum_of_squares_by_definition():
+    """Each piece goes where the sum of the squared counts of open gaps is least."""
+    from collections import Counter
+
+    def squares(filled, capacity, gap, length):
+        after = Counter(capacity - f for f in filled.values() if f < capacity)
+        after[gap] -= gap < capacity
+        after[gap - length] += gap > length
+        return sum(n * n for n in after.values())
+
+    draw = random.Random(11)
+    for _ in range(40):
+        capacity = draw.randrange(2, 14)
+        lengths = [draw.randrange(1, capacity + 1) for _ in range(40)]
+        place, offset = packing.sum_of_squares(np.array(lengths), capacity)
+        filled: dict[int, int] = {}
+        for length, p, o in zip(lengths, place.tolist(), offset.tolist()):
+            gaps = [g for g in {capacity - f for f in filled.values()} | {capacity} if g >= length]
+            least = min(squares(filled, capacity, g, length) for g in gaps)
+            assert squares(filled, capacity, capacity - filled.get(p, 0), length) == least and o == filled.get(p, 0)
+            filled[p] = filled.get(p, 0) + length
+        assert max(filled.values()) <= capacity
+
+
+@pytest.mark.parametrize("group", [16_384, 40])
+def test_packing_edges(spark, odd, group):
+    """Every piece once, gapless, within the capacity."""
+    from tillview.sources.scratch import materialize
+
+    docs = odd.withColumns({"ids": F.lit("clash"), "number": F.lit(1), "length": F.lit(2)})
+    many = frame(spark, [(100 + i, " ".join("word" for _ in range(1 + i * 7 % 50)), "", "", 0) for i in range(300)], DOCS)
+    docs = docs.unionByName(many, allowMissingColumns=True)
+    pieces = materialize(packing.cut(packing.encode(spark, docs, vocabulary()), capacity=64), "pieces")
+    placed = packing.place(pieces, capacity=64, group=group)
+    rows = pieces.join(placed, "number").collect()
+    assert len(rows) == pieces.count() == placed.count()
+    by = {}
+    for r in sorted(rows, key=lambda r: r.offset):
+        assert r.offset == by.get(r.sequence_id, 0)
+        by[r.sequence_id] = r.offset + r.length
+    assert max(by.values()) <= 64 and len(by) <= 1.1 * sum(by.values()) / 64 + 1
+    assert sorted(r.length for r in rows if r.doc_id in (2, 3)) == [1, 1]
+    whole = packing.sequences(pieces, placed).collect()
+    assert {r.sequence_id: r.length for r in whole} == by and all(len(r.ids) == 4 * r.length for r in whole)
+    assert packing.place(pieces.limit(0)).count() == 0

@@ -1,5 +1,7 @@
 """The registered queries on a whole small folder: against SQL, else against brute force."""
 
+import bisect
+import collections
 import hashlib
 import re
 import zlib
@@ -29,7 +31,7 @@ def test_matches_sql(spark, con, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 11))
+    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 14))
 
 
 def test_op3_held_out_accuracy(spark, docs):
@@ -121,3 +123,67 @@ def test_op9_rules_by_brute_force(spark, con):
     assert all(v == "block" for h, v in by_method.items() if re.search("cheap-pills|free-bets|casino-win", h))
 
 
+
+
+def test_op12_groups_and_counts_by_brute_force(spark, docs):
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    first = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    first.encode_special_tokens = True
+    second = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    wanted, held = {}, collections.Counter()
+    for id_, text, _ in docs:
+        a = first.encode(" " + (text or ""), add_special_tokens=False)
+        # this vocabulary spells each byte as one character
+        a_ids, a_ends = (a.ids, np.cumsum([len(t) for t in a.tokens]).tolist()) if text else ([], [])
+        b_ids, pieces = second.encode(text or ""), second.encode(text or "", out_type=str)
+        sizes = [1 if re.fullmatch("<0x[0-9A-F]{2}>", p) else len(p.replace("▁", " ").encode()) for p in pieces]
+        b_ends = np.cumsum(sizes).tolist() if text else []
+        groups, i, j = [], 0, 0
+        for end in sorted(set(a_ends) & set(b_ends)):
+            p, q = bisect.bisect_right(a_ends, end), bisect.bisect_right(b_ends, end)
+            groups.append((a_ids[i:p], b_ids[j:q]))
+            i, j = p, q
+        assert (i, j) == (len(a_ends), len(b_ends))
+        wanted[id_] = groups
+        held.update({(x, y) for g in groups for x in g[0] for y in g[1]})
+    best = collections.Counter()
+    for (x, _), n in held.items():
+        best[x] = max(best[x], n)
+    rows = {r.doc_id: r for r in QUERIES["op12_alignment"](spark, FOLDER).collect()}
+    assert len(rows) == len(docs)
+    for id_, groups in wanted.items():
+        links = [(x, y) for g in groups for x in g[0] for y in g[1]]
+        shown = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+        r = rows[id_]
+        sums = (sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), len(links))
+        assert (r.n_a, r.n_b, r.n_groups, r.n_links) == sums
+        assert r.groups_sha256 == (hashlib.sha256(shown.encode()).hexdigest() if groups else "")
+        assert r.n_best == sum(held[k] == best[k[0]] for k in links) and r.count_sum == sum(held[k] for k in links)
+
+
+def test_op13_pieces_and_sequences(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
+    for r in QUERIES["op13_packing"](spark, FOLDER).collect():
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    total = 0
+    for id_, text, _ in docs:
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        total += len(ids)
+        parts = sorted(by_doc.pop(id_), key=lambda r: r.piece)
+        starts = range(0, len(ids), 4096)
+        assert [(r.piece, r.start, r.length) for r in parts] == [(i, s, len(ids[s : s + 4096])) for i, s in enumerate(starts)]
+        assert [r.ids_crc32 for r in parts] == [zlib.crc32(ids[s : s + 4096].tobytes()) for s in starts]
+    assert not by_doc
+    for parts in by_sequence.values():
+        parts.sort(key=lambda r: r.offset)
+        assert [r.offset for r in parts] == [sum(q.length for q in parts[:i]) for i in range(len(parts))]
+        assert sum(r.length for r in parts) <= 4096
+    assert len(by_sequence) <= total / 4096 * 1.02 + 2

@@ -20,74 +20,93 @@ empty result. Columns beside key and text are ignored.
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
-from tillview.llm.common import append_columns, named
-from tillview.llm.remembered import SPACE_SIGN, Remembered, library, spaced
+from tillview.llm.common import append_columns, named, slices
 from tillview.llm.tokens import byte_symbols
 from tillview.sources.scratch import materialize
 
 #: A pair in more than 1 / FREQUENT of all (document, pair) rows is broadcast: fewer than FREQUENT pairs.
 FREQUENT = 100_000
 #: Links that are held one by one at a time, and links of one group above which equal ids are merged first.
-LINKS_HELD = 2 << 20
+LINKS_HELD = 1 << 19
 LARGE_GROUP = 4096
 #: Pairs of ids are smaller than 2 to this power: vocabularies of up to a million tokens each.
 PAIR_BITS = 40
+#: Bytes of texts, and 16-bit tokens of a, that a task works on at a time.
+SLICE_BYTES, SLICE_TOKENS = 1 << 20, 1 << 18
 
-_IDS = T.ArrayType(T.IntegerType(), False)
-#: The aligned text: ids of both tokenizers, and how many of them each group holds.
-FIELDS = [T.StructField(n, _IDS) for n in ("a_ids", "b_ids", "a_counts", "b_counts")]
+#: The aligned text: packed ids of both tokenizers, and for each id a byte that is 1 at the end of its group.
+FIELDS = [T.StructField(n, T.BinaryType()) for n in ("a_ids", "b_ids", "a_last", "b_last")]
+
+
+# fixed values: the splitter of the byte-level vocabulary
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPACE_SIGN = "▁"
+#: Unicode tables of two libraries agree on the letters and numbers up to here.
+_BEYOND = re.compile(r"[^\x00-\xff]")
 
 
 class Pair:
     """Both tokenizers, with the bytes of each token."""
 
     def __init__(self, byte_level: str, pieces: bytes):
-        import json
-
-        import sentencepiece
-
         spec = json.loads(byte_level)
-        vocab = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+        vocab = spec["model"]["vocab"]
         byte_of = {c: b for b, c in enumerate(byte_symbols())}
-        self.a_bytes = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            self.a_bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
-        model = sentencepiece.SentencePieceProcessor(model_proto=pieces)
+        self.a_bytes = [b""] * (1 + max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]))
+        plain = {t: i for t, i in vocab.items() if all(c in byte_of for c in t)}
+        for token, i in plain.items():
+            self.a_bytes[i] = bytes(byte_of[c] for c in token)
+        self.library = Tokenizer.from_str(byte_level)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.library.encode_special_tokens = True
+        made = [vocab["".join(pair if isinstance(pair, list) else pair.split(" "))] for pair in spec["model"]["merges"]]
+        # ranks stand for the merges if tokens are numbered in their order
+        self.ranked = None
+        if made == sorted(made):
+            ranks = {self.a_bytes[i]: i for i in [*(i for i in plain.values() if len(self.a_bytes[i]) == 1), *made]}
+            self.ranked = tiktoken.Encoding("ranked", pat_str=SPLITTER, mergeable_ranks=ranks, special_tokens={})
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         self.b_bytes = [
-            bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE_SIGN, " ").encode()
-            for i, p in enumerate(map(model.id_to_piece, range(model.get_piece_size())))
+            bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE_SIGN, " ").encode()
+            for i, p in enumerate(map(self.model.id_to_piece, range(self.model.get_piece_size())))
         ]
-        # a token that holds a space after another sign could cross the cut between chunks
-        crossing = any(re.search(r"[^ ] ", p.decode("utf-8", "replace")) for p in self.b_bytes)
-        self.split = (lambda text: [text] if text else []) if crossing else spaced
         self.a_long = np.array([len(t) for t in self.a_bytes])
         self.b_long = np.array([len(t) for t in self.b_bytes])
-        self.a = Remembered(library(byte_level, plain_specials=True, before=" "))
-        self.b = Remembered(lambda chunks: model.encode(chunks, num_threads=1))
 
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """Packed ids of both; empty where one does not give the bytes of space + text."""
-        chunks = [self.split(t) for t in texts]
-        a, b = self.a.ids(chunks), self.b.ids(chunks)
+    def first(self, text: str) -> list[int]:
+        if self.ranked is None or _BEYOND.search(text):
+            return self.library.encode(text, add_special_tokens=False).ids
+        return self.ranked.encode_ordinary(text)
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of both; none where one does not give the bytes of space + text."""
+        a = [self.first(" " + t) if t else [] for t in texts]
+        b = self.model.encode(texts, num_threads=1)
         for i, text in enumerate(texts):
             wanted = (" " + text).encode()
             if not (wanted == _joined(self.a_bytes, a[i]) == _joined(self.b_bytes, b[i])):
-                a[i] = b[i] = b""
+                a[i] = b[i] = []
         return a, b
 
 
-def _joined(table: list[bytes], ids: bytes) -> bytes:
-    return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+def _joined(table: list[bytes], ids: list[int]) -> bytes:
+    return b"".join(map(table.__getitem__, ids))
 
 
 def terminals(a_ends: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
@@ -109,21 +128,26 @@ def terminals(a_ends: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
         successor = doubled
 
 
-def group_sizes(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens of a, tokens of b, end of the group's bytes) of each group, in order."""
+def group_sizes(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of a and tokens of b in each group, in order."""
     if not len(a_ends):
-        return (np.empty(0, np.int64),) * 3
+        return (np.empty(0, np.int64),) * 2
     label = terminals(a_ends, b_ends)
     a = len(a_ends)
     last = np.flatnonzero(label[a:] == np.arange(a, len(label)))
     rank = np.zeros(len(b_ends), np.int64)
     rank[last] = np.arange(len(last))
     group = rank[label - a]
-    return np.bincount(group[:a], minlength=len(last)), np.bincount(group[a:], minlength=len(last)), b_ends[last]
+    return np.bincount(group[:a], minlength=len(last)), np.bincount(group[a:], minlength=len(last))
+
+
+def id_type(size: int) -> str:
+    """How ids of a vocabulary of this size are packed: unsigned little-endian integers of 16 or 32 bits."""
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 def align(spark: SparkSession, docs: DataFrame, byte_level: str, pieces: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``a_ids``, ``b_ids`` and the sizes ``a_counts``, ``b_counts`` of their groups.
+    """``docs`` with ``a_ids``, ``b_ids`` and the ends of their groups, ``a_last`` and ``b_last``.
 
     ``byte_level`` and ``pieces`` are the paths of both tokenizer files on the driver; their
     contents, bounded by the files, are broadcast.
@@ -134,41 +158,49 @@ def align(spark: SparkSession, docs: DataFrame, byte_level: str, pieces: str, te
     def make(texts: pa.Array) -> list[pa.Array]:
         state = shared.value
         if "pair" not in state:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             state["pair"] = Pair(*state["files"])
         pair = state["pair"]
         a, b = pair.encode([t or "" for t in texts.to_pylist()])
-        a_ids, b_ids = (np.frombuffer(b"".join(x), "<u4").astype(np.int32) for x in (a, b))
-        a_ends, b_ends = np.cumsum(pair.a_long[a_ids]), np.cumsum(pair.b_long[b_ids])
-        a_counts, b_counts, group_ends = group_sizes(a_ends, b_ends)
+        a_ids, b_ids = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (a, b))
         # a text's last tokens end together, so no group belongs to two texts
-        a_until, b_until = (np.cumsum([0, *(len(x) // 4 for x in ids)]) for ids in (a, b))
-        bytes_until = np.r_[0, b_ends][b_until]
-        groups_until = np.searchsorted(group_ends, bytes_until, "right")
-        return [
-            _lists(a_until, a_ids),
-            _lists(b_until, b_ids),
-            _lists(groups_until, a_counts.astype(np.int32)),
-            _lists(groups_until, b_counts.astype(np.int32)),
-        ]
+        a_counts, b_counts = group_sizes(np.cumsum(pair.a_long[a_ids]), np.cumsum(pair.b_long[b_ids]))
+        columns = []
+        for ids, size in ((a_ids, len(pair.a_bytes)), (b_ids, len(pair.b_bytes))):
+            columns.append(ids.astype(id_type(size)))
+        for ids, counts in ((a_ids, a_counts), (b_ids, b_counts)):
+            last = np.zeros(len(ids), np.uint8)
+            last[np.cumsum(counts) - 1] = 1
+            columns.append(last)
+        until = [np.cumsum([0, *map(len, ids)]) for ids in (a, b)]
+        return [_rows_of(until[i % 2], c) for i, c in enumerate(columns)]
 
-    return append_columns(docs, [text], FIELDS, make)
+    return append_columns(docs, [text], FIELDS, make, SLICE_BYTES)
 
 
-def _lists(until: np.ndarray, values: np.ndarray) -> pa.Array:
-    items = pa.array(values, pa.int32())
-    return pa.ListArray.from_arrays(pa.array(until, pa.int32()), items, type=pa.list_(pa.field("element", pa.int32(), False)))
+def _rows_of(until: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A binary value for each row: its values from one place of ``until`` to the next."""
+    offsets = pa.py_buffer((until * values.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(until) - 1, [None, offsets, pa.py_buffer(values)])
+
+
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column, and how many each row has."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    values = data.view(kind)
+    return values.astype(np.int64), np.diff(offsets) // values.itemsize
 
 
 class Aligned:
     """Aligned texts of some rows as flat arrays."""
 
-    def __init__(self, columns: list[pa.Array]):
+    def __init__(self, columns: list[pa.Array], sizes: tuple[int, int]):
         self.rows = len(columns[0])
-        self.a, self.b, self.na, self.nb = (c.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
-        self.a_rows, self.b_rows, self.group_rows = (
-            np.repeat(np.arange(self.rows), np.diff(c.offsets.to_numpy())) for c in columns[:3]
-        )
+        (self.a, a_many), (self.b, b_many) = (_flat(c, id_type(n)) for c, n in zip(columns, sizes))
+        a_last, b_last = (np.flatnonzero(_flat(c, "u1")[0]) for c in columns[2:4])
+        self.na, self.nb = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
+        self.a_rows, self.b_rows = (np.repeat(np.arange(self.rows), many) for many in (a_many, b_many))
+        self.group_rows = self.a_rows[a_last]
 
     def links(self, b_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, pair, links) of the different pairs of each row; a pair is a id x ``b_size`` + b id."""
@@ -198,25 +230,31 @@ class Aligned:
 
     def digests(self) -> list[str]:
         """Per row the SHA-256 of its groups ``a1,a2|b1;...``, empty without tokens."""
-        # each id is followed by a comma, the last of a group's side by another sign
-        a_last, b_last = np.cumsum(self.na) - 1, np.cumsum(self.nb) - 1
         a_group, b_group = np.repeat(np.arange(len(self.na)), self.na), np.repeat(np.arange(len(self.nb)), self.nb)
-        before_a = (np.cumsum(self.nb) - self.nb)[a_group] + np.arange(len(self.a))
-        before_b = np.cumsum(self.na)[b_group] + np.arange(len(self.b))
-        ids = np.empty(len(self.a) + len(self.b), np.int64)
-        signs = np.zeros(len(ids), np.int64)
-        ids[before_a], ids[before_b] = self.a, self.b
-        signs[before_a[a_last]], signs[before_b[b_last]] = 1, 2
+        at_a = (np.cumsum(self.nb) - self.nb)[a_group] + np.arange(len(self.a))
+        at_b = np.cumsum(self.na)[b_group] + np.arange(len(self.b))
+        ids, signs = np.empty(len(self.a) + len(self.b), np.int64), np.zeros(len(self.a) + len(self.b), np.int64)
+        ids[at_a], ids[at_b] = self.a, self.b
+        # an id is followed by a comma, the last of a group's side by another sign
+        signs[at_a[np.cumsum(self.na) - 1]], signs[at_b[np.cumsum(self.nb) - 1]] = 1, 2
+        size = int(ids.max(initial=0)) + 1
         many = np.bincount(self.a_rows, minlength=self.rows) + np.bincount(self.b_rows, minlength=self.rows)
-        until, out = np.r_[0, np.cumsum(many)], []
-        for begin, end in zip(until, until[1:]):
-            texts = map(_SIGNED.__getitem__, signs[begin:end].tolist())
-            joined = "".join([t % i for t, i in zip(texts, ids[begin:end].tolist())])[:-1]
+        shown, until, out = _shown(size), np.r_[0, np.cumsum(many)], []
+        places = (signs * (len(shown) // 3) + ids).tolist()
+        for begin, end in zip(until.tolist(), until[1:].tolist()):
+            joined = "".join(map(shown.__getitem__, places[begin:end]))[:-1]
             out.append(hashlib.sha256(joined.encode()).hexdigest() if joined else "")
         return out
 
 
-_SIGNED = ["%d,", "%d|", "%d;"]
+@lru_cache(maxsize=1)
+def _ids_shown(size: int) -> list[str]:
+    return [f"{i}{sign}" for sign in ",|;" for i in range(size)]
+
+
+def _shown(size: int) -> list[str]:
+    """The ids below a power of two as text with each of the three signs."""
+    return _ids_shown(1 << (size - 1).bit_length())
 
 
 def _counted(rows: np.ndarray, pairs: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,40 +269,29 @@ def _counted(rows: np.ndarray, pairs: np.ndarray, times: np.ndarray | None = Non
     return joint >> PAIR_BITS, joint & ((1 << PAIR_BITS) - 1), times
 
 
-def _slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows of about ``most`` tokens of a (column 0) at a time."""
-    for batch in batches:
-        until = batch.column(0).offsets.to_numpy() if batch.num_rows else np.zeros(1, int)
-        start = 0
-        while start < batch.num_rows:
-            end = max(start + 1, int(np.searchsorted(until, until[start] + most, "right")) - 1)
-            yield batch.slice(start, end - start)
-            start = end
-
-
-def pair_counts(aligned: DataFrame, b_size: int) -> DataFrame:
+def pair_counts(aligned: DataFrame, sizes: tuple[int, int]) -> DataFrame:
     """(pair, documents, best): in how many rows each linked pair stands, and whether that is its a id's highest."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
-            pairs, documents = np.unique(Aligned(part.columns).links(b_size)[1], return_counts=True)
+        for part in chain.from_iterable(slices(batch, [0], 2 * SLICE_TOKENS) for batch in batches):
+            pairs, documents = np.unique(Aligned(part.columns, sizes).links(sizes[1])[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(documents)], names=["pair", "documents"])
 
     parts = aligned.select(*(f.name for f in FIELDS)).mapInArrow(count, "pair bigint, documents bigint")
     counts = materialize(parts.groupBy("pair").agg(F.sum("documents").alias("documents")), "pairs")
-    a_id = F.floor(F.col("pair") / b_size)
+    a_id = F.floor(F.col("pair") / sizes[1])
     # at most one row for each token of the first vocabulary
     highest = counts.groupBy(a_id.alias("a_id")).agg(F.max("documents").alias("highest"))
     flagged = counts.withColumn("a_id", a_id).join(F.broadcast(highest), "a_id")
     return materialize(flagged.select("pair", "documents", (F.col("documents") == F.col("highest")).alias("best")), "counts")
 
 
-def link_counts(aligned: DataFrame, key: str, b_size: int, frequent: int = FREQUENT) -> DataFrame:
+def link_counts(aligned: DataFrame, key: str, sizes: tuple[int, int], frequent: int = FREQUENT) -> DataFrame:
     """(key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), one row for each row of ``aligned``.
 
-    ``aligned`` must be a stored table: it is read twice.
+    ``aligned`` must be a stored table: it is read twice. ``sizes`` is how many ids both files have.
     """
-    counts = pair_counts(aligned, b_size)
+    counts = pair_counts(aligned, sizes)
     total = counts.agg(F.sum("documents")).first()[0] or 0
     common = counts.where(F.col("documents") * frequent > total)  # fewer than ``frequent`` rows
     known = common.orderBy("pair").toArrow()
@@ -277,9 +304,9 @@ def link_counts(aligned: DataFrame, key: str, b_size: int, frequent: int = FREQU
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, documents, best = (shared.value[n] for n in ("pair", "documents", "best"))
-        for part in _slices(batches):
-            some = Aligned(part.columns[:4])
-            rows, met, times = some.links(b_size)
+        for part in chain.from_iterable(slices(batch, [0], 2 * SLICE_TOKENS) for batch in batches):
+            some = Aligned(part.columns[:4], sizes)
+            rows, met, times = some.links(sizes[1])
             at = np.minimum(np.searchsorted(pairs, met), max(len(pairs) - 1, 0))
             hit = pairs[at] == met if len(pairs) else np.zeros(len(met), bool)
             total, highest = np.zeros(some.rows, np.int64), np.zeros(some.rows, np.int64)

@@ -44,6 +44,7 @@ def append_columns(
     inputs: Sequence[str],
     fields: Sequence[T.StructField],
     make: Callable[..., Sequence[pa.Array]],
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """``df`` with columns that ``make`` computes from a few MB of the ``inputs`` at a time.
 
@@ -60,7 +61,7 @@ def append_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, slice_bytes):
                 made = make(*(part.column(i) for i in at))
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *made], names=names)
 

@@ -17,8 +17,6 @@ empty table gives an empty result. Columns beside key and text are ignored.
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -27,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillview.llm.common import append_columns, named
-from tillview.llm.remembered import Remembered, word_library, words
+from tillview.llm.remembered import Remembered, library, words
 from tillview.sources.scratch import materialize
 
 CAPACITY = 4096
@@ -53,8 +51,7 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str, text: str = "t
     def make(texts: pa.Array) -> list[pa.Array]:
         state = shared.value
         if "encoder" not in state:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-            state["encoder"] = Remembered(word_library(state["content"]))
+            state["encoder"] = Remembered(library(state["content"]))
         ids = state["encoder"].ids([words(t or "") for t in texts.to_pylist()])
         return [pa.array([i + last for i in ids], pa.binary())]
 

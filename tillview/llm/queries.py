@@ -99,7 +99,7 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     aligned = materialize(alignment.align(spark, docs, *files).drop("text"), "aligned")
-    return alignment.link_counts(aligned, "doc_id", alignment.sizes(*files)[1])
+    return alignment.link_counts(aligned, "doc_id", alignment.sizes(*files))
 
 
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

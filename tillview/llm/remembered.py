@@ -20,8 +20,6 @@ REMEMBERED_LENGTH = 64
 ENTRY_BYTES = 180
 
 _BLANK = re.compile(r"[\t\n\r]")
-# a single space between two characters that are no white space
-_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
 # fixed values: letters, numbers and white space up to U+00FF, and contractions of the word splitter
@@ -31,7 +29,6 @@ _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t-\
 _SMALL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[{_NUMBERS}]|[^\t-\r \x85\xa0{_LETTERS}{_NUMBERS}\u0100-\U0010ffff]+")
 _SPECIAL = "<|"
 _BEYOND = re.compile(r"[^\x00-\xff]")
-SPACE_SIGN = "▁"
 
 
 def words(text: str) -> list[str]:
@@ -45,14 +42,6 @@ def words(text: str) -> list[str]:
     return [c for c in _BLANK.sub(" ", text).split(" ") if c]
 
 
-def spaced(text: str) -> list[str]:
-    """Chunks that single spaces set apart; such a space begins the next chunk's first token.
-
-    A text with the sign that stands for a space in pieces is one chunk.
-    """
-    return [text] if SPACE_SIGN in text else _BETWEEN.split(text) if text else []
-
-
 def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -82,38 +71,25 @@ class Remembered:
         return out
 
 
-def word_library(content: str) -> Callable[[list[str]], list[list[int]]]:
-    """Encoder for the chunks of :func:`words`: single pieces meet the merges at once, other chunks all steps."""
+def library(content: str) -> Callable[[list[str]], list[list[int]]]:
+    """Encoder of a tokenizer file's content for the chunks of :func:`words`.
+
+    A single piece meets the merges at once, other chunks take all the library's steps.
+    """
     from tokenizers import Tokenizer
 
-    model, whole = Tokenizer.from_str(content).model, library(content, plain_specials=False)
-    shown = dict(enumerate(byte_symbols()))
+    tokenizer = Tokenizer.from_str(content)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    model, shown = tokenizer.model, dict(enumerate(byte_symbols()))
 
     def encode(chunks: list[str]) -> list[list[int]]:
         ids: list[list[int]] = [[]] * len(chunks)
-        rest = []
         for i, c in enumerate(chunks):
-            if _SMALL.fullmatch(c):  # one piece, and no special token: those mix letters and signs
+            if _SMALL.fullmatch(c):  # no special token: those mix letters and signs
                 ids[i] = [t.id for t in model.tokenize(c.encode().decode("latin-1").translate(shown))]
             else:
-                rest.append(i)
-        for i, found in zip(rest, whole([chunks[i] for i in rest])):
-            ids[i] = found
+                ids[i] = tokenizer.encode(c, add_special_tokens=False).ids
         return ids
 
     return encode
-
-
-def library(content: str, plain_specials: bool, before: str = "") -> Callable[[list[str]], list[list[int]]]:
-    """Encoder of the tokenizers library for a file's content; ``before`` is put before each chunk."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(content)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    tokenizer.encode_special_tokens = plain_specials
-
-    def encode(chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch([before + c for c in chunks], add_special_tokens=False)]
-
-    return encode
