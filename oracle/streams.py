@@ -1,6 +1,7 @@
 """Statements for the jobs and the streams."""
 
 from oracle.base import big, day, dbl, query, rnd, sec
+from oracle.churn import CHURN_FEATURES, NULLABLE
 from oracle.customers import SQL as CUSTOMER_SQL
 from oracle.kpi import SQL as KPI_SQL
 
@@ -137,6 +138,14 @@ SQL = {
            UNION ALL SELECT 'mart_churn_features', COUNT(*) FROM buyers
            UNION ALL SELECT 'mart_daily_snapshot', COUNT(*) FROM snapshot""",
     ),
+    "mart_checks_observed": query(
+        "buyers",
+        f"""SELECT 'mart_rfm_segments' AS table_name, 'rows' AS measure, COUNT(*) AS rows FROM buyers
+            UNION ALL SELECT 'mart_rfm_segments', 'accepted_values_customer_segment', 0
+            UNION ALL SELECT 'mart_churn_features', 'rows', COUNT(*) FROM buyers
+            {" ".join(f"UNION ALL SELECT 'mart_churn_features', 'not_null_{c}', COUNT(*) FROM f WHERE {c} IS NULL" for c in NULLABLE)}""",
+        ("f", CHURN_FEATURES),
+    ),
     "ab_metrics_upsert": query(
         "assigned orders_fact",
         f"""SELECT strftime(day, '%Y-%m-%d') AS metric_date, 'churn-discount-v1' AS experiment_key, variant, assigned_users,

@@ -3,11 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tillview.operators import churn, customers, experiments, kpi, staging, states, tables
+from tillview.operators import churn, customers, experiments, kpi, quality, staging, states, tables
 from tillview.plans import jobs
 from tillview.plans.filetable import FileTable
 from tillview.sources import scratch
 from tillview.sources.months import MonthlyParts, month_lists
+from tillview.sources.readers import write_observed
 from tillview.sources.schemas import AB_METRICS, DAILY_REPORT_LOG
 from tillview.sources.versions import EmptyTableError, VersionedTable
 
@@ -208,3 +209,21 @@ def test_write_back_equals_the_full_rewrite(spark, shop, tmp_path):
     assert jobs.write_back(table, segments, features).rewritten == 0
     one = segments.where("user_id = 3").withColumn("customer_segment", F.lit("Lost"))
     assert jobs.write_back(table, one, features.limit(0)).rewritten == 1
+
+
+def test_counts_are_told_by_the_write(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id", "IF(id % 10 = 0, NULL, id) AS a", "IF(id < 3, 'odd', 'Lost') AS s")
+    measures = {**quality.null_measures(["id", "a"]), **quality.value_measures("s", ["Lost"])}
+    told = write_observed(rows, str(tmp_path / "t"), measures, partition_by=["s"])
+    assert told == {"rows": 100, "not_null_id": 0, "not_null_a": 10, "accepted_values_s": 3}
+    assert write_observed(rows.limit(0), str(tmp_path / "e"), measures) == dict.fromkeys(told, 0)
+
+
+def test_a_bad_mart_is_not_shown(spark, shop, tmp_path, monkeypatch):
+    users, fact = shop
+    monkeypatch.setattr(jobs.customers, "SEGMENT_ACTIONS", {"Lost": "none"})
+    monkeypatch.setattr(jobs.customers, "FALLBACK_SEGMENT", "Other")
+    log = spark.createDataFrame([], DAILY_REPORT_LOG)
+    with pytest.raises(jobs.QualityError, match="accepted_values_customer_segment"):
+        jobs.run_nightly(users, fact, log, str(tmp_path))
+    assert VersionedTable(spark, str(tmp_path / "mart_rfm_segments")).versions() == []

@@ -162,6 +162,16 @@ def dq_not_null(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def null_measures(columns: list[str]) -> dict[str, Column]:
+    """The counts of :func:`dq_not_null` as aggregates, to be taken while a table is written."""
+    return {f"not_null_{c}": F.count_if(F.col(c).isNull()) for c in columns}
+
+
+def value_measures(column: str, values: list[str]) -> dict[str, Column]:
+    """Rows outside the list of :func:`dq_accepted_values`, to be taken while a table is written."""
+    return {f"accepted_values_{column}": F.count_if(F.col(column).isNotNull() & ~F.col(column).isin(values))}
+
+
 def dq_unique(df: DataFrame, column: str) -> DataFrame:
     """Non-null values that occur more than once."""
     repeated = (

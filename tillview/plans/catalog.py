@@ -30,7 +30,7 @@ from tillview.operators import (
 from tillview.plans import jobs
 from tillview.plans.filetable import FileTable
 from tillview.sources.months import MONTH
-from tillview.sources.readers import parquet_stream
+from tillview.sources.readers import parquet_stream, write_observed
 from tillview.sources.schemas import AB_METRICS, DAILY_REPORT_LOG, MODEL_REGISTRY
 from tillview.sources.scratch import materialize, scratch_path
 from tillview.sources.shop import Shop, session_id
@@ -439,6 +439,17 @@ def _exported_marts(shop: Shop) -> DataFrame:
     return shop.spark.createDataFrame(list(rows.items()), "table_name string, rows bigint")
 
 
+def _observed_marts(shop: Shop) -> DataFrame:
+    """Rows and row checks of two marts, as the jobs told them that wrote the marts."""
+    marts = {
+        "mart_rfm_segments": customers.mart_rfm_segments(customers.int_rfm_scores(_staged(shop), shop.last_order)),
+        "mart_churn_features": _features(shop),
+    }
+    told = {name: write_observed(df, scratch_path(shop.spark, name), jobs.mart_measures(name)) for name, df in marts.items()}
+    rows = [(name, measure, n) for name, counts in told.items() for measure, n in counts.items()]
+    return shop.spark.createDataFrame(rows, "table_name string, measure string, rows bigint")
+
+
 def _experiment_metrics(shop: Shop) -> DataFrame:
     """Two days of experiment metrics, upserted one after the other."""
     table = VersionedTable(shop.spark, scratch_path(shop.spark, "ab-metrics"))
@@ -454,6 +465,7 @@ def _experiment_metrics(shop: Shop) -> DataFrame:
 JOBS = {
     "nightly_run": _nightly,
     "export_marts": _exported_marts,
+    "mart_checks_observed": _observed_marts,
     "ab_metrics_upsert": _experiment_metrics,
     "refresh_views": _refreshed,
     "refresh_delta_daily": lambda s: _delta_view(s, "daily_metrics"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillview.operators import churn, cohorts, customers, experiments, kpi, quality, staging, states, tables
@@ -43,6 +43,15 @@ def refresh_views(users: DataFrame, transactions: DataFrame, root: str, as_of=No
     return JobReport(rows={name: rows for name, (_, rows) in staged.items()})
 
 
+def mart_measures(name: str) -> dict[str, Column]:
+    """What is counted of a mart while it is written; each count must be 0."""
+    segments = [*customers.SEGMENT_ACTIONS, customers.FALLBACK_SEGMENT]
+    return {
+        "mart_rfm_segments": quality.value_measures("customer_segment", segments),
+        "mart_churn_features": quality.null_measures(["user_id", *churn.FEATURES]),
+    }.get(name, {})
+
+
 STATES = ["day_totals", "day_users", "user_months"]
 
 
@@ -99,13 +108,13 @@ def run_nightly(users: DataFrame, transactions: DataFrame, report_log: DataFrame
     }
     built, folders = {}, {}
     for name, df in marts.items():
-        folders[name], report.rows[name] = VersionedTable(spark, f"{root}/{name}").stage(df, min_rows=0)
+        # checks of single rows are taken by the job that writes the rows
+        folders[name], told = VersionedTable(spark, f"{root}/{name}").stage_observed(df, mart_measures(name), min_rows=0)
+        report.rows[name] = told.pop("rows")
+        _require_none(told)
         built[name] = spark.read.schema(df.schema).parquet(folders[name])
-    segments = [*customers.SEGMENT_ACTIONS, customers.FALLBACK_SEGMENT]
     _require(
         quality.dq_unique(built["mart_rfm_segments"], "user_id"),
-        quality.dq_accepted_values(built["mart_rfm_segments"], "customer_segment", segments),
-        quality.dq_not_null(built["mart_churn_features"], ["user_id", *churn.FEATURES]),
         quality.dq_unique(built["mart_daily_snapshot"], "report_date"),
     )
     # shown only after the tests
@@ -159,6 +168,12 @@ class QualityError(RuntimeError):
     """A mart or staging test failed."""
 
 
+def _require_none(counts: dict[str, int]) -> None:
+    failed = [f"{name}={n}" for name, n in counts.items() if n]
+    if failed:
+        raise QualityError(", ".join(failed))
+
+
 def _require(*checks: DataFrame) -> None:
     failed = [f"{r['check_name']}={r['value']:.0f}" for check in checks for r in check.filter("status = 'fail'").collect()]
     if failed:

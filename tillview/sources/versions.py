@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
-from tillview.sources.readers import write_counted
+from tillview.sources.readers import write_observed
 
 _READY = "_READY"
 
@@ -35,12 +35,17 @@ class VersionedTable:
         return self.spark.read.parquet(versions[-1])
 
     def stage(self, df: DataFrame, min_rows: int = 1) -> tuple[str, int]:
-        """Write a new version that nobody sees yet: its folder and rows, counted from the footers."""
+        """Write a new version that nobody sees yet: its folder and rows."""
+        folder, told = self.stage_observed(df, {}, min_rows)
+        return folder, told["rows"]
+
+    def stage_observed(self, df: DataFrame, measures: dict[str, Column], min_rows: int = 1) -> tuple[str, dict[str, int]]:
+        """As :meth:`stage`, with the rows and the measures that were taken while it was written."""
         folder = f"{self.path}/v={time.time_ns():020d}"
-        rows = write_counted(df, folder, mode="errorifexists")
-        if rows < min_rows:
-            raise EmptyTableError(f"{self.path}: {rows} rows, expected at least {min_rows}")
-        return folder, rows
+        told = write_observed(df, folder, measures, mode="errorifexists")
+        if told["rows"] < min_rows:
+            raise EmptyTableError(f"{self.path}: {told['rows']} rows, expected at least {min_rows}")
+        return folder, told
 
     def publish(self, folder: str) -> None:
         """Switch readers to a staged version."""
