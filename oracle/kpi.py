@@ -71,6 +71,18 @@ SQL = {
         f"""SELECT user_id, email, persona, {day('registration_date')} AS registration_date, country, age_group
             FROM registered WHERE user_id IS NOT NULL""",
     ),
+    "user_purchases_bucketed": query(
+        "users orders_fact",
+        f"""SELECT u.user_id, u.email, p.purchases, {dbl('p.spent')} AS spent FROM users u
+            LEFT JOIN (SELECT user_id, COUNT(*) AS purchases, SUM(total_amount) AS spent FROM orders_fact GROUP BY 1) p
+              ON p.user_id = u.user_id""",
+    ),
+    "quarter_revenue": query(
+        "orders_fact",
+        f"""SELECT strftime(transaction_date, '%Y-%m') AS txn_month, COUNT(*) AS transactions, {dbl('SUM(total_amount)')} AS revenue
+            FROM orders_fact, (SELECT MAX(transaction_date) AS newest FROM orders_fact)
+            WHERE year(transaction_date) = year(newest) - 1 AND quarter(transaction_date) = quarter(newest) GROUP BY 1""",
+    ),
     "user_history": query(
         "orders_fact",
         f"""SELECT transaction_id, user_id, {sec('transaction_date')} AS transaction_date,
@@ -240,3 +252,4 @@ SQL = {
             GROUP BY persona""",
     ),
 }
+SQL["user_history_bucketed"] = SQL["user_history"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tillview.operators import churn, customers, experiments, kpi, quality, staging, states, tables
 from tillview.plans import jobs
 from tillview.plans.filetable import FileTable
-from tillview.sources import scratch
+from tillview.sources import buckets, scratch
 from tillview.sources.months import MonthlyParts, month_lists
 from tillview.sources.readers import write_observed
 from tillview.sources.schemas import AB_METRICS, DAILY_REPORT_LOG
@@ -227,3 +227,41 @@ def test_a_bad_mart_is_not_shown(spark, shop, tmp_path, monkeypatch):
     with pytest.raises(jobs.QualityError, match="accepted_values_customer_segment"):
         jobs.run_nightly(users, fact, log, str(tmp_path))
     assert VersionedTable(spark, str(tmp_path / "mart_rfm_segments")).versions() == []
+
+
+def _plan(df):
+    """The plan, with the buckets of each scan spelled out."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    try:
+        return df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+
+
+def test_bucketed_tables_spare_scans_and_shuffles(spark, tmp_path):
+    fact = spark.range(2000).selectExpr(
+        "id AS transaction_id", "IF(id % 3 = 0, 7, id % 50) AS user_id", "CAST(id AS DECIMAL(12,2)) AS total_amount",
+        "CAST(timestamp_seconds(1704067200 + id * 7200) AS TIMESTAMP_NTZ) AS transaction_date",
+    ).withColumn("txn_month", F.date_format("transaction_date", "yyyy-MM"))
+    table = buckets.write_bucketed(fact, str(tmp_path / "fact"), 8)
+    users = buckets.write_bucketed(fact.select("user_id").distinct(), str(tmp_path / "users"), 8, order=None, month=False)
+
+    one = staging.user_history(table, 7, "2024-01-01")
+    assert "SelectedBucketsCount: 1 out of 8" in _plan(one) and one.count() == fact.where("user_id = 7").count()
+    counts = table.groupBy("user_id").count()
+    assert "Exchange" not in _plan(counts)
+    both = users.hint("merge").join(counts, "user_id")
+    assert "SortMergeJoin" in _plan(both) and "Exchange" not in _plan(both)
+    assert {tuple(r) for r in both.collect()} == {tuple(r) for r in fact.groupBy("user_id").count().collect()}
+
+    months = spark.createDataFrame([(f"2024-{m:02d}", 2024, (m + 2) // 3) for m in range(1, 13)], "txn_month string, year int, quarter int")
+    pruned = kpi.quarter_revenue(table, months, 2024, 2)
+    assert "dynamicpruning" in _plan(pruned)
+    wanted = fact.where("quarter(transaction_date) = 2").groupBy("txn_month").agg(F.count("*"), F.sum("total_amount"))
+    assert {tuple(r) for r in pruned.collect()} == {tuple(r) for r in wanted.collect()}
+
+    again = buckets.bucketed_table(
+        spark, str(tmp_path / "fact"), "transaction_id BIGINT, user_id BIGINT, total_amount DECIMAL(12,2), transaction_date TIMESTAMP_NTZ, txn_month STRING", 8
+    )
+    assert again.count() == 2000 and "SelectedBucketsCount: 1 out of 8" in _plan(again.where("user_id = 7"))

@@ -364,3 +364,15 @@ def _per_user(transactions: DataFrame) -> DataFrame:
         F.count("total_amount").alias("amounts"),
         F.sum("total_amount").alias("revenue"),
     )
+
+
+def quarter_revenue(transactions: DataFrame, months: DataFrame, year: int, quarter: int) -> DataFrame:
+    """Orders, buyers' purchases and revenue of a quarter's months, by a join with the table of months.
+
+    ``months`` has txn_month, year and quarter; over a fact in monthly parts the join prunes the
+    parts of other months when it runs.
+    """
+    wanted = months.filter((F.col("year") == year) & (F.col("quarter") == quarter)).select("txn_month")
+    return transactions.join(wanted, "txn_month").groupBy("txn_month").agg(
+        F.count("*").alias("transactions"), F.sum("total_amount").alias("revenue")
+    )

@@ -29,6 +29,7 @@ from tillview.operators import (
 )
 from tillview.plans import jobs
 from tillview.plans.filetable import FileTable
+from tillview.sources.buckets import write_bucketed
 from tillview.sources.months import MONTH
 from tillview.sources.readers import parquet_stream, write_observed
 from tillview.sources.schemas import AB_METRICS, DAILY_REPORT_LOG, MODEL_REGISTRY
@@ -93,7 +94,38 @@ def _summary(shop: Shop) -> DataFrame:
     return customers.rfm_segment_summary(_rfm(shop))
 
 
+BUCKETS = 8
+
+
+def _bucketed_orders(shop: Shop) -> DataFrame:
+    """The orders by month and user, written anew."""
+    orders = shop.orders().withColumn(MONTH, F.date_format(TS, "yyyy-MM"))
+    return write_bucketed(orders, scratch_path(shop.spark, "orders-by-user"), BUCKETS)
+
+
+def _bucketed_users(shop: Shop) -> DataFrame:
+    """Purchases of every user: two tables with the same buckets, joined and counted without a shuffle."""
+    users = write_bucketed(
+        shop.users().select("user_id", "email"), scratch_path(shop.spark, "users-by-id"), BUCKETS, order=None, month=False
+    )
+    orders = _bucketed_orders(shop)
+    totals = orders.groupBy("user_id").agg(F.count("*").alias("purchases"), F.sum("total_amount").alias("spent"))
+    return users.hint("merge").join(totals, "user_id", "left")
+
+
+def _months(shop: Shop) -> DataFrame:
+    """The table of months of the orders."""
+    return shop.orders().select(
+        F.date_format(TS, "yyyy-MM").alias(MONTH), F.year(TS).alias("year"), F.quarter(TS).alias("quarter")
+    ).distinct()
+
+
 STAGING = {
+    "user_history_bucketed": lambda s: staging.user_history(_bucketed_orders(s), user_id=100, since="1996-01-01").drop(MONTH),
+    "user_purchases_bucketed": _bucketed_users,
+    "quarter_revenue": lambda s: kpi.quarter_revenue(
+        _bucketed_orders(s), _months(s), s.last_order.year - 1, (s.last_order.month + 2) // 3
+    ),
     "stg_transactions": lambda s: staging.stg_transactions(s.lines()),
     "stg_users": lambda s: staging.stg_users(s.registered_users()),
     "user_history": lambda s: staging.user_history(s.orders(), user_id=100, since="1996-01-01"),
