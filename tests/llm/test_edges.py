@@ -681,7 +681,11 @@ def test_alignment_edges(spark, odd, monkeypatch, frequent):
     # counts by brute force from the aligned ids
     held, links = {}, []
     for r in aligned.collect():
-        members = [(np.frombuffer(ids, "<u2").tolist(), np.cumsum([0, *last][:-1]).tolist()) for ids, last in ((r.a_ids, r.a_last), (r.b_ids, r.b_last))]
+        members = []
+        for packed, bits in ((r.a_ids, r.a_last), (r.b_ids, r.b_last)):
+            ids = np.frombuffer(packed, "<u2").tolist()
+            last = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")[: len(ids)].tolist()
+            members.append((ids, np.cumsum([0, *last][:-1]).tolist()))
         second = {}
         for y, g in zip(*members[1]):
             second.setdefault(g, []).append(y)

@@ -42,14 +42,14 @@ from tillview.sources.scratch import materialize
 #: A pair in more than 1 / FREQUENT of all (document, pair) rows is broadcast: fewer than FREQUENT pairs.
 FREQUENT = 100_000
 #: Links that are held one by one at a time, and links of one group above which equal ids are merged first.
-LINKS_HELD = 1 << 19
+LINKS_HELD = 1 << 17
 LARGE_GROUP = 4096
 #: Pairs of ids are smaller than 2 to this power: vocabularies of up to a million tokens each.
 PAIR_BITS = 40
 #: Bytes of texts, and 16-bit tokens of a, that a task works on at a time.
-SLICE_BYTES, SLICE_TOKENS = 1 << 20, 1 << 18
+SLICE_BYTES, SLICE_TOKENS = 1 << 18, 1 << 16
 
-#: The aligned text: packed ids of both tokenizers, and for each id a byte that is 1 at the end of its group.
+#: The aligned text: packed ids of both tokenizers, and for each id a bit that is 1 at the end of its group.
 FIELDS = [T.StructField(n, T.BinaryType()) for n in ("a_ids", "b_ids", "a_last", "b_last")]
 
 
@@ -164,23 +164,41 @@ def align(spark: SparkSession, docs: DataFrame, byte_level: str, pieces: str, te
         a_ids, b_ids = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (a, b))
         # a text's last tokens end together, so no group belongs to two texts
         a_counts, b_counts = group_sizes(np.cumsum(pair.a_long[a_ids]), np.cumsum(pair.b_long[b_ids]))
-        columns = []
-        for ids, size in ((a_ids, len(pair.a_bytes)), (b_ids, len(pair.b_bytes))):
-            columns.append(ids.astype(id_type(size)))
-        for ids, counts in ((a_ids, a_counts), (b_ids, b_counts)):
-            last = np.zeros(len(ids), np.uint8)
-            last[np.cumsum(counts) - 1] = 1
-            columns.append(last)
-        until = [np.cumsum([0, *map(len, ids)]) for ids in (a, b)]
-        return [_rows_of(until[i % 2], c) for i, c in enumerate(columns)]
+        a_many, b_many = (np.array([len(x) for x in ids], np.int64) for ids in (a, b))
+        return [
+            _rows_of(a_many, a_ids.astype(id_type(len(pair.a_bytes)))),
+            _rows_of(b_many, b_ids.astype(id_type(len(pair.b_bytes)))),
+            _bits_of(a_many, np.cumsum(a_counts) - 1),
+            _bits_of(b_many, np.cumsum(b_counts) - 1),
+        ]
 
     return append_columns(docs, [text], FIELDS, make, SLICE_BYTES)
 
 
-def _rows_of(until: np.ndarray, values: np.ndarray) -> pa.Array:
-    """A binary value for each row: its values from one place of ``until`` to the next."""
-    offsets = pa.py_buffer((until * values.itemsize).astype(np.int32))
-    return pa.Array.from_buffers(pa.binary(), len(until) - 1, [None, offsets, pa.py_buffer(values)])
+def _rows_of(many: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A binary value for each row, which has so ``many`` of the values."""
+    offsets = pa.py_buffer((np.r_[0, np.cumsum(many)] * values.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(many), [None, offsets, pa.py_buffer(values)])
+
+
+def _bit_places(many: np.ndarray) -> np.ndarray:
+    """Where the bit of each value lies if every row's bits begin with a byte."""
+    held = -(-many // 8) * 8
+    return np.arange(many.sum()) + np.repeat(np.cumsum(held) - held - (np.cumsum(many) - many), many)
+
+
+def _bits_of(many: np.ndarray, ones: np.ndarray) -> pa.Array:
+    """A binary value for each row with a bit for each of its values; ``ones`` are the values with a 1."""
+    held = -(-many // 8)
+    bits = np.zeros(held.sum() * 8, np.uint8)
+    bits[_bit_places(many)[ones]] = 1
+    return _rows_of(held, np.packbits(bits, bitorder="little"))
+
+
+def _ones(column: pa.Array, many: np.ndarray) -> np.ndarray:
+    """The values with a 1 of a column of :func:`_bits_of`."""
+    bits = np.unpackbits(_flat(column, "u1")[0].astype(np.uint8), bitorder="little")
+    return np.flatnonzero(bits[_bit_places(many)])
 
 
 def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +215,7 @@ class Aligned:
     def __init__(self, columns: list[pa.Array], sizes: tuple[int, int]):
         self.rows = len(columns[0])
         (self.a, a_many), (self.b, b_many) = (_flat(c, id_type(n)) for c, n in zip(columns, sizes))
-        a_last, b_last = (np.flatnonzero(_flat(c, "u1")[0]) for c in columns[2:4])
+        a_last, b_last = _ones(columns[2], a_many), _ones(columns[3], b_many)
         self.na, self.nb = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
         self.a_rows, self.b_rows = (np.repeat(np.arange(self.rows), many) for many in (a_many, b_many))
         self.group_rows = self.a_rows[a_last]
