@@ -61,7 +61,8 @@ VOLUME = anomaly("transaction_volume", "COUNT(*)")
 STALE = """
     SELECT 'stale_' || table_name AS check_name, CASE WHEN hours > 2 THEN 'fail' ELSE 'pass' END AS status,
            hours AS value
-    FROM (SELECT table_name, date_diff('second', date_trunc('second', MAX(timestamp)), TIMESTAMP '2024-01-31 01:00:00')
+    FROM (SELECT table_name, date_diff('second', date_trunc('second', MAX(timestamp)), (
+                   SELECT date_trunc('day', MAX(timestamp)) + INTERVAL 25 HOUR FROM all_events WHERE event_type = 'purchase'))
                  / 3600.0 AS hours
           FROM (SELECT CASE event_type WHEN 'purchase' THEN 'daily_metrics' ELSE 'user_metrics' END AS table_name,
                        timestamp FROM all_events WHERE event_type IN ('purchase', 'signup'))
@@ -224,7 +225,7 @@ SQL = {
         f"""{SNAPSHOT_ROW} FROM old UNION ALL
             {SNAPSHOT_ROW} FROM fresh WHERE report_date NOT IN (SELECT report_date FROM old)""",
         ("fresh", LINE_SNAPSHOT),
-        ("old", "SELECT * FROM snapshot WHERE report_date < DATE '2001-07-20'"),
+        ("old", f"SELECT * FROM snapshot WHERE report_date < {today('orders_fact')} - 14"),
     ),
     "apply_rfm_to_users": query(
         "users buyers_scored",
@@ -363,7 +364,8 @@ SQL = {
     ),
     "model_registry_promote": query(
         "orders_fact",
-        """SELECT 'rfm_segments' AS model_name, 'minus-' || k AS version, '2024-01-31 02:00:00.000000' AS trained_at,
+        """SELECT 'rfm_segments' AS model_name, 'minus-' || k AS version,
+                  (SELECT strftime(MAX(transaction_date), '%Y-%m-%d %H:%M:%S.%f') FROM orders_fact) AS trained_at,
                   '{"frequency": ' || CAST(list_transform(f, lambda v: ROUND(v, 4)) AS VARCHAR) || ', "monetary": '
                   || CAST(list_transform(m, lambda v: ROUND(v, 4)) AS VARCHAR) || ', "recency_days": '
                   || CAST(list_transform(r, lambda v: ROUND(v, 4)) AS VARCHAR) || '}' AS metrics, TRUE AS is_active

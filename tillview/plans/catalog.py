@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime, time, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -294,7 +295,8 @@ def _snapshot(shop: Shop) -> DataFrame:
 
 
 def _old_snapshot(shop: Shop) -> DataFrame:
-    return _snapshot(shop).filter(F.col("report_date") < "2001-07-20")
+    """Without the last two weeks."""
+    return _snapshot(shop).filter(F.col("report_date") < Anchor(shop.orders(), shop.last_order).midnight(14).cast("date"))
 
 
 def _written_back(shop: Shop) -> DataFrame:
@@ -355,7 +357,9 @@ def _refresh_log(shop: Shop) -> DataFrame:
 
 
 def _stale(shop: Shop) -> DataFrame:
-    return quality.dq_stale_tables(_refresh_log(shop), "2024-01-31 01:00:00")
+    """An hour after the end of the last purchase's day."""
+    end = datetime.combine(shop.last_purchase, time()) + timedelta(days=1, hours=1)
+    return quality.dq_stale_tables(_refresh_log(shop), end)
 
 
 QUALITY = {
@@ -716,7 +720,7 @@ def _promoted(shop: Shop) -> DataFrame:
         orders = shop.orders()
         until = orders.filter(F.col(TS) < Anchor(orders, shop.last_order).midnight(days_back - 1))
         edges = customers.rfm_breakpoints(customers.user_metrics(shop.users(), until))
-        registry = ml.register_rfm(registry, edges, f"minus-{days_back}", "2024-01-31 02:00:00")
+        registry = ml.register_rfm(registry, edges, f"minus-{days_back}", shop.last_order)
     return registry
 
 
