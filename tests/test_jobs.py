@@ -93,7 +93,7 @@ def test_experiment_metrics_are_upserted(spark, shop, tmp_path):
 
 def test_nothing_is_shown_before_its_test(spark, shop, tmp_path, monkeypatch):
     users, fact = shop
-    monkeypatch.setattr(jobs.quality, "dq_accepted_values", lambda *a: spark.createDataFrame([("x", "fail", 1.0)], "check_name string, status string, value double"))
+    monkeypatch.setattr(jobs.quality, "value_measures", lambda *a: {"x": F.count(F.lit(1))})
     with pytest.raises(jobs.QualityError):
         jobs.run_nightly(users, fact, spark.createDataFrame([], DAILY_REPORT_LOG), str(tmp_path))
     assert VersionedTable(spark, str(tmp_path / "mart_rfm_segments")).versions() == []
