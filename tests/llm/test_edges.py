@@ -97,6 +97,41 @@ def test_warc_of_nothing(spark):
     assert warc.round_trip(pages, warc.shared_folder(spark, "warc")).count() == 0
 
 
+NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission."
+)
+
+
+def test_the_longest_licence_rule_wins(spark, tmp_path):
+    """A BSD-3 text is no BSD-2 text, both in one document are both; SQL agrees on all readings."""
+    three = f"{BSD}\n3. {NAMES}"
+    rows = [
+        (1, three, "BSD-3-Clause"),
+        (2, BSD, "BSD-2-Clause"),
+        (3, f"{three}\n\n{BSD}", "BSD-3-Clause,BSD-2-Clause"),
+        (4, f"{three}\n\n{three}", "BSD-3-Clause"),
+        (5, "\n".join(f"# {x}".rstrip() for x in three.split("\n")), "BSD-3-Clause"),
+        (6, "# SPDX-License-Identifier: MIT\nimport os", "MIT"),
+        (7, "/* SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause) AND MIT */", "MIT,GPL-2.0,BSD-3-Clause"),
+        (8, "MIT License\n\nCopyright (c) 2020 Foo\n\n" + MIT, "MIT"),
+        (9, "Licensed under the Apache License, Version 2.0 or MIT License.", "Apache-2.0,MIT"),
+        (10, "This is a text about licences and their licensed uses: nothing more.", ""),
+        (11, "\n".join(f"// {x}".rstrip() for x in APACHE.split("\n")), "Apache-2.0"),
+        (12, None, ""),
+    ]
+    docs = frame(spark, [r[:2] for r in rows], "doc_id bigint, text string")
+    got = licenses.scan(docs)
+    assert {r.doc_id: r.licenses for r in got.collect()} == {i: names for i, _, names in rows}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    import compare
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert compare.difference(got, licenses.statement(), con) is None
+
+
 # 2 vectors --------------------------------------------------------------------------------
 
 
@@ -439,7 +474,7 @@ def test_license_edges(spark, odd):
 
 def test_every_known_sentence_shows_a_sign():
     assert all(any(sign in s for sign in licenses.SIGNS) for s in licenses.SENTENCES.values())
-    assert {i for _, rule in licenses.RULES for i in rule} == set(licenses.SENTENCES)
+    assert {i for _, rule in licenses.RULES for i in rule} == set(licenses.SENTENCES) | set(licenses.TAGS.values())
 
 
 # pipeline ---------------------------------------------------------------------------------

@@ -4,14 +4,17 @@ A text is cut into sentences twice, once with line ends as borders and once acro
 them, since notices are wrapped as often as they stand on a line of their own. A
 sentence is normalised (lower case, other characters than a-z and 0-9 to one space) and
 looked up in the table of known sentences; unknown sentences drop out. A rule holds if
-its identifiers follow each other in one of the sequences.
+its identifiers follow each other in one of the sequences. Where a rule of another licence
+has the same identifiers and more, the longer one wins: the shorter holds only if it is met
+more often than the longer.
 
 A third reading serves notices in comments: comment marks are taken off each line, so
 that a line of marks only ends a sentence like an empty one; sentences also end at ':', at the
 numbers of a list and after a copyright line; a lead-in ('this project is', 'distributed
 under') counts as one of the wordings in the table. It only adds: its sequence is shown
-where it is longer than both others. All of it are
-DataFrame functions over one row at a time: no shuffle, no Python.
+where it is longer than both others. A fourth reading takes the names from identifier lines
+('SPDX-License-Identifier: MIT OR Apache-2.0'), each a known sentence of its own. All of it
+are DataFrame functions over one row at a time: no shuffle, no Python.
 
 Defined cases: null and empty texts have no sentence and no licence. Whole texts are
 read. Repeated rows give equal results; an empty table gives an empty result. A licence
@@ -57,6 +60,40 @@ SENTENCES = {
     28: "released under the bsd license",
     29: "this work is licensed under the gnu general public license version 2",
     30: "this work is licensed under the gnu lesser general public license version 3",
+    31: "mit license",
+    32: "the mit license",
+    33: "the mit license mit",
+    34: "bsd 2 clause license",
+    35: "bsd 3 clause license",
+    36: "isc license",
+    37: "mozilla public license version 2 0",
+    38: "apache license version 2 0",
+    39: "licensed under either of apache license version 2 0 or mit license",
+    40: "licensed under the apache license version 2 0 or mit license",
+}
+# fixed values: names of licences in identifier lines, lower case, and their identifiers
+TAGS = {
+    "apache-2.0": 51,
+    "mit": 52,
+    "gpl-3.0": 53,
+    "gpl-3.0-only": 53,
+    "gpl-3.0-or-later": 53,
+    "gpl-3.0+": 53,
+    "gpl-2.0": 54,
+    "gpl-2.0-only": 54,
+    "gpl-2.0-or-later": 54,
+    "gpl-2.0+": 54,
+    "lgpl-3.0": 55,
+    "lgpl-3.0-only": 55,
+    "lgpl-3.0-or-later": 55,
+    "cc-by-nc-4.0": 56,
+    "cc-by-sa-4.0": 57,
+    "cc-by-4.0": 58,
+    "bsd-3-clause": 59,
+    "bsd-2-clause": 60,
+    "isc": 61,
+    "mpl-2.0": 62,
+    "unlicense": 63,
 }
 # fixed values: licence and the sentences that make it, in order
 RULES = [
@@ -86,24 +123,57 @@ RULES = [
     ("MPL-2.0", (26,)),
     ("Unlicense", (27,)),
     ("all-rights-reserved", (20,)),
+    ("MIT", (31,)),
+    ("MIT", (32,)),
+    ("MIT", (33,)),
+    ("BSD-2-Clause", (34,)),
+    ("BSD-3-Clause", (35,)),
+    ("ISC", (36,)),
+    ("MPL-2.0", (37,)),
+    ("Apache-2.0", (38,)),
+    ("Apache-2.0", (39,)),
+    ("MIT", (39,)),
+    ("Apache-2.0", (40,)),
+    ("MIT", (40,)),
+    ("Apache-2.0", (51,)),
+    ("MIT", (52,)),
+    ("GPL-3.0", (53,)),
+    ("GPL-2.0", (54,)),
+    ("LGPL-3.0", (55,)),
+    ("CC-BY-NC-4.0", (56,)),
+    ("CC-BY-SA-4.0", (57,)),
+    ("CC-BY-4.0", (58,)),
+    ("BSD-3-Clause", (59,)),
+    ("BSD-2-Clause", (60,)),
+    ("ISC", (61,)),
+    ("MPL-2.0", (62,)),
+    ("Unlicense", (63,)),
 ]
 #: Part of at least one of these stands in every known sentence, so other texts need no look.
 SIGNS = ("licen", "copyright", "permission", "rights", "redistribut", "software", "warrant")
 BY_LINE = r"[.!?][ \t\r]*(\n|$)|[.!?][ \t\r]+|\n"
 ACROSS_LINES = r"[.!?](\s+|$)|\n\s*\n"
-# the reading of comments
+# the reading of comments; the patterns mean the same to Java and to RE2
 MARKS = r"(?mi)^[ \t]*(?:/\*+!?|\*+/?|//+!?|#+!?|--+|;+|%+|<!--|\.\.[ \t]|dnl\b|rem\b|['\"!>|]+)[ \t]*|[ \t]*(?:\*+/|-->|\*+|#+)[ \t]*\r?$"
 #: An address that stands in a paragraph of its own belongs to the sentence before it.
-ADDRESS = r"\s*\n\s*(?=https?://)"
-COPYRIGHT_LINE = r"(?mi)^([ \t]*(?:copyright[ \t]*(?:\(c\)|©|[12][0-9]{3})|\(c\)|©).*)$"
+ADDRESS = r"\s*\n\s*(https?://)"
+COPYRIGHT_LINE = r"(?mi)^([ \t]*(?:copyright[ \t]*(?:\(c\)|©|[12][0-9]{3})|\(c\)|©)[^\r\n]*)$"
+#: A colon that ends no sentence.
+INNER_COLON = r"(?i)(free software):"
 NUMBER = r"[ \t]*\(?(?:[0-9]{1,2}|[a-z])[.)][ \t]+"
-IN_COMMENTS = rf"(?i)(?:[.!?](?:\s+|$)|(?<!free software):(?:\s+|$)|\n\s*\n)(?:{NUMBER})?|\n{NUMBER}"
+IN_COMMENTS = rf"(?i)(?:[.!?](?:\s+|$)|:(?:\s+|$)|\n\s*\n)(?:{NUMBER})?|\n{NUMBER}"
+#: ``.`` and ``$`` end at line feeds only, as they do in RE2.
+UNIX_LINES = "(?d)"
+TAG_LINE = r"spdx-license-identifier:[^\r\n]*"
+TAG_NAME = r"[a-z0-9.+-]+"
 LEAD_IN = (
     r"^(?:(?:this|the) (?:project|software|source|source code|code|file|work|library|package|program|module|repository|"
     r"repo|plugin|tool|script|document|documentation|content) (?:is|are) |it is |is )?"
     r"(?:licensed|released|distributed|available|made available|published|provided) under (?:the terms of )?"
 )
 
+WORDINGS = ("licensed under ", "released under ", "this work is licensed under ")
+
 
 def identifiers(text: Column, border: str) -> Column:
     """The identifiers of the known sentences, in order, each between bars."""
@@ -120,47 +190,76 @@ def _barred(ids: Column) -> Column:
 def comment_identifiers(text: Column) -> Column:
     """Like ``identifiers``, without comment marks and with the wordings of a lead-in."""
     known = F.create_map(*(x for i, s in SENTENCES.items() for x in (F.lit(s), F.lit(i))))
-    bare = F.regexp_replace(F.regexp_replace(text, MARKS, ""), COPYRIGHT_LINE, "$1\n\n")
-    pieces = F.split(F.regexp_replace(bare, ADDRESS, " "), IN_COMMENTS)
+    bare = F.regexp_replace(F.regexp_replace(text, UNIX_LINES + MARKS, ""), UNIX_LINES + COPYRIGHT_LINE, "$1\n\n")
+    joined = F.regexp_replace(F.regexp_replace(bare, ADDRESS, " $1"), INNER_COLON, "$1")
+    pieces = F.split(joined, UNIX_LINES + IN_COMMENTS)
     plain = F.transform(pieces, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
 
     def look(s: Column) -> Column:
-        wordings = ("licensed under ", "released under ", "this work is licensed under ")
-        said = [F.regexp_replace(s, LEAD_IN, w) for w in wordings]
-        the = [F.regexp_replace(s, LEAD_IN + "(?:the |a )?", f"{w}the ") for w in wordings]
+        said = [F.regexp_replace(s, LEAD_IN, w) for w in WORDINGS]
+        the = [F.regexp_replace(s, LEAD_IN + "(?:the |a )?", f"{w}the ") for w in WORDINGS]
         return F.coalesce(F.element_at(known, s), *(F.element_at(known, x) for x in said + the))
 
     return _barred(F.filter(F.transform(plain, look), lambda i: i.isNotNull()))
 
 
+def tag_identifiers(text: Column) -> Column:
+    """The identifiers of the names in identifier lines, in order, each between bars."""
+    known = F.create_map(*(x for name, i in TAGS.items() for x in (F.lit(name), F.lit(i))))
+    lines = F.regexp_extract_all(F.lower(text), F.lit(TAG_LINE), F.lit(0))
+    names = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(TAG_NAME), F.lit(0))))
+    return _barred(F.filter(F.transform(names, lambda x: F.element_at(known, x)), lambda i: i.isNotNull()))
+
+
+READINGS = ("by_line", "across", "comments", "tags")
+
+
+def longer_rules(name: str, rule: tuple[int, ...]) -> list[tuple[int, ...]]:
+    """The rules of other licences that hold wherever they stand the identifiers of this one, and more."""
+    inside = "|" + "|".join(map(str, rule)) + "|"
+    return [r for n, r in RULES if n != name and len(r) > len(rule) and inside in "|" + "|".join(map(str, r)) + "|"]
+
+
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Key, ``sentence_ids`` (known sentences in order), ``licenses``, ``n_licenses``."""
     low = F.lower(named(text))
     seen = low.contains(SIGNS[0])
     for sign in SIGNS[1:]:
         seen = seen | low.contains(sign)
-    found = docs.select(
-        named(key).alias(key),
-        F.when(seen, identifiers(named(text), BY_LINE)).otherwise("|").alias("by_line"),
-        F.when(seen, identifiers(named(text), ACROSS_LINES)).otherwise("|").alias("across"),
-        F.when(seen, comment_identifiers(named(text))).otherwise("|").alias("comments"),
-    )
+    read = {"by_line": identifiers(named(text), BY_LINE), "across": identifiers(named(text), ACROSS_LINES)}
+    read |= {"comments": comment_identifiers(named(text)), "tags": tag_identifiers(named(text))}
+    found = docs.select(named(key).alias(key), *(F.when(seen, read[r]).otherwise("|").alias(r) for r in READINGS))
 
-    def holds(rule: tuple[int, ...]) -> Column:
-        wanted = "|" + "|".join(map(str, rule)) + "|"
-        return F.col("by_line").contains(wanted) | F.col("across").contains(wanted) | F.col("comments").contains(wanted)
+    def met(rule: tuple[int, ...]) -> Column:
+        """How often the reading that shows a rule most often shows it."""
+        wanted = "|" + "||".join(map(str, rule)) + "|"
+        each = []
+        for r in READINGS:
+            doubled = F.replace(F.col(r), F.lit("|"), F.lit("||"))  # so that no two rules share a bar
+            each.append((F.length(doubled) - F.length(F.replace(doubled, F.lit(wanted), F.lit("")))) / len(wanted))
+        return F.greatest(*each)
+
+    def holds(name: str, rule: tuple[int, ...]) -> Column:
+        longer = longer_rules(name, rule)
+        if longer:
+            return met(rule) > sum((met(r) for r in longer[1:]), met(longer[0]))
+        any_reading = F.lit(False)
+        for r in READINGS:
+            any_reading = any_reading | F.col(r).contains("|" + "|".join(map(str, rule)) + "|")
+        return any_reading
 
     names = list(dict.fromkeys(name for name, _ in RULES))
     held = []
     for name in names:
         any_rule = F.lit(False)
         for _, rule in (r for r in RULES if r[0] == name):
-            any_rule = any_rule | holds(rule)
+            any_rule = any_rule | holds(name, rule)
         held.append(F.when(any_rule, name))
     licenses = F.array_compact(F.array(*held))
     # the longest reading, the first of equals
-    sequence = F.when(F.length("by_line") >= F.length("across"), F.col("by_line")).otherwise(F.col("across"))
-    sequence = F.when(F.length("comments") > F.length(sequence), F.col("comments")).otherwise(sequence)
+    sequence = F.col(READINGS[0])
+    for r in READINGS[1:]:
+        sequence = F.when(F.length(r) > F.length(sequence), F.col(r)).otherwise(sequence)
     return found.select(
         named(key),
         F.trim(F.translate(sequence, "|", " ")).alias("sentence_ids"),
@@ -176,29 +275,59 @@ def statement() -> str:
         return "'" + value.replace("'", "''") + "'"
 
     known = "MAP {" + ", ".join(f"{quoted(s)}: {i}" for i, s in SENTENCES.items()) + "}"
+    tags = "MAP {" + ", ".join(f"{quoted(s)}: {i}" for s, i in TAGS.items()) + "}"
+
+    def barred(ids: str) -> str:
+        return f"'|' || coalesce(array_to_string(list_filter({ids}, lambda i: i IS NOT NULL), '|'), '') || '|'"
+
+    def plain(text: str, border: str) -> str:
+        pieces = f"string_split_regex({text}, {quoted(border)})"
+        return f"list_transform({pieces}, lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')))"
 
     def ids(border: str) -> str:
-        pieces = f"string_split_regex(t, {quoted(border)})"
-        plain = f"list_transform({pieces}, lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')))"
-        found = f"list_filter(list_transform({plain}, lambda s: known[s]), lambda i: i IS NOT NULL)"
-        return f"'|' || coalesce(array_to_string({found}, '|'), '') || '|'"
+        return barred(f"list_transform({plain('t', border)}, lambda s: known[s])")
+
+    bare = f"regexp_replace(t, {quoted(MARKS)}, '', 'g')"
+    bare = f"regexp_replace({bare}, {quoted(COPYRIGHT_LINE)}, '\\1' || chr(10) || chr(10), 'g')"
+    bare = f"regexp_replace({bare}, {quoted(ADDRESS)}, ' \\1', 'g')"
+    bare = f"regexp_replace({bare}, {quoted(INNER_COLON)}, '\\1', 'g')"
+    said = [f"known[regexp_replace(s, {quoted(LEAD_IN)}, {quoted(w)})]" for w in WORDINGS]
+    said += [f"known[regexp_replace(s, {quoted(LEAD_IN + '(?:the |a )?')}, {quoted(w + 'the ')})]" for w in WORDINGS]
+    comments = barred(f"list_transform({plain(bare, IN_COMMENTS)}, lambda s: coalesce(known[s], {', '.join(said)}))")
+    names_read = f"list_transform(regexp_extract_all(lower(t), {quoted(TAG_LINE)}), lambda x: regexp_extract_all(x, {quoted(TAG_NAME)}))"
+    read_tags = barred(f"list_transform(flatten({names_read}), lambda x: tags[x])")
+
+    def met(rule: tuple[int, ...]) -> str:
+        wanted = "|" + "||".join(map(str, rule)) + "|"
+        each = (
+            f"(length(replace({r}, '|', '||')) - length(replace(replace({r}, '|', '||'), {quoted(wanted)}, ''))) / {len(wanted)}"
+            for r in READINGS
+        )
+        return f"greatest({', '.join(each)})"
 
-    def holds(rule: tuple[int, ...]) -> str:
+    def holds(name: str, rule: tuple[int, ...]) -> str:
+        longer = longer_rules(name, rule)
+        if longer:
+            return f"{met(rule)} > {' + '.join(map(met, longer))}"
         wanted = quoted("|" + "|".join(map(str, rule)) + "|")
-        return f"contains(by_line, {wanted}) OR contains(across, {wanted})"
+        return " OR ".join(f"contains({r}, {wanted})" for r in READINGS)
 
     names = list(dict.fromkeys(name for name, _ in RULES))
     held = ", ".join(
-        f"CASE WHEN {' OR '.join(holds(r) for n, r in RULES if n == name)} THEN {quoted(name)} END" for name in names
+        f"CASE WHEN {' OR '.join(holds(n, r) for n, r in RULES if n == name)} THEN {quoted(name)} END" for name in names
     )
     return f"""
-WITH fixed AS (SELECT {known} AS known),
-read AS (SELECT doc_id, coalesce(text, '') AS t, known FROM documents, fixed),
-found AS (SELECT doc_id, {ids(BY_LINE)} AS by_line, {ids(ACROSS_LINES)} AS across FROM read),
-named AS (SELECT *, list_filter([{held}], lambda x: x IS NOT NULL) AS names FROM found)
-SELECT doc_id,
-  trim(replace(CASE WHEN length(by_line) >= length(across) THEN by_line ELSE across END, '|', ' ')) AS sentence_ids,
+WITH fixed AS (SELECT {known} AS known, {tags} AS tags),
+read AS (SELECT doc_id, coalesce(text, '') AS t, known, tags FROM documents, fixed),
+found AS (
+  SELECT doc_id, {ids(BY_LINE)} AS by_line, {ids(ACROSS_LINES)} AS across, {comments} AS comments, {read_tags} AS tags
+  FROM read
+),
+named AS (SELECT *, list_filter([{held}], lambda x: x IS NOT NULL) AS names,
+  CASE WHEN length(across) > length(by_line) THEN across ELSE by_line END AS two FROM found),
+longest AS (SELECT *, CASE WHEN length(comments) > length(two) THEN comments ELSE two END AS three FROM named)
+SELECT doc_id, trim(replace(CASE WHEN length(tags) > length(three) THEN tags ELSE three END, '|', ' ')) AS sentence_ids,
   coalesce(array_to_string(names, ','), '') AS licenses,
   CAST(len(names) AS BIGINT) AS n_licenses
-FROM named
+FROM longest
 """
