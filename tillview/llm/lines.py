@@ -10,8 +10,8 @@ sites, merged by aggregation. Estimates far from MIN_SITES decide; lines near it
 exact distinct count. Removals are gathered per document and joined to the texts once.
 
 Defined cases: a null text stays null and has no lines; an empty one has one empty
-line. Lines are compared without blanks at either end; those shorter than MIN_CHARS
-stay. A null site counts for no site. Lines of rows without an id count towards the
+line. Lines are compared without blanks at either end; those without any letter or digit
+(brackets, rules) stay, all others count, however short. A null site counts for no site. Lines of rows without an id count towards the
 spread but stay. Repeated lines and rows of one document count once and share a fate. A
 document may end up empty. All columns are kept; helper columns can't clash with them.
 """
@@ -25,7 +25,8 @@ from tillview.llm.common import named
 from tillview.sources.scratch import materialize
 
 MIN_SITES = 3
-MIN_CHARS = 20
+#: A line without this says nothing that could be boilerplate.
+SAYS_SOMETHING = r"[\p{L}\p{N}]"
 #: log2 of the sketch's registers: a relative error of 1.6 %.
 SKETCH_SIZE = 12
 #: Estimates within this share of MIN_SITES, or half a site, are counted exactly.
@@ -43,7 +44,7 @@ def line_key(line: Column) -> Column:
 
 def line_rows(docs: DataFrame, key: str, text: str, site: str) -> DataFrame:
     """(doc, site, h, g): each different line of each row."""
-    lines = F.filter(F.transform(F.split(named(text), "\n"), stripped), lambda x: F.length(x) >= MIN_CHARS)
+    lines = F.filter(F.transform(F.split(named(text), "\n"), stripped), lambda x: x.rlike(SAYS_SOMETHING))
     keys = F.explode(F.array_distinct(F.transform(lines, line_key)))
     where = F.when(named(site).isNotNull(), F.xxhash64(named(site)))
     rows = docs.select(named(key).alias("doc"), where.alias("site"), keys.alias("line"))
@@ -101,10 +102,7 @@ def drop_boilerplate(
     gone = materialize(gone.select(F.col("doc").alias(id_), F.col("gone").alias(mark)), "gone")
     joined = docs.join(gone, named(key) == F.col(id_), "left")
     lines = F.split(named(text), "\n")
-    kept = F.filter(
-        lines,
-        lambda x: ~((F.length(stripped(x)) >= MIN_CHARS) & F.array_contains(F.col(mark), line_key(stripped(x)))),
-    )
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(mark), line_key(stripped(x))))
     clean = F.when(F.col(mark).isNull(), named(text)).otherwise(F.array_join(kept, "\n"))
     columns = [clean.alias(c) if c == text else named(c) for c in docs.columns if c not in (counts or ())]
     if counts:

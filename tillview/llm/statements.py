@@ -20,7 +20,8 @@ FROM r
 LINES = """
 WITH l AS (
   SELECT doc_id, source, unnest(list_distinct(list_filter(
-    list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: length(x) >= 20))) AS line
+    list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))),
+    lambda x: regexp_matches(x, '[\\p{L}\\p{N}]')))) AS line
   FROM documents
 ), s AS (
   SELECT line, min(doc_id) AS keeper FROM l GROUP BY line HAVING count(DISTINCT source) >= 3
