@@ -31,10 +31,10 @@ from tillview.llm.common import append_columns, bounded_sample, named
 UNDETERMINED = "und"
 #: Documents per language to learn from, at most; the bound of the sample.
 SAMPLE_DOCUMENTS = 128
-#: Characters that one document may add to the sample.
-SAMPLE_CHARS = 4096
-#: Bytes of a language's dictionary.
-DICTIONARY_BYTES = 131_072
+#: Languages to learn, at most: those of most labelled documents, the first by name of equals.
+SAMPLE_LANGUAGES = 256
+#: Characters of the passage that one document adds, from a place that a hash picks in the whole text.
+SAMPLE_CHARS = 1024
 PIECE_BYTES = 2_000
 PASSAGE_BYTES = 1_500
 LEVEL = 6
@@ -99,13 +99,18 @@ class Packers:
 def learn(docs: DataFrame, learned: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Dictionaries from a bounded sample of the labelled rows where ``learned`` holds.
 
-    At most SAMPLE_DOCUMENTS documents of a language give SAMPLE_CHARS characters each;
-    that bound also holds for what reaches the driver.
+    At most SAMPLE_DOCUMENTS documents of each of at most SAMPLE_LANGUAGES languages give a
+    passage of SAMPLE_CHARS characters each; that bound also holds for what reaches the driver.
     """
     labelled = docs.where(learned & named(text).isNotNull())
-    chosen = bounded_sample(labelled.select(key, lang), key, lang, SAMPLE_DOCUMENTS)
+    found = labelled.where(named(lang).isNotNull()).groupBy(named(lang).alias(lang)).count()
+    most = found.orderBy(F.desc("count"), named(lang)).limit(SAMPLE_LANGUAGES).select(lang)
+    narrow = labelled.select(key, lang).join(F.broadcast(most), lang, "left_semi")
+    chosen = bounded_sample(narrow, key, lang, SAMPLE_DOCUMENTS)
+    places = F.greatest(F.char_length(named(text)) - SAMPLE_CHARS + 1, F.lit(1))
+    start = F.pmod(F.xxhash64(named(key), F.lit("passage")), places.cast("bigint")) + 1
     rows = (
-        labelled.select(key, lang, F.substring(named(text), 1, SAMPLE_CHARS).alias("piece"))
+        labelled.select(key, lang, F.substring(named(text), start.cast("int"), F.lit(SAMPLE_CHARS)).alias("piece"))
         .join(F.broadcast(chosen), [key, lang])
         .groupBy(key, lang)
         .agg(F.min("piece").alias("piece"))
@@ -115,7 +120,7 @@ def learn(docs: DataFrame, learned: Column, key: str = "doc_id", text: str = "te
     for row in rows:
         by_language[row[lang]].append((row[key], letters(row["piece"])))
     joined = {name: b"".join(piece for _, piece in sorted(found)) for name, found in by_language.items()}
-    return {name: content[-DICTIONARY_BYTES:] for name, content in joined.items() if content}
+    return {name: content for name, content in joined.items() if content}
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text") -> DataFrame:
