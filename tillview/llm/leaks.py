@@ -4,8 +4,10 @@ Words are runs of letters, digits and non-ASCII characters, A-Z lowered. A windo
 WINDOW consecutive words of an item, or the whole of a shorter one. The distinct
 windows form a hash table that is broadcast if its measured size is within
 BROADCAST_WINDOWS and BROADCAST_BYTES, and else joined by shuffle. Every position of
-every document looks its window up by hash, and a hit is verified word by word. One
-pass over the texts; only hits, and one row per document, leave it.
+every document looks its window up by hash, and a hit is verified word by word. With a
+broadcast it is one pass over the texts, and only hits, and one row per document, leave it.
+By shuffle a position sends its own words and nothing else of its text, so the rows grow
+in proportion to the text.
 
 Defined cases: a null or empty text has no words and no hits. An item without words has
 no window; one without an id hits but is not listed. Repeated documents each get their
@@ -68,8 +70,7 @@ def find(
         F.collect_set("length").alias("lengths"),
     ).first()
     lengths = sorted(bound["lengths"], reverse=True) or [size]
-    if bound["n"] <= BROADCAST_WINDOWS and bound["b"] <= BROADCAST_BYTES:
-        windows = F.broadcast(windows)
+    small = bound["n"] <= BROADCAST_WINDOWS and bound["b"] <= BROADCAST_BYTES
     read = docs.select(named(key).alias("doc"), F.xxhash64(named(text)).alias("text_hash"), words(named(text)).alias("w"))
     at = read.select("doc", "text_hash", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)))).alias("at"))
     if len(lengths) == 1:
@@ -77,18 +78,8 @@ def find(
     else:
         at = at.withColumn("long", F.explode(F.array(*map(F.lit, lengths))))
     here = F.slice("w", F.col("at") + 1, F.col("long"))
-    probe = F.when(F.col("at") + F.col("long") <= F.size("w"), F.xxhash64(here))
-    joined = at.join(
-        windows, (probe == windows["hash"]) & (F.col("long") == windows["length"]) & (here == windows["window"]), "left"
-    )
-    first = (F.col("at") == 0) & (F.col("long") == lengths[0])
-    kept = joined.where(first | F.col("length").isNotNull()).select(
-        "doc",
-        "text_hash",
-        F.when(first, F.size("w")).alias("n_words"),
-        F.when(F.col("length").isNotNull(), F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("places"),
-        F.col("items").cast("array<string>").alias("items"),
-    )
+    fits = F.col("at") + F.col("long") <= F.size("w")
+    kept = _by_broadcast(at, F.broadcast(windows), here, fits, lengths[0]) if small else _by_shuffle(read, at, windows, here, fits)
     return (
         kept.groupBy("doc", "text_hash")
         .agg(
@@ -100,6 +91,41 @@ def find(
     )
 
 
+def _places() -> Column:
+    return F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)
+
+
+def _by_broadcast(at: DataFrame, windows: DataFrame, here: Column, fits: Column, longest: int) -> DataFrame:
+    """(doc, text_hash, n_words, places, items): hits, and the first position of each document with its n_words."""
+    probe = F.when(fits, F.xxhash64(here))
+    joined = at.join(
+        windows, (probe == windows["hash"]) & (F.col("long") == windows["length"]) & (here == windows["window"]), "left"
+    )
+    first = (F.col("at") == 0) & (F.col("long") == longest)
+    return joined.where(first | F.col("length").isNotNull()).select(
+        "doc",
+        "text_hash",
+        F.when(first, F.size("w")).alias("n_words"),
+        F.when(F.col("length").isNotNull(), _places()).alias("places"),
+        F.col("items").cast("array<string>").alias("items"),
+    )
+
+
+def _by_shuffle(read: DataFrame, at: DataFrame, windows: DataFrame, here: Column, fits: Column) -> DataFrame:
+    """The same rows; a position meets the windows of its hash with no more than its own words."""
+    own = at.where(fits).select("doc", "text_hash", "at", "long", here.alias("here")).withColumn("probe", F.xxhash64("here"))
+    met = own.join(
+        windows,
+        (F.col("probe") == windows["hash"]) & (F.col("long") == windows["length"]) & (F.col("here") == windows["window"]),
+    )
+    none = F.lit(None)
+    hits = met.select("doc", "text_hash", none.cast("int").alias("n_words"), _places().alias("places"), F.col("items").cast("array<string>"))
+    counts = read.select(
+        "doc", "text_hash", F.size("w").alias("n_words"), none.cast("array<int>").alias("places"), none.cast("array<string>").alias("items")
+    )
+    return hits.union(counts)
+
+
 def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per document of the table that ``find`` read."""
     each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_rows"))))
