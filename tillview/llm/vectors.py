@@ -13,10 +13,14 @@ its coding error. What passes is reranked by the exact cosine in double precisio
 the probes are sufficient and no link is lost, whatever the sample was.
 
 Lists are packed into blocks of bounded size; a task compares one pair of blocks, never a
-whole label. Links between entries are counted for both ends and joined to components.
+whole label. Two blocks meet only if some list of one comes within reach of some list of the
+other, by the distance of their centres and the radii. Links are counted for both ends as they are
+found, a chunk at a time, and a spanning forest of them is joined to components.
 
-Defined cases: vectors that are null, zero, of another length than most, or hold nulls
-or non-finite numbers link with nothing, as do those without label or id. Repeated rows
+Each length of vectors has an index of its own, as vectors of different lengths have no cosine.
+
+Defined cases: vectors that are null, zero, or hold nulls or non-finite numbers link
+with nothing, as do those without label or id. Repeated rows
 are rows of their own: each counts as another vector. Rows without id have no component
 and are kept. An empty table gives an empty result.
 """
@@ -25,10 +29,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -206,6 +212,7 @@ def _blocks(index: DataFrame, width: int) -> DataFrame:
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["list", "gid"])
+        radii = frame.groupby("list")["far"].max()
         return pd.DataFrame(
             {
                 "label": [frame["label"].iloc[0]],
@@ -217,11 +224,13 @@ def _blocks(index: DataFrame, width: int) -> DataFrame:
                 "codes": [b"".join(frame["code"])],
                 "errors": [frame["error"].to_numpy("<f8").tobytes()],
                 "fars": [frame["far"].to_numpy("<f8").tobytes()],
+                "cells": [radii.index.to_numpy("<i4").tobytes()],
+                "radii": [radii.to_numpy("<f8").tobytes()],
             }
         )
 
     label_type = index.schema["label"].dataType.simpleString()
-    binary = ", ".join(f"{n} binary" for n in ("gids", "rows", "units", "lists", "codes", "errors", "fars"))
+    binary = ", ".join(f"{n} binary" for n in ("gids", "rows", "units", "lists", "codes", "errors", "fars", "cells", "radii"))
     return rows.groupBy("label", "block").applyInPandas(pack, f"label {label_type}, block bigint, {binary}")
 
 
@@ -238,11 +247,15 @@ class Block:
         self.fars = np.frombuffer(packed["fars"], "<f8")
 
 
-def search(model: Quantiser, left: Block, right: Block, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i in left, j in right) of all pairs with cosine >= similarity, each pair of entries once."""
-    reach = math.sqrt(max(0.0, 2 - 2 * similarity))
+def reach_of(similarity: float) -> float:
+    """The largest distance of two unit vectors with that cosine."""
+    return math.sqrt(max(0.0, 2 - 2 * similarity))
+
+
+def search(model: Quantiser, left: Block, right: Block, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i in left, j in right) of all pairs with cosine >= similarity, each pair of entries once, in runs."""
+    reach = reach_of(similarity)
     same = left is right
-    found_i, found_j = [], []
     borders = np.flatnonzero(np.r_[True, right.lists[1:] != right.lists[:-1]])
     ends = np.r_[borders[1:], len(right.lists)]
     for start in range(0, len(left.gids), 256):
@@ -272,31 +285,62 @@ def search(model: Quantiser, left: Block, right: Block, similarity: float) -> tu
             for k in range(0, len(i), 65_536):
                 a, b = i[k : k + 65_536], j[k : k + 65_536]
                 close = np.einsum("ij,ij->i", left.units[a], right.units[b]) >= similarity
-                found_i.append(a[close])
-                found_j.append(b[close])
-    if not found_i:
-        return np.empty(0, int), np.empty(0, int)
-    return np.concatenate(found_i), np.concatenate(found_j)
-
-
-def _forest(i: np.ndarray, j: np.ndarray) -> tuple[list, list]:
-    """A spanning forest of the pairs: enough links for the components."""
-    parent: dict[int, int] = {}
+                yield a[close], b[close]
+
+
+class Forest:
+    """A spanning forest of links that arrive in runs: enough of them for the components."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+        self.links: list[tuple[int, int]] = []
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        apart = self.root[i] != self.root[j]
+        i, j = i[apart], j[apart]
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        edges = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else []
+        for begin, end in zip(edges, [*edges[1:], len(i)]):
+            x, others = i[begin], j[begin:end]
+            roots, first = np.unique(self.root[others], return_index=True)
+            new = roots != self.root[x]
+            if new.any():
+                self.links += [(int(x), int(y)) for y in others[first[new]]]
+                joined = np.zeros(len(self.root), bool)
+                joined[roots[new]] = True
+                self.root[joined[self.root]] = self.root[x]
+
+
+def block_pairs(blocks: DataFrame, shared: Broadcast, similarity: float) -> DataFrame:
+    """(label, block, other): the pairs of a label's blocks with lists within reach of each other; no contents are moved."""
+    reach = reach_of(similarity)
+    names = blocks.select("label", "block", "cells", "radii")
+    others = names.select("label", *(F.col(c).alias(f"other_{c}") for c in ("block", "cells", "radii")))
+    pairs = names.join(others, "label").where(F.col("block") <= F.col("other_block"))
 
-    def top(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = _model(shared.value).centres
+        apart = np.sqrt(np.maximum(_squares(centres, centres), 0))
+        for batch in batches:
+            cells, others = batch.column("cells").to_pylist(), batch.column("other_cells").to_pylist()
+            radii, other_radii = batch.column("radii").to_pylist(), batch.column("other_radii").to_pylist()
+            near = [
+                bool(
+                    (
+                        apart[np.ix_(np.frombuffer(c, "<i4"), np.frombuffer(o, "<i4"))]
+                        <= np.frombuffer(r, "<f8")[:, None] + np.frombuffer(s, "<f8")[None] + reach + SLACK
+                    ).any()
+                )
+                for c, o, r, s in zip(cells, others, radii, other_radii)
+            ]
+            kept = batch.filter(pa.array(near, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(
+                [kept.column("label"), kept.column("block"), kept.column("other_block")], names=["label", "block", "other"]
+            )
 
-    a, b = [], []
-    for x, y in zip(i.tolist(), j.tolist()):
-        p, q = top(x), top(y)
-        if p != q:
-            parent[p] = q
-            a.append(x)
-            b.append(y)
-    return a, b
+    label_type = blocks.schema["label"].dataType.simpleString()
+    return pairs.mapInArrow(run, f"label {label_type}, block bigint, other bigint")
 
 
 def link(entries: DataFrame, model: Quantiser, similarity: float) -> DataFrame:
@@ -305,8 +349,7 @@ def link(entries: DataFrame, model: Quantiser, similarity: float) -> DataFrame:
     width = model.width
     index = materialize(build_index(entries, model), "index")
     blocks = materialize(_blocks(index, width), "blocks")
-    names = blocks.select("label", "block")
-    pairs = names.join(names.withColumnRenamed("block", "other"), "label").where(F.col("block") <= F.col("other"))
+    pairs = block_pairs(blocks, shared, similarity)
     columns = ["gids", "rows", "units", "lists", "codes", "errors", "fars"]
     left = blocks.select("label", "block", F.struct(*columns).alias("left"))
     right = blocks.select("label", F.col("block").alias("other"), F.struct(*columns).alias("right"))
@@ -318,17 +361,22 @@ def link(entries: DataFrame, model: Quantiser, similarity: float) -> DataFrame:
                 row = batch.slice(k, 1).to_pylist()[0]
                 a = Block(row["left"], width)
                 b = a if row["block"] == row["other"] else Block(row["right"], width)
-                i, j = search(_model(shared.value), a, b, similarity)
-                ends = np.r_[a.gids[i], b.gids[j]]
-                gids, at = np.unique(ends, return_inverse=True)
-                # every row of one entry is linked with every row of the other
-                counts = np.bincount(at, np.r_[b.rows[j], a.rows[i]], len(gids)).astype(np.int64)
-                tree_a, tree_b = _forest(a.gids[i], b.gids[j])
+                # places of both blocks in a row; a block that meets itself has its places once
+                gids = a.gids if a is b else np.r_[a.gids, b.gids]
+                shift = 0 if a is b else len(a.gids)
+                counts, forest = np.zeros(len(gids), np.int64), Forest(len(gids))
+                for i, j in search(_model(shared.value), a, b, similarity):
+                    # every row of one entry is linked with every row of the other
+                    np.add.at(counts, i, b.rows[j])
+                    np.add.at(counts, j + shift, a.rows[i])
+                    forest.add(i, j + shift)
+                linked = np.flatnonzero(counts)
+                tree = np.array(forest.links, np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([*gids.tolist(), *tree_a], pa.int64()),
-                        pa.array([None] * len(gids) + tree_b, pa.int64()),
-                        pa.array([*counts.tolist(), *[0] * len(tree_a)], pa.int64()),
+                        pa.array(np.r_[gids[linked], gids[tree[:, 0]]], pa.int64()),
+                        pa.array([None] * len(linked) + gids[tree[:, 1]].tolist(), pa.int64()),
+                        pa.array(np.r_[counts[linked], np.zeros(len(tree), np.int64)], pa.int64()),
                     ],
                     names=["gid", "other", "links"],
                 )
@@ -341,18 +389,19 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per vector: key, ``n_links``, ``component_id``, ``kept``."""
     entries = materialize(_unit_entries(vectors, key, vector, label), "entries")
-    widths = entries.groupBy("width").count().orderBy(F.desc("count"), "width").limit(1).collect()
+    widths = [r["width"] for r in entries.select("width").distinct().orderBy("width").collect()]
     own = named(key).cast("bigint")
     if not widths:
         return vectors.select(
             named(key), F.lit(0).cast("bigint").alias("n_links"), own.alias("component_id"), F.lit(True).alias("kept")
         )
-    model = fit(entries, widths[0]["width"])
-    links = materialize(link(entries, model, similarity), "links")
+    # one index per width: vectors of different widths have no cosine
+    each = [link(entries, fit(entries, width), similarity) for width in widths]
+    links = materialize(reduce(DataFrame.union, each), "links")
     counted = links.where(F.col("other").isNull()).groupBy("gid").agg(F.sum("links").alias("links"))
     roots = connected(links.where(F.col("other").isNotNull()), "gid", "other")
-    usual = entries.where(F.col("width") == widths[0]["width"]).drop("unit", "width")
-    placed = usual.join(roots.withColumnRenamed("node", "gid"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
+    placed = entries.drop("unit", "width").join(roots.withColumnRenamed("node", "gid"), "gid", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "gid"))
     lowest = placed.groupBy("root").agg(F.min("low").alias("component"))
     found = (
         placed.join(lowest, "root")
