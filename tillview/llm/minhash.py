@@ -32,7 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -235,10 +235,10 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> Da
     return own
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: key, ``class_id``, ``kept`` (the document that stands for its class)."""
+def _classified(docs: DataFrame, key: str, text: str, similarity: float, *more: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signed rows, entries (word sequences) with their root, and the ``class_id`` of each root."""
     own = named(key).cast("bigint")
-    signed = materialize(sign(docs.select(own.alias("doc"), named(text).alias("body")), "body"), "signatures")
+    signed = materialize(sign(docs.select(own.alias("doc"), named(text).alias("body"), *more), "body"), "signatures")
     usable = signed.where(F.col("doc").isNotNull() & F.col("sequence").isNotNull())
     lowest = usable.groupBy("sequence").agg(F.min("doc").alias("low"))
     first = usable.join(lowest.select(F.col("sequence").alias("s"), "low"), (F.col("sequence") == F.col("s")) & (F.col("doc") == F.col("low")))
@@ -267,7 +267,34 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
 
     placed = entries.select("gid", "sequence", "low").join(roots.withColumnRenamed("node", "gid"), "gid", "left")
     placed = placed.withColumn("root", F.coalesce("root", "gid"))
-    smallest = placed.groupBy("root").agg(F.min("low").alias("class_id"))
+    return signed, placed, placed.groupBy("root").agg(F.min("low").alias("class_id"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc, text_hash), distinct: one document of each class, told by id and text.
+
+    It is the one with the smallest id; of several texts under that id, the one with the smallest
+    key of its words, then of its text. Texts without words stand for themselves, rows without
+    id are left out.
+    """
+    hashed = F.xxhash64(named(text)).alias("text_hash")
+    signed, placed, smallest = _classified(docs, key, text, similarity, hashed)
+    first = (
+        placed.join(smallest, "root")
+        .where(F.col("low") == F.col("class_id"))
+        .groupBy("root", "low")
+        .agg(F.min("sequence").alias("chosen"))
+        .select(F.col("low").alias("chosen_doc"), "chosen")
+    )
+    rows = signed.where(F.col("doc").isNotNull()).select("doc", "text_hash", "sequence")
+    stands = rows.join(first, (F.col("doc") == F.col("chosen_doc")) & (F.col("sequence") == F.col("chosen")), "left_semi")
+    wordless = rows.where(F.col("sequence").isNull()).select("doc", "text_hash").distinct()
+    return stands.groupBy("doc", "sequence").agg(F.min("text_hash").alias("text_hash")).drop("sequence").union(wordless)
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document: key, ``class_id``, ``kept`` (the document that stands for its class)."""
+    signed, placed, smallest = _classified(docs, key, text, similarity)
     named_classes = placed.join(smallest, "root").select(F.col("sequence").alias("entry"), "class_id")
     # a text with very many copies meets its one entry: the skew join splits it
     every = signed.select("doc", F.when(F.col("doc").isNotNull(), F.col("sequence")).alias("sequence"))
