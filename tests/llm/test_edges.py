@@ -184,6 +184,62 @@ def test_index_recall_with_split_lists(spark, monkeypatch):
     assert {r.vec_id: r.n_links for r in got} == dict(enumerate(links.tolist()))
 
 
+def test_vectors_of_several_widths_and_a_dense_cluster(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 1)  # blocks of 64 entries
+    rng = np.random.default_rng(9)
+    rows, base = [], {w: rng.normal(size=w) for w in (5, 8, 11)}
+    for i in range(600):
+        w = (5, 8, 8, 11)[i % 4]
+        # a cluster in which all are linked, and loose vectors
+        v = base[w] + rng.normal(size=w) * 0.01 if i % 3 else rng.normal(size=w)
+        rows.append((i, v.tolist(), "x"))
+    rows += [(700, [2.0, 1.0], "x"), (701, [2.0, 1.0], "x")]
+    got = vectors.near_duplicates(frame(spark, rows, "vec_id bigint, embedding array<double>, label string")).collect()
+    wanted = {}
+    for w in (2, 5, 8, 11):
+        ids = [r[0] for r in rows if len(r[1]) == w]
+        x = np.array([r[1] for r in rows if len(r[1]) == w])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near = x @ x.T >= 0.93
+        low = np.array(ids)
+        for _ in range(len(ids)):
+            low = np.where(near, low[None], 10**9).min(1)
+        wanted |= {i: (int(n) - 1, int(c)) for i, n, c in zip(ids, near.sum(1), low)}
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == wanted
+
+
+def test_blocks_out_of_reach_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 1)
+    rng = np.random.default_rng(4)
+    centres = np.eye(16)
+    rows = [(i, (centres[i % 16] + rng.normal(size=16) * 0.01).tolist(), "x") for i in range(3200)]
+    entries = vectors._unit_entries(
+        frame(spark, rows, "vec_id bigint, embedding array<double>, label string"), "vec_id", "embedding", "label"
+    ).cache()
+    model = vectors.fit(entries, 16)
+    blocks = vectors._blocks(vectors.build_index(entries, model), 16).cache()
+    shared = spark.sparkContext.broadcast({"model": vars(model)})
+    n = blocks.count()
+    assert n >= 40 and vectors.block_pairs(blocks, shared, 0.93).count() < n * (n + 1) // 2 / 4
+
+
+def test_forest_spans_what_is_linked():
+    rng = np.random.default_rng(2)
+    forest, i, j = vectors.Forest(300), rng.integers(0, 300, 400), rng.integers(0, 300, 400)
+    for k in range(0, 400, 90):
+        forest.add(i[k : k + 90], j[k : k + 90])
+
+    def parts(pairs):
+        low = np.arange(300)
+        for _ in range(300):
+            for a, b in pairs:
+                low[a] = low[b] = min(low[a], low[b])
+        return low.tolist()
+
+    assert parts(forest.links) == parts(list(zip(i, j)))
+    assert len(forest.links) == 300 - len(set(parts(forest.links)))
+
+
 # 3 language -------------------------------------------------------------------------------
 
 
@@ -205,6 +261,26 @@ def test_language_tie_is_rejected():
     assert twins.judge("same text") == ("a", 0.0)
 
 
+def test_language_is_learned_from_whole_texts(spark, monkeypatch):
+    """What tells the languages apart stands behind a long common beginning; only some languages are learned."""
+    monkeypatch.setattr(language, "SAMPLE_LANGUAGES", 2)
+    common_start = "same words at the start of all " * 200
+    rows = []
+    for i in range(60):
+        draw = random.Random(i)
+        lang, letters = ("one", "abcde"), ("two", "vwxyz")
+        name, alphabet = (lang, letters)[i % 2]
+        own = " ".join("".join(draw.choice(alphabet) for _ in range(6)) for _ in range(4000))
+        rows.append((i, common_start + own, name, "s", 0))
+    rows += [(100, "rare words here", "aaa", "s", 0)]
+    learned = language.learn(frame(spark, rows, DOCS), F.lit(True))
+    assert set(learned) == {"one", "two"}
+    assert all(len(c) <= 2 + language.SAMPLE_DOCUMENTS * (language.SAMPLE_CHARS + 2) for c in learned.values())
+    packers = language.Packers(learned)
+    assert packers.judge("abcde edcba cabde dbeca acbed bdace")[0] == "one"
+    assert packers.judge("vwxyz zyxwv xvwyz ywzxv vxwzy wyvxz")[0] == "two"
+
+
 # 4 secrets --------------------------------------------------------------------------------
 
 
@@ -355,7 +431,7 @@ def test_line_edges(spark, odd):
     by_id = {r.doc_id: r for r in got.collect()}
     assert got.count() == docs.count()
     assert by_id[10].text == rows[0][1] and by_id[10].removed == 0  # the first document keeps it
-    assert by_id[11].text == "own line number 011 of the text\nshort" and (by_id[11].met, by_id[11].removed) == (4, 2)
+    assert by_id[11].text == "own line number 011 of the text" and (by_id[11].met, by_id[11].removed) == (4, 3)
     assert by_id[40].text == "" and by_id[41].removed == by_id[42].removed == 0
     assert by_id[None].removed == 0 and by_id[2].text is None and (by_id[2].met, by_id[3].met) == (0, 1)
     assert lines.drop_boilerplate(docs.limit(0)).count() == 0
@@ -372,6 +448,12 @@ def test_line_spread_near_and_far(spark, threshold):
     assert lost == {i for i, *_ in rows if i >= 2000 and i % 1000 > 0}
 
 
+def test_short_lines_count_and_lines_of_marks_stay(spark):
+    rows = [(i, f"own words {i}\nOK.\n}}\n---\n \n全部接受", "", f"s{i}", 1) for i in range(5)]
+    got = {r.doc_id: r.text for r in lines.drop_boilerplate(frame(spark, rows, DOCS)).collect()}
+    assert got[0] == rows[0][1] and {got[i] for i in range(1, 5)} == {f"own words {i}\n}}\n---\n " for i in range(1, 5)}
+
+
 # 8 leaks ----------------------------------------------------------------------------------
 
 
@@ -410,6 +492,22 @@ def test_leaks_without_items_and_by_shuffle(spark, odd, monkeypatch):
     assert sorted(map(str, leaks.report(leaks.find(odd, items)).collect())) == wanted
 
 
+def test_leaks_of_long_texts_by_shuffle_send_windows_only(spark, odd, monkeypatch):
+    words = LONG.split()
+    items = [(i, " ".join(words[i * 900 : i * 900 + 12])) for i in range(30)] + [(99, "two words")]
+    items = frame(spark, items, "item_id bigint, text string")
+    docs = odd.union(frame(spark, [(9, "here are two words, two words", "", "", 0)], DOCS))
+    wanted = sorted(map(str, leaks.report(leaks.find(docs, items)).collect()))
+    monkeypatch.setattr(leaks, "BROADCAST_WINDOWS", 0)
+    found = leaks.find(docs, items)
+    assert sorted(map(str, leaks.report(found).collect())) == wanted
+    assert {r.doc: len(r.hits) for r in found.collect()}[4] == 30 * 12
+    # below the join's exchange stands a window of a text, never its whole array of words
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    before_join = plan[plan.index("Join Inner") :].split("+-")[1]
+    assert "here" in before_join and " w#" not in before_join.split("Project [")[1].split("]")[0]
+
+
 # 9 urls -----------------------------------------------------------------------------------
 
 
@@ -538,6 +636,17 @@ def test_pipeline_by_brute_force(spark):
             assert all(after[i].n_tokens * 4 == len(after[i].ids) for i in before)
 
 
+def test_repeated_ids_with_different_texts_lose_no_text(spark, folder):
+    a = " ".join(f"alpha{i}" for i in range(40))
+    b = " ".join(f"beta{i}" for i in range(40))
+    c = " ".join(f"gamma{i}" for i in range(40))
+    rows = [(1, a), (2, a), (2, b), (3, b + " more"), (3, c), (3, c), (4, c.replace(" ", ", ")), (5, a.upper()), (5, None), (5, "?!")]
+    docs = frame(spark, [(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    got = [(r.doc_id, r.text) for r in stage(spark, docs, folder).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (3, c), (5, None), (5, "?!")], key=str)
+
+
 APACHE = """Copyright 2020 Foo
 Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
