@@ -22,6 +22,11 @@ VOCABULARY = "word_bpe_49k.json"
 ORACLE_SQL = None
 
 
+def _free(docs: DataFrame, stem: str) -> str:
+    """A name that no column has."""
+    return next(n for n in (f"{stem}_{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+
+
 def _as_before(after: DataFrame, docs: DataFrame) -> DataFrame:
     return after.select(*map(named, docs.columns))
 
@@ -47,11 +52,12 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near duplicates, once."""
-    classes = minhash.classes(docs)
-    gone = materialize(classes.where(~F.col("kept")).select(F.col("doc_id").alias("gone_")).distinct(), "gone")
-    left = docs.join(gone, named("doc_id") == F.col("gone_"), "left_anti")
-    return left.where(named("doc_id").isNotNull()).dropDuplicates(["doc_id"]).union(left.where(named("doc_id").isNull()))
+    """The document with the smallest id of each class of near duplicates, once; other texts under its id stay."""
+    mark, id_, hash_ = _free(docs, "mark"), _free(docs, "id"), _free(docs, "hash")
+    stay = materialize(minhash.representatives(docs).toDF(id_, hash_), "stay")
+    known = docs.where(named("doc_id").isNotNull()).withColumn(mark, F.xxhash64(named("text")))
+    one = known.join(stay, (named("doc_id") == F.col(id_)) & (F.col(mark) == F.col(hash_)), "left_semi")
+    return _as_before(one.dropDuplicates(["doc_id", mark]), docs).union(docs.where(named("doc_id").isNull()))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
