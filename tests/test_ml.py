@@ -6,6 +6,7 @@ import random
 
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tillview.operators import churn, ml, shapley
@@ -174,3 +175,12 @@ def test_registry_keeps_one_row_per_version(spark):
     registry = ml.model_registry_promote(registry, "churn_model", "2024-01-02", "2024-01-02 02:00:00", {"auc": 0.7})
     rows = {r.version: (r.metrics, r.is_active) for r in registry.collect()}
     assert rows == {"2024-01-01": ('{"auc": 0.9}', True), "2024-01-02": ('{"auc": 0.7}', True)}
+
+
+def test_candidates_are_judged_after_an_observation(spark, training):
+    seen = Observation("seen")
+    training.observe(seen, F.count(F.lit(1)).alias("rows")).collect()
+    assert seen.get == {"rows": 600}
+    models = ml.candidates(rounds=1)
+    report = ml.evaluate_candidates(ml.prepare_training(training), {n: models[n] for n in ("random_forest", "logistic_regression")})
+    assert min(report.values()) > 0.9

@@ -24,7 +24,7 @@ from tillview.functions.ranks import exact_percentiles
 from tillview.operators import shapley
 from tillview.operators.churn import FEATURES, heuristic_probability, risk_label, rule_factors
 from tillview.operators.tables import upsert_by_key
-from tillview.sources.scratch import materialize
+from tillview.sources.scratch import materialize, scratch_path
 
 MIN_AUC = 0.75
 MIN_ROWS = 200
@@ -137,13 +137,24 @@ def prepare_training(training: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame
     return stored.withColumn(FOLD, fold).drop("draw")
 
 
+def _fit(pipeline: Pipeline, rows: DataFrame) -> PipelineModel:
+    """A fitted pipeline as it is read back from the shared folder.
+
+    Straight from ``fit`` a forest or linear model carries its training summary and with it the
+    session, which cannot be sent to tasks any more once an Observation has been used.
+    """
+    path = scratch_path(rows.sparkSession, "model")
+    pipeline.fit(rows).write().save(path)
+    return PipelineModel.load(path)
+
+
 def evaluate_candidates(prepared: DataFrame, models: dict[str, Pipeline]) -> dict[str, float]:
     """Mean AUC over the folds per candidate. The fits are independent jobs and
     run side by side, so that one fit's short stages do not leave executors idle."""
     evaluator = BinaryClassificationEvaluator(labelCol=LABEL)
 
     def auc(name: str, fold: int) -> float:
-        fitted = models[name].fit(prepared.filter(F.col(FOLD) != fold))
+        fitted = _fit(models[name], prepared.filter(F.col(FOLD) != fold))
         return evaluator.evaluate(fitted.transform(prepared.filter(F.col(FOLD) == fold)))
 
     runs = [(name, fold) for name in models for fold in range(FOLDS)]
@@ -171,7 +182,7 @@ def churn_candidates(
 
 def churn_fit(training: DataFrame, rounds: int = 100, min_rows: int = 1) -> ChurnModel:
     """The preferred candidate on all rows, without a selection."""
-    fitted = candidates(rounds)[PREFERRED].fit(prepare_training(training, min_rows))
+    fitted = _fit(candidates(rounds)[PREFERRED], prepare_training(training, min_rows))
     return ChurnModel(fitted, PREFERRED, float("nan"), {})
 
 
@@ -185,7 +196,7 @@ def churn_train(
     name = choose(report)
     if report[name] < min_auc:
         raise GateError(f"best AUC {report[name]:.4f} is below {min_auc}")
-    return ChurnModel(models[name].fit(prepared), name, report[name], report)
+    return ChurnModel(_fit(models[name], prepared), name, report[name], report)
 
 
 def churn_score_batch(prepared_features: DataFrame, model: ChurnModel | None) -> DataFrame:
@@ -308,7 +319,7 @@ def churn_holdout_eval(
 ) -> DataFrame:
     """AUC of the boosted trees on a fifth of the users that training never saw."""
     prepared = prepare_training(training, min_rows)
-    fitted = candidates(rounds)[PREFERRED].fit(prepared.filter(F.col(FOLD) != 0))
+    fitted = _fit(candidates(rounds)[PREFERRED], prepared.filter(F.col(FOLD) != 0))
     auc = score_report(_stored_scores(prepared.filter(F.col(FOLD) == 0), fitted)).first()["train_auc"]
     decision = "promote" if auc is not None and auc >= min_auc else "blocked"
     return training.sparkSession.createDataFrame([(auc, decision)], "churn_auc double, decision string")
