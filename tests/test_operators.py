@@ -1,6 +1,7 @@
 """Boundary rows of the batch operators."""
 
 import datetime as dt
+import re
 from decimal import Decimal
 
 import pytest
@@ -10,6 +11,7 @@ from tillview.functions.dates import elapsed_months
 from tillview.functions.hashing import fnv1a32
 from tillview.functions.numeric import ratio
 from tillview.operators import churn, cohorts, customers, experiments, kpi, products, quality, tables, trends
+from tillview.sources.shop import Shop
 
 
 def one(df):
@@ -318,3 +320,20 @@ def test_stale_tables(spark):
     log = log.select("table_name", F.col("t").cast("timestamp").alias("computed_at"))
     rows = {r.check_name: r.status for r in quality.dq_stale_tables(log, "2024-01-01 12:00:00").collect()}
     assert rows == {"stale_a": "pass", "stale_b": "fail"}
+
+
+def test_shuffles_grow_with_the_tables(spark, monkeypatch):
+    from tillview import session
+
+    settings = ["spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    folder = "/root/testdata/sf0.01"
+    planned = lambda: Shop(spark, folder).orders().groupBy("user_id").count()._jdf.queryExecution().executedPlan().toString()
+    for name in settings:
+        spark.conf.unset(name)
+    try:
+        assert re.search(r"hashpartitioning\(user_id#\d+L, 8\b", planned())  # the session's own number is enough
+        monkeypatch.setattr(session, "TABLE_BYTES_PER_PARTITION", 5_000, raising=False)
+        assert int(re.search(r"hashpartitioning\(user_id#\d+L, (\d+)", planned())[1]) > 50
+    finally:
+        for name in settings:
+            spark.conf.unset(name)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillview.functions.numeric import MONEY, money
+from tillview.session import shuffles_by_size
 from tillview.sources.readers import read_table
 
 # Fixed values of the stand-in columns.
@@ -38,6 +39,7 @@ class Shop:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        shuffles_by_size(spark, [f"{folder}/{name}.parquet" for name in ("orders", "lineitem", "events")])
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, f"{self.folder}/{name}.parquet")
