@@ -268,3 +268,14 @@ def test_distinct_users_of_a_busy_window_are_exact(spark, tmp_path):
     row = sinks.read_keyed(spark, path, ["window_start", "event_type"]).first()
     # the second batch repeats 100 users of the first
     assert (row.event_count, row.unique_users, row.unique_sessions) == (800, 700, 350)
+
+
+def test_a_delivery_has_a_file_for_each_core(spark, tmp_path):
+    shop, inbox = Shop(spark, "/root/testdata/sf0.001"), tmp_path / "in"
+    seen = set()
+    for _ in catalog._deliver(shop, str(inbox)):
+        files = {f.name for f in inbox.glob("*.parquet")}
+        assert len(files - seen) == spark.sparkContext.defaultParallelism
+        seen = files
+    assert spark.read.parquet(str(inbox)).exceptAll(shop.table("events")).count() == 0
+    assert spark.read.parquet(str(inbox)).count() == shop.table("events").count()

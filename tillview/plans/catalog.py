@@ -532,12 +532,15 @@ def _cuts(shop: Shop) -> list[int]:
 def _deliver(shop: Shop, inbox: str) -> Iterator[None]:
     """The event table split by time into a few deliveries; the next is written when the last was taken.
 
-    Rows without a time come with the last delivery.
+    Rows without a time come with the last delivery. A delivery has a file for each core: a stream
+    reads a small file in one task, and a few large ones would keep all messages in a few tasks.
     """
     fact, cuts, at = shop.table("events"), _cuts(shop), _micros("ts")
+    files = shop.spark.sparkContext.defaultParallelism
     for i, (begin, end) in enumerate(zip(cuts, cuts[1:])):
         inside = (at >= begin) & (at < end)
-        fact.filter(inside | at.isNull() if i == DELIVERIES - 1 else inside).write.mode("append").parquet(inbox)
+        due = fact.filter(inside | at.isNull() if i == DELIVERIES - 1 else inside)
+        due.repartition(files).write.mode("append").parquet(inbox)
         yield
 
 
