@@ -2,10 +2,16 @@
 
 import itertools
 import random
+import subprocess
+import sys
 from collections import defaultdict
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
+from tillview.functions.sums import sums_of_arrays
 from tillview.operators import recs
 
 
@@ -127,3 +133,33 @@ def test_hot_products_form_few_pairs(spark, monkeypatch, targets):
     for _, product in rows:
         groups[product] += 1
     assert formed < sum(n * n for n in groups.values()) * len(targets) / 60 / 4
+
+
+@pytest.mark.parametrize("per_task", [5, 100_000])
+def test_sums_of_arrays_return_only_what_counts(spark, monkeypatch, per_task):
+    """Also for keys that are taken apart, and for ids beyond INT."""
+    monkeypatch.setattr(recs, "PAIRS_PER_TASK", per_task)
+    rows = random_rows(7, 2) + [(2**40 + i, group) for i in range(3) for group in (1, 2, 1000)]
+    members = spark.createDataFrame(rows, "item bigint, grp bigint")
+    ranked = recs._with_degree(members)
+    got = recs._shared_with(ranked, least=3).collect()
+    every = brute_force(rows, 3)
+    assert {(min(r.item_a, r.item_b), max(r.item_a, r.item_b)): r.common for r in got} == every
+    assert len(got) == len(every) < len(brute_force(rows, 1))
+
+
+def test_similarity_in_whole_numbers_equals_the_decimals(spark):
+    rows = [(c, a, a + c % 7) for a in range(1, 60) for c in range(1, a + 1)] + [(5000, 7001, 9001), (3999, 4001, 10_000_019)]
+    frame = spark.createDataFrame(rows, "common bigint, a bigint, b bigint")
+    got = frame.select("*", recs._jaccard(*map(F.col, frame.columns)).alias("units")).collect()
+    places = Decimal(1).scaleb(-15), Decimal(1).scaleb(-12)
+    for r in got:
+        exact = Decimal(r.common) / Decimal(r.a + r.b - r.common)
+        for place in places:
+            exact = exact.quantize(place, ROUND_HALF_UP)
+        assert r.units == exact.scaleb(12)
+
+
+def test_the_kernel_needs_no_package_on_the_executors():
+    code = "import sys, pickle; f = pickle.load(sys.stdin.buffer); assert list(f([], 0)) == []"
+    subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(sums_of_arrays), check=True, cwd="/")

@@ -8,6 +8,10 @@ share ``k`` groups, two items must share one that is not among the ``k - 1`` bus
 either. So those of an item's busiest groups that are large form no pairs; they are only
 looked up for the pairs that the other groups have formed, and the counts stay exact. The
 members of a group that still meets in slices do so two slices a task, never a whole group.
+
+What meets travels as arrays: an item with its partners in a group, a target with a neighbour's
+basket. They are shuffled by the item or target and added up where they arrive, by a sort in
+numpy, so that a pair costs the bytes of one id. Sums too small to matter are never stored.
 """
 
 from __future__ import annotations
@@ -16,13 +20,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillview.functions.numeric import money_ratio, ratio
+from tillview.functions.sums import sums_of_arrays
 from tillview.sources.scratch import materialize
 
 # members of a slice; two slices of a group meet in a task
 GROUP_SLICE = 2_000
-PAIRS_PER_TASK = 20_000_000
-# waves of tasks on the cluster, at most, for the pairing stage
-WAVES = 64
+# what a task aggregates, also what a single item may bring to one task
+PAIRS_PER_TASK = 3_000_000
+# similarities are whole multiples of this, so that sums do not depend on their order
+SIMILARITY_UNIT = 10**12
+INT = 2**31
 
 
 def _bought(transactions: DataFrame) -> DataFrame:
@@ -34,22 +41,31 @@ def purchase_counts(transactions: DataFrame) -> DataFrame:
     return _bought(transactions).groupBy("user_id", "product_id").agg(F.count("*").alias("purchases"))
 
 
-def overlapping_pairs(members: DataFrame, item: str, group: str, min_common: int) -> DataFrame:
+def overlapping_pairs(
+    members: DataFrame, item: str, group: str, min_common: int, wanted: DataFrame | None = None
+) -> DataFrame:
     """Pairs ``item_a < item_b`` that share at least ``min_common`` groups.
 
-    ``members`` has distinct (item, group) rows. Returns item_a, item_b, common. Pairs that
-    cannot get that far with what was left out are dropped before they are stored.
+    ``members`` has distinct (item, group) rows; with ``wanted`` (a column ``item``) one of a
+    pair is in it. Returns item_a, item_b, common. Pairs that cannot get that far with what was
+    left out are dropped before they are stored.
     """
-    rows = materialize(members.select(F.col(item).alias("item"), F.col(group).alias("grp")), "members")
+    kind = dict(members.dtypes)[item]
+    rows = _narrow(materialize(members.select(F.col(item).alias("item"), F.col(group).alias("grp")), "members"), "item")
+    if wanted is not None:
+        wanted = rows.select("item").distinct().join(wanted, "item", "left_semi")
     ranked = _with_degree(rows)
     left_out = _busiest_groups(ranked, min_common - 1)
+    as_before = [F.least("item_a", "item_b").cast(kind).alias("item_a"), F.greatest("item_a", "item_b").cast(kind).alias("item_b")]
+    if left_out.isEmpty():
+        return _shared_with(ranked, wanted, min_common).select(*as_before, "common")
     kept = ranked.join(left_out, ["item", "grp"], "left_anti")
     missing = left_out.groupBy("item").agg(F.count("*").alias("missing"))
     missing_of = lambda side: missing.select(F.col("item").alias(f"item_{side}"), F.col("missing").alias(f"missing_{side}"))
     zero = F.lit(0)
     # counted once and read three times below
     candidates = materialize(
-        _shared_groups(kept)
+        _shared_with(kept, wanted)
         .join(missing_of("a"), "item_a", "left")
         .join(missing_of("b"), "item_b", "left")
         .withColumn("more", F.coalesce("missing_a", zero) + F.coalesce("missing_b", zero))
@@ -64,9 +80,19 @@ def overlapping_pairs(members: DataFrame, item: str, group: str, min_common: int
         .groupBy("item_a", "item_b")
         .agg(F.sum("common").alias("common"))
         .filter(F.col("common") >= min_common)
+        .select(*as_before, "common")
     )
 
 
+def _narrow(rows: DataFrame, column: str) -> DataFrame:
+    """The rows with ids as INT if all of them are: half the bytes of a pair."""
+    if dict(rows.dtypes)[column] != "bigint":
+        return rows
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    fits = low is not None and -INT <= low and high < INT
+    return rows.withColumn(column, F.col(column).cast("int")) if fits else rows
+
+
 def _with_degree(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("grp").agg(F.count("*").alias("degree")), "grp")
 
@@ -97,72 +123,149 @@ def _busiest_groups(ranked: DataFrame, most: int) -> DataFrame:
     return materialize(top.select("item", "grp"), "busiest")
 
 
-def _tasks(ranked: DataFrame) -> int:
-    """AQE sizes the pairing stage by the bytes that go in; what matters is the pairs that come out."""
-    parallel = ranked.sparkSession.sparkContext.defaultParallelism
-    # each row of a group of d members takes part in d pairs
-    pairs = ranked.agg(F.coalesce(F.sum("degree"), F.lit(0))).first()[0]
-    return min(max(parallel, pairs // PAIRS_PER_TASK + 1), parallel * WAVES)
-
+def _tasks(frame: DataFrame, size: Column) -> int:
+    """AQE sizes a stage by the bytes that go in; what matters is the pairs that come out."""
+    pairs = frame.agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()[0]
+    return max(frame.sparkSession.sparkContext.defaultParallelism, pairs // PAIRS_PER_TASK + 1)
 
-def _slices() -> Column:
-    return F.ceil(F.col("degree") / GROUP_SLICE).cast("int")
 
+def _summed(frame: DataFrame, load: DataFrame, tasks: int, least: int) -> DataFrame:
+    """(key, member, units, n): per key and member of its arrays the sum of units x times and the rows.
 
-def _shared_groups(ranked: DataFrame) -> DataFrame:
-    """Number of groups per pair of items; a cell is one pair of slices of one group."""
-    tasks, own = _tasks(ranked), F.pmod(F.hash("item"), _slices())
-    left = ranked.select("grp", F.col("item").alias("left"), own.alias("p"), F.explode(F.sequence(own, _slices() - 1)).alias("q"))
-    right = ranked.select("grp", F.col("item").alias("right"), own.alias("q"), F.explode(F.sequence(F.lit(0), own)).alias("p"))
-    met = left.repartition(tasks, "grp", "p", "q").join(right.repartition(tasks, "grp", "p", "q"), ["grp", "p", "q"])
-    return (
-        met.filter((F.col("p") != F.col("q")) | (F.col("left") < F.col("right")))
-        .groupBy(F.least("left", "right").alias("item_a"), F.greatest("left", "right").alias("item_b"))
-        .agg(F.count("*").alias("common"))
+    ``frame`` has key, units, members and times, the last two of one length; only sums over
+    ``least`` are returned. The arrays of a key meet in one task. ``load`` has what each key
+    brings; keys that bring more than a task's share are taken apart before the shuffle and
+    spread over all tasks.
+    """
+    types = dict(frame.dtypes)
+    kind, member = types["key"], types["members"].removeprefix("array<").removesuffix(">")
+    heavy = materialize(load.filter(F.col("load") > PAIRS_PER_TASK).select("key"), "heavy")
+    some = not heavy.isEmpty()
+    light = frame.join(heavy, "key", "left_anti") if some else frame
+    sums = light.repartition(tasks, "key").mapInArrow(
+        lambda batches: sums_of_arrays(batches, least), f"key {kind}, member {member}, units bigint, n bigint"
+    )
+    if not some:
+        return sums
+    apart = frame.join(heavy, "key", "left_semi").select("key", "units", F.explode(F.arrays_zip("members", "times")).alias("m"))
+    spread = apart.groupBy("key", F.col("m.members").alias("member")).agg(
+        F.sum(F.col("units") * F.col("m.times")).alias("units"), F.count("*").alias("n")
     )
+    return sums.unionByName(spread.filter(F.col("units") > least))
 
 
-def _common_with_targets(purchases: DataFrame, targets: DataFrame, min_common: int) -> DataFrame:
-    """(target_user, user_id, common): the users that share enough products with each target.
+def _slices() -> Column:
+    return F.ceil(F.col("degree") / GROUP_SLICE).cast("bigint")
+
 
-    As :func:`overlapping_pairs`, for pairs with a target: a user's busiest products, if large,
-    form no pairs and are looked up.
+def _shared_with(ranked: DataFrame, wanted: DataFrame | None = None, least: int = 1) -> DataFrame:
+    """(item_a, item_b, common) per pair of items that share ``least`` groups, each pair once; one of them is wanted.
+
+    Of two wanted items ``item_a`` comes first by its hash. Slices are ranges of the hash, so the
+    slice of the first is not after that of the second in any group; else ``item_a`` is the wanted one.
     """
-    rows = purchases.select(F.col("user_id").alias("item"), F.col("product_id").alias("grp"))
-    ranked = _with_degree(rows)
-    left_out = _busiest_groups(ranked, min_common - 1)
-    kept = ranked.join(left_out, ["item", "grp"], "left_anti")
-    wanted = targets.select(F.col("user_id").alias("item")).distinct()
-    met = materialize(_shared_with(kept, wanted), "pairs")
-    # only a user with a product left out can have more in common than was counted
-    outside = left_out.select("item").distinct()
-    either = met.join(outside.withColumnRenamed("item", "item_a"), "item_a", "left_semi").unionByName(
-        met.join(outside.withColumnRenamed("item", "item_b"), "item_b", "left_semi")
+    place = F.hash("item").cast("bigint") + INT
+    if wanted is None:
+        asked, rows = F.lit(True), ranked
+    else:
+        asked = F.col("asked").isNotNull()
+        rows = ranked.join(wanted.select("item", F.lit(True).alias("asked")).distinct(), "item", "left")
+    tasks = _tasks(rows.filter(asked), F.col("degree"))
+    in_order = lambda which: F.sort_array(F.collect_list(F.when(which, F.struct(place.alias("place"), "item"))))["item"]
+    slices = (
+        rows.withColumn("p", F.shiftright(place * _slices(), 32).cast("int"))
+        .repartition(tasks, "grp", "p")
+        .groupBy("grp", "p")
+        .agg(in_order(asked).alias("asked"), in_order(~asked).alias("others"), (F.max(_slices()) - 1).cast("int").alias("last"))
     )
-    looked_up = _looked_up(either.select("item_a", "item_b").distinct(), rows, kept, left_out)
-    return (
-        met.unionByName(looked_up)
-        .groupBy(F.col("item_a").alias("target_user"), F.col("item_b").alias("user_id"))
-        .agg(F.sum("common").alias("common"))
-        .filter(F.col("common") >= min_common)
+    # within a slice: the wanted that come after, and all others
+    met = slices.select("asked", "others", F.posexplode("asked").alias("i", "item_a")).select(
+        "item_a", F.concat(F.slice("asked", F.col("i") + 2, F.size("asked")), F.col("others")).alias("partners")
+    )
+    if not ranked.filter(F.col("degree") > GROUP_SLICE).isEmpty():
+        met = met.unionByName(_across(slices.filter(F.col("last") > 0), tasks))
+    met = met.filter(F.size("partners") > 0)
+    load = rows.filter(asked).groupBy(F.col("item").alias("key")).agg(F.sum("degree").alias("load"))
+    once = F.lit(1).cast("bigint")
+    frame = met.select(
+        F.col("item_a").alias("key"), once.alias("units"), F.col("partners").alias("members"), F.array_repeat(F.lit(1), F.size("partners")).alias("times")
+    )
+    return _summed(frame, load, tasks, least - 1).select(
+        F.col("key").alias("item_a"), F.col("member").alias("item_b"), F.col("n").alias("common")
     )
 
 
-def _shared_with(ranked: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(item_a, item_b, common) for the wanted items and all others; groups meet in slices."""
-    tasks, own = _tasks(ranked), F.pmod(F.hash("item"), _slices())
-    other = F.explode(F.sequence(F.lit(0), _slices() - 1))
-    left = ranked.join(wanted, "item", "left_semi").select("grp", F.col("item").alias("item_a"), own.alias("p"), other.alias("q"))
-    right = ranked.select("grp", F.col("item").alias("item_b"), own.alias("q"), other.alias("p"))
-    met = left.repartition(tasks, "grp", "p", "q").join(right.repartition(tasks, "grp", "p", "q"), ["grp", "p", "q"])
-    return met.filter(F.col("item_a") != F.col("item_b")).groupBy("item_a", "item_b").agg(F.count("*").alias("common"))
+def _across(slices: DataFrame, tasks: int) -> DataFrame:
+    """(item_a, partners) of two slices of a group; a cell is one pair of slices."""
+    left = slices.filter(F.col("p") < F.col("last")).select(
+        "grp", "p", F.explode(F.sequence(F.col("p") + 1, F.col("last"))).alias("q"), F.col("asked").alias("first"), F.col("others").alias("first_others")
+    )
+    right = slices.filter(F.col("p") > 0).select(
+        "grp", F.col("p").alias("q"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("p"), "asked", "others"
+    )
+    cells = left.repartition(tasks, "grp", "p", "q").join(right.repartition(tasks, "grp", "p", "q"), ["grp", "p", "q"])
+    sides = F.array(
+        F.struct(F.col("first").alias("items"), F.concat("asked", "others").alias("partners")),
+        F.struct(F.col("asked").alias("items"), F.col("first_others").alias("partners")),
+    )
+    return cells.select(F.explode(sides).alias("side")).select(F.explode("side.items").alias("item_a"), "side.partners")
 
 
-def _jaccard(common, size_a, size_b):
-    """Jaccard similarity to 12 decimals, so that sums do not depend on their order."""
+def _common_with_targets(purchases: DataFrame, targets: DataFrame, min_common: int) -> DataFrame:
+    """(target_user, user_id, common): the users that share enough products with each target."""
+    wanted = targets.select(F.col("user_id").alias("item")).distinct()
+    pairs = materialize(overlapping_pairs(purchases, "user_id", "product_id", min_common, wanted), "pairs")
+    to = wanted.withColumnRenamed("item", "target_user")
+    one, other = (
+        pairs.select(F.col(f"item_{a}").alias("target_user"), F.col(f"item_{b}").alias("user_id"), "common")
+        for a, b in ("ab", "ba")
+    )
+    return one.unionByName(other).join(to, "target_user", "left_semi")
+
+
+def _jaccard(common: Column, size_a: Column, size_b: Column) -> Column:
+    """Jaccard similarity to 12 decimals, in whole units of the last, so that sums do not depend on their order."""
     either = size_a + size_b - common
     exact = F.try_divide(common.cast("decimal(14,0)"), either.cast("decimal(14,0)"))
-    return F.round(exact, 12).cast("decimal(20,12)")
+    wide = (F.round(exact, 12) * F.lit(SIMILARITY_UNIT).cast("decimal(13,0)")).cast("bigint")
+    # the same in whole numbers, where they hold 15 digits as the decimals do
+    digits = F.call_function("div", common * F.lit(2 * 10**15) + either, either * F.lit(2))
+    quick = F.call_function("div", digits + F.lit(500), F.lit(1000))
+    return F.when((common < 4000) & (either > 0), quick).otherwise(wide)
+
+
+def _nearly(min_score: float) -> int:
+    """Units that no score has less of if it rounds to more than ``min_score``."""
+    return int(min_score * SIMILARITY_UNIT) - SIMILARITY_UNIT // 10**5
+
+
+def _scores(similar: DataFrame, purchases: DataFrame, baskets: DataFrame, min_score: float) -> DataFrame:
+    """(target_user, product_id, recommendation_score, recommended_by_n_similar_users) over ``min_score``."""
+    part = F.pmod(F.hash("product_id"), F.ceil(F.col("products") / GROUP_SLICE).cast("int"))
+    carried = (
+        _narrow(_narrow(purchases, "product_id"), "purchases")
+        .join(baskets, "user_id")
+        .groupBy("user_id", part.alias("part"))
+        .agg(F.collect_list(F.struct("product_id", "purchases")).alias("basket"))
+        .select("user_id", F.col("basket.product_id").alias("members"), F.col("basket.purchases").alias("times"))
+    )
+    unit = F.lit(SIMILARITY_UNIT).cast("decimal(13,0)")
+    sized = similar.join(baskets, "user_id")
+    load = sized.groupBy(F.col("target_user").alias("key")).agg(F.sum("products").alias("load"))
+    # a neighbour's repeat purchases count again
+    met = similar.select("user_id", F.col("target_user").alias("key"), "units")
+    frame = met.join(carried, "user_id").select("key", "units", "members", "times")
+    score = F.round(F.try_divide(F.col("units").cast("decimal(20,0)"), unit), 6)
+    return (
+        _summed(frame, load, _tasks(sized, F.col("products")), _nearly(min_score))
+        .select(
+            F.col("key").alias("target_user"),
+            F.col("member").cast(dict(purchases.dtypes)["product_id"]).alias("product_id"),
+            score.alias("recommendation_score"),
+            F.col("n").alias("recommended_by_n_similar_users"),
+        )
+        .filter(F.col("recommendation_score") > F.lit(min_score).cast("decimal(10,6)"))
+    )
 
 
 def _recommendations(
@@ -170,25 +273,18 @@ def _recommendations(
 ) -> DataFrame:
     """Products of similar users that the target does not own, best ``limit`` per target.
 
-    ``similar`` has target_user, user_id and similarity; ``owned`` target_user and product_id.
+    ``similar`` has target_user, user_id and units of similarity; ``owned`` target_user and product_id.
     """
     best = Window.partitionBy("target_user").orderBy(F.col("recommendation_score").desc(), "product_id")
-    least = F.lit(min_score).cast("decimal(10,6)")
     # no product of a target scores more than its neighbours' similarities times their most purchases of a product
-    most = purchases.groupBy("user_id").agg(F.max("purchases").alias("most"))
-    bound = F.sum(F.col("similarity") * F.col("most").cast("decimal(10,0)"))
-    within_reach = similar.join(most, "user_id").groupBy("target_user").agg(F.round(bound, 6).alias("bound")).filter(F.col("bound") > least)
+    baskets = materialize(
+        purchases.groupBy("user_id").agg(F.max("purchases").alias("most"), F.count("*").alias("products")), "baskets"
+    )
+    bound = F.sum(F.col("units").cast("double") * F.col("most"))
+    within_reach = similar.join(baskets, "user_id").groupBy("target_user").agg(bound.alias("bound")).filter(F.col("bound") > _nearly(min_score))
+    near = similar.join(within_reach.select("target_user"), "target_user", "left_semi")
     return (
-        similar.join(within_reach.select("target_user"), "target_user", "left_semi")
-        .join(purchases, "user_id")
-        .groupBy("target_user", "product_id")
-        .agg(
-            # a neighbour's repeat purchases count again
-            F.sum(F.col("similarity") * F.col("purchases").cast("decimal(10,0)")).alias("score"),
-            F.count("*").alias("recommended_by_n_similar_users"),
-        )
-        .withColumn("recommendation_score", F.round(F.col("score"), 6))
-        .filter(F.col("recommendation_score") > least)
+        _scores(near, purchases, baskets, min_score)
         .join(owned, ["target_user", "product_id"], "left_anti")
         .withColumn("place", F.row_number().over(best))
         .filter(F.col("place") <= limit)
@@ -232,7 +328,7 @@ def rec_user_jaccard(
     similar = near.join(sizes, "user_id").select(
         F.lit(user_id).cast("bigint").alias("target_user"),
         "user_id",
-        _jaccard(F.col("common"), F.col("products"), size).alias("similarity"),
+        _jaccard(F.col("common"), F.col("products"), F.lit(size)).alias("units"),
     )
     owned = target.withColumn("target_user", F.lit(user_id).cast("bigint"))
     return _recommendations(similar, baskets, owned, products, min_score, limit)
@@ -253,7 +349,7 @@ def rec_user_jaccard_batch(
     similar = (
         common.join(sizes, "user_id")
         .join(sizes.select(F.col("user_id").alias("target_user"), F.col("products").alias("size")), "target_user")
-        .select("target_user", "user_id", _jaccard(F.col("common"), F.col("products"), F.col("size")).alias("similarity"))
+        .select("target_user", "user_id", _jaccard(F.col("common"), F.col("products"), F.col("size")).alias("units"))
     )
     similar = materialize(similar, "similar")
     owned = purchases.join(targets.select("user_id"), "user_id", "left_semi").select(
