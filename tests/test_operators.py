@@ -337,3 +337,20 @@ def test_shuffles_grow_with_the_tables(spark, monkeypatch):
     finally:
         for name in settings:
             spark.conf.unset(name)
+
+
+def test_scans_of_large_tables_have_small_tasks(spark, monkeypatch):
+    from tillview import session
+
+    settings = {
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+        "spark.sql.files.maxPartitionBytes",
+    }
+    try:
+        monkeypatch.setattr(session, "TABLE_BYTES_PER_PARTITION", 5_000)
+        monkeypatch.setattr(session, "SCAN_BYTES_PER_TASK", "16k", raising=False)
+        assert Shop(spark, "/root/testdata/sf0.01").table("lineitem").rdd.getNumPartitions() > 20
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
