@@ -218,8 +218,8 @@ def churn_score_batch(prepared_features: DataFrame, model: ChurnModel | None) ->
     )
 
 
-def churn_contributions(prepared_features: DataFrame, model: ChurnModel) -> DataFrame:
-    """Exact Shapley values of every user's margin: user_id, one column per feature, bias.
+def churn_contributions(prepared_features: DataFrame, model: ChurnModel, key: str = "user_id") -> DataFrame:
+    """Exact Shapley values of every user's margin: the key, one column per feature, bias.
 
     The margin is the ensemble's raw score of class 1 (the share of votes for a forest, the
     log odds for the linear model); contributions and bias add up to it.
@@ -228,15 +228,19 @@ def churn_contributions(prepared_features: DataFrame, model: ChurnModel) -> Data
     if isinstance(classifier, LogisticRegressionModel):
         scaler = model.pipeline.stages[1]
         return shapley.linear_contributions(
-            prepared_features, classifier, list(scaler.mean), list(scaler.std), FEATURES
+            prepared_features, classifier, list(scaler.mean), list(scaler.std), FEATURES, key
         )
     nodes = shapley.ensemble_nodes(prepared_features.sparkSession, classifier)
-    return shapley.tree_contributions(prepared_features, nodes, FEATURES)
+    return shapley.tree_contributions(prepared_features, nodes, FEATURES, key)
 
 
 def churn_model_factors(prepared_features: DataFrame, model: ChurnModel, top: int = 2) -> DataFrame:
     """The features with the largest Shapley values of a user's margin, in words."""
-    found = churn_contributions(prepared_features, model).select("user_id", *[F.col(f).alias(f"by_{f}") for f in FEATURES])
+    # the features ride along as the key, so that they need not be joined again
+    user = F.struct("user_id", *FEATURES).alias("user")
+    found = churn_contributions(prepared_features.select(user, *FEATURES), model, "user").select(
+        "user.*", *[F.col(f).alias(f"by_{f}") for f in FEATURES]
+    )
 
     def described(feature: str) -> Column:
         contribution = F.col(f"by_{feature}")
@@ -249,8 +253,7 @@ def churn_model_factors(prepared_features: DataFrame, model: ChurnModel, top: in
         return F.struct((-F.abs(contribution)).alias("order"), F.lit(FEATURES.index(feature)).alias("i"), text.alias("t"))
 
     ranked = F.slice(F.array_sort(F.array(*[described(f) for f in FEATURES])), 1, top)
-    joined = prepared_features.select("user_id", *FEATURES).join(found, "user_id")
-    return joined.select("user_id", F.transform(ranked, lambda r: r["t"]).alias("top_risk_factors"))
+    return found.select("user_id", F.transform(ranked, lambda r: r["t"]).alias("top_risk_factors"))
 
 
 def score_report(scores: DataFrame, label: str = LABEL, probability: str = "churn_probability", cut: float = 0.5) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Exact Shapley values of tree ensembles and linear models, as DataFrame expressions.
+"""Exact Shapley values of tree ensembles and linear models, row by row.
 
 A leaf pays its value if every condition on its path holds. Without a feature its conditions
 hold by the share of training rows that took that turn (the path-dependent expectation). For
@@ -15,14 +15,14 @@ path have o = r = 1 and change nothing. Contributions and bias add up to the mar
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
-from operator import mul
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tillview.functions.paths import leaf_table, paid_by_leaves
 from tillview.sources.scratch import scratch_path
 
 #: The fitted model: inner nodes have a feature (its number) and a threshold, leaves a value; ``cover``
@@ -92,52 +92,21 @@ def leaves(nodes: DataFrame, features: list[str]) -> list[Leaf]:
     return found
 
 
-def _leaf_frame(spark: SparkSession, found: list[Leaf], features: list[str]) -> DataFrame:
-    inf = float("inf")
-    rows = [
-        (leaf.tree, leaf.value)
-        + tuple(x for f in features for x in (leaf.low.get(f, -inf), leaf.high.get(f, inf), leaf.share.get(f, 1.0)))
-        for leaf in found
-    ]
-    columns = [f"{kind}_{i} double" for i in range(len(features)) for kind in ("low", "high", "share")]
-    return spark.createDataFrame(rows, ", ".join(["tree int", "value double", *columns]))
-
-
 def tree_contributions(rows: DataFrame, nodes: DataFrame, features: list[str], key: str = "user_id") -> DataFrame:
-    """(key, one column per feature, bias): the exact contributions to the margin, one row per key.
+    """(key, one column per feature, bias): the exact contributions to the margin, one row per row.
 
-    A user's row meets the leaves of each tree by an equi-join on the tree's number with the
-    broadcast leaf table, whose size the model's parameters bound. Sums are combined before the
-    shuffle. A missing value fails every condition, as it does in the ensemble (NaN goes right).
+    What a leaf pays a user depends only on which of its path's features hold, so its shares are
+    tabulated beforehand, 2^depth rows a leaf. The tables travel to the tasks, their size is bounded
+    by the model's parameters; a row is looked up where it is, nothing is shuffled. A missing value
+    fails every condition, as it does in the ensemble (NaN goes right).
     """
-    spark, found, k = rows.sparkSession, leaves(nodes, features), len(features)
-    trees = sorted({leaf.tree for leaf in found})
-    points, weights = np.polynomial.legendre.leggauss((k + 1) // 2)
-    rule = [(float(t + 1) / 2, float(w) / 2) for t, w in zip(points, weights)]
+    found = leaves(nodes, features)
     bias = sum(leaf.value * float(np.prod(list(leaf.share.values()))) for leaf in found)
-    each = rows.select(
-        key,
-        *[F.col(f).cast("double").alias(f"x_{i}") for i, f in enumerate(features)],
-        F.explode(F.array(*map(F.lit, trees))).alias("tree"),
-    )
-    met = each.join(F.broadcast(_leaf_frame(spark, found, features)), "tree")
-    holds = lambda i: (F.col(f"x_{i}") > F.col(f"low_{i}")) & (F.col(f"x_{i}") <= F.col(f"high_{i}"))
-    # NaN is above every number, so only the condition "at most" fails it
-    gain = {f"gain_{i}": F.when(holds(i) | F.isnan(f"x_{i}") & (F.col(f"high_{i}") == float("inf")), 1.0).otherwise(0.0) - F.col(f"share_{i}") for i in range(k)}
-    met = met.select(key, "value", *[F.col(f"share_{i}") for i in range(k)], *[c.alias(n) for n, c in gain.items()])
-    factor = {
-        f"f_{q}_{i}": F.col(f"share_{i}") + t * F.col(f"gain_{i}") for q, (t, _) in enumerate(rule) for i in range(k)
-    }
-    met = met.select(key, "value", *[F.col(n) for n in gain], *[c.alias(n) for n, c in factor.items()])
-
-    def contribution(j: int) -> Column:
-        products = [
-            reduce(mul, [F.col(f"f_{q}_{i}") for i in range(k) if i != j], F.lit(w)) for q, (_, w) in enumerate(rule)
-        ]
-        return F.col("value") * F.col(f"gain_{j}") * reduce(lambda a, b: a + b, products)
-
-    summed = met.groupBy(key).agg(*[F.sum(contribution(j)).alias(f) for j, f in enumerate(features)])
-    return summed.withColumn("bias", F.lit(bias))
+    tables = [leaf_table(leaf, features) for leaf in found if leaf.share]
+    keyed = rows.select(key, *[F.col(f).cast("double").alias(f"x_{i}") for i, f in enumerate(features)])
+    fields = [T.StructField(f"by_{i}", T.DoubleType()) for i in range(len(features))]
+    paid = keyed.mapInArrow(lambda batches: paid_by_leaves(batches, tables), T.StructType([keyed.schema[key], *fields]))
+    return paid.select(key, *[F.col(f"by_{i}").alias(f) for i, f in enumerate(features)], F.lit(bias).alias("bias"))
 
 
 def linear_contributions(
