@@ -52,6 +52,17 @@ def test_a_group_of_several_slices_equals_brute_force(spark):
     assert got.filter("common <> 3 OR item_a % 3 <> 0 OR item_b % 3 <> 0").count() == 0
 
 
+def test_pairs_are_shuffled_as_ids_alone(spark, monkeypatch):
+    rows = random_rows(3, 4)
+    members = spark.createDataFrame(rows, "item bigint, grp bigint")
+    pairs = recs.overlapping_pairs(members, "item", "grp", 2)
+    assert "array_repeat" not in pairs._jdf.queryExecution().toString()
+    monkeypatch.setattr(recs, "PAIRS_PER_TASK", 100)
+    apart = recs.overlapping_pairs(members, "item", "grp", 2)
+    for got in (pairs, apart):
+        assert {(r.item_a, r.item_b): r.common for r in got.collect()} == brute_force(rows, 2)
+
+
 @pytest.fixture
 def shop(spark, sales):
     rng = random.Random(5)

@@ -15,15 +15,20 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def sums_of_arrays(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """(key, member, units, n): per key and member of its arrays the sum of units x times, if over ``least``, and the rows.
 
-    Batches have key, units, members and times, the last two arrays of one length, no nulls. All of
-    a task's cells are sorted once, so the caller bounds what a task gets.
+    Batches have key, units, members and times, the last two arrays of one length, no nulls; without
+    units and times every member counts once. All of a task's cells are sorted once, so the caller
+    bounds what a task gets.
     """
     parts = []
     for batch in batches:
-        key, units, members, times = (batch.column(c) for c in ("key", "units", "members", "times"))
-        lengths = members.value_lengths().to_numpy(zero_copy_only=False)
-        worth = np.repeat(units.to_numpy(zero_copy_only=False), lengths) * times.flatten().to_numpy(zero_copy_only=False)
-        parts.append((key.to_numpy(zero_copy_only=False), lengths, members.flatten().to_numpy(zero_copy_only=False), worth))
+        key, members = batch.column("key"), batch.column("members")
+        lengths, member = members.value_lengths().to_numpy(zero_copy_only=False), members.flatten().to_numpy(zero_copy_only=False)
+        if "times" in batch.schema.names:
+            units, times = (batch.column(c) for c in ("units", "times"))
+            worth = np.repeat(units.to_numpy(zero_copy_only=False), lengths) * times.flatten().to_numpy(zero_copy_only=False)
+        else:
+            worth = np.ones(len(member), np.int8)
+        parts.append((key.to_numpy(zero_copy_only=False), lengths, member, worth))
     if not sum(len(p[2]) for p in parts):
         return
     key, lengths, member, worth = (np.concatenate(x) for x in zip(*parts))

@@ -132,8 +132,9 @@ def _tasks(frame: DataFrame, size: Column) -> int:
 def _summed(frame: DataFrame, load: DataFrame, tasks: int, least: int) -> DataFrame:
     """(key, member, units, n): per key and member of its arrays the sum of units x times and the rows.
 
-    ``frame`` has key, units, members and times, the last two of one length; only sums over
-    ``least`` are returned. The arrays of a key meet in one task. ``load`` has what each key
+    ``frame`` has key, units, members and times, the last two of one length; without units and times,
+    which are then not shuffled either, a member counts once. Only sums over ``least`` are
+    returned. The arrays of a key meet in one task. ``load`` has what each key
     brings; keys that bring more than a task's share are taken apart before the shuffle and
     spread over all tasks.
     """
@@ -147,10 +148,13 @@ def _summed(frame: DataFrame, load: DataFrame, tasks: int, least: int) -> DataFr
     )
     if not some:
         return sums
-    apart = frame.join(heavy, "key", "left_semi").select("key", "units", F.explode(F.arrays_zip("members", "times")).alias("m"))
-    spread = apart.groupBy("key", F.col("m.members").alias("member")).agg(
-        F.sum(F.col("units") * F.col("m.times")).alias("units"), F.count("*").alias("n")
-    )
+    apart = frame.join(heavy, "key", "left_semi")
+    if "times" in types:
+        apart = apart.select("key", "units", F.explode(F.arrays_zip("members", "times")).alias("m"))
+        apart = apart.select("key", F.col("m.members").alias("member"), (F.col("units") * F.col("m.times")).alias("worth"))
+    else:
+        apart = apart.select("key", F.explode("members").alias("member"), F.lit(1).cast("bigint").alias("worth"))
+    spread = apart.groupBy("key", "member").agg(F.sum("worth").alias("units"), F.count("*").alias("n"))
     return sums.unionByName(spread.filter(F.col("units") > least))
 
 
@@ -186,10 +190,7 @@ def _shared_with(ranked: DataFrame, wanted: DataFrame | None = None, least: int
         met = met.unionByName(_across(slices.filter(F.col("last") > 0), tasks))
     met = met.filter(F.size("partners") > 0)
     load = rows.filter(asked).groupBy(F.col("item").alias("key")).agg(F.sum("degree").alias("load"))
-    once = F.lit(1).cast("bigint")
-    frame = met.select(
-        F.col("item_a").alias("key"), once.alias("units"), F.col("partners").alias("members"), F.array_repeat(F.lit(1), F.size("partners")).alias("times")
-    )
+    frame = met.select(F.col("item_a").alias("key"), F.col("partners").alias("members"))
     return _summed(frame, load, tasks, least - 1).select(
         F.col("key").alias("item_a"), F.col("member").alias("item_b"), F.col("n").alias("common")
     )
