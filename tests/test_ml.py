@@ -185,6 +185,25 @@ def test_folds_are_stratified(spark, training):
         assert max(sizes) - min(sizes) <= 1
 
 
+def test_training_rows_are_computed_once(spark, training, monkeypatch):
+    """They are stored before any job counts them, and nothing reads their source again."""
+    earlier, store, context = [], ml.materialize, spark.sparkContext
+
+    def stored(rows, label):
+        if label == "training":
+            earlier.extend(context.statusTracker().getJobIdsForGroup("prepare"))
+        return store(rows, label)
+
+    monkeypatch.setattr(ml, "materialize", stored)
+    context.setJobGroup("prepare", "training rows")
+    try:
+        prepared = ml.prepare_training(training)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert earlier == []
+    assert "Range" not in prepared._jdf.queryExecution().toString() and prepared.count() == 600
+
+
 def test_registry_keeps_one_row_per_version(spark):
     registry = spark.createDataFrame([], MODEL_REGISTRY)
     for auc in (0.8, 0.9):

@@ -114,17 +114,18 @@ def prepare_training(training: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame
     the order of a hash are dealt to the folds by quintile of that order, so every fold
     has a fifth of each class, and the same one wherever a row is recomputed.
     """
-    counts = training.agg(F.count("*").alias("n"), F.sum(LABEL).alias("positive")).first()
-    if counts["n"] < min_rows:
-        raise GateError(f"{counts['n']} training rows, need {min_rows}")
-    weight = (counts["n"] - counts["positive"]) / max(counts["positive"], 1)
     prepared = (
-        training.withColumn(WEIGHT, F.when(F.col(LABEL) == 1, F.lit(float(weight))).otherwise(1.0))
-        .withColumn("draw", F.pmod(F.xxhash64("user_id", F.lit(SEED)), F.lit(2**52)).cast("double"))
+        training.withColumn("draw", F.pmod(F.xxhash64("user_id", F.lit(SEED)), F.lit(2**52)).cast("double"))
         .withColumn(LABEL, F.col(LABEL).cast("double"))
         .withColumns({c: F.col(c).cast("double") for c in FEATURES})
     )
-    stored = materialize(prepared, "training")
+    # stored before they are counted: the fact behind them is aggregated once
+    rows = materialize(prepared, "training")
+    counts = rows.agg(F.count("*").alias("n"), F.sum(LABEL).alias("positive")).first()
+    if counts["n"] < min_rows:
+        raise GateError(f"{counts['n']} training rows, need {min_rows}")
+    weight = (counts["n"] - counts["positive"]) / max(counts["positive"], 1)
+    stored = rows.withColumn(WEIGHT, F.when(F.col(LABEL) == 1, F.lit(float(weight))).otherwise(1.0))
     edges = {
         label: exact_percentiles(stored.filter(F.col(LABEL) == label), ["draw"], [i / FOLDS for i in range(1, FOLDS)])["draw"]
         for label in (0.0, 1.0)
