@@ -10,6 +10,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tillview.operators import churn, ml, shapley
+from tillview.plans import catalog
 from tillview.sources.schemas import MODEL_REGISTRY
 
 
@@ -220,3 +221,59 @@ def test_candidates_are_judged_after_an_observation(spark, training):
     models = ml.candidates(rounds=1)
     report = ml.evaluate_candidates(ml.prepare_training(training), {n: models[n] for n in ("random_forest", "logistic_regression")})
     assert min(report.values()) > 0.9
+
+
+@pytest.fixture
+def stored_at(spark, sales, tmp_path, monkeypatch):
+    """churn_train over orders of 240 users, of whom half stop buying: its rows by candidate, and where the model goes."""
+    rows = [
+        (1000 * user + i, user, 1, f"2024-{1 + i // 2:02d}-{1 + 14 * (i % 2) + user % 13:02d}", 1, 10 + (user * 37 + i) % 90)
+        for user in range(240)
+        for i in range(12 if user % 2 else 8)
+    ]
+    amount = F.col("total_amount").cast("double").alias("o_totalprice")
+    named = [F.lit("1").alias("o_orderpriority"), F.lit("F").alias("o_orderstatus")]
+    sales(rows).selectExpr(
+        "transaction_id AS o_orderkey", "user_id AS o_custkey", "transaction_date AS o_orderdate", "total_amount"
+    ).select("o_orderkey", "o_custkey", "o_orderdate", amount, *named).write.parquet(str(tmp_path / "orders.parquet"))
+    place, few = tmp_path / "model", ml.candidates(rounds=2)
+    monkeypatch.setattr(ml, "candidates", lambda rounds: few)
+    monkeypatch.setattr(catalog, "scratch_path", lambda *_: str(place))
+
+    def run():
+        return {r.candidate: r for r in catalog.all_queries()["churn_train"](spark, str(tmp_path)).collect()}, place
+
+    return run
+
+
+def test_what_the_gates_promote_is_fitted_on_all_rows_and_stored(spark, stored_at):
+    told, place = stored_at()
+    assert {r.decision for r in told.values()} == {"promote"} and len(told) == 3
+    stored = ml.ChurnModel.load(str(place))
+    assert [n for n, r in told.items() if r.chosen] == [stored.name]
+    assert stored.report == {n: r.cv_auc for n, r in told.items()} and stored.cv_auc == told[stored.name].cv_auc
+    report = {r["class"]: r for r in spark.read.parquet(f"{place}/training_report").collect()}
+    assert report["Churned"].support == report["Retained"].support == 120 and report["Churned"].train_auc > 0.95
+    assert spark.read.parquet(f"{place}/contributions").count() == 240
+
+
+def test_the_stored_model_knows_every_row(spark, stored_at, monkeypatch):
+    """The linear model, whose coefficients show what it was fitted on."""
+    seen, prepare = [], ml.prepare_training
+    monkeypatch.setattr(ml, "evaluate_candidates", lambda *_: {"random_forest": 0.8, "logistic_regression": 0.9})
+    monkeypatch.setattr(ml, "prepare_training", lambda *a: seen.append(prepare(*a)) or seen[-1])
+    told, place = stored_at()
+    assert told["logistic_regression"].chosen and len(seen) == 1
+    stored, whole = ml.ChurnModel.load(str(place)), ml.candidates(0)["logistic_regression"].fit(seen[0])
+    assert stored.name == "logistic_regression"
+    assert list(stored.pipeline.stages[-1].coefficients) == pytest.approx(list(whole.stages[-1].coefficients), rel=1e-6)
+
+
+def test_what_the_gates_block_is_not_stored(stored_at, monkeypatch):
+    monkeypatch.setattr(ml, "evaluate_candidates", lambda *_: {"gradient_boosting": 0.7, "random_forest": 0.6})
+    told, place = stored_at()
+    assert {n: (r.chosen, r.decision) for n, r in told.items()} == {
+        "gradient_boosting": (True, "blocked"),
+        "random_forest": (False, "blocked"),
+    }
+    assert not place.exists()

@@ -33,6 +33,8 @@ SEED = 42
 # a tree ensemble within this distance of the best AUC is preferred
 TOLERANCE = 0.005
 PREFERRED = "gradient_boosting"
+# users whose Shapley values are kept with a stored model
+EXPLAINED_ROWS = 500
 LABEL, WEIGHT, FOLD = "churned", "weight", "fold"
 
 # How a feature is called and written in an explanation.
@@ -173,14 +175,18 @@ def choose(report: dict[str, float]) -> str:
     return best
 
 
-def churn_candidates(
-    training: DataFrame, rounds: int = 100, min_auc: float = MIN_AUC, min_rows: int = MIN_ROWS
-) -> tuple[dict[str, float], str]:
+def churn_candidates(prepared: DataFrame, rounds: int = 100, min_auc: float = MIN_AUC) -> tuple[dict[str, float], str]:
     """Cross-validated AUC per candidate and the decision on the one that would be chosen."""
-    report = evaluate_candidates(prepare_training(training, min_rows), candidates(rounds))
+    report = evaluate_candidates(prepared, candidates(rounds))
     return report, "promote" if report[choose(report)] >= min_auc else "blocked"
 
 
+def churn_refit(prepared: DataFrame, report: dict[str, float], rounds: int = 100) -> ChurnModel:
+    """The candidate that is chosen by the report, fitted on all rows."""
+    name = choose(report)
+    return ChurnModel(_fit(candidates(rounds)[name], prepared), name, report[name], report)
+
+
 def churn_fit(training: DataFrame, rounds: int = 100, min_rows: int = 1) -> ChurnModel:
     """The preferred candidate on all rows, without a selection."""
     fitted = _fit(candidates(rounds)[PREFERRED], prepare_training(training, min_rows))
@@ -192,12 +198,10 @@ def churn_train(
 ) -> ChurnModel:
     """Cross-validate the candidates, pick one and fit it on all rows."""
     prepared = prepare_training(training, min_rows)
-    models = candidates(rounds)
-    report = evaluate_candidates(prepared, models)
-    name = choose(report)
-    if report[name] < min_auc:
-        raise GateError(f"best AUC {report[name]:.4f} is below {min_auc}")
-    return ChurnModel(_fit(models[name], prepared), name, report[name], report)
+    report, decision = churn_candidates(prepared, rounds, min_auc)
+    if decision == "blocked":
+        raise GateError(f"best AUC {report[choose(report)]:.4f} is below {min_auc}")
+    return churn_refit(prepared, report, rounds)
 
 
 def churn_score_batch(prepared_features: DataFrame, model: ChurnModel | None) -> DataFrame:
@@ -318,6 +322,19 @@ def churn_model_report(training: DataFrame, model: ChurnModel) -> DataFrame:
     return score_report(_stored_scores(training, model.pipeline))
 
 
+def churn_store(prepared: DataFrame, model: ChurnModel, path: str) -> ChurnModel:
+    """Store a model, its report on all training rows and the Shapley values of the first
+    ``EXPLAINED_ROWS`` users; the model as it is read back.
+
+    The metadata come last, so a new folder that has them is whole.
+    """
+    churn_model_report(prepared, model).write.mode("overwrite").parquet(f"{path}/training_report")
+    some = prepared.orderBy("user_id").limit(EXPLAINED_ROWS)
+    churn_contributions(some, model).write.mode("overwrite").parquet(f"{path}/contributions")
+    model.save(path)
+    return ChurnModel.load(path)
+
+
 def churn_holdout_eval(
     training: DataFrame, rounds: int = 100, min_auc: float = MIN_AUC, min_rows: int = MIN_ROWS
 ) -> DataFrame:

@@ -685,12 +685,19 @@ def _scoring(shop: Shop) -> DataFrame:
 
 
 def _training_report(shop: Shop) -> DataFrame:
-    """The candidates' AUC and what the gates decide; few rows are a decision, too."""
+    """The candidates' AUC and what the gates decide; few rows are a decision, too.
+
+    What the gates promote is fitted on all rows and stored, and told as it was stored.
+    """
     try:
-        report, decision = ml.churn_candidates(_training(shop))
+        prepared = ml.prepare_training(_training(shop))
+        report, decision = ml.churn_candidates(prepared)
     except ml.GateError:
         report, decision = {}, "too few rows"
     chosen = ml.choose(report) if report else None
+    if decision == "promote":
+        model = ml.churn_store(prepared, ml.churn_refit(prepared, report), scratch_path(shop.spark, "churn-model"))
+        report, chosen = model.report, model.name
     rows = [(name, auc, name == chosen, decision) for name, auc in report.items()] or [(None, None, None, decision)]
     return shop.spark.createDataFrame(rows, "candidate string, cv_auc double, chosen boolean, decision string")
 
