@@ -94,6 +94,19 @@ def _assembler(columns: list[str] = FEATURES, output: str = "features") -> Vecto
     return VectorAssembler(inputCols=columns, outputCol=output)
 
 
+class _StoredPipeline(Pipeline):
+    """A pipeline whose fitted model is read back from the shared folder.
+
+    Straight from ``fit`` a forest or linear model carries its training summary and with it the
+    session, which cannot be sent to tasks any more once an Observation has been used.
+    """
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        path = scratch_path(dataset.sparkSession, "model")
+        super()._fit(dataset).write().save(path)
+        return PipelineModel.load(path)
+
+
 def candidates(rounds: int = 100, depth: int = 5) -> dict[str, Pipeline]:
     common = {"labelCol": LABEL, "weightCol": WEIGHT}
     boosting = GBTClassifier(
@@ -103,9 +116,9 @@ def candidates(rounds: int = 100, depth: int = 5) -> dict[str, Pipeline]:
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
     linear = LogisticRegression(featuresCol="scaled", maxIter=50, regParam=0.01, **common)
     return {
-        PREFERRED: Pipeline(stages=[_assembler(), boosting]),
-        "random_forest": Pipeline(stages=[_assembler(), forest]),
-        "logistic_regression": Pipeline(stages=[_assembler(), scaler, linear]),
+        PREFERRED: _StoredPipeline(stages=[_assembler(), boosting]),
+        "random_forest": _StoredPipeline(stages=[_assembler(), forest]),
+        "logistic_regression": _StoredPipeline(stages=[_assembler(), scaler, linear]),
     }
 
 
@@ -140,24 +153,13 @@ def prepare_training(training: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame
     return stored.withColumn(FOLD, fold).drop("draw")
 
 
-def _fit(pipeline: Pipeline, rows: DataFrame) -> PipelineModel:
-    """A fitted pipeline as it is read back from the shared folder.
-
-    Straight from ``fit`` a forest or linear model carries its training summary and with it the
-    session, which cannot be sent to tasks any more once an Observation has been used.
-    """
-    path = scratch_path(rows.sparkSession, "model")
-    pipeline.fit(rows).write().save(path)
-    return PipelineModel.load(path)
-
-
 def evaluate_candidates(prepared: DataFrame, models: dict[str, Pipeline]) -> dict[str, float]:
     """Mean AUC over the folds per candidate. The fits are independent jobs and
     run side by side, so that one fit's short stages do not leave executors idle."""
     evaluator = BinaryClassificationEvaluator(labelCol=LABEL)
 
     def auc(name: str, fold: int) -> float:
-        fitted = _fit(models[name], prepared.filter(F.col(FOLD) != fold))
+        fitted = models[name].fit(prepared.filter(F.col(FOLD) != fold))
         return evaluator.evaluate(fitted.transform(prepared.filter(F.col(FOLD) == fold)))
 
     runs = [(name, fold) for name in models for fold in range(FOLDS)]
@@ -184,12 +186,12 @@ def churn_candidates(prepared: DataFrame, rounds: int = 100, min_auc: float = MI
 def churn_refit(prepared: DataFrame, report: dict[str, float], rounds: int = 100) -> ChurnModel:
     """The candidate that is chosen by the report, fitted on all rows."""
     name = choose(report)
-    return ChurnModel(_fit(candidates(rounds)[name], prepared), name, report[name], report)
+    return ChurnModel(candidates(rounds)[name].fit(prepared), name, report[name], report)
 
 
 def churn_fit(training: DataFrame, rounds: int = 100, min_rows: int = 1) -> ChurnModel:
     """The preferred candidate on all rows, without a selection."""
-    fitted = _fit(candidates(rounds)[PREFERRED], prepare_training(training, min_rows))
+    fitted = candidates(rounds)[PREFERRED].fit(prepare_training(training, min_rows))
     return ChurnModel(fitted, PREFERRED, float("nan"), {})
 
 
@@ -340,7 +342,7 @@ def churn_holdout_eval(
 ) -> DataFrame:
     """AUC of the boosted trees on a fifth of the users that training never saw."""
     prepared = prepare_training(training, min_rows)
-    fitted = _fit(candidates(rounds)[PREFERRED], prepared.filter(F.col(FOLD) != 0))
+    fitted = candidates(rounds)[PREFERRED].fit(prepared.filter(F.col(FOLD) != 0))
     auc = score_report(_stored_scores(prepared.filter(F.col(FOLD) == 0), fitted)).first()["train_auc"]
     decision = "promote" if auc is not None and auc >= min_auc else "blocked"
     return training.sparkSession.createDataFrame([(auc, decision)], "churn_auc double, decision string")
